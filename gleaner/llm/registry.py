@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, url_filter
+from gleaner.llm import bpe, licenses, mixing, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(_read(spark, sf_dir, "documents")))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"), url_filter.rules_frame(spark))
 
@@ -22,6 +26,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
-QUERIES = {f.__name__: f for f in (op6_url_filter, op9_byte_bpe)}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.decide(_read(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op6_url_filter, op9_byte_bpe, op10_mixing)}
 
-ORACLES = {"op6_url_filter": url_filter.ORACLE}
+ORACLES = {"op1_license_scan": licenses.oracle(), "op6_url_filter": url_filter.ORACLE}
