@@ -94,7 +94,7 @@ def _closed(r: Column) -> Column:
 
     def mend(acc: Column, d: Column) -> Column:
         change = F.when(d["more"], -d["size"]).otherwise(d["size"]).cast("double")
-        turn = (d["size"] > 0) & (F.abs(acc["error"] + change) < F.abs(acc["error"]))
+        turn = (d["size"] > 0) & (acc["error"] * change < 0) & (d["size"] <= F.abs(acc["error"]))
         same = F.struct(acc["error"].alias("error"), F.concat(acc["all"], F.array(_decided(d, d["more"]))).alias("all"))
         other = F.struct((acc["error"] + change).alias("error"), F.concat(acc["all"], F.array(_decided(d, ~d["more"]))).alias("all"))
         return F.when(turn, other).otherwise(same)
