@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 #: Texts over so many code points are cut lazily, so many pre-tokens at a time.
 LONG_TEXT, SLICE = 2_000_000, 65_536
 #: Pre-tokens that a worker remembers, and the longest that it does.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 64
+REMEMBERED, REMEMBERED_CHARS = 300_000, 64
 #: A record batch is handed over when it holds so many tokens.
 BATCH_TOKENS = 1_000_000
 _MIX, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -38,7 +39,7 @@ class MinimalPerfectHash:
 
         self.n = max(1, len(keys))
         self.buckets = max(1, len(keys) // load)
-        self.seeds = np.zeros(self.buckets, dtype=np.int64)
+        self.seeds = [0] * self.buckets
         members: list[list[int]] = [[] for _ in range(self.buckets)]
         hashes = [xxhash.xxh3_64_intdigest(k) for k in keys]
         for i, h in enumerate(hashes):
@@ -67,7 +68,7 @@ class MinimalPerfectHash:
         return ((x ^ (x >> 31)) >> 7) % self.n
 
     def slot(self, h: int) -> int:
-        seed = int(self.seeds[h % self.buckets])
+        seed = self.seeds[h % self.buckets]
         return -seed - 1 if seed < 0 else self._slot(h, seed)
 
 
@@ -77,10 +78,16 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
         return [(base64.b64decode(token), int(rank)) for token, rank in map(bytes.split, lines)]
 
 
+def pairs_of(entries: list[tuple[bytes, int]]) -> dict[tuple[int, int], int]:
+    """Each way to make a token of two: (left id, right id) to the token's id."""
+    ranks = dict(entries)
+    return {(a, b): r for t, r in entries for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None}
+
+
 class Codec:
     """Encoder and decoder for one vocabulary; ranks serve as ids."""
 
-    def __init__(self, entries: list[tuple[bytes, int]], pattern: str, mph: MinimalPerfectHash | None = None):
+    def __init__(self, entries: list[tuple[bytes, int]], pattern: str, mph: MinimalPerfectHash | None = None, pairs: dict | None = None):
         import regex
         import xxhash
 
@@ -90,52 +97,49 @@ class Codec:
         self.keys = [entries[i][0] if i >= 0 else None for i in self.mph.order]
         self.ranks = [entries[i][1] if i >= 0 else -1 for i in self.mph.order]
         self.bytes_of = {r: t for t, r in entries}
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.single = [self.rank(bytes([b])) for b in range(256)]
+        self.pairs = pairs if pairs is not None else pairs_of(entries)
+        self.memory: dict[str, bytes] = {}
 
     def rank(self, token: bytes) -> int | None:
         s = self.mph.slot(self.digest(token))
         return self.ranks[s] if self.keys[s] == token else None
 
     def merge(self, piece: bytes) -> list[int]:
-        """Merge the lowest rank first, the leftmost among equals; neighbours are linked by index."""
+        """Merge the lowest rank first, the leftmost among equals; neighbours are linked by index.
+
+        A heap entry is one number: rank, then place. It is stale if the pair at its place has another rank by now.
+        """
         n = len(piece)
-        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        alive = bytearray(b"\1") * n
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = end[i]
-            if j < n and (r := self.rank(piece[i : end[j]])) is not None:
-                heap.append((r, i, end[j])) if not ready else heapq.heappush(heap, (r, i, end[j]))
-
-        ready = False
-        for i in range(n):
-            offer(i)
+        ids = [self.single[b] for b in piece]
+        pairs, push, pop = self.pairs.get, heapq.heappush, heapq.heappop
+        heap = [r << 32 | i for i, r in enumerate(map(pairs, zip(ids, ids[1:]))) if r is not None]
         heapq.heapify(heap)
-        ready = True
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = end[i]
-            if not alive[i] or j >= n or end[j] != stop:
-                continue  # one side was merged meanwhile
-            alive[j], end[i] = 0, stop
-            if stop < n:
-                before[stop] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        out, i = [], 0
-        while i < n:
-            out.append(self.rank(piece[i : end[i]]))
-            i = end[i]
-        return out
-
-    def piece(self, text: str) -> tuple[int, ...]:
+            top = pop(heap)
+            rank, i = top >> 32, top & 0xFFFFFFFF
+            j = after[i]
+            if j >= n or ids[i] < 0 or pairs((ids[i], ids[j])) != rank:
+                continue
+            ids[i], ids[j], k = rank, -1, after[j]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                if (r := pairs((rank, ids[k]))) is not None:
+                    push(heap, r << 32 | i)
+            h = before[i]
+            if h >= 0 and (r := pairs((ids[h], rank))) is not None:
+                push(heap, r << 32 | h)
+        return [x for x in ids if x >= 0]
+
+    def piece(self, text: str) -> bytes:
+        """The ids of a pre-token as 32-bit integers, so that those of a text are joined without boxing them."""
         known = self.memory.get(text)
         if known is None:
             raw = text.encode("utf-8")
             whole = self.rank(raw)
-            known = (whole,) if whole is not None else tuple(self.merge(raw))
+            known = array("i", [whole] if whole is not None else self.merge(raw)).tobytes()
             if len(text) <= REMEMBERED_CHARS:
                 if len(self.memory) >= REMEMBERED:
                     self.memory.clear()
@@ -151,9 +155,8 @@ class Codec:
             yield part
 
     def encode(self, text: str) -> np.ndarray:
-        piece = self.piece
-        parts = [np.fromiter(chain.from_iterable(map(piece, s)), dtype=np.int32) for s in self.slices(text)]
-        return np.concatenate(parts) if parts else np.empty(0, np.int32)
+        known, piece = self.memory.get, self.piece
+        return np.frombuffer(b"".join([known(x) or piece(x) for s in self.slices(text) for x in s]), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
@@ -163,11 +166,11 @@ _codecs: dict[tuple[str, str], Codec] = {}
 _built: dict[str, tuple] = {}
 
 
-def vocabulary_of(path: str) -> tuple[list[tuple[bytes, int]], MinimalPerfectHash]:
-    """The entries of a vocabulary file and their hash, built once in a driver."""
+def vocabulary_of(path: str) -> tuple[list[tuple[bytes, int]], MinimalPerfectHash, dict]:
+    """The entries of a vocabulary file, their hash and their pairs, built once in a driver."""
     if path not in _built:
         entries = read_ranks(path)
-        _built[path] = entries, MinimalPerfectHash([t for t, _ in entries])
+        _built[path] = entries, MinimalPerfectHash([t for t, _ in entries]), pairs_of(entries)
     return _built[path]
 
 
@@ -178,8 +181,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str
     One pass without a shuffle; each task holds one record batch and a memory of REMEMBERED pre-tokens.
     """
     spark = docs.sparkSession
-    entries, mph = vocabulary_of(vocabulary)
-    told = spark.sparkContext.broadcast((entries, pattern, mph))
+    entries, mph, pairs = vocabulary_of(vocabulary)
+    told = spark.sparkContext.broadcast((entries, pattern, mph, pairs))
     plain = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     fields = [f for f in plain.schema.fields if f.name != "__text"]
     schema = T.StructType([*fields, T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())])
