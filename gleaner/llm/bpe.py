@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 #: Texts over so many code points are cut lazily, so many pre-tokens at a time.
 LONG_TEXT, SLICE = 2_000_000, 65_536
 #: Pre-tokens that a worker remembers, and the longest that it does.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 64
+REMEMBERED, REMEMBERED_CHARS = 200_000, 64
 #: A record batch is handed over when it holds so many tokens.
 BATCH_TOKENS = 1_000_000
 _MIX, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -100,6 +100,7 @@ class Codec:
         self.single = [self.rank(bytes([b])) for b in range(256)]
         self.pairs = pairs if pairs is not None else pairs_of(entries)
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def rank(self, token: bytes) -> int | None:
         s = self.mph.slot(self.digest(token))
@@ -135,15 +136,15 @@ class Codec:
 
     def piece(self, text: str) -> bytes:
         """The ids of a pre-token as 32-bit integers, so that those of a text are joined without boxing them."""
-        known = self.memory.get(text)
+        known = self.memory.get(text) or self.older.get(text)
         if known is None:
             raw = text.encode("utf-8")
             whole = self.rank(raw)
             known = array("i", [whole] if whole is not None else self.merge(raw)).tobytes()
-            if len(text) <= REMEMBERED_CHARS:
-                if len(self.memory) >= REMEMBERED:
-                    self.memory.clear()
-                self.memory[text] = known
+        if len(text) <= REMEMBERED_CHARS:
+            if len(self.memory) >= REMEMBERED:
+                self.memory, self.older = {}, self.memory
+            self.memory[text] = known
         return known
 
     def slices(self, text: str) -> Iterator[list[str]]:
@@ -155,8 +156,11 @@ class Codec:
             yield part
 
     def encode(self, text: str) -> np.ndarray:
-        known, piece = self.memory.get, self.piece
-        return np.frombuffer(b"".join([known(x) or piece(x) for s in self.slices(text) for x in s]), dtype=np.int32)
+        piece, parts = self.piece, []
+        for found in self.slices(text):
+            known = self.memory.get
+            parts.append(b"".join([known(x) or piece(x) for x in found]))
+        return np.frombuffer(b"".join(parts), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
