@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, licenses, mixing, url_filter
+from gleaner.llm import bpe, language, licenses, mixing, quality, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +16,24 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(_read(spark, sf_dir, "documents")))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    out = language.held_out(F.col("doc_id"), 3, 1)
+    model = language.train(docs.filter(~out))
+    return language.predict(docs, model).withColumn("held_out", out)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"), url_filter.rules_frame(spark))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    out = language.held_out(F.col("doc_id"), 5, 0)
+    model = quality.train(docs, labels.filter(~out))
+    return quality.score(docs, model).withColumn("held_out", out)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,6 +45,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.decide(_read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op6_url_filter, op9_byte_bpe, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language, op6_url_filter, op7_quality, op9_byte_bpe, op10_mixing)}
 
 ORACLES = {"op1_license_scan": licenses.oracle(), "op6_url_filter": url_filter.ORACLE}
