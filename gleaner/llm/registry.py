@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, language, licenses, mixing, quality, url_filter
+from gleaner.llm import bpe, exact_dedup, language, licenses, mixing, quality, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).withColumn("held_out", out)
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.report(exact_dedup.decide(_read(spark, sf_dir, "documents")))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"), url_filter.rules_frame(spark))
 
@@ -45,6 +49,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.decide(_read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language, op6_url_filter, op7_quality, op9_byte_bpe, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language, op3_exact_dedup, op6_url_filter, op7_quality, op9_byte_bpe, op10_mixing)}
 
-ORACLES = {"op1_license_scan": licenses.oracle(), "op6_url_filter": url_filter.ORACLE}
+ORACLES = {"op1_license_scan": licenses.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op6_url_filter": url_filter.ORACLE}
