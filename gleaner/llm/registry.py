@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, exact_dedup, fingerprints, language, licenses, mixing, quality, url_filter
+from gleaner.llm import bpe, exact_dedup, fingerprints, html_text, language, licenses, mixing, quality, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(exact_dedup.decide(_read(spark, sf_dir, "documents")))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.report(html_text.extract(_read(spark, sf_dir, "pages")))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.report(fingerprints.compare_edited(_read(spark, sf_dir, "documents")))
 
@@ -53,6 +57,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.decide(_read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language, op3_exact_dedup, op5_fingerprints, op6_url_filter, op7_quality, op9_byte_bpe, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language, op3_exact_dedup, op4_html_text, op5_fingerprints, op6_url_filter, op7_quality, op9_byte_bpe, op10_mixing)}
 
 ORACLES = {"op1_license_scan": licenses.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op6_url_filter": url_filter.ORACLE}
