@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, exact_dedup, fingerprints, html_text, language, licenses, mixing, quality, url_filter
+from gleaner.llm import bpe, exact_dedup, fingerprints, html_text, jaccard_join, language, licenses, mixing, quality, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).withColumn("held_out", out)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard_join.join(_read(spark, sf_dir, "documents"))
+    return joined.select(F.col("id").alias("doc_id"), "set_id", "class_id", "n_links")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,6 +62,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.decide(_read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language, op3_exact_dedup, op4_html_text, op5_fingerprints, op6_url_filter, op7_quality, op9_byte_bpe, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language, op3_exact_dedup, op4_html_text, op5_fingerprints, op6_url_filter, op7_quality, op8_jaccard_join, op9_byte_bpe, op10_mixing)}
 
 ORACLES = {"op1_license_scan": licenses.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op6_url_filter": url_filter.ORACLE}

@@ -59,3 +59,47 @@ def let(value: Column, body) -> Column:
 def unit(*cols: Column) -> Column:
     """A uniform number in [0, 1) that depends on the arguments only, so that reruns agree."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
+
+
+def look_up(left: DataFrame, right: DataFrame, on: str, weight: str, rows: int, share: int = 1000) -> DataFrame:
+    """Inner join with a table of one row a key, where `weight` says how many rows of `left` a key has.
+
+    Keys with over 1/share of the rows (so `share` keys at most) are broadcast; all others are joined by shuffle.
+    """
+    values = [c for c in right.columns if c != on]
+    hot = right.filter(F.col(weight) > max(1000, rows // share)).select(on, F.struct(*values).alias("__hot"))
+    marked = left.join(F.broadcast(hot), on, "left")
+    found = marked.filter(F.col("__hot").isNotNull()).select(*left.columns, *[F.col(f"__hot.{c}").alias(c) for c in values])
+    return found.unionByName(marked.filter(F.col("__hot").isNull()).select(*left.columns).join(right, on))
+
+
+def connected(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(node, root) for each node of the edges (a, b): root is the smallest node of its component.
+
+    Large-star and small-star steps in turn, each a grouped minimum and a join, until the edges are stars; every
+    step is written to the shared folder, so a lost executor costs one step.
+    """
+
+    def large(e: DataFrame) -> DataFrame:
+        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        return both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+    def small(e: DataFrame) -> DataFrame:
+        down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b"))
+        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        moved = down.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return moved.union(least.select("a", F.col("m").alias("b")))
+
+    def mark(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    now = stored(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), name)
+    seen = mark(now)
+    while seen[0]:
+        now = stored(small(stored(large(now).distinct(), name)).distinct(), name)
+        last, seen = seen, mark(now)
+        if last == seen:
+            break
+    pairs = now.groupBy("a").agg(F.min("b").alias("b"))
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", F.col("b").alias("root")).distinct())
