@@ -152,3 +152,9 @@ def score(docs: DataFrame, model, text_col: str = "text", keep: tuple[str, ...]
     with_stats = docs.select(*keep, statistics(F.col(text_col)).alias("__stats"))
     scored = with_stats.select(*keep, let(F.col("__stats"), lambda s: compiled(model, s)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` whose score reaches the threshold, with their columns."""
+    marked = docs.withColumn("__score", let(statistics(F.col(text_col)), lambda s: compiled(model, s)))
+    return marked.filter(F.col("__score") >= threshold).drop("__score")
