@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from gleaner.plans import search, texts  # noqa: F401
+from gleaner.registry import ORACLES, QUERIES  # noqa: F401

@@ -1 +1 @@
-"""plans of the retrieval engine."""
+"""Plans: queries over the driver's tables, each with the SQL that states the same rows."""
