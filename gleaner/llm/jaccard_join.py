@@ -12,7 +12,7 @@ similarity s the chance to be missed is that of fewer than NEED hits in RUNS tri
 level (below 1e-3 in nodes that were split, where a run counts s*s).
 
 What moves: keys of classes, then sets of those that have a likely partner, once for each node in which a partner is
-first met. Links are counted where they are found and only sums leave a task, with edges to one member of each group
+first met. Their documents are picked by a Bloom filter of bounded size in a second scan, so no text is shuffled. Links are counted where they are found and only sums leave a task, with edges to one member of each group
 of linked classes; pairs are never written out.
 
 Defined cases: null text counts as empty; empty texts are one class, linked to each other only; a text of fewer than
@@ -34,6 +34,8 @@ from gleaner.llm.shared import bounded, connected, look_up, stored
 WORDS, SIMILARITY, RUNS, LIMIT, NEED = 5, 0.8, 16, 500, 4
 #: Words that a worker remembers the hash of; shingles hashed at once; pairs of a group compared one by one.
 REMEMBERED, CHUNK, FEW = 500_000, 4096, 8
+#: Power of two of the bits (8 MB) of the filter that picks the documents whose sets are read again.
+MAX_BITS = 26
 _rng = np.random.default_rng(20_240_817)
 _SALTS = _rng.integers(0, 1 << 63, size=(2, RUNS, 1), dtype=np.uint64)
 _ODDS = _rng.integers(0, 1 << 63, size=(2, RUNS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,8 +126,12 @@ def _nodes(classes: DataFrame, limit: int) -> DataFrame:
 _FIELDS = "unit long, run int, block int, within boolean, set binary, n_docs long, path array<long>"
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole units from batches sorted by unit, and where each unit begins (with the end)."""
+def _groups(batches: Iterator[pa.RecordBatch], once: bool = False) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole units from batches sorted by unit, and where each unit begins (with the end).
+
+    once: rows are also sorted by set within a unit, and of rows of one set the first counts (several documents of a
+    class can pass the filter).
+    """
     rest: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -135,10 +141,22 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
         u = t.column("unit").to_numpy()
         cut = int(np.searchsorted(u, u[-1], side="left"))
         if cut:
-            yield t.slice(0, cut), _starts(u[:cut])
+            yield _units(t.slice(0, cut), once)
         rest = t.slice(cut)
     if rest is not None and rest.num_rows:
-        yield rest, _starts(rest.column("unit").to_numpy())
+        yield _units(rest, once)
+
+
+def _units(t: pa.Table, once: bool) -> tuple[pa.Table, np.ndarray]:
+    u = t.column("unit").to_numpy()
+    if once:
+        keys = np.frombuffer(b"".join(t.column("set").to_pylist()), dtype="S16")
+        new = np.ones(len(u), bool)
+        new[1:] = (u[1:] != u[:-1]) | (keys[1:] != keys[:-1])
+        if not new.all():
+            t = t.filter(pa.array(new))
+            u = u[new]
+    return t, _starts(u)
 
 
 def _starts(u: np.ndarray) -> np.ndarray:
@@ -211,7 +229,7 @@ def _overlaps(sets: list[np.ndarray], likely: np.ndarray) -> np.ndarray:
 
 def _verified(similarity: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in _groups(batches):
+        for t, starts in _groups(batches, once=True):
             paths, run, n_docs = _paths(t), t.column("run").to_numpy(), t.column("n_docs").to_numpy()
             block, within = t.column("block").to_numpy(), t.column("within").to_numpy()
             keys, raw = t.column("set").to_pylist(), t.column("tokens")
@@ -240,11 +258,31 @@ def _verified(similarity: float):
     return work
 
 
-def _tokens(words: int):
+def _bloom(hashes: DataFrame) -> np.ndarray:
+    """Bits of a column th: 16 for each row, but MAX_BITS at most, so that its size is bounded; a full filter lets all pass."""
+    bits = 1 << min(MAX_BITS, max(10, (16 * hashes.count()).bit_length()))
+    places = hashes.select(F.explode(F.array(*[F.pmod(F.xxhash64("th", F.lit(i)), F.lit(bits)) for i in range(4)])).alias("at"))
+    words = places.groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits"))
+    out = np.zeros(max(1, bits >> 5), np.uint32)
+    got = words.toPandas()
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out
+
+
+def _tokens(words: int, bloom):
+    """Sets of the documents that pass the filter, keyed like the classes."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        bits = bloom.value
         for batch in batches:
-            made = [shingles(x.as_py(), words).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.large_binary()).cast(pa.binary())], ["set", "tokens"])
+            ok = np.ones(batch.num_rows, bool)
+            for i in range(4):
+                at = batch.column(1 + i).to_numpy()
+                ok &= (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 > 0
+            made = [shingles(batch.column(0)[int(i)].as_py(), words).tobytes() for i in np.flatnonzero(ok)]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in made], pa.binary()), pa.array(made, pa.binary())], ["set", "tokens"])
 
     return work
 
@@ -261,13 +299,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     classes = stored(classes.select("set", "n_docs", F.col("rep.id").alias("set_id"), F.col("rep.th").alias("rep_th"), "k1", "k2"), "paths-classes")
     likely = _nodes(classes, limit).repartition("unit").sortWithinPartitions("unit").mapInArrow(_with_partner, _FIELDS)
     likely = stored(likely, "paths-likely")
-    wanted = classes.join(likely.select("set").distinct(), "set").select("set", "set_id", "rep_th")
-    wanted = stored(wanted, "paths-wanted")
-    texts = docs.select(F.col(id_col).alias("set_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("rep_th"), F.col(text_col).alias("t"))
-    same = texts["set_id"].eqNullSafe(wanted["set_id"]) & (texts["rep_th"] == wanted["rep_th"])
-    texts = texts.join(bounded(wanted, wanted.count()), same).select("set", "t")
-    sets = texts.mapInArrow(_tokens(words), "set binary, tokens binary").groupBy("set").agg(F.max("tokens").alias("tokens"))
-    units = likely.join(sets, "set").repartition("unit").sortWithinPartitions("unit")
+    wanted = stored(classes.join(likely.select("set").distinct(), "set").select(F.col("rep_th").alias("th")), "paths-wanted")
+    bloom = _bloom(wanted)
+    told = docs.sparkSession.sparkContext.broadcast(bloom)
+    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    places = [F.pmod(F.xxhash64(th, F.lit(i)), F.lit(32 * len(bloom))).alias(f"p{i}") for i in range(4)]
+    sets = docs.select(F.col(text_col).alias("t"), *places).mapInArrow(_tokens(words, told), "set binary, tokens binary")
+    units = likely.join(sets, "set").repartition("unit").sortWithinPartitions("unit", "set")
     found = stored(units.select("unit", "run", "block", "within", "set", "n_docs", "path", "tokens").mapInArrow(_verified(similarity), "set binary, docs long, root binary"), "paths-links")
     links = found.groupBy("set").agg(F.sum("docs").alias("links"))
     roots = connected(found.select(F.col("set").alias("a"), F.col("root").alias("b")), "paths-components")
