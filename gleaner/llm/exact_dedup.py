@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import bounded, new_path, stored
+from gleaner.llm.shared import bounded, look_up, new_path, sift, stored
 
-#: Entries of a memtable (about 30 MB); rows of a group that one task compares; share of rows that makes a digest hot.
-MEMTABLE, SALT, HOT_SHARE = 200_000, 256, 1000
+#: Entries of a memtable (about 30 MB); rows of a group that one task compares.
+MEMTABLE, SALT = 200_000, 256
 
 
 def normalised(text: Column) -> Column:
@@ -82,21 +82,10 @@ def compact(runs: DataFrame) -> DataFrame:
     return _with_filters(level.sortWithinPartitions("digest"), "lsm-level")
 
 
-def look_up(keyed: DataFrame, index: DataFrame, rows: int) -> DataFrame:
-    """Each row of `keyed` with its entry; hot digests (at most HOT_SHARE) are broadcast, the others joined by shuffle."""
-    hot = index.filter(F.col("group_size") > max(1000, rows // HOT_SHARE))
-    hot = F.broadcast(hot.select("digest", *[F.col(c).alias(f"h_{c}") for c in ("group_size", "keep_chars", "keep_id")]))
-    marked = keyed.join(hot, "digest", "left")
-    found = marked.filter(F.col("h_group_size").isNotNull()).select(*keyed.columns, *[F.col(f"h_{c}").alias(c) for c in ("group_size", "keep_chars", "keep_id")])
-    rest = marked.filter(F.col("h_group_size").isNull()).select(*keyed.columns)
-    return found.unionByName(rest.join(index, "digest"))
-
-
 def _failing(texts: DataFrame, index: DataFrame) -> DataFrame:
     """Digests under which some row's bytes differ from those of the row that stays."""
     several = index.filter(F.col("group_size") > 1).withColumn("salts", F.ceil(F.col("group_size") / SALT))
-    n = several.count()
-    hits = texts.join(bounded(several, n), "digest")
+    hits = sift(texts, several, "digest").join(several, "digest")
     stays = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
     kept = hits.filter(stays).groupBy("digest").agg(F.max("salts").alias("salts"), F.min("norm").alias("kept_norm"))
     kept = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1))).select("digest", "salt", "kept_norm")
@@ -114,7 +103,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     rows = keyed.count()
     failing = stored(_failing(texts, index), "lsm-failing")
     n = failing.count()
-    found = look_up(keyed, index, rows)
+    found = look_up(keyed, index, "digest", "group_size", rows)
     if n:  # digests that stand for several texts: group their rows by the text itself
         found = found.join(bounded(failing, n), "digest", "left_anti")
         clash = texts.join(bounded(failing, n), "digest", "left_semi")
@@ -142,9 +131,8 @@ def keep_one(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_c
         kept = decided.filter("kept").select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), F.col("n_chars").alias("__chars"))
         same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__sha")) & (F.col("__c") == F.col("__chars")) & (F.col("__k") == 1)
         return marked.join(kept, same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-    n = dropped.count()
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__sha")) & (F.col("__c") == F.col("__chars"))
-    return marked.join(bounded(dropped, n), same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return marked.join(dropped, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import bounded, connected, look_up, stored
+from gleaner.llm.shared import connected, look_up, stored
 
 WORDS, SIMILARITY, RUNS, LIMIT, NEED = 5, 0.8, 16, 500, 4
 #: Words that a worker remembers the hash of; shingles hashed at once; pairs of a group compared one by one.
@@ -150,9 +150,9 @@ def _groups(batches: Iterator[pa.RecordBatch], once: bool = False) -> Iterator[t
 def _units(t: pa.Table, once: bool) -> tuple[pa.Table, np.ndarray]:
     u = t.column("unit").to_numpy()
     if once:
-        keys = np.frombuffer(b"".join(t.column("set").to_pylist()), dtype="S16")
+        keys = np.frombuffer(b"".join(t.column("set").to_pylist()), dtype=np.uint64).reshape(-1, 2)
         new = np.ones(len(u), bool)
-        new[1:] = (u[1:] != u[:-1]) | (keys[1:] != keys[:-1])
+        new[1:] = (u[1:] != u[:-1]) | (keys[1:] != keys[:-1]).any(1)
         if not new.all():
             t = t.filter(pa.array(new))
             u = u[new]
@@ -330,4 +330,4 @@ def keep_one(docs: DataFrame, joined: DataFrame, id_col: str = "doc_id", text_co
         twin = F.row_number().over(Window.partitionBy(id_col, "__th").orderBy(F.lit(1)))
         return marked.withColumn("__k", twin).filter("__k = 1").join(kept, same, "left_semi").select(*own)
     dropped = joined.filter(~stays).select(F.col("id").alias("__id"), F.col("th").alias("__t"))
-    return marked.join(bounded(dropped, dropped.count()), same, "left_anti").select(*own)
+    return marked.join(dropped, same, "left_anti").select(*own)
