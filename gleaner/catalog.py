@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from gleaner.plans import search, texts  # noqa: F401
+from gleaner.plans import graphs, operations, search, texts  # noqa: F401
 from gleaner.registry import ORACLES, QUERIES  # noqa: F401
