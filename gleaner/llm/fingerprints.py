@@ -84,11 +84,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / filled)
 
 
-def with_next(df: DataFrame, id_col: str, text_col: str, carried: tuple[str, ...], range_rows: int = RANGE_ROWS) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, text_col: str, carried: tuple[str, ...], prepare=lambda d: d, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Each row and, as next_*, `carried` of the following row in order of descending identifier (after the last: the first).
 
     The order is cut into ranges by quantiles of the identifier. Every range is sorted by itself and also gets a copy
-    of the first row of the following range, so one shuffle is enough and no task sees more than a range.
+    of the first row of the following range, so one shuffle is enough and no task sees more than a range. `prepare`
+    adds columns before the shuffle; it is applied once to each row and to the copies, which are one a range.
     """
     n = df.count()
     ranges = max(1, min(RANGES, -(-n // range_rows)))
@@ -105,7 +106,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str, carried: tuple[str, ...
     first = rows.alias("r").join(heads.alias("h"), (F.col("r.__range") == F.col("h.__range")) & F.col(f"r.{id_col}").eqNullSafe(F.col("h.__head")))
     ghosts = first.groupBy("__to").agg(F.min_by(F.struct(*[F.col(f"r.{c}").alias(c) for c in df.columns]), F.col("r.__h")).alias("g"))
     ghosts = ghosts.select("g.*", F.col("__to").alias("__range"), F.lit(0).cast("long").alias("__h"), F.lit(1).alias("__ghost"))
-    both = rows.withColumn("__ghost", F.lit(0)).unionByName(ghosts)
+    both = prepare(rows.withColumn("__ghost", F.lit(0))).unionByName(prepare(ghosts))
     follows = Window.partitionBy("__range").orderBy("__ghost", F.col(id_col).desc_nulls_last(), "__h")
     out = both.select("*", *[F.lead(c).over(follows).alias(f"next_{c}") for c in carried])
     return out.filter(F.col("__ghost") == 0).drop("__ghost", "__range", "__h")
@@ -114,7 +115,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str, carried: tuple[str, ...
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_chars, edited text, and signatures of text, edited text and next text."""
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    base = with_next(fingerprinted(base, "t", "sig"), "id", "t", ("t", "sig"))
+    base = with_next(base, "id", "t", ("t", "sig"), lambda d: fingerprinted(d, "t", "sig"))
     n = F.length("t")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("t", F.lit(1), n - half), F.substring("next_t", F.lit(1), half))
