@@ -42,7 +42,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
     return ranked.select("query", "id", "distance", F.round(score_of(F.col("distance"), metric), 7 if metric == "cosine" else 6).alias("score"), "rank")
 
 
-def nearest_by_lists(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 32, probes: int = 12, sample: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest_by_lists(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 32, probes: int = 20, sample: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """As nearest (cosine), approximately: centres are fitted on `sample` rows; every row is in one list, every query reads `probes` lists."""
     some = vectors.orderBy(F.xxhash64(id_col)).limit(sample).select(vec_col).toPandas()[vec_col]
     x = np.array(some.tolist(), dtype=np.float64)
