@@ -4,8 +4,8 @@ A token is an element told apart by its path and class. Tokens with the same occ
 (the same number of times on each page) form an equivalence class; the class whose tokens stand once on most pages,
 properly nested, is the host's template. Its elements are the slots: of each, the template knows how much text and how
 much link text the pages put there and whether it ever changes. Slots that are navigation, notices and the like by
-their tag or name, that are mostly links, or that never change are not content; the content slot is the article or
-main element of the template, or else the deepest slot that holds most of what is left. Extraction then takes all
+their tag or name are not content; the content slot is the article or main element of the template, or else the
+deepest slot that holds most of what is left, without slots that are mostly links or never change. Extraction then takes all
 text of that slot, whole, as blocks.
 
 The occurrence vectors are never gathered: sums of a hash of (page, count) stand for them, added up in each task
@@ -193,27 +193,22 @@ def slots(template: list[dict]) -> tuple[frozenset[str], frozenset[str]]:
     # valid classes: once a page, and nested, that is, each token's parent is in a class on as many pages or more
     on = {row["token"]: row["pages"] for row in template}
     valid = [r for rows in classes.values() for r in rows if r["times"] == r["pages"] and on.get(r["token"].rpartition("/")[0], r["pages"]) >= r["pages"]]
-    noise, content = set(), []
-    for r in valid:
-        token, (tag, _, names) = r["token"], r["token"].rpartition("/")[2].partition(".")
-        core = tag in ("html", "body", "article", "main")
-        constant = r["all"] >= 3 and not r["changes"]
-        linky = r["link"] > LINKY * max(1, r["chars"] + r["link"])
-        if _noise(tag, names.replace(".", " "), "article" in token or "main" in token) or (not core and (constant or linky) and r["pages"] > 1):
-            noise.add(token)
-    clean = [r for r in valid if not any(r["token"] == n or r["token"].startswith(n + "/") for n in noise)]
-    named = [r for r in clean if r["token"].rpartition("/")[2].partition(".")[0] in ("article", "main")]
-    if named:
-        tops = [r["token"] for r in named]
-        content = [t for t in tops if not any(t.startswith(o + "/") for o in tops)]
-    elif clean:
-        total = max(r["chars"] for r in clean)
-        holding = [r for r in clean if r["chars"] >= MOST * total and r["chars"] > 0]
+    tag_of = lambda token: token.rpartition("/")[2].partition(".")[0]
+    names_of = lambda token: token.rpartition("/")[2].partition(".")[2].replace(".", " ")
+    within = lambda token, roots: any(token == n or token.startswith(n + "/") for n in roots)
+    noise = {r["token"] for r in valid if _noise(tag_of(r["token"]), names_of(r["token"]), "article" in r["token"] or "main" in r["token"])}
+    clean = [r for r in valid if not within(r["token"], noise)]
+    tops = [r["token"] for r in clean if tag_of(r["token"]) in ("article", "main")]
+    content = {t for t in tops if not within(t.rpartition("/")[0], tops)}
+    if not content:  # what is mostly links, or never changes, isn't content
+        dull = {r["token"] for r in clean if tag_of(r["token"]) not in ("html", "body") and r["pages"] > 1 and ((r["all"] >= 3 and not r["changes"]) or r["link"] > LINKY * max(1, r["chars"] + r["link"]))}
+        total = max((r["chars"] for r in clean), default=0)
+        holding = [r for r in clean if r["chars"] >= MOST * total and r["chars"] > 0 and not within(r["token"], dull)]
         if holding:
-            content = [max(holding, key=lambda r: (r["token"].count("/"), r["chars"]))["token"]]
-    wide = {c for c in content if c.rpartition("/")[2].partition(".")[0] not in ("html", "body")}
-    keep = set(content)
-    return frozenset(wide), frozenset(n for n in noise if not any(c == n or c.startswith(n + "/") for c in keep))
+            content = {max(holding, key=lambda r: (r["token"].count("/"), r["chars"]))["token"]}
+        content = {c for c in content if tag_of(c) not in ("html", "body")}
+        noise |= {n for n in dull if not any(within(c, {n}) or within(n, {c}) for c in content)}
+    return frozenset(content), frozenset(n for n in noise if not any(within(c, {n}) for c in content))
 
 
 def main_text(page: str, content: frozenset[str], noise: frozenset[str]) -> str:

@@ -33,7 +33,7 @@ from gleaner.llm.shared import connected, look_up, stored
 
 WORDS, SIMILARITY, RUNS, LIMIT, NEED = 5, 0.8, 16, 500, 4
 #: Words that a worker remembers the hash of; shingles hashed at once; pairs of a group compared one by one.
-REMEMBERED, CHUNK, FEW = 500_000, 4096, 8
+REMEMBERED, CHUNK, FEW = 200_000, 4096, 8
 #: Power of two of the bits (8 MB) of the filter that picks the documents whose sets are read again.
 MAX_BITS = 26
 _rng = np.random.default_rng(20_240_817)
