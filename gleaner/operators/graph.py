@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from gleaner.functions.joins import top
 
 #: Role of the other end, seen from the source and from the target of an edge.
-ROLES = {"contains": ("child", "parent"), "lives_in": ("home", "resident"), "ordered_by": ("buyer", "order"), "has_part": ("part", "used_in"), "supplied_by": ("supplier", "supplies")}
+ROLES = {
+    "file_imports": ("imported", "importer"), "file_defines_symbol": ("definition", "file"), "file_defines_config_key": ("setting", "file"), "test_covers_implementation": ("implementation", "test"),
+    "doc_mentions_file": ("mentioned", "document"), "contains": ("child", "parent"), "lives_in": ("home", "resident"), "ordered_by": ("buyer", "order"), "has_part": ("part", "used_in"), "supplied_by": ("supplier", "supplies"),
+}
 
 
 def node_id(kind: Column | str, key: Column, project: str = "shop") -> Column:
