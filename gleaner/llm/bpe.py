@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 #: Texts over so many code points are cut lazily, so many pre-tokens at a time.
 LONG_TEXT, SLICE = 2_000_000, 65_536
 #: Pre-tokens that a worker remembers, and the longest that it does.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 64
+REMEMBERED, REMEMBERED_CHARS = 400_000, 64
 #: A record batch is handed over when it holds so many tokens.
 BATCH_TOKENS = 1_000_000
 _MIX, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -98,6 +98,7 @@ class Codec:
         self.ranks = [entries[i][1] if i >= 0 else -1 for i in self.mph.order]
         self.bytes_of = {r: t for t, r in entries}
         self.single = [self.rank(bytes([b])) for b in range(256)]
+        self.as_bytes = bytes(self.single) if max(self.single) < 256 else None
         self.pairs = pairs if pairs is not None else pairs_of(entries)
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -112,7 +113,7 @@ class Codec:
         A heap entry is one number: rank, then place. It is stale if the pair at its place has another rank by now.
         """
         n = len(piece)
-        ids = [self.single[b] for b in piece]
+        ids = list(piece.translate(self.as_bytes)) if self.as_bytes else [self.single[b] for b in piece]
         pairs, push, pop = self.pairs.get, heapq.heappush, heapq.heappop
         heap = [r << 32 | i for i, r in enumerate(map(pairs, zip(ids, ids[1:]))) if r is not None]
         heapq.heapify(heap)
