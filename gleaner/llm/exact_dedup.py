@@ -85,7 +85,7 @@ def compact(runs: DataFrame) -> DataFrame:
 def _failing(texts: DataFrame, index: DataFrame) -> DataFrame:
     """Digests under which some row's bytes differ from those of the row that stays."""
     several = index.filter(F.col("group_size") > 1).withColumn("salts", F.ceil(F.col("group_size") / SALT))
-    hits = sift(texts, several, "digest").join(several, "digest")
+    hits = stored(sift(texts, several, "digest").join(several, "digest"), "lsm-hits")
     stays = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
     kept = hits.filter(stays).groupBy("digest").agg(F.max("salts").alias("salts"), F.min("norm").alias("kept_norm"))
     kept = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1))).select("digest", "salt", "kept_norm")
@@ -95,7 +95,7 @@ def _failing(texts: DataFrame, index: DataFrame) -> DataFrame:
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32) -> DataFrame:
     """id, keep_id, group_size, kept, sha (binary), n_chars: a row for each row. digest_bytes: of the index's key (tests make it collide)."""
-    sha = F.unhex(F.sha2(F.col("norm"), 256))
+    sha = F.coalesce(F.unhex(F.sha2(F.col("norm"), 256)), F.lit(b""))  # never null, which spares a test that would compute it twice
     texts = docs.select(F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"), normalised(F.col(text_col)).alias("norm"))
     texts = texts.withColumn("sha", sha).withColumn("digest", F.substring("sha", 1, digest_bytes))
     keyed = stored(texts.select("id", "n_chars", "digest", "sha"), "lsm-digests")

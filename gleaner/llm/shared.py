@@ -110,7 +110,8 @@ def sift(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     2^17 broadcast words) drops most others before a shuffle; the exact join comes after. A crowded bitmap lets all pass.
     """
     h = F.xxhash64(on)
-    word, bit = F.pmod(h, F.lit(1 << 17)), F.shiftright(h, 17).bitwiseAND(F.lit(63)).cast("int")
+    # not pmod, which may be null: the optimizer would test that by computing the key a second time
+    word, bit = h.bitwiseAND(F.lit((1 << 17) - 1)), F.shiftright(h, 17).bitwiseAND(F.lit(63)).cast("int")
     words = keys.select(word.alias("__word"), F.call_function("shiftleft", F.expr("1L"), bit).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
     marked = df.withColumn("__word", word).join(F.broadcast(words), "__word")
     return marked.filter(F.call_function("shiftrightunsigned", F.col("__bits"), bit).bitwiseAND(F.expr("1L")) == 1).select(*df.columns)
