@@ -42,12 +42,15 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SELF_ENDING = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SLOT_TAGS = frozenset("html body div section article main header footer aside nav form table ul ol td tr tbody figure details dialog".split())
-#: Words in a class, id or role that mark navigation, adverts, notices, forms or comments.
+#: Words of a class, id or role that mark navigation, adverts, notices, forms or comments; and those that
+#: mark the page's own header, unless they stand within the article.
 NOISE_NAMES = re.compile(
-    r"(?:^|[-_ ])(?:ad|ads|advert|adverts|advertisement|adslot|banner|sponsor|sponsored|promo|cookie|cookies|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login"
-    r"|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|footer|foot|masthead|topbar|toolbar|share|sharing|social|related|recommended|widget|comment|comments|respond|disqus|replies|pagination|pager|skip|copyright)s?(?:$|[-_ ])",
+    r"(?:^|[-_ ])(?:ad|advert|advertisement|advertising|adsense|adsbygoogle|adslot|adbox|banner|sponsor|sponsored|promo|promotion|outbrain|taboola|cookie|consent|gdpr|notice|alert|disclaimer|paywall"
+    r"|popup|modal|overlay|toast|newsletter|subscribe|subscription|signup|login|search|searchbox|nav|navbar|navigation|menu|breadcrumb|sidebar|side|complementary|footer|foot|contentinfo|masthead|topbar|toolbar"
+    r"|share|sharing|social|related|recommended|recommendation|widget|comment|respond|disqus|replies|reply|pagination|pager|skip|copyright|hidden)s?(?:$|[-_ ])",
     re.I,
 )
+OUTER_NAMES = re.compile(r"(?:^|[-_ ])(?:header|hdr|logo|branding|tagline|languages?|bottom)(?:$|[-_ ])", re.I)
 LINKY, MOST, SUPPORT, DEPTH = 0.6, 0.6, 0.5, 12
 
 _TOKEN = re.compile(
@@ -58,8 +61,15 @@ _TOKEN = re.compile(
 _NAME = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
+_HIDDEN = re.compile(r"""\shidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+
+
 def _named(rest: str) -> str:
-    return " ".join(a or b or c for a, b, c in _NAME.findall(rest)) if rest else ""
+    """Class, id and role of a tag, camel case cut at its humps; `hidden` if the element isn't shown."""
+    if not rest:
+        return ""
+    names = " ".join(a or b or c for a, b, c in _NAME.findall(rest))
+    return re.sub("([a-z])([A-Z])", r"\1-\2", names) + (" hidden" if _HIDDEN.search(rest) else "")
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
@@ -109,7 +119,11 @@ def _token(path: tuple[str, ...], tag: str, names: str) -> str:
 def _noise(tag: str, names: str, inside_article: bool) -> bool:
     if tag in NOISE_TAGS or (tag == "header" and not inside_article):
         return True
-    return bool(names and tag not in ("html", "body", "article", "main") and NOISE_NAMES.search(names)) or (tag == "article" and bool(names and re.search("comment|reply|teaser|promo", names, re.I)))
+    if not names or tag in ("html", "body"):
+        return False
+    if tag in ("article", "main"):
+        return bool(re.search("comment|reply|teaser|promo|hidden", names, re.I))
+    return bool(NOISE_NAMES.search(names)) or (not inside_article and bool(OUTER_NAMES.search(names)))
 
 
 def occurrences(page: str) -> dict[str, list]:

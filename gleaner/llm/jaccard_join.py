@@ -2,9 +2,9 @@
 
 A document is the set of hashes of its five-word shingles; documents of one set are one class. In each of RUNS runs
 every class chooses one of its tokens by a hash function of that run (the token of least hash, so two sets choose
-alike with a probability equal to their similarity); classes that chose one token share a node. A node of over LIMIT
-classes is split once more by a second chosen token. Nodes of one class are dropped, small nodes are compared by
-brute force, and nodes that stay large are compared in pairs of blocks, so that nothing is capped.
+alike with a probability equal to their similarity); classes that chose one token share a node. A node of over SPLIT
+classes is split once more by a second chosen token. Nodes of one class are dropped, nodes of LIMIT classes at most
+are compared by brute force, and larger ones in pairs of blocks of that size, so that nothing is capped.
 
 Two classes are compared in the first run in which they share a node, and only if they share at least NEED of the
 RUNS nodes (a sketch made of the keys themselves); the comparison itself is exact, on the whole sets. For a pair of
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.shared import connected, look_up, stored
 
-WORDS, SIMILARITY, RUNS, LIMIT, NEED = 5, 0.8, 16, 500, 4
+WORDS, SIMILARITY, RUNS, LIMIT, SPLIT, NEED = 5, 0.8, 16, 500, 5000, 4
 #: Words that a worker remembers the hash of; shingles hashed at once; pairs of a group compared one by one.
 REMEMBERED, CHUNK, FEW = 200_000, 4096, 8
 #: Power of two of the bits (8 MB) of the filter that picks the documents whose sets are read again.
@@ -102,7 +102,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
     return plain.mapInArrow(work, f"id {plain.schema['id'].dataType.simpleString()}, th long, set binary, k1 array<long>, k2 array<long>")
 
 
-def _nodes(classes: DataFrame, limit: int) -> DataFrame:
+def _nodes(classes: DataFrame, limit: int, split: int) -> DataFrame:
     """set, n_docs, unit, run, block, lo, hi, path: a row for each node (or pair of its blocks) that a class shares.
 
     path: the 16 nodes of the class, 0 where it is alone.
@@ -110,8 +110,8 @@ def _nodes(classes: DataFrame, limit: int) -> DataFrame:
     keys = classes.filter(F.size("k1") > 0).select("set", "n_docs", F.posexplode(F.arrays_zip("k1", "k2")).alias("run", "k")).select("set", "n_docs", "run", "k.k1", "k.k2")
     shared = stored(keys.groupBy("run", "k1").agg(F.count("*").alias("n")).filter("n > 1"), "paths-first")
     members = keys.join(shared, ["run", "k1"])
-    small = members.filter(F.col("n") <= limit).select("set", "n_docs", "run", F.xxhash64("run", "k1").alias("node"), "n")
-    large = members.filter(F.col("n") > limit).select("set", "n_docs", "run", F.xxhash64("run", "k1", "k2").alias("node"))
+    small = members.filter(F.col("n") <= split).select("set", "n_docs", "run", F.xxhash64("run", "k1").alias("node"), "n")
+    large = members.filter(F.col("n") > split).select("set", "n_docs", "run", F.xxhash64("run", "k1", "k2").alias("node"))
     again = large.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
     both = small.unionByName(large.join(again, "node"))
     grouped = both.groupBy("set", "n_docs").agg(F.collect_list(F.struct("run", "node", "n")).alias("at"))  # RUNS rows at most
@@ -287,7 +287,7 @@ def _tokens(words: int, bloom):
     return work
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, limit: int = LIMIT) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, limit: int = LIMIT, split: int = SPLIT) -> DataFrame:
     """id, th, set_id, class_id, n_links: a row for each document.
 
     set_id: smallest identifier among documents of the same shingle set; class_id: smallest in the connected group of
@@ -297,7 +297,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     one = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th"))
     classes = sketches.groupBy("set").agg(F.count("*").alias("n_docs"), one.alias("rep"), F.first("k1").alias("k1"), F.first("k2").alias("k2"))
     classes = stored(classes.select("set", "n_docs", F.col("rep.id").alias("set_id"), F.col("rep.th").alias("rep_th"), "k1", "k2"), "paths-classes")
-    likely = _nodes(classes, limit).repartition("unit").sortWithinPartitions("unit").mapInArrow(_with_partner, _FIELDS)
+    likely = _nodes(classes, limit, split).repartition("unit").sortWithinPartitions("unit").mapInArrow(_with_partner, _FIELDS)
     likely = stored(likely, "paths-likely")
     wanted = stored(classes.join(likely.select("set").distinct(), "set").select(F.col("rep_th").alias("th")), "paths-wanted")
     bloom = _bloom(wanted)

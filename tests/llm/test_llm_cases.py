@@ -89,8 +89,9 @@ def test_jaccard_with_hot_groups_and_split_nodes(spark):
     for i, j in pairs:
         links[i] += 1
         links[j] += 1
-    got = {r.id: (r.class_id, r.n_links) for r in jaccard_join.join(table(spark, texts), limit=20).collect()}
-    assert got == {k: (root[k], links[k]) for k in range(len(texts))}
+    for split in (5000, 40):  # blocks alone, and a second token before them
+        got = {r.id: (r.class_id, r.n_links) for r in jaccard_join.join(table(spark, texts), limit=20, split=split).collect()}
+        assert got == {k: (root[k], links[k]) for k in range(len(texts))}
 
 
 def test_components(spark):
@@ -253,3 +254,10 @@ def test_html_finds_the_slot_of_a_template_without_names(spark):
     pages = spark.createDataFrame([(i, f"http://one.com/{i}", body.format(f"story {i} " * 30), "") for i in range(8)], "page_id long, url string, html string, x string")
     got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
     assert all(got[i] == f"{('story %d ' % i) * 30}".strip() + "\n\nmore " + (f"story {i} " * 30).strip() for i in range(8))
+
+
+def test_html_leaves_out_what_is_named_or_hidden(spark):
+    parts = ["<div class='siteHeader'>brand</div>", "<div role='search'>find</div>", "<div id='adTop'>buy</div>", "<p hidden>gone</p>", "<div style='display: none'>gone</div>", "<div class='user-comments'><p>me too</p></div>", "<div class='newsletter-signup'>join</div>"]
+    body = "<body>" + "".join(parts) + "<article><header><h1>Title</h1></header><p data-x='a>b'>Kept &lt;tag&gt; text</p><div class='share-bar'>share</div></article>" + "".join(parts)
+    pages = spark.createDataFrame([(i, f"http://k.com/{i}", body) for i in range(3)], "page_id long, url string, html string")
+    assert {r.text for r in html_text.extract(pages).collect()} == {"Title\n\nKept <tag> text"}
