@@ -24,10 +24,11 @@ class Corpus:
     vectors: DataFrame  # chunk_id, embedding
     nodes: DataFrame
     edges: DataFrame
+    terms: str  # folder of the inverted index
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Corpus:
-        return Corpus(*(spark.read.parquet(f"{path}/{t}") for t in ("chunks", "vectors", "nodes", "edges")))
+        return Corpus(*(spark.read.parquet(f"{path}/{t}") for t in ("chunks", "vectors", "nodes", "edges")), f"{path}/terms")
 
 
 @dataclass(frozen=True)
@@ -69,12 +70,13 @@ def enriched(chunks: DataFrame) -> Column:
 
 
 def build_index(files: DataFrame, path: str, project: str = "project") -> Corpus:
-    """Write chunks, vectors, nodes and edges under `path`; each table is replaced as a whole."""
+    """Write chunks, inverted index, vectors, nodes and edges under `path`; each table is replaced as a whole."""
     spark = files.sparkSession
     chunked(files).withColumn("context", enriched(files)).write.mode("overwrite").parquet(f"{path}/chunks")
     chunks = spark.read.parquet(f"{path}/chunks").withColumn("row", F.xxhash64("chunk_id"))
     v = vectors.static_embedding(chunks, "row", "content").join(chunks.select(F.col("row").alias("id"), "chunk_id").distinct(), "id").select("chunk_id", "embedding")
     v.write.mode("overwrite").parquet(f"{path}/vectors")
+    bm25.build(chunks, "chunk_id", "content", f"{path}/terms")
     nodes, edges = code.file_graph(files, project)
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     edges.write.mode("overwrite").parquet(f"{path}/edges")
@@ -101,8 +103,12 @@ def search(corpus: Corpus, queries: DataFrame, options: Options = Options()) ->
     if o.profile:
         globs, classes = PROFILES[o.profile]
         chunks = chunks.filter(any_of(*[F.col("path").rlike(glob_regex(g)) for g in globs]) & F.col("meta.source_class").isin(*classes))
-    depth = max(50, 10 * o.limit) if (o.scopes or o.kinds or o.globs or o.profile) else 2 * o.limit
-    kw = bm25.search(chunks, queries, "chunk_id", "content", "query", "q", depth, o.mode)
+    filtered = bool(o.scopes or o.kinds or o.globs or o.profile)
+    depth = max(50, 10 * o.limit) if filtered else 2 * o.limit
+    scored = bm25.scores_built(queries.sparkSession, corpus.terms, queries, "query", "q")
+    if filtered:  # statistics are those of the whole index; what the filters leave is ranked
+        scored = scored.join(chunks.select(F.col("chunk_id").alias("id")), "id", "left_semi")
+    kw = bm25.best(scored, queries, depth, o.mode)
     if o.keyword_only:
         vs = kw.limit(0)
     else:

@@ -29,8 +29,17 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return q.groupBy("query", "n", "term").agg(F.count("*").alias("qtf"))
 
 
+def _weighted(tf: DataFrame, df: DataFrame, stats: DataFrame, q: DataFrame) -> DataFrame:
+    """(query, id, n, score, matched) from term counts, document frequencies and one row of corpus statistics."""
+    raw = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"))
+    weighted = tf.join(bounded(idf.join(q, "term"), q), "term")
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return weighted.groupBy("query", "id", "n").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
+
+
 def scores(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str) -> DataFrame:
-    """(query, id, score, matched, n): only terms that some query has leave the scan, so the shuffle carries hits alone."""
+    """Scores without an index: only terms that some query has leave the scan, so the shuffle carries hits alone."""
     q = query_terms(queries, query_id, query_text)
     wanted = bounded(q.select("term").distinct())
     d = docs.select(F.col(doc_id).alias("id"), terms_of(F.col(doc_text)).alias("t"))
@@ -38,17 +47,39 @@ def scores(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, quer
     hits = d.select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).join(wanted, "term")
     tf = hits.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    raw = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.when(raw > 0, raw).otherwise(LEAST_IDF).alias("idf"))
-    weighted = tf.join(bounded(idf.join(q, "term"), q), "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return weighted.groupBy("query", "id", "n").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
+    return _weighted(tf, df, stats, q)
 
 
-def search(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, k: int, mode: str = "and_then_or") -> DataFrame:
+def build(docs: DataFrame, doc_id: str, doc_text: str, path: str, buckets: int = 64) -> None:
+    """Write an inverted index: postings and document frequencies in buckets of terms, so a query reads its buckets only."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    p = postings(docs, doc_id, doc_text).withColumn("bucket", bucket)
+    p.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    spark = docs.sparkSession
+    written = spark.read.parquet(f"{path}/postings")
+    written.groupBy("bucket", "term").agg(F.count("*").alias("df")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    lengths = docs.select(F.size(terms_of(F.col(doc_text))).alias("dl"))
+    lengths.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def scores_built(spark, path: str, queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
+    """Scores from a written index. The broadcast join on bucket and term prunes partitions while the query runs."""
+    stats = spark.read.parquet(f"{path}/stats")
+    buckets = stats.first()["buckets"]
+    q = query_terms(queries, query_id, query_text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    wanted = bounded(q.select("bucket", "term").distinct())
+    tf = spark.read.parquet(f"{path}/postings").join(wanted, ["bucket", "term"]).select("id", "term", "dl", "tf")
+    df = spark.read.parquet(f"{path}/terms").join(wanted, ["bucket", "term"]).select("term", "df")
+    return _weighted(tf, df, stats.select("docs", "avgdl"), q.drop("bucket"))
+
+
+def best(scored: DataFrame, queries: DataFrame, k: int, mode: str = "and_then_or") -> DataFrame:
     """(query, id, score, rank): documents with all terms of a query, or, where there is none, with any."""
-    s = scores(docs, queries, doc_id, doc_text, query_id, query_text)
     if mode == "and_then_or":
-        whole = s.groupBy("query").agg(F.max(F.col("matched") == F.col("n")).alias("all_found"))
-        s = s.join(bounded(whole, queries), "query").filter((F.col("matched") == F.col("n")) | ~F.col("all_found"))
-    return top(s, k, ["query"], F.col("score").desc(), F.col("id")).select("query", "id", "score", "rank")
+        whole = scored.groupBy("query").agg(F.max(F.col("matched") == F.col("n")).alias("all_found"))
+        scored = scored.join(bounded(whole, queries), "query").filter((F.col("matched") == F.col("n")) | ~F.col("all_found"))
+    return top(scored, k, ["query"], F.col("score").desc(), F.col("id")).select("query", "id", "score", "rank")
+
+
+def search(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, k: int, mode: str = "and_then_or") -> DataFrame:
+    return best(scores(docs, queries, doc_id, doc_text, query_id, query_text), queries, k, mode)

@@ -42,12 +42,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
     return ranked.select("query", "id", "distance", F.round(score_of(F.col("distance"), metric), 7 if metric == "cosine" else 6).alias("score"), "rank")
 
 
-def nearest_by_lists(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 32, probes: int = 20, sample: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """As nearest (cosine), approximately: centres are fitted on `sample` rows; every row is in one list, every query reads `probes` lists."""
+def centres_of(vectors: DataFrame, lists: int, sample: int, vec_col: str, id_col: str) -> np.ndarray:
+    """Unit centres fitted on at most `sample` rows, chosen by a hash of the id; the sample bounds what reaches the driver."""
     some = vectors.orderBy(F.xxhash64(id_col)).limit(sample).select(vec_col).toPandas()[vec_col]
     x = np.array(some.tolist(), dtype=np.float64)
     if not len(x):
-        return nearest(vectors, queries, k, "cosine", id_col, vec_col)
+        return np.zeros((0, 0))
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     centres = x[:: max(1, len(x) // lists)][:lists].copy()
     for _ in range(8):
@@ -56,19 +56,47 @@ def nearest_by_lists(vectors: DataFrame, queries: DataFrame, k: int, lists: int
             if (own == c).any():
                 m = x[own == c].mean(0)
                 centres[c] = m / max(np.linalg.norm(m), 1e-12)
+    return centres
+
+
+def in_lists(vectors: DataFrame, centres: np.ndarray, n: int, id_col: str, vec_col: str) -> DataFrame:
+    """(id, v, list): each vector in its n nearest lists."""
+    plain = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
 
-    def near(n: int):
-        def work(batches):
-            for b in batches:
-                v = np.array(b[vec_col].tolist(), dtype=np.float64)
-                b["list"] = np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :n].tolist() if len(b) else []
+    def work(batches):
+        for b in batches:
+            if len(b):
+                v = np.array(b["v"].tolist(), dtype=np.float64)
+                b["list"] = np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :n].tolist()
                 yield b
 
-        return work
+    return plain.mapInPandas(work, f"id {plain.schema['id'].dataType.simpleString()}, v array<double>, list array<int>").withColumn("list", F.explode("list"))
+
+
+def build_lists(vectors: DataFrame, path: str, lists: int = 32, sample: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
+    """Write every vector under its nearest centre, one folder a list, and the centres."""
+    centres = centres_of(vectors, lists, sample, vec_col, id_col)
+    in_lists(vectors, centres, 1, id_col, vec_col).write.mode("overwrite").partitionBy("list").parquet(f"{path}/lists")
+    vectors.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
 
-    placed = lambda df, n: df.select(id_col, vec_col).mapInPandas(near(n), f"{id_col} long, {vec_col} array<double>, list array<int>").withColumn("list", F.explode("list"))
-    v = placed(vectors, 1).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), "list")
-    q = bounded(placed(queries, min(probes, len(centres))).select(F.col(id_col).alias("query"), F.col(vec_col).alias("qv"), "list"))
+
+def nearest_built(spark, path: str, queries: DataFrame, k: int, probes: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query, id, distance, score, rank) from written lists: each query reads `probes` of them, the others are pruned."""
+    rows = spark.read.parquet(f"{path}/centres").orderBy("list").collect()  # one row a list
+    centres = np.array([r.centre for r in rows])
+    q = bounded(in_lists(queries, centres, min(probes, len(centres)), id_col, vec_col).select(F.col("id").alias("query"), F.col("v").alias("qv"), "list"), queries)
+    scored = spark.read.parquet(f"{path}/lists").join(q, "list").select("query", "id", F.round(distance(F.col("v"), F.col("qv"), "cosine"), 6).alias("distance"))
+    ranked = top(scored, k, ["query"], F.col("distance"), F.col("id"))
+    return ranked.select("query", "id", "distance", F.round(score_of(F.col("distance"), "cosine"), 7).alias("score"), "rank")
+
+
+def nearest_by_lists(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 32, probes: int = 20, sample: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """As nearest (cosine), approximately and without a written index: every row is in one list, every query reads `probes` lists."""
+    centres = centres_of(vectors, lists, sample, vec_col, id_col)
+    if not len(centres):
+        return nearest(vectors, queries, k, "cosine", id_col, vec_col)
+    v = in_lists(vectors, centres, 1, id_col, vec_col)
+    q = bounded(in_lists(queries, centres, min(probes, len(centres)), id_col, vec_col).select(F.col("id").alias("query"), F.col("v").alias("qv"), "list"), queries)
     scored = v.join(q, "list").select("query", "id", F.round(distance(F.col("v"), F.col("qv"), "cosine"), 6).alias("distance"))
     ranked = top(scored, k, ["query"], F.col("distance"), F.col("id"))
     return ranked.select("query", "id", "distance", F.round(score_of(F.col("distance"), "cosine"), 7).alias("score"), "rank")

@@ -10,7 +10,7 @@ from gleaner.functions.text import query_class
 from gleaner.operators import bm25, metadata, ranking, vectors
 from gleaner.plans.texts import SQL_PATH, SQL_QUERIES, SQL_TERMS, path_of, queries_of
 from gleaner.registry import query
-from gleaner.session import table
+from gleaner.session import scratch, table
 
 DEPTH = 20
 
@@ -64,6 +64,15 @@ def bm25_and_or_topk(spark, sf_dir):
     return keyword(spark, sf_dir)
 
 
+@query(f"WITH {SQL_BM25} SELECT query, id, score, rank FROM kw")
+def bm25_from_index(spark, sf_dir):
+    """The same search from a written inverted index, of which only the queries' buckets are read."""
+    path = scratch(spark, "bm25")
+    bm25.build(table(spark, sf_dir, "documents"), "doc_id", "text", path, 16)
+    q = queries_of(spark, sf_dir)
+    return bm25.best(bm25.scores_built(spark, path, q, "item_id", "q"), q, DEPTH)
+
+
 @query(f"WITH {SQL_BM25} SELECT query, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 10")
 def bm25_or_topk(spark, sf_dir):
     return keyword(spark, sf_dir, 10, "or")
@@ -87,6 +96,14 @@ def knn_by_lists(spark, sf_dir):
     return vectors.nearest_by_lists(e, e.filter(F.col("vec_id") % 20 == 0), 10)
 
 
+@query()
+def knn_from_lists(spark, sf_dir):
+    """The same from lists that were written once, one folder each."""
+    e, path = table(spark, sf_dir, "embeddings"), scratch(spark, "lists")
+    vectors.build_lists(e, path)
+    return vectors.nearest_built(spark, path, e.filter(F.col("vec_id") % 20 == 0), 10)
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, len(embedding)::BIGINT AS dims FROM embeddings")
 def vector_norms(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")

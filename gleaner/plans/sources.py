@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from gleaner.operators import chunking, secrets
 from gleaner.plans.texts import path_of
 from gleaner.registry import query
-from gleaner.session import table
+from gleaner.session import scratch, table
 from gleaner.streaming import events as streams
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder in the shared checkpoint folder; one of our own only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/gleaner-checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def files(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(path_of().alias("path"), F.col("text").alias("content"))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +32,9 @@ def build_session(app: str = "gleaner", cpus: int | None = None, **conf: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables; Catalyst prunes columns and pushes filters from here."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder of spark.checkpoint.dir; one of our own only where none is set."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/gleaner-checkpoints"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

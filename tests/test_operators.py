@@ -115,6 +115,13 @@ def test_list_search_recalls_exact_neighbours(spark, small):
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_written_lists_give_the_same(spark, small, tmp_path):
+    v = spark.read.parquet(f"{small}/embeddings.parquet")
+    q = v.filter(F.col("vec_id") % 20 == 0)
+    vectors.build_lists(v, f"file://{tmp_path}/lists")
+    assert sorted(vectors.nearest_built(spark, f"file://{tmp_path}/lists", q, 10).collect()) == sorted(vectors.nearest_by_lists(v, q, 10).collect())
+
+
 def test_static_embedding_is_normalised(spark):
     d = spark.createDataFrame([(1, "getUser by id"), (2, ""), (3, None)], "id long, t string")
     got = {r.id: r.embedding for r in vectors.static_embedding(d, "id", "t").collect()}
