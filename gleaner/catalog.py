@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from gleaner.plans import files, graphs, operations, search, sources, texts  # noqa: F401
+from gleaner.plans import files, graphs, memory, operations, search, sources, texts  # noqa: F401
 from gleaner.registry import ORACLES, QUERIES  # noqa: F401
