@@ -25,10 +25,11 @@ class Corpus:
     nodes: DataFrame
     edges: DataFrame
     terms: str  # folder of the inverted index
+    lists: str  # folder of the vector lists
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Corpus:
-        return Corpus(*(spark.read.parquet(f"{path}/{t}") for t in ("chunks", "vectors", "nodes", "edges")), f"{path}/terms")
+        return Corpus(*(spark.read.parquet(f"{path}/{t}") for t in ("chunks", "vectors", "nodes", "edges")), f"{path}/terms", f"{path}/lists")
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,7 @@ class Options:
     globs: tuple[str, ...] = ()
     profile: str | None = None
     keyword_only: bool = False
+    approximate: bool = False  # vector search reads the nearest lists only (without filters)
     reranker: Callable[[Column, Column], Column] | None = None
     extra: dict = field(default_factory=dict)
 
@@ -77,6 +79,7 @@ def build_index(files: DataFrame, path: str, project: str = "project") -> Corpus
     v = vectors.static_embedding(chunks, "row", "content").join(chunks.select(F.col("row").alias("id"), "chunk_id").distinct(), "id").select("chunk_id", "embedding")
     v.write.mode("overwrite").parquet(f"{path}/vectors")
     bm25.build(chunks, "chunk_id", "content", f"{path}/terms")
+    vectors.build_lists(spark.read.parquet(f"{path}/vectors"), f"{path}/lists", id_col="chunk_id")
     nodes, edges = code.file_graph(files, project)
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     edges.write.mode("overwrite").parquet(f"{path}/edges")
@@ -114,8 +117,11 @@ def search(corpus: Corpus, queries: DataFrame, options: Options = Options()) ->
     else:
         q = queries.select(F.xxhash64(F.col("query").cast("string")).alias("row"), "query", "q")
         qv = vectors.static_embedding(q, "row", "q").join(q.select(F.col("row").alias("id"), "query"), "id").select(F.col("query").alias("chunk_id"), "embedding")
-        own = corpus.vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-        vs = vectors.nearest(own, qv, depth, "cosine", "chunk_id", "embedding").filter("score > 0.5")
+        if o.approximate and not filtered:
+            vs = vectors.nearest_built(queries.sparkSession, corpus.lists, qv, depth, id_col="chunk_id").filter("score > 0.5")
+        else:
+            own = corpus.vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi") if filtered else corpus.vectors
+            vs = vectors.nearest(own, qv, depth, "cosine", "chunk_id", "embedding").filter("score > 0.5")
     merged = _fused(kw, vs, queries, o)
     shown = merged.join(chunks.select(F.col("chunk_id").alias("id"), "path", "title", "start_line", "end_line", "content", metadata.priority(F.col("meta")).alias("priority")), "id").join(bounded(queries.select("query", "q")), "query")
     symbol = F.regexp_replace("title", r"_part\d+$", "")

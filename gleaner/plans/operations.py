@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.joins import top
 from gleaner.functions.text import glob_regex, tokens
+from gleaner.operators import quantiles
 from gleaner.plans.search import SQL_FUSED, fused, keyword
 from gleaner.plans.texts import SQL_PATH, SQL_TOKENS, path_of
 from gleaner.registry import query
@@ -63,8 +64,7 @@ def exact_repeat_rate(spark, sf_dir):
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, max(CASE WHEN i = ceil(n * 0.5) THEN value END) AS p50, max(CASE WHEN i = ceil(n * 0.95) THEN value END) AS p95 FROM r GROUP BY 1""")
 def nearest_rank_percentiles(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("event_type")
-    return e.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
+    return quantiles.nearest_rank(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) // 1000000 AS start, event_type, count(*) AS n, round(max(value), 6) AS slowest FROM events GROUP BY 1, 2")

@@ -45,6 +45,13 @@ def test_filters_confine_results(spark, corpus):
         engine.search(corpus, q, engine.Options(profile="none such"))
 
 
+def test_approximate_search_agrees_mostly(spark, corpus):
+    q = ask(spark, "package fmt import", "server port name limit", "class pass return")
+    exact = {(r.query, r.chunk_id) for r in engine.search(corpus, q).collect()}
+    near = {(r.query, r.chunk_id) for r in engine.search(corpus, q, engine.Options(approximate=True)).collect()}
+    assert len(exact & near) / len(exact) >= 0.8
+
+
 def test_reranker_replaces_the_order(spark, corpus):
     o = engine.Options(limit=5, reranker=lambda q, c: F.length(c).cast("double"))
     got = engine.search(corpus, ask(spark, "package fmt"), o).orderBy("rank").collect()

@@ -126,3 +126,15 @@ def test_static_embedding_is_normalised(spark):
     d = spark.createDataFrame([(1, "getUser by id"), (2, ""), (3, None)], "id long, t string")
     got = {r.id: r.embedding for r in vectors.static_embedding(d, "id", "t").collect()}
     assert math.isclose(sum(x * x for x in got[1]), 1.0, abs_tol=1e-5) and not any(got[2]) and not any(got[3]) and len(got[1]) == 256
+
+
+def test_nearest_rank_of_ties_and_small_groups(spark):
+    import random
+
+    from gleaner.operators import quantiles
+
+    rng = random.Random(3)
+    rows = [("a", float(rng.randrange(50))) for _ in range(999)] + [("b", 7.0), ("c", None), ("d", 1.0), ("d", 2.0)]
+    got = {r.g: (r.p50, r.p95) for r in quantiles.nearest_rank(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"p50": 0.5, "p95": 0.95}, accuracy=20).collect()}
+    at = lambda g, s: sorted(v for k, v in rows if k == g)[math.ceil(sum(k == g for k, _ in rows) * s) - 1]
+    assert got == {g: (at(g, 0.5), at(g, 0.95)) for g in "abd"}
