@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import bounded, look_up, new_path, sift, stored
+from gleaner.llm.shared import bounded, look_up, new_path, parted, sift, stored
 
 #: Entries of a memtable (about 30 MB); rows of a group that one task compares.
 MEMTABLE, SALT = 200_000, 256
@@ -121,18 +121,21 @@ def report(decided: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def keep_one(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with their columns."""
-    dropped = decided.filter(~F.col("kept")).select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), F.col("n_chars").alias("__chars"), F.lit(1).alias("__n"))
-    twins = decided.filter("kept").join(dropped, F.col("id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha")) & (F.col("n_chars") == F.col("__chars")), "left_semi").count()
-    marked = docs.withColumns({"__c": F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), "__s": F.unhex(F.sha2(normalised(F.col(text_col)), 256))})
-    if twins:  # rows equal in id and text: number them, and keep the first
-        number = F.row_number().over(Window.partitionBy(id_col, "__s", "__c").orderBy(F.lit(1)))
-        marked = marked.withColumn("__k", number)
-        kept = decided.filter("kept").select(F.col("id").alias("__id"), F.col("sha").alias("__sha"), F.col("n_chars").alias("__chars"))
-        same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__sha")) & (F.col("__c") == F.col("__chars")) & (F.col("__k") == 1)
-        return marked.join(kept, same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of `docs` that stay, with their columns. Only rows whose identifier may be that of a dropped one are hashed and shuffled."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    names = [F.col("id").alias("__id"), F.col("sha").alias("__sha"), F.col("n_chars").alias("__chars")]
+    dropped, kept = decided.filter(~F.col("kept")).select(*names), decided.filter("kept").select(*names)
+    both = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("__id", "__sha", "__chars")]
+    twins = kept.alias("a").join(dropped.alias("b"), both, "left_semi").limit(1).count()
+    maybe, rest = parted(docs.withColumn("__key", F.xxhash64(id_col)), dropped.select(F.xxhash64("__id").alias("__key")), "__key")
+    maybe = maybe.withColumns({"__c": F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), "__s": F.coalesce(F.unhex(F.sha2(normalised(F.col(text_col)), 256)), F.lit(b""))})
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__sha")) & (F.col("__c") == F.col("__chars"))
-    return marked.join(dropped, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if twins:  # rows equal in id and text: number them, and keep the first
+        maybe = maybe.withColumn("__k", F.row_number().over(Window.partitionBy(id_col, "__s", "__c").orderBy(F.lit(1)))).filter("__k = 1")
+        stays = maybe.join(kept, same, "left_semi")
+    else:
+        stays = maybe.join(dropped, same, "left_anti")
+    return stays.select(*own).unionByName(rest.select(*own))
 
 
 ORACLE = r"""

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import connected, look_up, stored
+from gleaner.llm.shared import connected, look_up, parted, stored
 
 WORDS, SIMILARITY, RUNS, LIMIT, SPLIT, NEED = 5, 0.8, 16, 500, 5000, 4
 #: Words that a worker remembers the hash of; shingles hashed at once; pairs of a group compared one by one.
@@ -330,4 +330,5 @@ def keep_one(docs: DataFrame, joined: DataFrame, id_col: str = "doc_id", text_co
         twin = F.row_number().over(Window.partitionBy(id_col, "__th").orderBy(F.lit(1)))
         return marked.withColumn("__k", twin).filter("__k = 1").join(kept, same, "left_semi").select(*own)
     dropped = joined.filter(~stays).select(F.col("id").alias("__id"), F.col("th").alias("__t"))
-    return marked.join(dropped, same, "left_anti").select(*own)
+    maybe, rest = parted(marked.withColumn("__key", F.xxhash64(id_col)), dropped.select(F.xxhash64("__id").alias("__key")), "__key")
+    return maybe.join(dropped, same, "left_anti").select(*own).unionByName(rest.select(*own))

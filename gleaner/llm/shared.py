@@ -105,13 +105,20 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", F.col("b").alias("root")).distinct())
 
 
-def sift(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """The rows of `df` whose `on` may be among the keys: a one-probe bitmap of fixed size (8 million bits in at most
-    2^17 broadcast words) drops most others before a shuffle; the exact join comes after. A crowded bitmap lets all pass.
+def parted(df: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose `on` may be among the keys, rows whose `on` is not): by a one-probe bitmap of fixed size, 8 million bits
+    in at most 2^17 broadcast words. Only the first part then needs an exact join; a crowded bitmap puts all rows in it.
     """
     h = F.xxhash64(on)
     # not pmod, which may be null: the optimizer would test that by computing the key a second time
     word, bit = h.bitwiseAND(F.lit((1 << 17) - 1)), F.shiftright(h, 17).bitwiseAND(F.lit(63)).cast("int")
     words = keys.select(word.alias("__word"), F.call_function("shiftleft", F.expr("1L"), bit).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
-    marked = df.withColumn("__word", word).join(F.broadcast(words), "__word")
-    return marked.filter(F.call_function("shiftrightunsigned", F.col("__bits"), bit).bitwiseAND(F.expr("1L")) == 1).select(*df.columns)
+    marked = df.withColumn("__word", word).join(F.broadcast(words), "__word", "left")
+    hit = F.call_function("shiftrightunsigned", F.coalesce("__bits", F.lit(0).cast("long")), bit).bitwiseAND(F.expr("1L")) == 1
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return marked.filter(hit).select(*own), marked.filter(~hit).select(*own)
+
+
+def sift(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows of `df` whose `on` may be among the keys; most others are dropped before the exact join shuffles."""
+    return parted(df, keys, on)[0]
