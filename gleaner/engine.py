@@ -111,7 +111,7 @@ def search(corpus: Corpus, queries: DataFrame, options: Options = Options()) ->
     scored = bm25.scores_built(queries.sparkSession, corpus.terms, queries, "query", "q")
     if filtered:  # statistics are those of the whole index; what the filters leave is ranked
         scored = scored.join(chunks.select(F.col("chunk_id").alias("id")), "id", "left_semi")
-    kw = bm25.best(scored, queries, depth, o.mode)
+    kw = bm25.best(scored, depth, o.mode)
     if o.keyword_only:
         vs = kw.limit(0)
     else:

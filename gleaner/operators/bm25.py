@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.joins import bounded, top
@@ -73,13 +73,19 @@ def scores_built(spark, path: str, queries: DataFrame, query_id: str, query_text
     return _weighted(tf, df, stats.select("docs", "avgdl"), q.drop("bucket"))
 
 
-def best(scored: DataFrame, queries: DataFrame, k: int, mode: str = "and_then_or") -> DataFrame:
-    """(query, id, score, rank): documents with all terms of a query, or, where there is none, with any."""
+def best(scored: DataFrame, k: int, mode: str = "and_then_or") -> DataFrame:
+    """(query, id, score, rank): documents with all terms of a query, or, where there is none, with any.
+
+    Both kinds are cut to k rows a query first, so the choice between them is made over 2 k rows and scores are computed once.
+    """
+    order = (F.col("score").desc(), F.col("id"))
     if mode == "and_then_or":
-        whole = scored.groupBy("query").agg(F.max(F.col("matched") == F.col("n")).alias("all_found"))
-        scored = scored.join(bounded(whole, queries), "query").filter((F.col("matched") == F.col("n")) | ~F.col("all_found"))
-    return top(scored, k, ["query"], F.col("score").desc(), F.col("id")).select("query", "id", "score", "rank")
+        ranked = top(scored.withColumn("full", F.col("matched") == F.col("n")), k, ["query", "full"], *order)
+        ranked = ranked.withColumn("any", F.max("full").over(Window.partitionBy("query"))).filter(F.col("full") | ~F.col("any"))
+    else:
+        ranked = top(scored, k, ["query"], *order)
+    return ranked.select("query", "id", "score", "rank")
 
 
 def search(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, k: int, mode: str = "and_then_or") -> DataFrame:
-    return best(scores(docs, queries, doc_id, doc_text, query_id, query_text), queries, k, mode)
+    return best(scores(docs, queries, doc_id, doc_text, query_id, query_text), k, mode)

@@ -70,7 +70,7 @@ def bm25_from_index(spark, sf_dir):
     path = scratch(spark, "bm25")
     bm25.build(table(spark, sf_dir, "documents"), "doc_id", "text", path, 16)
     q = queries_of(spark, sf_dir)
-    return bm25.best(bm25.scores_built(spark, path, q, "item_id", "q"), q, DEPTH)
+    return bm25.best(bm25.scores_built(spark, path, q, "item_id", "q"), DEPTH)
 
 
 @query(f"WITH {SQL_BM25} SELECT query, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 10")
