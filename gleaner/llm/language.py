@@ -164,4 +164,5 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
 
 
 def held_out(doc_id: Column, mod: int, remainder: int) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(mod)) == remainder
+    """Whether a row is kept from training, by the CRC of its id; a row without an id isn't."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(mod)) == remainder, F.lit(False))

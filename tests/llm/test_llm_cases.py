@@ -261,3 +261,27 @@ def test_html_leaves_out_what_is_named_or_hidden(spark):
     body = "<body>" + "".join(parts) + "<article><header><h1>Title</h1></header><p data-x='a>b'>Kept &lt;tag&gt; text</p><div class='share-bar'>share</div></article>" + "".join(parts)
     pages = spark.createDataFrame([(i, f"http://k.com/{i}", body) for i in range(3)], "page_id long, url string, html string")
     assert {r.text for r in html_text.extract(pages).collect()} == {"Title\n\nKept <tag> text"}
+
+
+def test_null_ids(spark):
+    docs = table(spark, ["a b c d e f", "a b c d e f", "g h i", None], [None, 7, 3, 5])
+    assert {(r.id, r.class_id, r.n_links) for r in jaccard_join.join(docs).collect()} == {(None, 7, 1), (7, 7, 1), (3, 3, 0), (5, 5, 0)}
+    assert {r.doc_id for r in jaccard_join.keep_one(docs, jaccard_join.join(docs)).collect()} == {7, 3, 5}
+    follow = {r.doc_id: r.next_doc_id for r in fingerprints.with_next(docs.select("doc_id", "text"), "doc_id", "text", ("doc_id",), range_rows=1).collect()}
+    assert follow == {7: 5, 5: 3, 3: None, None: 7}
+    assert sorted(r["size"] for r in mixing.decide(docs).collect()) == [0, 3, 6, 6]
+    assert docs.select(language.held_out(F.col("doc_id"), 3, 1).alias("h")).filter("h IS NULL").count() == 0
+    import public_tokenizers as P
+
+    assert bpe.encode_decode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 4
+    assert licenses.scan(docs).count() == 4 and quality.score(docs, (0.0, [])).count() == 4
+
+
+def test_hot_source_and_one_document(spark):
+    """A third of all rows in one source, and a table of one row."""
+    docs = table(spark, [f"w{i} " * (i % 5 + 1) for i in range(300)]).withColumn("source", F.when(F.col("doc_id") < 100, "hot").otherwise(F.concat(F.lit("s"), F.col("doc_id").cast("string"))))
+    made = mixing.decide(docs, block=8).collect()
+    hot = [r for r in made if r.source == "hot"]
+    assert len(made) == 300 and abs(sum(r["size"] * r.copies for r in hot) - hot[0].target) <= 5
+    one = mixing.decide(table(spark, ["a b c"])).collect()
+    assert len(one) == 1 and one[0].target == 4.5 and one[0].copies in (1, 2)
