@@ -70,7 +70,7 @@ def matched_terms(spark, sf_dir):
     return hit.select("item_id", "doc_id", F.array_join(F.transform("m", lambda x: x["term"]), " ").alias("matched"))
 
 
-_QSET = """SELECT * FROM (VALUES (1, 'getUserById'), (2, 'how does retry work'), (3, '"exact phrase"'), (4, 'internal/store/bm25.go'), (5, 'ERR_TIMEOUT'), (6, 'search engine'),
+_QSET = """SELECT * FROM (VALUES (1, 'getUserById'), (2, 'how does retry work'), (3, '"exact phrase"'), (4, 'internal/shop/cart.go'), (5, 'ERR_TIMEOUT'), (6, 'search engine'),
  (7, 'E10234'), (8, 'vector index compaction policy'), (9, 'HTTP_SERVER'), (10, 'snake_case_name'), (11, 'ADR-12 storage choice'), (12, 'ParserException'), (13, ''), (14, 'Engine'), (15, 'config error')) AS q(id, q)"""
 
 
