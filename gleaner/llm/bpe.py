@@ -211,6 +211,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str
                     part = [batch.column(batch.schema.get_field_index(x)).slice(start, k + 1 - start) for x in names]
                     yield pa.RecordBatch.from_arrays([*part, lists, pa.array(raw, pa.binary())], [*names, "token_ids", "decoded"])
                     start, ids, raw, held = k + 1, [], [], 0
+        codec.memory, codec.older = {}, {}  # an idle worker gives the memory back
 
     return plain.mapInArrow(work, schema)
 

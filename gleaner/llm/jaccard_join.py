@@ -98,6 +98,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
             ends = pa.array(np.cumsum([0, *map(len, firsts)], dtype=np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (firsts, seconds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), *lists], ["id", "th", "set", "k1", "k2"])
+        _words.clear()  # an idle worker gives the memory back
 
     return plain.mapInArrow(work, f"id {plain.schema['id'].dataType.simpleString()}, th long, set binary, k1 array<long>, k2 array<long>")
 
@@ -283,6 +284,7 @@ def _tokens(words: int, bloom):
                 ok &= (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 > 0
             made = [shingles(batch.column(0)[int(i)].as_py(), words).tobytes() for i in np.flatnonzero(ok)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in made], pa.binary()), pa.array(made, pa.binary())], ["set", "tokens"])
+        _words.clear()
 
     return work
 
