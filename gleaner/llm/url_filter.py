@@ -21,8 +21,8 @@ from gleaner.llm.shared import bounded
 WORDS = 8
 #: Bits of filter for each key: about 0.3 % false positives.
 BITS_PER_KEY = 16
-#: The largest filter that is sent along with the plan; a longer list skips the filter and is only joined.
-MAX_FILTER_BYTES = 64 << 20
+#: Keys up to which the filter is a literal of the plan; beyond, its blocks are a broadcast table, of so many at most (8 MB).
+LITERAL_KEYS, MAX_BLOCKS = 2_000, 1 << 17
 #: (host, path, verdict)
 RULES = (
     ("com", "/en/", "block"),
@@ -78,11 +78,28 @@ class BlockedBloom:
         return hit
 
 
-def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+def block_table(listed: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """The filter as a table: one row a block with its eight words, set by aggregates alone; and the number of blocks."""
+    blocks = min(MAX_BLOCKS, max(1, -(-n * BITS_PER_KEY // (64 * WORDS))))
+    keyed = listed.select(F.pmod(F.xxhash64("k"), F.lit(blocks)).alias("block"), F.xxhash64("k", F.lit(1)).alias("b"))
+    words = [F.bit_or(F.call_function("shiftleft", F.expr("1L"), _bits(F.col("b"), w))).alias(f"w{w}") for w in range(WORDS)]
+    return keyed.groupBy("block").agg(*words), blocks
+
+
+def in_table(keys: DataFrame, table: DataFrame, blocks: int) -> DataFrame:
+    """The keys (column k) that pass the filter."""
+    marked = keys.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks))).join(F.broadcast(table), "block")
+    for w in range(WORDS):
+        bit = _bits(F.xxhash64("k", F.lit(1)), w)
+        marked = marked.filter(F.call_function("shiftrightunsigned", F.col(f"w{w}"), bit).bitwiseAND(F.expr("1L")) == 1)
+    return marked.select(*keys.columns)
+
+
+def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep: tuple[str, ...] = ("page_id",), literal: int = LITERAL_KEYS) -> DataFrame:
     """`keep`, host, path, rule (host and path of the deciding rule, or null) and verdict, a row for each row.
 
-    A large list is read in three bounded ways: distinct path lengths (at most the longest URL), filter words
-    (MAX_FILTER_BYTES at most) and, for the join, rows that are broadcast only below a counted bound.
+    Of the list only its distinct path lengths and, up to `literal` keys, hashes reach the driver; the filter is bounded
+    (MAX_BLOCKS), and the list itself is broadcast only below a counted bound.
     """
     listed = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     key = lambda h, p: F.concat_ws("\x00", h, p)
@@ -97,12 +114,13 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep: tuple[
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
     offered = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: key(h, p))))
-    if n * BITS_PER_KEY // 8 <= MAX_FILTER_BYTES:
+    if n <= literal:
         hashes = listed.select(F.xxhash64("k"), F.xxhash64("k", F.lit(1))).collect()
         bloom = BlockedBloom(np.array(hashes, dtype=np.int64))
         offered = F.filter(offered, lambda k: bloom.hit(F.xxhash64(k), F.xxhash64(k, F.lit(1))))
     base = base.withColumn("__keys", offered)
-    hits = base.filter(F.size("__keys") > 0).select("__url", F.explode("__keys").alias("k")).distinct()
+    hits = base.filter(F.size("__keys") > 0).select("__url", F.explode("__keys").alias("k"))
+    hits = (hits if n <= literal else in_table(hits, *block_table(listed, n))).distinct()
     best = F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "host_len"))
     decided = hits.join(bounded(listed, n), "k").groupBy("__url").agg(best.alias("__best"))
     return base.join(decided, "__url", "left").select(

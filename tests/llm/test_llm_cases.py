@@ -174,7 +174,12 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.limit(0), url_filter.rules_frame(spark)).count() == 0
     many = spark.createDataFrame([(f"h{i}.com", f"/p{i}", "block") for i in range(500)], "host string, path string, verdict string")
     hits = spark.createDataFrame([(i, f"http://w.h{i}.com/p{i}/x") for i in range(0, 1000, 9)], "page_id long, url string")
-    assert {r.page_id: r.verdict == "block" for r in url_filter.judge(hits, many).collect()} == {i: i < 500 for i in range(0, 1000, 9)}
+    for literal in (2000, 100):  # the filter in the plan, and as a table
+        assert {r.page_id: r.verdict == "block" for r in url_filter.judge(hits, many, literal=literal).collect()} == {i: i < 500 for i in range(0, 1000, 9)}
+    listed = many.select(F.concat_ws("\0", "host", "path").alias("k"))
+    table_, blocks = url_filter.block_table(listed, 500)
+    assert url_filter.in_table(listed, table_, blocks).count() == 500
+    assert url_filter.in_table(spark.range(10_000).select(F.concat(F.lit("no"), F.col("id").cast("string")).alias("k")), table_, blocks).count() < 200
 
 
 def test_language(odd, empty, spark):
