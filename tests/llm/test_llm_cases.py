@@ -290,3 +290,40 @@ def test_hot_source_and_one_document(spark):
     assert len(made) == 300 and abs(sum(r["size"] * r.copies for r in hot) - hot[0].target) <= 5
     one = mixing.decide(table(spark, ["a b c"])).collect()
     assert len(one) == 1 and one[0].target == 4.5 and one[0].copies in (1, 2)
+
+
+def test_any_text_is_encoded_like_the_library():
+    import public_tokenizers as P
+    import tiktoken
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    entries, mph, pairs = bpe.vocabulary_of(P.path("byte_bpe_50k.tiktoken"))
+    codec = bpe.Codec(entries, P.PATTERN, mph, pairs)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=dict(entries), special_tokens={})
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("ab 'the\n\t.,!  0é")), max_size=200))
+    def same(text):
+        ids = codec.encode(text)
+        assert ids.tolist() == library.encode_ordinary(text) and codec.decode(ids).decode() == text
+
+    same()
+
+
+def test_any_markup_is_survived():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    bits = st.sampled_from(["<div class='c'>", "<p>", "</p>", "</div>", "<article>", "</article>", "<ul><li>", "</ul>", "<script>", "</script>", "<!--", "-->", "<a href='x'>", "</a>", "<br>", "<", ">", "&amp;", "&#x;", "text ", "<td>", "<nav>", "</nav>", "<p title=\"", "'", '"'])
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(bits, max_size=40).map("".join))
+    def survives(page):
+        seen = list(html_text.events(page))
+        assert sum(k == "open" for k, *_ in seen) == sum(k == "close" for k, *_ in seen)
+        html_text.occurrences(page)
+        text = html_text.main_text(page, frozenset(["article"]), frozenset())
+        assert all(b and b == " ".join(b.split()) for b in text.split("\n\n")) or text == ""
+
+    survives()
