@@ -283,29 +283,28 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", keep
     """`keep` and text for each row. Templates are broadcast up to a counted bound; beyond it they are joined by host
     and one of `salt` numbers, so that a hot host's pages are dealt over as many tasks."""
     base = pages.select(*keep, host_of(F.coalesce(F.col(url_col), F.lit(""))).alias("__host"), F.col(html_col).alias("__html"))
-    known = stored(templates(base.select("__host", "__html")), "html-templates").withColumnRenamed("host", "__host")
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [slots(t or []) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([sorted(f[i]) for f in found], pa.list_(pa.string())) for i in (0, 1))], ["__host", "__content", "__noise"])
+
+    known = templates(base.select("__host", "__html")).select("host", "template").mapInArrow(judged, "__host string, __content array<string>, __noise array<string>")
+    known = stored(known, "html-templates")
     n = known.count()
     on = ["__host"]
     if bounded(known, n) is known:
         known = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
         base = base.withColumn("__salt", F.pmod(F.xxhash64("__html"), F.lit(salt)).cast("int"))
         on = ["__host", "__salt"]
-    joined = base.join(bounded(known, n), on, "left").select(*keep, "__html", "template")
-    fields = [f for f in joined.schema.fields if f.name not in ("__html", "template")]
+    joined = base.join(bounded(known, n), on, "left").select(*keep, "__html", "__content", "__noise")
+    fields = [f for f in joined.schema.fields if not f.name.startswith("__")]
     schema = T.StructType([*fields, T.StructField("text", T.StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roles: dict[str, tuple] = {}
         for batch in batches:
-            texts = []
-            for page, template in zip(batch.column(batch.schema.get_field_index("__html")), batch.column(batch.schema.get_field_index("template")), strict=True):
-                rows = template.as_py() or []
-                key = repr(rows)
-                if key not in roles:
-                    if len(roles) >= 10_000:
-                        roles.clear()
-                    roles[key] = slots(rows)
-                texts.append(main_text(page.as_py() or "", *roles[key]))
+            page, content, noise = (batch.column(batch.schema.get_field_index(c)) for c in ("__html", "__content", "__noise"))
+            texts = [main_text(p.as_py() or "", frozenset(c.as_py() or ()), frozenset(x.as_py() or ())) for p, c, x in zip(page, content, noise, strict=True)]
             names = [f.name for f in fields]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(x)) for x in names], pa.array(texts, pa.string())], [*names, "text"])
 
