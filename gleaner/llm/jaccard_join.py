@@ -110,7 +110,7 @@ def _nodes(classes: DataFrame, limit: int, split: int) -> DataFrame:
     """
     keys = classes.filter(F.size("k1") > 0).select("set", "n_docs", F.posexplode(F.arrays_zip("k1", "k2")).alias("run", "k")).select("set", "n_docs", "run", "k.k1", "k.k2")
     shared = stored(keys.groupBy("run", "k1").agg(F.count("*").alias("n")).filter("n > 1"), "paths-first")
-    members = keys.join(shared, ["run", "k1"])
+    members = keys.join(shared.hint("merge"), ["run", "k1"])  # it grows with the classes: the plan of large tables, at every size
     small = members.filter(F.col("n") <= split).select("set", "n_docs", "run", F.xxhash64("run", "k1").alias("node"), "n")
     large = members.filter(F.col("n") > split).select("set", "n_docs", "run", F.xxhash64("run", "k1", "k2").alias("node"))
     again = large.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")

@@ -157,6 +157,7 @@ def apply_mix(docs: DataFrame, decisions: DataFrame, id_col="doc_id", text_col="
     """
     counts = decisions.groupBy("id", "source", "size").agg(F.array_sort(F.collect_list(F.struct("occ", "copies"))).alias("__copies"))
     counts = counts.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies")
+    counts = counts.hint("merge")  # a row a document: the plan of large tables, at every size
     sized = docs.withColumn("__words", words(F.col(text_col)))
     same = sized[id_col].eqNullSafe(F.col("__id")) & sized[source_col].eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
     once = sized.join(counts.filter(F.size("__copies") == 1), same).withColumn("__n", F.col("__copies")[0]["copies"])
