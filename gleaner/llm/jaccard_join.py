@@ -3,13 +3,14 @@
 A document is the set of hashes of its five-word shingles; documents of one set are one class. In each of RUNS runs
 every class chooses one of its tokens by a hash function of that run (the token of least hash, so two sets choose
 alike with a probability equal to their similarity); classes that chose one token share a node. A node of over SPLIT
-classes is split once more by a second chosen token. Nodes of one class are dropped, nodes of LIMIT classes at most
-are compared by brute force, and larger ones in pairs of blocks of that size, so that nothing is capped.
+classes is split by the nodes of its classes in other runs. Nodes of one class are dropped, nodes of LIMIT classes at
+most are compared by brute force, and larger ones in pairs of blocks of that size, so that nothing is capped.
 
-Two classes are compared in the first run in which they share a node, and only if they share at least NEED of the
-RUNS nodes (a sketch made of the keys themselves); the comparison itself is exact, on the whole sets. For a pair of
-similarity s the chance to be missed is that of fewer than NEED hits in RUNS trials: below 1e-8 at s = 0.8 for one
-level (below 1e-3 in nodes that were split, where a run counts s*s).
+Two classes are compared where they first meet, and only if they share at least NEED of the RUNS nodes (a sketch made
+of the keys themselves); the comparison itself is exact, on the whole sets. For a pair of similarity s the chance to
+be missed is that of fewer than NEED hits in RUNS trials; `runs_and_need` keeps it below LOSS at the similarity asked
+for (2.5e-7 with 16 runs and 4 hits at 0.8). Splitting loses nothing: runs are dealt over NEED - 1 groups, so of NEED
+shared nodes two are of one group, and a split node has a part for each later run of its group.
 
 What moves: keys of classes, then sets of those that have a likely partner, once for each node in which a partner is
 first met. Their documents are picked by a Bloom filter of bounded size in a second scan, so no text is shuffled. Links are counted where they are found and only sums leave a task, with edges to one member of each group
@@ -23,6 +24,8 @@ only if it has no other; an empty table gives an empty result; extra columns sta
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +34,12 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.shared import connected, look_up, parted, stored
 
-WORDS, SIMILARITY, RUNS, LIMIT, SPLIT, NEED = 5, 0.8, 16, 500, 5000, 4
+WORDS, SIMILARITY, RUNS, LIMIT, SPLIT, LOSS = 5, 0.8, 16, 500, 5000, 2.5e-7
 #: Words that a worker remembers the hash of; shingles hashed at once; pairs of a group compared one by one.
 REMEMBERED, CHUNK, FEW = 200_000, 4096, 8
 #: Power of two of the bits (8 MB) of the filter that picks the documents whose sets are read again.
 MAX_BITS = 26
-_rng = np.random.default_rng(20_240_817)
-_SALTS = _rng.integers(0, 1 << 63, size=(2, RUNS, 1), dtype=np.uint64)
-_ODDS = _rng.integers(0, 1 << 63, size=(2, RUNS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS = _rng.integers(0, 1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_POWERS = np.random.default_rng(20_240_817).integers(0, 1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class _Words(dict):
@@ -71,60 +71,80 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def chosen(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The token that each run chooses, on the first and on the second level."""
-    out = []
-    for level in (0, 1):
-        parts = [((tokens[i : i + CHUNK] ^ _SALTS[level]) * _ODDS[level]).min(1) for i in range(0, len(tokens), CHUNK)]
-        out.append(np.minimum.reduce(parts).view(np.int64))
-    return out[0], out[1]
+def runs_and_need(similarity: float) -> tuple[int, int]:
+    """Runs (RUNS or more) and the most hits to ask for, two at least, that lose a pair of `similarity` with a chance below LOSS."""
+    runs = RUNS
+    while True:
+        missed, need = 0.0, 0
+        while need < runs and (missed := missed + comb(runs, need) * similarity**need * (1 - similarity) ** (runs - need)) <= LOSS:
+            need += 1
+        if need >= 2:
+            return runs, need
+        runs += 1
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """id, th (hash of the text), set (128-bit hash of the shingle set; 16 zero bytes if empty), k1 and k2."""
+@lru_cache
+def _functions(runs: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20_240_818)
+    drawn = rng.integers(0, 1 << 63, size=(runs, 2, 1), dtype=np.uint64)
+    return drawn[:, 0], drawn[:, 1] * np.uint64(2) + np.uint64(1)
+
+
+def chosen(tokens: np.ndarray, runs: int = RUNS) -> np.ndarray:
+    """The token that each run chooses."""
+    salts, odds = _functions(runs)
+    parts = [((tokens[i : i + CHUNK] ^ salts) * odds).min(1) for i in range(0, len(tokens), CHUNK)]
+    return np.minimum.reduce(parts).view(np.int64)
+
+
+def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int, runs: int) -> DataFrame:
+    """id, th (hash of the text), set (128-bit hash of the shingle set; 16 zero bytes if empty) and k1."""
     plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("t"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            keys, firsts, seconds = [], [], []
+            keys, firsts = [], []
             for text in batch.column(2):
                 tokens = shingles(text.as_py(), words)
                 keys.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else bytes(16))
-                a, b = chosen(tokens) if len(tokens) else (np.empty(0, np.int64),) * 2
-                firsts.append(a)
-                seconds.append(b)
+                firsts.append(chosen(tokens, runs) if len(tokens) else np.empty(0, np.int64))
             ends = pa.array(np.cumsum([0, *map(len, firsts)], dtype=np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (firsts, seconds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), *lists], ["id", "th", "set", "k1", "k2"])
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(firsts)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), lists], ["id", "th", "set", "k1"])
         _words.clear()  # an idle worker gives the memory back
 
-    return plain.mapInArrow(work, f"id {plain.schema['id'].dataType.simpleString()}, th long, set binary, k1 array<long>, k2 array<long>")
+    return plain.mapInArrow(work, f"id {plain.schema['id'].dataType.simpleString()}, th long, set binary, k1 array<long>")
 
 
-def _nodes(classes: DataFrame, limit: int, split: int) -> DataFrame:
-    """set, n_docs, unit, run, block, lo, hi, path: a row for each node (or pair of its blocks) that a class shares.
+def _nodes(classes: DataFrame, limit: int, split: int, runs: int, need: int) -> DataFrame:
+    """set, n_docs, unit, run, second, block, within, path: a row for each node or part of one (or pair of its blocks) that a class shares.
 
-    path: the 16 nodes of the class, 0 where it is alone.
+    path: the nodes of the class by run, 0 where it is alone, odd where the node is split. second: the later run by
+    whose nodes a split node is parted, else -1.
     """
-    keys = classes.filter(F.size("k1") > 0).select("set", "n_docs", F.posexplode(F.arrays_zip("k1", "k2")).alias("run", "k")).select("set", "n_docs", "run", "k.k1", "k.k2")
+    keys = classes.filter(F.size("k1") > 0).select("set", "n_docs", F.posexplode("k1").alias("run", "k1"))
     shared = stored(keys.groupBy("run", "k1").agg(F.count("*").alias("n")).filter("n > 1"), "paths-first")
     members = keys.join(shared.hint("merge"), ["run", "k1"])  # it grows with the classes: the plan of large tables, at every size
-    small = members.filter(F.col("n") <= split).select("set", "n_docs", "run", F.xxhash64("run", "k1").alias("node"), "n")
-    large = members.filter(F.col("n") > split).select("set", "n_docs", "run", F.xxhash64("run", "k1", "k2").alias("node"))
-    again = large.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-    both = small.unionByName(large.join(again, "node"))
-    grouped = both.groupBy("set", "n_docs").agg(F.collect_list(F.struct("run", "node", "n")).alias("at"))  # RUNS rows at most
-    path = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.coalesce(F.get(F.filter("at", lambda x: x["run"] == r), F.lit(0))["node"], F.lit(0)))
+    node = F.xxhash64("run", "k1").bitwiseAND(F.lit(-2)).bitwiseOR((F.col("n") > split).cast("long"))
+    grouped = members.groupBy("set", "n_docs").agg(F.collect_list(F.struct("run", node.alias("node"), "n")).alias("at"))  # one for each run at most
+    path = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.coalesce(F.get(F.filter("at", lambda x: x["run"] == r), F.lit(0))["node"], F.lit(0)))
     rows = grouped.select("set", "n_docs", path.alias("path"), F.explode("at").alias("x")).select("set", "n_docs", "path", "x.*")
+    small = rows.filter(F.col("n") <= split).withColumn("second", F.lit(-1))
+    if shared.filter(F.col("n") > split).limit(1).count():
+        later = F.filter(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: (r > F.col("run")) & ((r - F.col("run")) % (need - 1) == 0) & (F.get("path", r) != 0))
+        large = rows.filter(F.col("n") > split).drop("n").withColumn("second", F.explode(later))
+        large = stored(large.withColumn("node", F.xxhash64("node", "second", F.get("path", F.col("second")))), "paths-parts")
+        again = large.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+        small = small.unionByName(large.join(again.hint("merge"), "node"))
     blocks = F.ceil(F.col("n") / limit).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("set"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = small.withColumn("block", F.pmod(F.xxhash64("set"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    return rows.select(F.xxhash64("node", lo, hi).alias("unit"), "run", "block", (lo == hi).alias("within"), "set", "n_docs", "path")
+    return rows.select(F.xxhash64("node", lo, hi).alias("unit"), "run", "second", "block", (lo == hi).alias("within"), "set", "n_docs", "path")
 
 
-_FIELDS = "unit long, run int, block int, within boolean, set binary, n_docs long, path array<long>"
+_FIELDS = "unit long, run int, second int, block int, within boolean, set binary, n_docs long, path array<long>"
 
 
 def _groups(batches: Iterator[pa.RecordBatch], once: bool = False) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -165,43 +185,80 @@ def _starts(u: np.ndarray) -> np.ndarray:
 
 
 def _paths(t: pa.Table) -> np.ndarray:
-    return t.column("path").combine_chunks().flatten().to_numpy().reshape(-1, RUNS)
+    return t.column("path").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+
+
+def _earlier(same, split, run: int, second: int, need: int) -> np.ndarray | bool:
+    """Which pairs meet before this unit. same, split: functions of a run (do they share its node, is that node split)."""
+
+    def part(r: int, end: int) -> np.ndarray | bool:
+        met = False
+        for later in range(r + need - 1, end, need - 1):
+            met = met | same(later)
+        return met
+
+    out = part(run, second)
+    for r in range(run):
+        out = out | (same(r) & (~split(r) | part(r, same.runs)))
+    return out
+
 
+class _Same:
+    """Do the classes of a pair share the node of a run: for the pairs (a[i], b[i]), or for all of a and b crossed."""
 
-def _likely(paths: np.ndarray, run: int, block: np.ndarray, within: bool) -> np.ndarray:
-    """Matrix of pairs to compare in this unit: i < j (or of two blocks), first met in this run, with NEED hits."""
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b, self.runs, self.known = a, b, a.shape[-1], {}
+
+    def __call__(self, r: int) -> np.ndarray:
+        if r not in self.known:
+            self.known[r] = (self.a[..., r] == self.b[..., r]) & (self.a[..., r] != 0)
+        return self.known[r]
+
+    def split(self, r: int) -> np.ndarray:
+        return self.a[..., r] & 1 == 1
+
+
+def _likely(paths: np.ndarray, run: int, second: int, block: np.ndarray, within: bool, need: int) -> np.ndarray:
+    """Matrix of pairs to compare in this unit: i < j (or of two blocks), first met here, with `need` hits."""
     n = len(paths)
-    hits, earlier = np.zeros((n, n), np.uint8), np.zeros((n, n), bool)
-    for r in range(RUNS):
-        c = paths[:, r]
-        same = (c[:, None] == c[None, :]) & (c != 0)[:, None]
-        hits += same
-        if r < run:
-            earlier |= same
-    out = (hits >= NEED) & ~earlier
+    same = _Same(paths[:, None, :], paths[None, :, :])
+    hits = np.zeros((n, n), np.uint16)
+    for r in range(same.runs):
+        hits += same(r)
+    out = (hits >= need) & ~(np.zeros((n, n), bool) | _earlier(same, same.split, run, second, need))
     out &= np.triu(np.ones((n, n), bool), 1)
     if not within:
         out &= block[:, None] != block[None, :]
     return out
 
 
-def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_partner(need: int):
     """The rows that have something to compare in their unit. Units of two, by far the most, are handled together."""
-    for t, starts in _groups(batches):
-        paths, run = _paths(t), t.column("run").to_numpy()
-        block, within = t.column("block").to_numpy(), t.column("within").to_numpy()
-        keep = np.zeros(t.num_rows, bool)
-        sizes = np.diff(starts)
-        two = starts[:-1][sizes == 2]
-        a, b = paths[two], paths[two + 1]
-        same = (a == b) & (a != 0)
-        ok = (same.sum(1) >= NEED) & (same.argmax(1) == run[two]) & (within[two] | (block[two] != block[two + 1]))
-        keep[two[ok]] = keep[two[ok] + 1] = True
-        for k in np.flatnonzero(sizes > 2):
-            s = slice(starts[k], starts[k + 1])
-            likely = _likely(paths[s], run[starts[k]], block[s], bool(within[starts[k]]))
-            keep[s] = likely.any(0) | likely.any(1)
-        yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in _groups(batches):
+            paths, run, second = _paths(t), t.column("run").to_numpy(), t.column("second").to_numpy()
+            block, within = t.column("block").to_numpy(), t.column("within").to_numpy()
+            keep = np.zeros(t.num_rows, bool)
+            sizes = np.diff(starts)
+            two = starts[:-1][sizes == 2]
+            a, b = paths[two], paths[two + 1]
+            same = (a == b) & (a != 0)
+            ok = (same.sum(1) >= need) & (within[two] | (block[two] != block[two + 1]))
+            whole = (same & (a & 1 == 0)).argmax(1) == run[two]  # no split node shared: the first run shared is this one
+            mixed = (same & (a & 1 == 1)).any(1)
+            for i in np.flatnonzero(ok & mixed):
+                pair = _Same(a[i], b[i])
+                whole[i] = not _earlier(pair, pair.split, int(run[two[i]]), int(second[two[i]]), need)
+            ok &= whole
+            keep[two[ok]] = keep[two[ok] + 1] = True
+            for k in np.flatnonzero(sizes > 2):
+                s, at = slice(starts[k], starts[k + 1]), starts[k]
+                likely = _likely(paths[s], run[at], second[at], block[s], bool(within[at]), need)
+                keep[s] = likely.any(0) | likely.any(1)
+            yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return work
 
 
 def _overlaps(sets: list[np.ndarray], likely: np.ndarray) -> np.ndarray:
@@ -228,16 +285,16 @@ def _overlaps(sets: list[np.ndarray], likely: np.ndarray) -> np.ndarray:
     return out
 
 
-def _verified(similarity: float):
+def _verified(similarity: float, need: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in _groups(batches, once=True):
-            paths, run, n_docs = _paths(t), t.column("run").to_numpy(), t.column("n_docs").to_numpy()
+            paths, run, second, n_docs = _paths(t), t.column("run").to_numpy(), t.column("second").to_numpy(), t.column("n_docs").to_numpy()
             block, within = t.column("block").to_numpy(), t.column("within").to_numpy()
             keys, raw = t.column("set").to_pylist(), t.column("tokens")
             found: list[tuple[bytes, int, bytes]] = []
             for k in range(len(starts) - 1):
                 s = slice(starts[k], starts[k + 1])
-                likely = _likely(paths[s], run[starts[k]], block[s], bool(within[starts[k]]))
+                likely = _likely(paths[s], run[starts[k]], second[starts[k]], block[s], bool(within[starts[k]]), need)
                 if not likely.any():
                     continue
                 sets = [np.frombuffer(raw[i].as_py(), np.uint64) for i in range(starts[k], starts[k + 1])]
@@ -295,11 +352,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     set_id: smallest identifier among documents of the same shingle set; class_id: smallest in the connected group of
     documents linked at `similarity`; n_links: how many other documents this one is linked to, copies included.
     """
-    sketches = stored(_sketches(docs, id_col, text_col, words), "paths-sketches")
+    runs, need = runs_and_need(similarity)
+    sketches = stored(_sketches(docs, id_col, text_col, words, runs), "paths-sketches")
     one = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th"))
-    classes = sketches.groupBy("set").agg(F.count("*").alias("n_docs"), one.alias("rep"), F.first("k1").alias("k1"), F.first("k2").alias("k2"))
-    classes = stored(classes.select("set", "n_docs", F.col("rep.id").alias("set_id"), F.col("rep.th").alias("rep_th"), "k1", "k2"), "paths-classes")
-    likely = _nodes(classes, limit, split).repartition("unit").sortWithinPartitions("unit").mapInArrow(_with_partner, _FIELDS)
+    classes = sketches.groupBy("set").agg(F.count("*").alias("n_docs"), one.alias("rep"), F.first("k1").alias("k1"))
+    classes = stored(classes.select("set", "n_docs", F.col("rep.id").alias("set_id"), F.col("rep.th").alias("rep_th"), "k1"), "paths-classes")
+    likely = _nodes(classes, limit, split, runs, need).repartition("unit").sortWithinPartitions("unit").mapInArrow(_with_partner(need), _FIELDS)
     likely = stored(likely, "paths-likely")
     wanted = stored(classes.join(likely.select("set").distinct(), "set").select(F.col("rep_th").alias("th")), "paths-wanted")
     bloom = _bloom(wanted)
@@ -308,7 +366,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     places = [F.pmod(F.xxhash64(th, F.lit(i)), F.lit(32 * len(bloom))).alias(f"p{i}") for i in range(4)]
     sets = docs.select(F.col(text_col).alias("t"), *places).mapInArrow(_tokens(words, told), "set binary, tokens binary")
     units = likely.join(sets, "set").repartition("unit").sortWithinPartitions("unit", "set")
-    found = stored(units.select("unit", "run", "block", "within", "set", "n_docs", "path", "tokens").mapInArrow(_verified(similarity), "set binary, docs long, root binary"), "paths-links")
+    found = stored(units.select("unit", "run", "second", "block", "within", "set", "n_docs", "path", "tokens").mapInArrow(_verified(similarity, need), "set binary, docs long, root binary"), "paths-links")
     links = found.groupBy("set").agg(F.sum("docs").alias("links"))
     roots = connected(found.select(F.col("set").alias("a"), F.col("root").alias("b")), "paths-components")
     known = classes.select("set", "n_docs", "set_id").join(links, "set", "left").join(roots.withColumnRenamed("node", "set"), "set", "left")

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -94,6 +95,25 @@ def test_jaccard_with_hot_groups_and_split_nodes(spark):
         assert got == {k: (root[k], links[k]) for k in range(len(texts))}
 
 
+def test_jaccard_loses_no_pair_in_split_nodes(spark):
+    """Near copies at about 0.81: a pair counts alike in a node of any size."""
+    base = [f"b7w{i}" for i in range(96)]
+    texts = [" ".join([*base[: 5 + k % 86], f"x{k}", *base[6 + k % 86 :]]) for k in range(250)]
+    links = [0] * 250
+    for i, j in near_pairs(texts):
+        links[i] += 1
+        links[j] += 1
+    got = {r.id: r.n_links for r in jaccard_join.join(table(spark, texts), limit=250, split=30).collect()}
+    assert got == dict(enumerate(links)) and sum(links) > 50_000
+
+
+def test_runs_and_hits_follow_the_similarity():
+    assert jaccard_join.runs_and_need(0.8) == (16, 4)
+    for s in (0.3, 0.5, 0.9, 1.0):
+        runs, need = jaccard_join.runs_and_need(s)
+        assert need >= 2 and sum(math.comb(runs, k) * s**k * (1 - s) ** (runs - k) for k in range(need)) <= 2.5e-7
+
+
 def test_components(spark):
     edges = [(f"{i:03d}", f"{i + 1:03d}") for i in range(60)] + [("200", "300"), ("300", "250"), ("400", "400")]
     got = {r.node: r.root for r in shared.connected(spark.createDataFrame(edges, "a string, b string")).collect()}
