@@ -131,11 +131,12 @@ def occurrences(page: str) -> dict[str, list]:
     out: dict[str, list] = {}
     open_: list[tuple[str | None, str]] = []  # (token or None, tag)
     path: list[str] = []
-    links = noisy = 0
+    links = noisy = inside = 0
     marks: list[bool] = []
     for kind, a, names in events(page):
         if kind == "open":
-            bad = _noise(a, names, any("article" in p or "main" in p for p in path))
+            bad = _noise(a, names, inside > 0)
+            inside += a in ("article", "main")
             marks.append(bad)
             noisy += bad
             links += a == "a"
@@ -150,6 +151,7 @@ def occurrences(page: str) -> dict[str, list]:
             open_.append((token, a))
         elif kind == "close":
             token, tag = open_.pop()
+            inside -= tag in ("article", "main")
             noisy -= marks.pop()
             links -= tag == "a"
             if token is not None:
@@ -226,12 +228,17 @@ def slots(template: list[dict]) -> tuple[frozenset[str], frozenset[str]]:
 
 
 def main_text(page: str, content: frozenset[str], noise: frozenset[str]) -> str:
-    """Blocks of the content slots in page order; without such a slot on the page, of article or main, or of all of it."""
+    """Blocks of the content slots in page order; without such a slot on the page, of article or main, or of all of it.
+
+    An article or main element below DEPTH has no token: if the content slots are not articles themselves, it is taken
+    before them.
+    """
     inner: list[str] = []
+    below: list[str] = []
     outer: list[str] = []
     path: list[str] = []
-    open_: list[tuple[bool, bool, bool]] = []  # (slot, noise, content)
-    bad = good = 0
+    open_: list[tuple[bool, bool, bool, bool, bool]] = []  # (slot, noise, content, article or main, the same below DEPTH)
+    bad = good = inside = deep = 0
     any_content = False
     run: list[str] = []
 
@@ -242,6 +249,8 @@ def main_text(page: str, content: frozenset[str], noise: frozenset[str]) -> str:
                 outer.append(block)
                 if good:
                     inner.append(block)
+                if deep:
+                    below.append(block)
             run.clear()
 
     for kind, a, names in events(page):
@@ -257,23 +266,30 @@ def main_text(page: str, content: frozenset[str], noise: frozenset[str]) -> str:
                 end()
             slot = a in SLOT_TAGS and len(path) < DEPTH
             token = _token(tuple(path), a, names) if slot else ""
-            is_noise = _noise(a, names, any(p.startswith(("article", "main")) for p in path)) or token in noise
+            is_noise = _noise(a, names, inside > 0) or token in noise
+            inside += a in ("article", "main")
+            is_deep = a in ("article", "main") and not slot and not is_noise
             is_content = slot and (token in content or (not content and a in ("article", "main"))) and not is_noise
             if slot:
                 path.append(token.rsplit("/", 1)[-1])
-            open_.append((slot, is_noise, is_content))
+            open_.append((slot, is_noise, is_content, a in ("article", "main"), is_deep))
+            deep += is_deep
             bad += is_noise
             good += is_content
             any_content |= is_content
         else:
             if a in BLOCK_TAGS:
                 end()
-            slot, is_noise, is_content = open_.pop()
+            slot, is_noise, is_content, is_article, is_deep = open_.pop()
+            inside -= is_article
+            deep -= is_deep
             if slot:
                 path.pop()
             bad -= is_noise
             good -= is_content
     end()
+    if below and not any(c.rpartition("/")[2].partition(".")[0] in ("article", "main") for c in content) and not (any_content and not content):
+        return "\n\n".join(below)
     if not any_content and content:
         return main_text(page, frozenset(), noise)
     return "\n\n".join(inner if any_content else outer)

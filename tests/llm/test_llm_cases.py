@@ -281,6 +281,12 @@ def test_html_finds_the_slot_of_a_template_without_names(spark):
     assert all(got[i] == f"{('story %d ' % i) * 30}".strip() + "\n\nmore " + (f"story {i} " * 30).strip() for i in range(8))
 
 
+def test_html_finds_an_article_at_any_depth():
+    page = "<body><div class=w>" + "<div>" * 14 + "<div>side one</div><article><header><h1>Title</h1></header><p>Story</p></article><div>side two</div>" + "</div>" * 14 + "</div></body>"
+    for content in (frozenset(), frozenset(["body/div.w"])):
+        assert html_text.main_text(page, content, frozenset()) == "Title\n\nStory"
+
+
 def test_html_leaves_out_what_is_named_or_hidden(spark):
     parts = ["<div class='siteHeader'>brand</div>", "<div role='search'>find</div>", "<div id='adTop'>buy</div>", "<p hidden>gone</p>", "<div style='display: none'>gone</div>", "<div class='user-comments'><p>me too</p></div>", "<div class='newsletter-signup'>join</div>"]
     body = "<body>" + "".join(parts) + "<article><header><h1>Title</h1></header><p data-x='a>b'>Kept &lt;tag&gt; text</p><div class='share-bar'>share</div></article>" + "".join(parts)
