@@ -61,6 +61,11 @@ def graph_edges(spark, sf_dir):
     return edges(spark, sf_dir).filter(~F.col("kind").isin("has_part", "supplied_by")).select("id", "kind", "src", "dst", "confidence")
 
 
+@query(f"WITH {SQL_EDGES} SELECT id, kind, src, dst, confidence FROM edges")
+def graph_edges_all(spark, sf_dir):
+    return edges(spark, sf_dir).select("id", "kind", "src", "dst", "confidence")
+
+
 _LABEL = "CASE WHEN confidence >= 1 THEN 'exact' WHEN confidence >= 0.9 THEN 'high' WHEN confidence >= 0.7 THEN 'medium' ELSE 'low' END"
 
 
@@ -113,8 +118,8 @@ def places(spark, sf_dir):
     return nodes(spark, sf_dir).filter(F.col("kind").isin("region", "nation"))
 
 
-def subjects(spark):
-    return spark.createDataFrame([(s,) for s in _SUBJECTS], "subject string")
+def subjects(spark, listed=_SUBJECTS):
+    return spark.createDataFrame([(s,) for s in listed], "subject string")
 
 
 @query(f"""WITH {SQL_NODES}, {_SUBJECT_SQL}, h AS (SELECT subject, id, CASE WHEN key = subject THEN 0 WHEN name = subject THEN 2 WHEN id = subject THEN 3 WHEN lower(key) = lower(subject) THEN 4 WHEN lower(name) = lower(subject) THEN 6
@@ -131,6 +136,26 @@ def did_you_mean(spark, sf_dir):
     return graph.nearest_names(places(spark, sf_dir), subjects(spark))
 
 
+_ALL_SUBJECTS = (*_SUBJECTS, "Customer#000000001", "customer#00000002", "supplier 3", "SUPPLIER 1", "node:part:shop:7", "orders 7", "order 1")
+_ALL_SUBJECT_SQL = "subjects AS (SELECT unnest([" + ", ".join(f"'{s}'" for s in _ALL_SUBJECTS) + "]) AS subject)"
+
+
+@query(f"""WITH {SQL_NODES}, {_ALL_SUBJECT_SQL}, h AS (SELECT subject, id, CASE WHEN key = subject THEN 0 WHEN name = subject THEN 2 WHEN id = subject THEN 3 WHEN lower(key) = lower(subject) THEN 4 WHEN lower(name) = lower(subject) THEN 6
+ WHEN lower(id) = lower(subject) THEN 7 WHEN contains(lower(name), lower(subject)) THEN 10 WHEN contains(lower(id), lower(subject)) THEN 11 END AS score FROM nodes, subjects),
+b AS (SELECT *, min(score) OVER (PARTITION BY subject) AS best FROM h WHERE score IS NOT NULL), t AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY id) AS rn, count(*) OVER (PARTITION BY subject) AS n FROM b WHERE score = best)
+SELECT subject, id, score, CASE WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS state FROM t WHERE rn <= 10""")
+def subject_resolution_all(spark, sf_dir):
+    """Subjects over every node of the graph."""
+    return graph.resolve(nodes(spark, sf_dir), subjects(spark, _ALL_SUBJECTS))
+
+
+@query(f"""WITH {SQL_NODES}, {_ALL_SUBJECT_SQL}, e AS (SELECT DISTINCT subject, name, levenshtein(lower(name), lower(subject)) AS edits FROM nodes, subjects),
+r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY edits, name) AS rank FROM e WHERE edits <= 3) SELECT subject, name, edits::INTEGER AS edits, rank FROM r WHERE rank <= 5""")
+def did_you_mean_all(spark, sf_dir):
+    """Near names over every node of the graph."""
+    return graph.nearest_names(nodes(spark, sf_dir), subjects(spark, _ALL_SUBJECTS))
+
+
 @query(f"""WITH RECURSIVE {SQL_EDGES}, near AS (SELECT src, dst FROM edges WHERE source IN ('nation', 'customer', 'supplier')), u AS (SELECT src, dst FROM near UNION SELECT dst, src FROM near),
 walk(node, depth) AS (SELECT 'node:region:shop:1', 0 UNION SELECT dst, depth + 1 FROM walk JOIN u ON src = node WHERE depth < 3) SELECT node, min(depth)::INTEGER AS depth FROM walk GROUP BY 1""")
 def neighbors_bfs(spark, sf_dir):
