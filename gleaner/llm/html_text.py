@@ -1,40 +1,49 @@
-"""Main text of web pages by equivalence classes of their tags across pages of one host.
-
-A token is an element told apart by its path and class. Tokens with the same occurrence vector over a host's pages
-(the same number of times on each page) form an equivalence class; the class whose tokens stand once on most pages,
-properly nested, is the host's template. Its elements are the slots: of each, the template knows how much text and how
-much link text the pages put there and whether it ever changes. Slots that are navigation, notices and the like by
-their tag or name are not content; the content slot is the article or main element of the template, or else the
-deepest slot that holds most of what is left, without slots that are mostly links or never change. Extraction then takes all
-text of that slot, whole, as blocks.
-
-The occurrence vectors are never gathered: sums of a hash of (page, count) stand for them, added up in each task
-before the shuffle, so a host with a third of all pages costs one small row for each token and batch. Templates hold
-a bounded number of rows a host (tokens on at least half of its pages).
-
-Defined cases: null, empty and tag-less pages count (plain text is its own text); a host of one page has a template
-from that page; without a content slot on a page all its content is taken; repeated pages are extracted alike; broken
-and cut-off markup ends at the end of the page; extra columns stay out.
+"""Main text of web pages by equivalence classes of their tokens across pages of one host.
+
+Tokens are the elements of a page, told apart by their path, names (class, id, role; digits left out) and number among
+equal siblings, and its blocks of text, told apart by the element they stand in. The occurrence vector of a token says
+on which pages of the host it stands; tokens with one vector form an equivalence class. Classes of CLASS tokens or
+more, on MIN_PAGES pages or more and on a hundredth of the host's, are kept, and are valid if they nest: the element
+around each of their elements is of a valid class itself, which stands on the same pages or more. Valid classes, nested,
+are the host's template; several layouts give classes beside each other. A block in the class of its own element
+is fixed text of the template; what the template doesn't fix is left in the slots between its elements.
+
+Of the remaining slots the page's main text is in the deepest one that holds most of what remains, reached from the
+page's root over elements that have no varying text of their own beside it; elements of the template that hold mostly
+links are left out, and so are fixed blocks. Markup that states what it is goes first where there is any: navigation,
+forms, adverts and the like by tag or name are no text of any slot, an article or main element around or in the slot
+is taken whole, and without a template (a host of fewer than MIN_PAGES pages) such elements are the main text.
+
+Occurrence vectors are never gathered: sums of a 36-bit hash of the page stand for them, added up in each batch before
+the shuffle, so a host with a third of all pages costs one small row for each token and batch. A template has at most a
+hundred times the tokens of a mean page.
+
+Defined cases: null, empty and tag-less pages count (plain text is its own text); repeated pages are extracted alike,
+and a host whose pages hardly differ has no fixed text; equal slots: the first on the page; very long and very deep
+pages are read whole, in time linear in their length; broken and cut-off markup ends at the end of the page; an empty
+table gives an empty result; extra columns stay out.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
-import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.shared import bounded, stored
+from gleaner.llm.shared import stored
 from gleaner.llm.url_filter import host_of
 
 #: Elements that are never content, that end a block, that have no end tag, that end an open one of their own.
 NOISE_TAGS = frozenset("nav footer aside form menu dialog button select option input label fieldset head title".split())
-RAW_TAGS = "script|style|noscript|template|textarea|svg|iframe|object|canvas|math|audio|video"
+RAW_TAGS = "script|style|noscript|template|textarea|iframe"
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup "
     "hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -51,16 +60,18 @@ NOISE_NAMES = re.compile(
     re.I,
 )
 OUTER_NAMES = re.compile(r"(?:^|[-_ ])(?:header|hdr|logo|branding|tagline|languages?|bottom)(?:$|[-_ ])", re.I)
-LINKY, MOST, SUPPORT, DEPTH = 0.6, 0.6, 0.5, 12
-
+#: Tokens of a class; pages it stands on, and hundredths of the host's; share of what remains that the slot holds;
+#: share of a slot's text that may stand beside it, or in an equal sibling; share of links; least share that isn't fixed.
+CLASS, MIN_PAGES, HUNDREDTHS, MOST, BESIDE, RIVAL, LINKY, VARYING = 2, 3, 1, 0.6, 0.01, 0.15, 0.6, 0.2
+#: Longs of all templates together that are broadcast (4 MB).
+BROADCAST_LONGS = 500_000
+_CONTAINERS = frozenset("html body div section article main td tr tbody table".split())
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW_TAGS})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|</?[a-zA-Z!?][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 _NAME = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-
-
 _HIDDEN = re.compile(r"""\shidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
@@ -112,10 +123,7 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
         yield "close", stack.pop(), ""
 
 
-def _token(path: tuple[str, ...], tag: str, names: str) -> str:
-    return "/".join((*path, f"{tag}.{'.'.join(sorted(set(names.lower().split())))}" if names else tag))
-
-
+@lru_cache(maxsize=20_000)
 def _noise(tag: str, names: str, inside_article: bool) -> bool:
     if tag in NOISE_TAGS or (tag == "header" and not inside_article):
         return True
@@ -126,201 +134,249 @@ def _noise(tag: str, names: str, inside_article: bool) -> bool:
     return bool(NOISE_NAMES.search(names)) or (not inside_article and bool(OUTER_NAMES.search(names)))
 
 
-def occurrences(page: str) -> dict[str, list]:
-    """Of each slot element: [times, own place by start, text chars, link chars, hash of its text]."""
-    out: dict[str, list] = {}
-    open_: list[tuple[str | None, str]] = []  # (token or None, tag)
-    path: list[str] = []
-    links = noisy = inside = 0
-    marks: list[bool] = []
-    for kind, a, names in events(page):
-        if kind == "open":
-            bad = _noise(a, names, inside > 0)
-            inside += a in ("article", "main")
-            marks.append(bad)
-            noisy += bad
-            links += a == "a"
-            token = None
-            if a in SLOT_TAGS and len(path) < DEPTH:
-                token = _token(tuple(path), a, names)
-                path.append(token.rsplit("/", 1)[-1])
-                if token in out:
-                    out[token][0] += 1
-                else:
-                    out[token] = [1, len(out), 0, 0, 0]
-            open_.append((token, a))
-        elif kind == "close":
-            token, tag = open_.pop()
-            inside -= tag in ("article", "main")
-            noisy -= marks.pop()
-            links -= tag == "a"
-            if token is not None:
-                path.pop()
-        elif kind == "text" and (said := " ".join(a.split())):
-            h = zlib.crc32(said.encode())
-            for token, _ in open_:
-                if token is not None:
-                    row = out[token]
-                    row[2] += 0 if noisy and not token.endswith(("body", "html")) else len(said)
-                    row[3] += len(said) if links else 0
-                    row[4] = zlib.crc32(h.to_bytes(4, "big"), row[4])
-    return out
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """host and template: list of (token, nested place, times, chars, link chars, changes) for tokens on most of its pages.
-
-    pages: (host, html). One row for each host and token leaves a batch; sums of 31-bit hashes stand for vectors.
-    """
+@lru_cache(maxsize=20_000)
+def _plain(names: str) -> str:
+    return ".".join(sorted(set(re.sub(r"\d+", "", names.lower()).split())))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums: dict[tuple[str, str], list] = {}
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                key = zlib.crc32((page or "").encode("utf-8", "replace"))
-                for token, (times, place, chars, link, said) in [("", (1, -1, 0, 0, 0)), *occurrences(page or "").items()]:
-                    vector = zlib.crc32(times.to_bytes(4, "big"), key) >> 1
-                    row = sums.get((host, token))
-                    if row is None:
-                        sums[host, token] = [1, times, vector, place, chars, link, said, said]
-                    else:
-                        for k, v in enumerate((1, times, vector, place, chars, link)):
-                            row[k] += v
-                        row[6], row[7] = min(row[6], said), max(row[7], said)
-            cols = list(zip(*((h, t, *r) for (h, t), r in sums.items()), strict=True))
-            kinds = [pa.string(), pa.string()] + [pa.int64()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-
-    names = ["host", "token", "pages", "times", "vector", "place", "chars", "link", "least", "most"]
-    seen = pages.mapInArrow(work, "host string, token string, " + ", ".join(f"{n} long" for n in names[2:]))
-    sums = [F.sum(n).alias(n) for n in names[2:8]] + [F.min("least").alias("least"), F.max("most").alias("most")]
-    seen = seen.groupBy("host", "token").agg(*sums)
-    whole = seen.filter(F.col("token") == "").select("host", F.col("pages").alias("all"))
-    often = seen.filter(F.col("token") != "").join(whole, "host").filter(F.col("pages") >= SUPPORT * F.col("all"))
-    row = F.struct("token", "pages", "times", "vector", "chars", "link", (F.col("least") != F.col("most")).alias("changes"), "all")
-    return whole.select("host").join(often.groupBy("host").agg(F.collect_list(row).alias("template")), "host", "left")
-
-
-def slots(template: list[dict]) -> tuple[frozenset[str], frozenset[str]]:
-    """(content slots, slots that are not content) of a host's template."""
-    classes: dict[tuple[int, int, int], list[dict]] = {}
-    for row in template:
-        classes.setdefault((row["pages"], row["times"], row["vector"]), []).append(row)
-    # valid classes: once a page, and nested, that is, each token's parent is in a class on as many pages or more
-    on = {row["token"]: row["pages"] for row in template}
-    valid = [r for rows in classes.values() for r in rows if r["times"] == r["pages"] and on.get(r["token"].rpartition("/")[0], r["pages"]) >= r["pages"]]
-    tag_of = lambda token: token.rpartition("/")[2].partition(".")[0]
-    names_of = lambda token: token.rpartition("/")[2].partition(".")[2].replace(".", " ")
-    within = lambda token, roots: any(token == n or token.startswith(n + "/") for n in roots)
-    noise = {r["token"] for r in valid if _noise(tag_of(r["token"]), names_of(r["token"]), "article" in r["token"] or "main" in r["token"])}
-    clean = [r for r in valid if not within(r["token"], noise)]
-    tops = [r["token"] for r in clean if tag_of(r["token"]) in ("article", "main")]
-    content = {t for t in tops if not within(t.rpartition("/")[0], tops)}
-    if not content:  # what is mostly links, or never changes, isn't content
-        dull = {r["token"] for r in clean if tag_of(r["token"]) not in ("html", "body") and r["pages"] > 1 and ((r["all"] >= 3 and not r["changes"]) or r["link"] > LINKY * max(1, r["chars"] + r["link"]))}
-        total = max((r["chars"] for r in clean), default=0)
-        holding = [r for r in clean if r["chars"] >= MOST * total and r["chars"] > 0 and not within(r["token"], dull)]
-        if holding:
-            content = {max(holding, key=lambda r: (r["token"].count("/"), r["chars"]))["token"]}
-        content = {c for c in content if tag_of(c) not in ("html", "body")}
-        noise |= {n for n in dull if not any(within(c, {n}) or within(n, {c}) for c in content)}
-    return frozenset(content), frozenset(n for n in noise if not any(within(c, {n}) for c in content))
-
-
-def main_text(page: str, content: frozenset[str], noise: frozenset[str]) -> str:
-    """Blocks of the content slots in page order; without such a slot on the page, of article or main, or of all of it.
-
-    An article or main element below DEPTH has no token: if the content slots are not articles themselves, it is taken
-    before them.
-    """
-    inner: list[str] = []
-    below: list[str] = []
-    outer: list[str] = []
-    path: list[str] = []
-    open_: list[tuple[bool, bool, bool, bool, bool]] = []  # (slot, noise, content, article or main, the same below DEPTH)
-    bad = good = inside = deep = 0
-    any_content = False
+
+@lru_cache(maxsize=50_000)
+def _token(parent: int, tag: str, plain: str, number: int) -> int:
+    return xxhash.xxh3_64_intdigest(f"{parent}/{tag}.{plain}#{number}") >> 1
+
+
+def _block_token(parent: int, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text, parent & 0xFFFFFFFF) >> 1
+
+
+class Element(NamedTuple):
+    """A slot element; blocks[first:end] stand in it. up: index of the one around it; group: equal siblings share it."""
+
+    token: int
+    up: int
+    group: int
+    tag: str
+    first: int
+    end: int
+    chars: int  # of text that is no link
+    own: int  # of it, in no other element within
+    link: int
+
+
+def read(page: str) -> tuple[list[Element], list[tuple[str, int]]]:
+    """Elements in order of their end tags' opening (the page itself first, with token 0) and blocks (text, index of the element)."""
+    made: list[list] = [[0, -1, 0, "", 0, 0, 0, 0, 0]]
+    numbers: list[dict] = [{}]
+    blocks: list[tuple[str, int]] = []
+    open_: list[tuple[bool, bool, bool, bool]] = []  # (noise, article or main, link, has an entry in made)
+    at = bad = inside = links = linked = 0
     run: list[str] = []
 
     def end() -> None:
+        nonlocal linked
         if run:
-            block = " ".join("".join(run).split())
-            if block:
-                outer.append(block)
-                if good:
-                    inner.append(block)
-                if deep:
-                    below.append(block)
+            if block := " ".join("".join(run).split()):
+                blocks.append((block, at))
+                plain = max(0, len(block) - linked)
+                row = made[at]
+                row[6] += plain
+                row[7] += plain
+                row[8] += len(block) - plain
             run.clear()
+            linked = 0
 
     for kind, a, names in events(page):
         if kind == "text":
             if not bad:
                 run.append(a)
+                if links:
+                    linked += len(a.strip())
         elif kind == "br":
-            run.append(" ") if run else None
+            if run:
+                run.append(" ")
         elif kind == "break":
             end()
         elif kind == "open":
             if a in BLOCK_TAGS:
                 end()
-            slot = a in SLOT_TAGS and len(path) < DEPTH
-            token = _token(tuple(path), a, names) if slot else ""
-            is_noise = _noise(a, names, inside > 0) or token in noise
-            inside += a in ("article", "main")
-            is_deep = a in ("article", "main") and not slot and not is_noise
-            is_content = slot and (token in content or (not content and a in ("article", "main"))) and not is_noise
-            if slot:
-                path.append(token.rsplit("/", 1)[-1])
-            open_.append((slot, is_noise, is_content, a in ("article", "main"), is_deep))
-            deep += is_deep
-            bad += is_noise
-            good += is_content
-            any_content |= is_content
+            noise, article = _noise(a, names, inside > 0), a in ("article", "main")
+            entry = a in SLOT_TAGS and not noise and not bad
+            if entry:
+                up, count, plain = made[at][0], numbers[at], _plain(names) if names else ""
+                number = count[a, plain] = count.get((a, plain), 0) + 1
+                made.append([_token(up, a, plain, number), at, _token(up, a, plain, 0), a, len(blocks), 0, 0, 0, 0])
+                numbers.append({})
+                at = len(made) - 1
+            open_.append((noise, article, a == "a", entry))
+            bad += noise
+            inside += article
+            links += a == "a"
         else:
             if a in BLOCK_TAGS:
                 end()
-            slot, is_noise, is_content, is_article, is_deep = open_.pop()
-            inside -= is_article
-            deep -= is_deep
-            if slot:
-                path.pop()
-            bad -= is_noise
-            good -= is_content
+            noise, article, link, entry = open_.pop()
+            bad -= noise
+            inside -= article
+            links -= link
+            if entry:
+                row = made[at]
+                row[5] = len(blocks)
+                at = row[1]
+                made[at][6] += row[6]
+                made[at][8] += row[8]
     end()
-    if below and not any(c.rpartition("/")[2].partition(".")[0] in ("article", "main") for c in content) and not (any_content and not content):
-        return "\n\n".join(below)
-    if not any_content and content:
-        return main_text(page, frozenset(), noise)
-    return "\n\n".join(inner if any_content else outer)
+    made[0][5] = len(blocks)
+    return [Element(*x) for x in made], blocks
+
+
+#: host, token, then sums over pages; up, group and tag are the token's own. kind 1: a block of text.
+_COLUMNS = {"host": "long", "token": "long", "up": "long", "group": "long", "kind": "int", "tag": "string", "pages": "long", "vector": "long", "chars": "long", "own": "long", "link": "long", "whole": "long"}
+
+
+def tokens(pages: DataFrame) -> DataFrame:
+    """A row for each token of a host that stands on MIN_PAGES pages or more. pages: (host long, html). Pages are parsed once."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[tuple[int, int], list] = {}
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                page = page.as_py() or ""
+                key = xxhash.xxh3_64_intdigest(page) >> 28
+                elements, blocks = read(page)
+                whole = elements[0].chars
+                rows = {(host, e.token): (elements[e.up].token, e.group, 0, e.tag, 1, key, e.chars, e.own, e.link, whole) for e in elements}
+                for text, at in blocks:
+                    up = elements[at].token
+                    rows.setdefault((host, _block_token(up, text)), (up, 0, 1, "", 1, key, len(text), 0, 0, 0))
+                for k, row in rows.items():
+                    if (old := sums.get(k)) is None:
+                        sums[k] = list(row)
+                    else:
+                        for i in range(4, 10):
+                            old[i] += row[i]
+            columns = list(zip(*((*k, *row) for k, row in sums.items()), strict=True)) or [()] * len(_COLUMNS)
+            kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, _COLUMNS.values(), strict=True)], list(_COLUMNS))
+
+    seen = pages.mapInArrow(work, ", ".join(f"`{n}` {t}" for n, t in _COLUMNS.items()))
+    same = [F.min(n).alias(n) for n in ("up", "group", "kind", "tag")]
+    return seen.groupBy("host", "token").agg(*same, *[F.sum(n).alias(n) for n in list(_COLUMNS)[6:]]).filter(F.col("pages") >= MIN_PAGES)
+
+
+def template(rows: list[dict]) -> tuple[list[int], list[int], list[int]]:
+    """(slots on the way to the main text, elements left out, fixed blocks) of a host, from its tokens."""
+    classes: dict[tuple[int, int], list[dict]] = {}
+    for r in rows:
+        classes.setdefault((r["vector"], r["pages"]), []).append(r)
+    frequent = {r["token"]: r for group in classes.values() if len(group) >= CLASS for r in group}
+    elements = {r["token"]: r for r in rows if not r["token"]} | {t: r for t, r in frequent.items() if not r["kind"]}
+    below: dict[int, list[int]] = {}
+    for t, r in elements.items():
+        if t:
+            below.setdefault(r["up"], []).append(t)
+    order = [0]  # valid: what is reached from the root over classes that are valid themselves
+    for t in order:
+        order += sorted(below.get(t, ()))
+    valid = {t: elements[t] for t in order}
+    fixed = {t: r for t, r in frequent.items() if r["kind"] and (up := valid.get(r["up"])) and (up["vector"], up["pages"]) == (r["vector"], r["pages"])}
+    remains, own = {t: r["chars"] for t, r in valid.items()}, {t: r["own"] for t, r in valid.items()}
+    for r in fixed.values():
+        t = r["up"]
+        own[t] = max(0, own[t] - r["chars"])
+        while True:
+            remains[t] = max(0, remains[t] - r["chars"])
+            if not t:
+                break
+            t = valid[t]["up"]
+    root = valid[0]
+    if remains[0] < VARYING * root["chars"]:  # copies of one page: their text isn't a template's
+        fixed, remains, own = {}, {t: r["chars"] for t, r in valid.items()}, {t: r["own"] for t, r in valid.items()}
+    least = remains[0] / root["chars"] if root["chars"] else 0.0
+    dull = {t for t, r in valid.items() if r["tag"] not in ("", "html", "body", "article", "main") and r["link"] > LINKY * max(1, remains[t] + r["link"])}
+    groups: dict[int, list[int]] = {}
+    for t, r in valid.items():
+        groups.setdefault(r["group"], []).append(t)
+    good = {0}
+    for t in order[1:]:
+        r = valid[t]
+        up = r["up"]
+        rival = max((remains[o] for o in groups[r["group"]] if o != t), default=0)
+        if up in good and t not in dull and r["tag"] in _CONTAINERS and remains[t] > 0 and own[up] <= BESIDE * remains[up] and remains[t] >= MOST * least * r["whole"] and rival <= RIVAL * remains[t]:
+            good.add(t)
+    return sorted(good - {0}), sorted(dull), sorted(fixed)
+
+
+def main_text(page: str, good: frozenset[int] = frozenset(), dull: frozenset[int] = frozenset(), fixed: frozenset[int] = frozenset()) -> str:
+    """Blocks of the main text in page order."""
+    elements, blocks = read(page)
+    stated = [None] * len(elements)  # nearest article or main element around, itself included
+    depth, slot, deepest = [0] * len(elements), 0, 0
+    tops: list[int] = []
+    for i, e in enumerate(elements[1:], 1):
+        stated[i] = i if e.tag in ("article", "main") else stated[e.up]
+        if stated[i] == i and stated[e.up] is None:
+            tops.append(i)
+        if e.token in good:
+            depth[i] = depth[e.up] + 1
+            if depth[i] > deepest:
+                slot, deepest = i, depth[i]
+    if stated[slot] is not None:
+        taken = [stated[slot]]
+    else:
+        taken = [i for i in tops if elements[slot].first <= elements[i].first and elements[i].end <= elements[slot].end and elements[i].end > elements[i].first] or [slot]
+    out: list[str] = []
+    lost = [False] * len(elements)  # in an element left out
+    for i, e in enumerate(elements):
+        lost[i] = i > 0 and stated[i] is None and (lost[e.up] or e.token in dull)
+    for i in taken:
+        for text, at in blocks[elements[i].first : elements[i].end]:
+            if stated[at] is not None or not (lost[at] or (fixed and _block_token(elements[at].token, text) in fixed)):
+                out.append(text)
+    return "\n\n".join(out)
 
 
 def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", keep: tuple[str, ...] = ("page_id", "url"), salt: int = 64) -> DataFrame:
-    """`keep` and text for each row. Templates are broadcast up to a counted bound; beyond it they are joined by host
-    and one of `salt` numbers, so that a hot host's pages are dealt over as many tasks."""
-    base = pages.select(*keep, host_of(F.coalesce(F.col(url_col), F.lit(""))).alias("__host"), F.col(html_col).alias("__html"))
+    """`keep` and text for each row. Templates are broadcast up to a bound of their counted longs; beyond it they are
+    joined by host and one of `salt` numbers, so that a hot host's pages are dealt over as many tasks."""
+    host = F.xxhash64(host_of(F.coalesce(F.col(url_col), F.lit(""))))
+    base = pages.select(*keep, host.alias("__host"), F.col(html_col).alias("__html"))
+    seen = stored(tokens(base.select("__host", "__html")), "html-tokens")
+    whole = seen.filter("token = 0").select("host", F.col("pages").alias("all"))
+    often = seen.join(whole, "host").filter(F.col("pages") * 100 >= HUNDREDTHS * F.col("all"))
+    row = F.struct(*[c for c in _COLUMNS if c != "host"])
+    by_host = often.groupBy("host").agg(F.collect_list(row).alias("rows"))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [slots(t or []) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([sorted(f[i]) for f in found], pa.list_(pa.string())) for i in (0, 1))], ["__host", "__content", "__noise"])
+            found = [template(rows) for rows in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in range(3))], ["__host", "__good", "__dull", "__fixed"])
 
-    known = templates(base.select("__host", "__html")).select("host", "template").mapInArrow(judged, "__host string, __content array<string>, __noise array<string>")
-    known = stored(known, "html-templates")
-    n = known.count()
+    known = stored(by_host.mapInArrow(judged, "__host long, __good array<long>, __dull array<long>, __fixed array<long>"), "html-templates")
+    longs = known.agg(F.sum(2 + F.size("__good") + F.size("__dull") + F.size("__fixed"))).first()[0] or 0
     on = ["__host"]
-    if bounded(known, n) is known:
+    if longs <= BROADCAST_LONGS:
+        known = F.broadcast(known)
+    else:
         known = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
         base = base.withColumn("__salt", F.pmod(F.xxhash64("__html"), F.lit(salt)).cast("int"))
         on = ["__host", "__salt"]
-    joined = base.join(bounded(known, n), on, "left").select(*keep, "__html", "__content", "__noise")
-    fields = [f for f in joined.schema.fields if not f.name.startswith("__")]
+    joined = base.join(known, on, "left").select(*keep, "__html", "__good", "__dull", "__fixed")
+    fields = [f for f in joined.schema.fields if f.name in keep]
     schema = T.StructType([*fields, T.StructField("text", T.StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            page, content, noise = (batch.column(batch.schema.get_field_index(c)) for c in ("__html", "__content", "__noise"))
-            texts = [main_text(p.as_py() or "", frozenset(c.as_py() or ()), frozenset(x.as_py() or ())) for p, c, x in zip(page, content, noise, strict=True)]
+            page, *sets = (batch.column(batch.schema.get_field_index(c)) for c in ("__html", "__good", "__dull", "__fixed"))
+            memo: dict[bytes, frozenset[int]] = {}
+
+            def told(values: pa.Array) -> frozenset[int]:
+                if not values.is_valid:
+                    return frozenset()
+                found = values.values.to_numpy()
+                if (known := memo.get(key := found.tobytes())) is None:
+                    known = memo[key] = frozenset(found.tolist())
+                return known
+
+            texts = [main_text(p.as_py() or "", *map(told, s)) for p, *s in zip(page, *sets, strict=True)]
             names = [f.name for f in fields]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(x)) for x in names], pa.array(texts, pa.string())], [*names, "text"])
 

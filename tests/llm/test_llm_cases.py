@@ -274,17 +274,79 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def pages_of(spark, host, bodies):
+    return spark.createDataFrame([(i, f"http://{host}/{i}", f"<html><body>{b}</body></html>", "") for i, b in enumerate(bodies)], "page_id long, url string, html string, x string")
+
+
+def texts_of(pages):
+    return {r.page_id: r.text for r in html_text.extract(pages).collect()}
+
+
+def story(i, n=30):
+    return f"story {i} " * n
+
+
 def test_html_finds_the_slot_of_a_template_without_names(spark):
-    body = "<html><body><div class=top><a href=/>x</a> <a href=/y>y y y</a></div><div class=c><p>{0}</p><p>more {0}</p></div><div class=z>always the same line</div></body></html>"
-    pages = spark.createDataFrame([(i, f"http://one.com/{i}", body.format(f"story {i} " * 30), "") for i in range(8)], "page_id long, url string, html string, x string")
-    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
-    assert all(got[i] == f"{('story %d ' % i) * 30}".strip() + "\n\nmore " + (f"story {i} " * 30).strip() for i in range(8))
+    """Plain elements only: links, the story, a note within its slot and a line below; classes decide all of it."""
+    body = "<div><a href=/>x</a> <a href=/y>y y y</a></div><div><p>{0}</p><p>Send this to a friend.</p><p>more {0}</p></div><div>always the same line</div>"
+    pages = pages_of(spark, "one.com", [body.format(story(i)) for i in range(8)])
+    want = {i: f"{story(i).strip()}\n\nmore {story(i).strip()}" for i in range(8)}
+    assert texts_of(pages) == want
+    rows = [r.asDict() for r in html_text.tokens(pages.select(F.lit(1).cast("long").alias("host"), "html")).collect()]
+    sets = [frozenset(x) for x in html_text.template(rows)]
+    assert html_text.main_text(pages.first().html, *sets) == want[0]
+    for i, r in enumerate(rows):  # without occurrence vectors there are no classes, no template and no slot
+        r["vector"] = i
+    assert html_text.template(rows) == ([], [], []) and "always the same line" in html_text.main_text(pages.first().html)
+
+
+def test_html_templates_of_several_layouts_and_a_page_that_departs(spark):
+    one = "<div class=t><a href=/>home page</a></div><div class=a><div class=b><p>{0}</p></div><div class=s><p>Side {1}</p></div></div><div>Same on all</div>"
+    two = "<div class=t><a href=/>home page</a></div><table><tr><td><a href=/1>one</a></td><td><p>{0}</p><p>Print this page</p></td></tr></table><div>Same on all</div>"
+    bodies = [one.format(story(i), i) for i in range(9)] + [two.format(story(i)) for i in range(9, 16)]
+    bodies.append(one.format(story(16), 16) + "<div class=a><div class=b><p>A second one</p></div></div>")
+    bodies += [two.format(story(i)) for i in range(17, 20)]
+    got = texts_of(pages_of(spark, "several.com", bodies))
+    assert got == {i: story(i).strip() for i in range(20)}
+
+
+def test_html_block_of_its_own_class_is_no_template(spark):
+    """A sentence on most pages, independent of the elements around it, is text; copies of one page stay whole."""
+    body = "<div class=t><a href=/>home page</a></div><div class=c><p>{0}</p>{1}</div>"
+    bodies = [body.format(story(i), "<p>As said before.</p>" if i % 5 else "") for i in range(15)]
+    got = texts_of(pages_of(spark, "said.com", bodies))
+    assert got == {i: story(i).strip() + ("\n\nAs said before." if i % 5 else "") for i in range(15)}
+    copies = texts_of(pages_of(spark, "copies.com", [body.format(story(1), "<p>Twice.</p>")] * 6))
+    assert set(copies.values()) == {story(1).strip() + "\n\nTwice."}
+
+
+def test_html_equal_siblings_are_taken_together(spark):
+    """No part of the text is taken for the whole, and a heading beside the text isn't lost."""
+    body = "<div class=c>" + "".join(f"<section><p>{{0}} part {k}</p></section>" for k in range(3)) + "</div>"
+    got = texts_of(pages_of(spark, "parts.com", [body.format(story(i)) for i in range(6)]))
+    assert got == {i: "\n\n".join(f"{story(i)}part {k}".replace("  ", " ") for k in range(3)) for i in range(6)}
+    titled = texts_of(pages_of(spark, "titled.com", [f"<div class=c><h1>Title {i}</h1><div class=d><p>{story(i)}</p></div></div>" for i in range(6)]))
+    assert titled == {i: f"Title {i}\n\n{story(i).strip()}" for i in range(6)}
+
+
+def test_html_hosts_beyond_the_broadcast_bound(spark, monkeypatch):
+    body = "<div><a href=/>x y z</a></div><div><p>{0}</p></div>"
+    pages = pages_of(spark, "hot.com", [body.format(story(i)) for i in range(40)])
+    monkeypatch.setattr(html_text, "BROADCAST_LONGS", 0)
+    assert texts_of(pages) == {i: story(i).strip() for i in range(40)}
 
 
 def test_html_finds_an_article_at_any_depth():
     page = "<body><div class=w>" + "<div>" * 14 + "<div>side one</div><article><header><h1>Title</h1></header><p>Story</p></article><div>side two</div>" + "</div>" * 14 + "</div></body>"
-    for content in (frozenset(), frozenset(["body/div.w"])):
-        assert html_text.main_text(page, content, frozenset()) == "Title\n\nStory"
+    body = next(e.token for e in html_text.read(page)[0] if e.tag == "body")
+    for good in (frozenset(), frozenset([body])):
+        assert html_text.main_text(page, good) == "Title\n\nStory"
+    deep = "<body>" + "<div>" * 3000 + "<p>one</p>" * 500 + "</body>"
+    assert html_text.main_text(deep) == "\n\n".join(["one"] * 500)
+
+
+def test_html_keeps_formulas_and_embedded_text():
+    assert html_text.main_text("<article><p>As <math><mi>a</mi><mo>+</mo><mi>b</mi></math> is</p><object data=x><p>Shown else</p></object></article>") == "As a+b is\n\nShown else"
 
 
 def test_html_leaves_out_what_is_named_or_hidden(spark):
@@ -348,8 +410,9 @@ def test_any_markup_is_survived():
     def survives(page):
         seen = list(html_text.events(page))
         assert sum(k == "open" for k, *_ in seen) == sum(k == "close" for k, *_ in seen)
-        html_text.occurrences(page)
-        text = html_text.main_text(page, frozenset(["article"]), frozenset())
+        elements, blocks = html_text.read(page)
+        assert all(0 <= e.first <= e.end <= len(blocks) for e in elements)
+        text = html_text.main_text(page, frozenset(e.token for e in elements[1:3]))
         assert all(b and b == " ".join(b.split()) for b in text.split("\n\n")) or text == ""
 
     survives()
