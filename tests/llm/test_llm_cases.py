@@ -177,11 +177,142 @@ def test_fingerprints_depend_on_order_and_ranges(spark):
     assert follow == {i: (i - 1) % 50 for i in range(50)}
 
 
+MIT = """MIT License
+
+Copyright (c) 2019 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD3 = """Copyright 2011 The Owners. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+   * Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+   * Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the
+distribution.
+   * Neither the name of Some Firm Inc. nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR
+A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+OWNER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE).
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GNU = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU {1}General Public License as published by
+the Free Software Foundation{2} either version {3} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {1}General Public License for more details.
+
+You should have received a copy of the GNU {1}General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+ISC = """ISC License
+
+Copyright (c) 2004-2010 by Some Consortium, Inc. ("ISC")
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND ISC DISCLAIMS ALL WARRANTIES.
+"""
+PUBLISHED = {
+    "MIT": MIT, "BSD-3-Clause": BSD3, "BSD-2-Clause": BSD3.replace(BSD3[BSD3.index("   * Neither") : BSD3.index("THIS SOFTWARE")], "\n"), "Apache-2.0": APACHE,
+    "GPL-3.0-or-later": GNU.format(":", "", ",", 3), "GPL-2.0-or-later": GNU.format(";", "", ";", 2), "LGPL-2.1-or-later": GNU.format(";", "Lesser ", ";", "2.1"),
+    "AGPL-3.0-or-later": GNU.format(":", "Affero ", ",", 3), "MPL-2.0": MPL, "ISC": ISC, "CC-BY-SA-4.0": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International Licence.",
+    "LGPL-3.0-only": "SPDX-License-Identifier: LGPL-3.0-only\ncode follows",
+}
+
+
+def test_published_licenses(spark):
+    """As published, on one line, and as comments of three kinds, after and before other text."""
+    ways = [
+        lambda t: t, lambda t: " ".join(t.split()), lambda t: "".join(f"// {x}\n" for x in t.splitlines()), lambda t: "".join(f"#   {x}\r\n" for x in t.splitlines()),
+        lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.splitlines()) + " */\nint main", lambda t: f"Some words without an end\n{t}\n\nMore words.",
+    ]
+    cases = [(name, way(text)) for name, text in PUBLISHED.items() for way in ways]
+    got = {r.doc_id: r for r in licenses.scan(table(spark, [t for _, t in cases])).collect()}
+    for i, (name, text) in enumerate(cases):
+        if "SPDX" in text and "\n" not in text.strip():
+            continue  # on one line with what follows, the identifier has no end
+        assert got[i].licenses == [name], (name, text[:200], got[i])
+    assert got[0].n_unknown == 0 and got[0].n_unclaimed == 1  # the copyright line
+
+
 def test_licenses(odd, empty, spark):
-    assert licenses.scan(odd).count() == odd.count() and licenses.scan(empty).count() == 0
+    got = {r.doc_id: tuple(r)[1:] for r in licenses.scan(odd).collect()}
+    assert got == {i: ([], [], 0, 0, 0) for i in range(len(TEXTS))} and licenses.scan(odd).count() == odd.count()
+    assert licenses.scan(empty).count() == 0
     text = "Intro. Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.\nReleased under the MIT License.\nAn unheard-of license text here\nAll rights reserved"
     r = licenses.scan(table(spark, [text])).first()
-    assert r.licenses == ["Apache-2.0", "MIT", "Proprietary"] and r.sentence_ids == ["ApacheVer2", "ApacheNotUse", "MitName", "AllRights"] and (r.n_known, r.n_unclaimed, r.n_unknown) == (4, 0, 1)
+    assert r.licenses == ["Apache-2.0", "MIT"] and r.sentence_ids == ["ApacheVer2", "ApacheNotUse", "MitName", "AllRights"] and (r.n_known, r.n_unclaimed, r.n_unknown) == (4, 1, 0)
+    long = LONG + ". " + MIT + "\nlicense words " * 40_000 + "\n\nreleased under the mit license"
+    r = licenses.scan(table(spark, [long])).first()
+    assert r.licenses == ["MIT"] and r.sentence_ids[-1] == "MitName" and r.n_unknown == 1
+
+
+def test_license_sentences_of_a_caller(spark):
+    """A known sentence without a cue word is found as well."""
+    docs = table(spark, ["Hello there. Share and enjoy!\nBye", "no such thing"])
+    got = [r.licenses for r in licenses.scan(docs, sentences=(("Joy", "share and enjoy"),), rules=(("JOY", ("Joy",)),), patterns=()).orderBy("doc_id").collect()]
+    assert got == [["JOY"], []]
+
+
+def test_license_sql_on_published_texts(spark):
+    import duckdb
+
+    texts = [t for t in PUBLISHED.values()] + ["".join(f"# {x}\n" for x in t.splitlines()) for t in PUBLISHED.values()] + ["a licence\nreleased under the MIT licence", None, ""]
+    docs = table(spark, texts).select("doc_id", "text")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    mine, theirs = licenses.summary(licenses.scan(docs)).collect(), con.sql(licenses.oracle()).fetchall()
+    assert sorted(map(tuple, mine)) == sorted(theirs) and len(mine) == len(texts)
 
 
 def test_url_rules(spark):
