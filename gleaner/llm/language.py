@@ -7,7 +7,8 @@ the nearest codeword; a text is flagged as ambiguous if the runner-up is nearly
 
 Defined cases: a text that is null or has no letter is `und` with score 0; with no labelled row, all texts are `und`;
 with one language, it is predicted for all; equal distances go to the first language by code point; repeated rows
-count as often as they occur in training; extra columns stay out. Texts are read whole, in slices of SLICE bytes.
+count as often as they occur in training; an empty table gives an empty result; extra columns stay out. Texts are read
+whole, in slices of SLICE bytes, and in training each n-gram counts as often as it occurs.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.llm.shared import stored, unit
+
 #: Hashed n-grams (a power of two), their lengths in bytes, and bytes handled at once.
 DIMS, GRAMS, SLICE = 1 << 14, (2, 3, 4), 1 << 20
 #: Training takes about so many rows of each language, chosen by a hash of the row's id: a bounded sample.
@@ -105,8 +108,6 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if not languages:
         return Model([], np.ones((0, 1)), np.zeros((DIMS, 1)), np.ones((0, 1)))
     share = F.create_map(*[F.lit(x) for r in there for x in (r[0], min(1.0, rows / r[1]))])
-    from gleaner.llm.shared import stored, unit
-
     sample = stored(labelled.filter(unit(F.col(id_col).cast("string"), F.lit(11)) < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), "language-sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,7 +115,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 c = counts(text)
-                sums[lang] = sums[lang] + np.minimum(c, 50) if lang in sums else np.minimum(c, 50)
+                sums[lang] = sums[lang] + c if lang in sums else c
         for lang, c in sums.items():
             at = np.flatnonzero(c)
             yield pd.DataFrame({"lang": lang, "gram": at.astype(np.int32), "n": c[at]})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,39 +12,62 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast up to so many rows of a few fixed-size columns (about 2 MB).
 BROADCAST_ROWS = 20_000
 
-_made: list[tuple[SparkSession, str]] = []
+_at: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()  # where stored tables are
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a folder of our own only if it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset, a local session gets a folder of its own, and a
+    cluster an error, as a local folder there would scatter the tables over the executors."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = f"file://{tempfile.gettempdir()}/gleaner-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='gleaner-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh place for a table in the shared folder."""
-    path = f"{shared_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
+    return f"{shared_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage is cut, and lost executors cost nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that stored() made in this session, once the results that read them are written."""
-    jvm = spark.sparkContext._jvm
-    for item in [x for x in _made if x[0] is spark]:
-        path = jvm.org.apache.hadoop.fs.Path(item[1])
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        _made.remove(item)
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage is cut, and lost executors cost nothing.
+
+    The table is deleted when the driver ends, or before by `drop`.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    df.write.options(**options).parquet(path)
+    place, files = _file_system(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    _at[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete stored tables that no result reads any more."""
+    for df in tables:
+        place, files = _file_system(df.sparkSession, _at.pop(df))
+        files.delete(place, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each changed until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -66,11 +90,11 @@ def look_up(left: DataFrame, right: DataFrame, on: str, weight: str, rows: int,
 
     Keys with over 1/share of the rows (so `share` keys at most) are broadcast; all others are joined by shuffle.
     """
-    values = [c for c in right.columns if c != on]
-    hot = right.filter(F.col(weight) > max(1000, rows // share)).select(on, F.struct(*values).alias("__hot"))
+    values, mark = [c for c in right.columns if c != on], fresh(left, "__hot")[0]
+    hot = right.filter(F.col(weight) > max(1000, rows // share)).select(on, F.struct(*values).alias(mark))
     marked = left.join(F.broadcast(hot), on, "left")
-    found = marked.filter(F.col("__hot").isNotNull()).select(*left.columns, *[F.col(f"__hot.{c}").alias(c) for c in values])
-    return found.unionByName(marked.filter(F.col("__hot").isNull()).select(*left.columns).join(right, on))
+    found = marked.filter(F.col(mark).isNotNull()).select(*left.columns, *[F.col(f"{mark}.{c}").alias(c) for c in values])
+    return found.unionByName(marked.filter(F.col(mark).isNull()).select(*left.columns).join(right, on))
 
 
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -97,7 +121,10 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     now = stored(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), name)
     seen = mark(now)
     while seen[0]:
-        now = stored(small(stored(large(now).distinct(), name)).distinct(), name)
+        halfway = stored(large(now).distinct(), name)
+        drop(now)
+        now = stored(small(halfway).distinct(), name)
+        drop(halfway)
         last, seen = seen, mark(now)
         if last == seen:
             break
@@ -112,9 +139,10 @@ def parted(df: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, DataFram
     h = F.xxhash64(on)
     # not pmod, which may be null: the optimizer would test that by computing the key a second time
     word, bit = h.bitwiseAND(F.lit((1 << 17) - 1)), F.shiftright(h, 17).bitwiseAND(F.lit(63)).cast("int")
-    words = keys.select(word.alias("__word"), F.call_function("shiftleft", F.expr("1L"), bit).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
-    marked = df.withColumn("__word", word).join(F.broadcast(words), "__word", "left")
-    hit = F.call_function("shiftrightunsigned", F.coalesce("__bits", F.lit(0).cast("long")), bit).bitwiseAND(F.expr("1L")) == 1
+    at, bits = fresh(df, "__word", "__bits")
+    words = keys.select(word.alias(at), F.call_function("shiftleft", F.expr("1L"), bit).alias("b")).groupBy(at).agg(F.bit_or("b").alias(bits))
+    marked = df.withColumn(at, word).join(F.broadcast(words), at, "left")
+    hit = F.call_function("shiftrightunsigned", F.coalesce(bits, F.lit(0).cast("long")), bit).bitwiseAND(F.expr("1L")) == 1
     own = [F.col(f"`{c}`") for c in df.columns]
     return marked.filter(hit).select(*own), marked.filter(~hit).select(*own)
 
