@@ -1,18 +1,19 @@
 """Exact deduplication with a log-structured merge index of text digests.
 
-Tasks put (digest, rows, best row) into a memtable; a full memtable is flushed as a run sorted by digest, in Parquet
-files with Bloom filters on the digest. Compaction merges all runs into one sorted level and keeps, for each digest,
-the row with the most code points and then the smallest identifier. Every document is then looked up; each hit, that
-is, each row of a digest with several rows, is compared byte for byte with the row that stays, and digests for which
-a comparison fails are grouped again by the whole normalised text.
+Tasks put (digest, rows, best row) into a memtable; a full memtable is flushed as a run sorted by digest, a file of its
+own. Compaction merges runs, and an older level if there is one, into one sorted level and keeps, for each digest, the
+row with the most code points and then the smallest identifier. The level's filter is a bitmap of bounded size of the
+digests that hold several rows. A document is looked up through the filter: one that it lets pass is looked for in the
+level, all others stay, without a join. Each hit, that is, each row of a digest with several rows, is compared byte for
+byte with the row that stays, and digests for which a comparison fails are grouped again by the whole normalised text.
 
 Hot groups: a memtable leaves one entry a digest and flush, whatever the number of rows; digests that hold over a
-thousandth of the rows (a thousand at most) are looked up by broadcast; in the byte comparison a group is dealt over
-one task for each SALT rows.
+thousandth of the rows (a thousand at most) are looked up by broadcast; their texts are dealt over one task for each
+SALT rows before the byte comparison.
 
-Defined cases: null text counts as empty and empty texts are equal; null identifiers come last; of rows that are equal
-in text and identifier one is kept; an empty table gives an empty result; extra columns stay out of `decide` and pass
-through `keep_one`.
+Defined cases: null text counts as empty and empty texts are equal; null identifiers come last, identifiers are of any
+ordered type; of rows that are equal in text and identifier one is kept; very long texts are hashed and compared whole;
+an empty table gives an empty result; extra columns stay out of `decide` and pass through `keep_one`, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from gleaner.llm.shared import bounded, look_up, new_path, parted, sift, stored
+from gleaner.llm.shared import bounded, drop, fresh, look_up, parted, sift, stored
 
 #: Entries of a memtable (about 30 MB); rows of a group that one task compares.
 MEMTABLE, SALT = 200_000, 256
@@ -33,19 +35,13 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\f\r", "")
 
 
-def _with_filters(df: DataFrame, name: str) -> DataFrame:
-    path = new_path(df.sparkSession, name)
-    df.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", str(MEMTABLE)).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def flush(keyed: DataFrame) -> DataFrame:
     """Sorted runs of (digest, rows, chars, id) from a table of (id, n_chars, digest)."""
     id_type = keyed.schema["id"].dataType
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type.simpleString()]
+    arrow = to_arrow_type(id_type)
 
-    def rank(chars: int, key):  # smaller is better
-        return (-chars, key is None, key if key is not None else 0)
+    def rank(chars: int, key):  # smaller is better; keys are compared only if neither is null
+        return (-chars, key is None, *(() if key is None else (key,)))
 
     def run(table: dict) -> pa.RecordBatch:
         rows = sorted(table.items())
@@ -71,26 +67,47 @@ def flush(keyed: DataFrame) -> DataFrame:
             yield run(table)
 
     runs = keyed.select("id", "n_chars", "digest").mapInArrow(work, f"digest binary, rows long, chars long, id {id_type.simpleString()}")
-    return _with_filters(runs, "lsm-runs")
+    return stored(runs, "lsm-runs", maxRecordsPerFile=str(MEMTABLE))  # a task's runs are full but for the last: a file each
 
 
-def compact(runs: DataFrame) -> DataFrame:
-    """One sorted level of (digest, group_size, keep_chars, keep_id)."""
+def compact(runs: DataFrame, older: DataFrame | None = None) -> DataFrame:
+    """One sorted level of (digest, group_size, keep_chars, keep_id) from runs and, if there is one, an older level."""
+    if older is not None:
+        runs = runs.unionByName(older.select("digest", F.col("group_size").alias("rows"), F.col("keep_chars").alias("chars"), F.col("keep_id").alias("id")))
     best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("n"), F.col("id").alias("id")))
     merged = runs.groupBy("digest").agg(F.sum("rows").alias("group_size"), best.alias("best"))
     level = merged.select("digest", "group_size", (-F.col("best.c")).alias("keep_chars"), F.col("best.id").alias("keep_id"))
-    return _with_filters(level.sortWithinPartitions("digest"), "lsm-level")
+    return stored(level.sortWithinPartitions("digest"), "lsm-level")
+
+
+def _several(level: DataFrame) -> DataFrame:
+    return level.filter(F.col("group_size") > 1)
+
 
+def look_up_all(keyed: DataFrame, level: DataFrame, rows: int) -> DataFrame:
+    """`keyed` with group_size, keep_chars and keep_id: from the level for rows that pass its filter, for all others their own."""
+    maybe, alone = parted(keyed, _several(level).select("digest"), "digest")
+    return look_up(maybe, level, "digest", "group_size", rows).unionByName(alone.withColumns({"group_size": F.lit(1).cast("long"), "keep_chars": F.col("n_chars"), "keep_id": F.col("id")}))
 
-def _failing(texts: DataFrame, index: DataFrame) -> DataFrame:
-    """Digests under which some row's bytes differ from those of the row that stays."""
-    several = index.filter(F.col("group_size") > 1).withColumn("salts", F.ceil(F.col("group_size") / SALT))
-    hits = stored(sift(texts, several, "digest").join(several, "digest"), "lsm-hits")
+
+def _failing(texts: DataFrame, level: DataFrame, rows: int) -> DataFrame:
+    """Digests under which some row's bytes differ from those of the row that stays.
+
+    Hot digests (a thousand at most) are known by broadcast before the join, so that their texts are dealt over salts.
+    """
+    several = _several(level).withColumn("salts", F.ceil(F.col("group_size") / SALT).cast("int"))
+    is_hot = F.col("group_size") > max(1000, rows // 1000)
+    hot = F.broadcast(several.filter(is_hot).select("digest", F.col("salts").alias("deal")))
+    dealt = sift(texts, several, "digest").join(hot, "digest", "left").withColumn("at", F.when(F.col("deal").isNotNull(), F.pmod(F.xxhash64("id"), F.col("deal"))).otherwise(0).cast("int"))
+    spread = several.withColumn("at", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.lit(0)))))
+    hits = stored(dealt.join(spread, ["digest", "at"]).drop("at", "deal"), "lsm-hits")
     stays = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
     kept = hits.filter(stays).groupBy("digest").agg(F.max("salts").alias("salts"), F.min("norm").alias("kept_norm"))
-    kept = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1))).select("digest", "salt", "kept_norm")
+    kept = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("digest", "salt", "kept_norm")
     copies = hits.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.col("salts")).cast("int")).select("digest", "salt", "norm")
-    return copies.join(kept, ["digest", "salt"]).filter(F.col("norm") != F.col("kept_norm")).select("digest").distinct()
+    failing = stored(copies.join(kept, ["digest", "salt"]).filter(F.col("norm") != F.col("kept_norm")).select("digest").distinct(), "lsm-failing")
+    drop(hits)
+    return failing
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32) -> DataFrame:
@@ -99,11 +116,13 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     texts = docs.select(F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"), normalised(F.col(text_col)).alias("norm"))
     texts = texts.withColumn("sha", sha).withColumn("digest", F.substring("sha", 1, digest_bytes))
     keyed = stored(texts.select("id", "n_chars", "digest", "sha"), "lsm-digests")
-    index = compact(flush(keyed))
+    runs = flush(keyed)
+    level = compact(runs)
+    drop(runs)
     rows = keyed.count()
-    failing = stored(_failing(texts, index), "lsm-failing")
+    failing = _failing(texts, level, rows)
     n = failing.count()
-    found = look_up(keyed, index, "digest", "group_size", rows)
+    found = look_up_all(keyed, level, rows)
     if n:  # digests that stand for several texts: group their rows by the text itself
         found = found.join(bounded(failing, n), "digest", "left_anti")
         clash = texts.join(bounded(failing, n), "digest", "left_semi")
@@ -116,6 +135,15 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     return found.withColumn("kept", kept).select("id", "keep_id", "group_size", "kept", "sha", "n_chars")
 
 
+def add(docs: DataFrame, level: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The level after a batch of documents: runs of the batch are merged with the older level, whose documents aren't read again."""
+    sha = F.coalesce(F.unhex(F.sha2(normalised(F.col(text_col)), 256)), F.lit(b""))
+    runs = flush(docs.select(F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"), sha.alias("digest")))
+    merged = compact(runs, level)
+    drop(runs)
+    return merged
+
+
 def report(decided: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return decided.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
@@ -123,18 +151,19 @@ def report(decided: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def keep_one(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with their columns. Only rows whose identifier may be that of a dropped one are hashed and shuffled."""
     own = [F.col(f"`{c}`") for c in docs.columns]
-    names = [F.col("id").alias("__id"), F.col("sha").alias("__sha"), F.col("n_chars").alias("__chars")]
+    key, chars, sha, number = fresh(docs, "__key", "__chars", "__sha", "__number")
+    names = [F.col("id").alias("id"), F.col("sha").alias("sha"), F.col("n_chars").alias("chars")]
     dropped, kept = decided.filter(~F.col("kept")).select(*names), decided.filter("kept").select(*names)
-    both = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("__id", "__sha", "__chars")]
+    both = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("id", "sha", "chars")]
     twins = kept.alias("a").join(dropped.alias("b"), both, "left_semi").limit(1).count()
-    maybe, rest = parted(docs.withColumn("__key", F.xxhash64(id_col)), dropped.select(F.xxhash64("__id").alias("__key")), "__key")
-    maybe = maybe.withColumns({"__c": F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), "__s": F.coalesce(F.unhex(F.sha2(normalised(F.col(text_col)), 256)), F.lit(b""))})
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__sha")) & (F.col("__c") == F.col("__chars"))
+    maybe, rest = parted(docs.withColumn(key, F.xxhash64(id_col)), dropped.select(F.xxhash64("id").alias(key)), key)
+    maybe = maybe.withColumns({chars: F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), sha: F.coalesce(F.unhex(F.sha2(normalised(F.col(text_col)), 256)), F.lit(b""))})
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("k.id")) & (F.col(f"d.{sha}") == F.col("k.sha")) & (F.col(f"d.{chars}") == F.col("k.chars"))
     if twins:  # rows equal in id and text: number them, and keep the first
-        maybe = maybe.withColumn("__k", F.row_number().over(Window.partitionBy(id_col, "__s", "__c").orderBy(F.lit(1)))).filter("__k = 1")
-        stays = maybe.join(kept, same, "left_semi")
+        maybe = maybe.withColumn(number, F.row_number().over(Window.partitionBy(id_col, sha, chars).orderBy(F.lit(1)))).filter(F.col(number) == 1)
+        stays = maybe.alias("d").join(kept.alias("k"), same, "left_semi")
     else:
-        stays = maybe.join(dropped, same, "left_anti")
+        stays = maybe.alias("d").join(dropped.alias("k"), same, "left_anti")
     return stays.select(*own).unionByName(rest.select(*own))
 
 

@@ -1,24 +1,30 @@
 """N-gram Jaccard self-join of documents by chosen paths.
 
-A document is the set of hashes of its five-word shingles; documents of one set are one class. In each of RUNS runs
-every class chooses one of its tokens by a hash function of that run (the token of least hash, so two sets choose
-alike with a probability equal to their similarity); classes that chose one token share a node. A node of over SPLIT
-classes is split by the nodes of its classes in other runs. Nodes of one class are dropped, nodes of LIMIT classes at
-most are compared by brute force, and larger ones in pairs of blocks of that size, so that nothing is capped.
-
-Two classes are compared where they first meet, and only if they share at least NEED of the RUNS nodes (a sketch made
-of the keys themselves); the comparison itself is exact, on the whole sets. For a pair of similarity s the chance to
-be missed is that of fewer than NEED hits in RUNS trials; `runs_and_need` keeps it below LOSS at the similarity asked
-for (2.5e-7 with 16 runs and 4 hits at 0.8). Splitting loses nothing: runs are dealt over NEED - 1 groups, so of NEED
-shared nodes two are of one group, and a split node has a part for each later run of its group.
+A document is the set of hashes of its five-word shingles; documents of one set are one class. RUNS hash functions each
+choose one token of a class (the token of least hash, so two sets choose alike with a probability equal to their
+similarity). Each run begins a path with the token of its own function; classes that chose one token share a node. A
+node of over SPLIT classes is split by the tokens of CHILDREN further functions, which the node itself draws among those
+not yet on its path, and its parts are split again until they are small: unlike classes part quickly, as the chance of a
+common path falls with each step, while a pair at 0.8 has 1.6 common parts to expect from each. A part that keeps most
+of its node isn't split further, as its classes are alike. Nodes of one class are dropped, nodes of LIMIT classes at most
+are compared by brute force, and larger ones in pairs of blocks of that size, so that nothing is capped.
+
+Two classes are compared at one of the nodes they share, and only if the functions agree on NEED of their tokens or
+more (a sketch made of the keys themselves); the comparison itself is exact, on the whole sets. `runs_and_need` repeats runs until a pair
+of the similarity asked for is lost with a chance below LOSS, by having too few hits (16 runs and 4 hits at 0.8: 2.5e-7).
+Where nodes are split that chance grows with the steps, as some paths end: simulated at exactly 0.8, a pair is lost with
+a chance of 3e-4 if all its nodes are split 3 times, of 0.7 % at 6 and of 9 % at 10 times (nodes of over 2 million texts
+that share half of their shingles); at 0.9 with one below 1e-4 at 10 times.
 
 What moves: keys of classes, then sets of those that have a likely partner, once for each node in which a partner is
-first met. Their documents are picked by a Bloom filter of bounded size in a second scan, so no text is shuffled. Links are counted where they are found and only sums leave a task, with edges to one member of each group
-of linked classes; pairs are never written out.
+met. Their documents are picked by a Bloom filter of bounded size in a second scan, so no text is shuffled. Links are
+counted where they are found and only sums leave a task, with edges to one member of each group of linked classes; pairs
+are never written out.
 
 Defined cases: null text counts as empty; empty texts are one class, linked to each other only; a text of fewer than
-five words is one shingle; repeated rows are documents of their class; null identifiers take part but name a class
-only if it has no other; an empty table gives an empty result; extra columns stay out of `join`, and pass through `keep_one`.
+five words is one shingle; very long texts are read whole; repeated rows are documents of their class; equal hashes: a
+class chooses one token all the same; null identifiers take part but name a class only if it has no other; an empty
+table gives an empty result; extra columns stay out of `join`, and pass through `keep_one`, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,9 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import connected, look_up, parted, stored
+from gleaner.llm.shared import connected, drop, fresh, look_up, parted, stored
 
-WORDS, SIMILARITY, RUNS, LIMIT, SPLIT, LOSS = 5, 0.8, 16, 500, 5000, 2.5e-7
+WORDS, SIMILARITY, RUNS, LIMIT, SPLIT, LOSS = 5, 0.8, 16, 500, 2000, 2.5e-7
+#: Functions that split a node; a part with this share of its node isn't split further.
+CHILDREN, DENSE = 2, 0.75
 #: Words that a worker remembers the hash of; shingles hashed at once; pairs of a group compared one by one.
 REMEMBERED, CHUNK, FEW = 200_000, 4096, 8
 #: Power of two of the bits (8 MB) of the filter that picks the documents whose sets are read again.
@@ -118,11 +126,12 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int, runs: int
     return plain.mapInArrow(work, f"id {plain.schema['id'].dataType.simpleString()}, th long, set binary, k1 array<long>")
 
 
-def _nodes(classes: DataFrame, limit: int, split: int, runs: int, need: int) -> DataFrame:
-    """set, n_docs, unit, run, second, block, within, path: a row for each node or part of one (or pair of its blocks) that a class shares.
+def _nodes(classes: DataFrame, limit: int, split: int, runs: int) -> tuple[DataFrame, list[DataFrame]]:
+    """set, n_docs, unit, run, leaf, block, within, path, leaves: a row for each node (or pair of its blocks) that a class shares,
+    and the stored tables it reads.
 
-    path: the nodes of the class by run, 0 where it is alone, odd where the node is split. second: the later run by
-    whose nodes a split node is parted, else -1.
+    path: the first nodes of the class by run, 0 where it is alone, odd where the node is split. run: of a first node that isn't
+    split, else -1; leaf: the split node's part, else 0, and leaves: all such parts of the class, in order.
     """
     keys = classes.filter(F.size("k1") > 0).select("set", "n_docs", F.posexplode("k1").alias("run", "k1"))
     shared = stored(keys.groupBy("run", "k1").agg(F.count("*").alias("n")).filter("n > 1"), "paths-first")
@@ -131,20 +140,46 @@ def _nodes(classes: DataFrame, limit: int, split: int, runs: int, need: int) ->
     grouped = members.groupBy("set", "n_docs").agg(F.collect_list(F.struct("run", node.alias("node"), "n")).alias("at"))  # one for each run at most
     path = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.coalesce(F.get(F.filter("at", lambda x: x["run"] == r), F.lit(0))["node"], F.lit(0)))
     rows = grouped.select("set", "n_docs", path.alias("path"), F.explode("at").alias("x")).select("set", "n_docs", "path", "x.*")
-    small = rows.filter(F.col("n") <= split).withColumn("second", F.lit(-1))
+    none = F.expr("cast(array() as array<bigint>)")
+    small = rows.filter(F.col("n") <= split).withColumns({"leaf": F.lit(0).cast("long"), "leaves": none})
+    tables = [shared]
     if shared.filter(F.col("n") > split).limit(1).count():
-        later = F.filter(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: (r > F.col("run")) & ((r - F.col("run")) % (need - 1) == 0) & (F.get("path", r) != 0))
-        large = rows.filter(F.col("n") > split).drop("n").withColumn("second", F.explode(later))
-        large = stored(large.withColumn("node", F.xxhash64("node", "second", F.get("path", F.col("second")))), "paths-parts")
-        again = large.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        small = small.unionByName(large.join(again.hint("merge"), "node"))
+        ends, tables = _leaves(rows.filter(F.col("n") > split), split, runs, tables)
+        of_class = ends.groupBy("set").agg(F.array_sort(F.collect_list("node")).alias("leaves"))
+        small = small.unionByName(ends.join(of_class, "set").withColumns({"run": F.lit(-1), "leaf": F.col("node")}))
     blocks = F.ceil(F.col("n") / limit).cast("int")
     rows = small.withColumn("block", F.pmod(F.xxhash64("set"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    return rows.select(F.xxhash64("node", lo, hi).alias("unit"), "run", "second", "block", (lo == hi).alias("within"), "set", "n_docs", "path")
+    return rows.select(F.xxhash64("node", lo, hi).alias("unit"), "run", "leaf", "block", (lo == hi).alias("within"), "set", "n_docs", "path", "leaves"), tables
 
 
-_FIELDS = "unit long, run int, second int, block int, within boolean, set binary, n_docs long, path array<long>"
+def _leaves(large: DataFrame, split: int, runs: int, tables: list[DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
+    """Parts of nodes, split on until they are small, alike, or all functions are on their path: set, n_docs, path, node, n. A job a level."""
+    bit = lambda r: F.call_function("shiftleft", F.lit(1).cast("long"), r)
+    level = large.select("set", "n_docs", "path", "node", "n", bit(F.col("run")).alias("used"))
+    ends = []
+    while True:
+        at = F.pmod(F.xxhash64("node"), F.lit(runs)).cast("int")
+        free = F.filter(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda i: F.pmod(at + i, F.lit(runs)).cast("int")), lambda r: F.col("used").bitwiseAND(bit(r)) == 0)
+        parts = level.withColumn("r", F.explode(F.slice(free, 1, CHILDREN))).filter(F.get("path", F.col("r")) != 0)
+        parts = parts.select("set", "n_docs", "path", F.xxhash64("node", "r", F.get("path", F.col("r"))).alias("node"), F.col("n").alias("of"), F.col("used").bitwiseOR(bit(F.col("r"))).alias("used"))
+        parts = stored(parts, "paths-parts")
+        sizes = parts.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+        now = stored(parts.join(sizes.hint("merge"), "node"), "paths-level")
+        drop(parts)
+        tables.append(now)
+        whole = (F.col("n") <= split) | (F.col("n") >= DENSE * F.col("of")) | (F.bit_count("used") >= runs)
+        ends.append(now.filter(whole).select("set", "n_docs", "path", "node", "n"))
+        level = now.filter(~whole).drop("of")
+        if not level.limit(1).count():
+            break
+    out = ends[0]
+    for more in ends[1:]:
+        out = out.unionByName(more)
+    return out, tables
+
+
+_FIELDS = "unit long, run int, leaf long, block int, within boolean, set binary, n_docs long, path array<long>, leaves array<long>"
 
 
 def _groups(batches: Iterator[pa.RecordBatch], once: bool = False) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -188,44 +223,36 @@ def _paths(t: pa.Table) -> np.ndarray:
     return t.column("path").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
 
 
-def _earlier(same, split, run: int, second: int, need: int) -> np.ndarray | bool:
-    """Which pairs meet before this unit. same, split: functions of a run (do they share its node, is that node split)."""
-
-    def part(r: int, end: int) -> np.ndarray | bool:
-        met = False
-        for later in range(r + need - 1, end, need - 1):
-            met = met | same(later)
-        return met
-
-    out = part(run, second)
-    for r in range(run):
-        out = out | (same(r) & (~split(r) | part(r, same.runs)))
-    return out
-
-
-class _Same:
-    """Do the classes of a pair share the node of a run: for the pairs (a[i], b[i]), or for all of a and b crossed."""
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [x.values.to_numpy() for x in column]
 
-    def __init__(self, a: np.ndarray, b: np.ndarray):
-        self.a, self.b, self.runs, self.known = a, b, a.shape[-1], {}
 
-    def __call__(self, r: int) -> np.ndarray:
-        if r not in self.known:
-            self.known[r] = (self.a[..., r] == self.b[..., r]) & (self.a[..., r] != 0)
-        return self.known[r]
+def _met_before(leaves: list[np.ndarray], leaf: int) -> np.ndarray:
+    """Matrix of pairs that share a part of a smaller number."""
+    less = [x[: np.searchsorted(x, leaf)] for x in leaves]
+    owner = np.repeat(np.arange(len(less)), [len(x) for x in less])
+    names, which = np.unique(np.concatenate(less), return_inverse=True)
+    m = np.zeros((len(less), len(names)), np.float32)
+    m[owner, which] = 1
+    return m @ m.T > 0
 
-    def split(self, r: int) -> np.ndarray:
-        return self.a[..., r] & 1 == 1
 
+def _likely(paths: np.ndarray, run: int, leaf: int, leaves: list[np.ndarray], block: np.ndarray, within: bool, need: int) -> np.ndarray:
+    """Matrix of pairs to compare in this unit: i < j (or of two blocks), with `need` hits, and compared in no other.
 
-def _likely(paths: np.ndarray, run: int, second: int, block: np.ndarray, within: bool, need: int) -> np.ndarray:
-    """Matrix of pairs to compare in this unit: i < j (or of two blocks), first met here, with `need` hits."""
-    n = len(paths)
-    same = _Same(paths[:, None, :], paths[None, :, :])
-    hits = np.zeros((n, n), np.uint16)
-    for r in range(same.runs):
-        hits += same(r)
-    out = (hits >= need) & ~(np.zeros((n, n), bool) | _earlier(same, same.split, run, second, need))
+    A pair is compared in the first run whose node it shares unsplit, or else in the part of least number that it shares.
+    """
+    n, runs = len(paths), paths.shape[1]
+    hits, before = np.zeros((n, n), np.uint16), np.zeros((n, n), bool)
+    for r in range(runs):
+        p = paths[:, r]
+        same = (p[:, None] == p[None, :]) & (p != 0)[:, None]
+        hits += same
+        if r < run or run < 0:
+            before |= same & (p & 1 == 0)[:, None]
+    if run < 0:
+        before |= _met_before(leaves, leaf)
+    out = (hits >= need) & ~before
     out &= np.triu(np.ones((n, n), bool), 1)
     if not within:
         out &= block[:, None] != block[None, :]
@@ -237,24 +264,24 @@ def _with_partner(need: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in _groups(batches):
-            paths, run, second = _paths(t), t.column("run").to_numpy(), t.column("second").to_numpy()
-            block, within = t.column("block").to_numpy(), t.column("within").to_numpy()
+            paths, run, leaf = _paths(t), t.column("run").to_numpy(), t.column("leaf").to_numpy()
+            block, within, leaves = t.column("block").to_numpy(), t.column("within").to_numpy(), t.column("leaves")
             keep = np.zeros(t.num_rows, bool)
             sizes = np.diff(starts)
             two = starts[:-1][sizes == 2]
             a, b = paths[two], paths[two + 1]
             same = (a == b) & (a != 0)
             ok = (same.sum(1) >= need) & (within[two] | (block[two] != block[two + 1]))
-            whole = (same & (a & 1 == 0)).argmax(1) == run[two]  # no split node shared: the first run shared is this one
-            mixed = (same & (a & 1 == 1)).any(1)
-            for i in np.flatnonzero(ok & mixed):
-                pair = _Same(a[i], b[i])
-                whole[i] = not _earlier(pair, pair.split, int(run[two[i]]), int(second[two[i]]), need)
-            ok &= whole
+            plain = same & (a & 1 == 0)
+            ok &= np.where(run[two] >= 0, plain.argmax(1) == run[two], ~plain.any(1))
+            for i in np.flatnonzero(ok & (run[two] < 0)):
+                at = int(two[i])
+                ok[i] = not _met_before(_lists(leaves.slice(at, 2)), int(leaf[at]))[0, 1]
             keep[two[ok]] = keep[two[ok] + 1] = True
             for k in np.flatnonzero(sizes > 2):
                 s, at = slice(starts[k], starts[k + 1]), starts[k]
-                likely = _likely(paths[s], run[at], second[at], block[s], bool(within[at]), need)
+                told = _lists(leaves.slice(at, sizes[k])) if run[at] < 0 else []
+                likely = _likely(paths[s], run[at], leaf[at], told, block[s], bool(within[at]), need)
                 keep[s] = likely.any(0) | likely.any(1)
             yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
 
@@ -288,13 +315,14 @@ def _overlaps(sets: list[np.ndarray], likely: np.ndarray) -> np.ndarray:
 def _verified(similarity: float, need: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in _groups(batches, once=True):
-            paths, run, second, n_docs = _paths(t), t.column("run").to_numpy(), t.column("second").to_numpy(), t.column("n_docs").to_numpy()
-            block, within = t.column("block").to_numpy(), t.column("within").to_numpy()
+            paths, run, leaf, n_docs = _paths(t), t.column("run").to_numpy(), t.column("leaf").to_numpy(), t.column("n_docs").to_numpy()
+            block, within, leaves = t.column("block").to_numpy(), t.column("within").to_numpy(), t.column("leaves")
             keys, raw = t.column("set").to_pylist(), t.column("tokens")
             found: list[tuple[bytes, int, bytes]] = []
             for k in range(len(starts) - 1):
-                s = slice(starts[k], starts[k + 1])
-                likely = _likely(paths[s], run[starts[k]], second[starts[k]], block[s], bool(within[starts[k]]), need)
+                s, at = slice(starts[k], starts[k + 1]), starts[k]
+                told = _lists(leaves.slice(at, starts[k + 1] - at)) if run[at] < 0 else []
+                likely = _likely(paths[s], run[at], leaf[at], told, block[s], bool(within[at]), need)
                 if not likely.any():
                     continue
                 sets = [np.frombuffer(raw[i].as_py(), np.uint64) for i in range(starts[k], starts[k + 1])]
@@ -357,8 +385,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     one = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th"))
     classes = sketches.groupBy("set").agg(F.count("*").alias("n_docs"), one.alias("rep"), F.first("k1").alias("k1"))
     classes = stored(classes.select("set", "n_docs", F.col("rep.id").alias("set_id"), F.col("rep.th").alias("rep_th"), "k1"), "paths-classes")
-    likely = _nodes(classes, limit, split, runs, need).repartition("unit").sortWithinPartitions("unit").mapInArrow(_with_partner(need), _FIELDS)
-    likely = stored(likely, "paths-likely")
+    nodes, tables = _nodes(classes, limit, split, runs)
+    likely = stored(nodes.repartition("unit").sortWithinPartitions("unit").mapInArrow(_with_partner(need), _FIELDS), "paths-likely")
+    drop(*tables)
     wanted = stored(classes.join(likely.select("set").distinct(), "set").select(F.col("rep_th").alias("th")), "paths-wanted")
     bloom = _bloom(wanted)
     told = docs.sparkSession.sparkContext.broadcast(bloom)
@@ -366,7 +395,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     places = [F.pmod(F.xxhash64(th, F.lit(i)), F.lit(32 * len(bloom))).alias(f"p{i}") for i in range(4)]
     sets = docs.select(F.col(text_col).alias("t"), *places).mapInArrow(_tokens(words, told), "set binary, tokens binary")
     units = likely.join(sets, "set").repartition("unit").sortWithinPartitions("unit", "set")
-    found = stored(units.select("unit", "run", "second", "block", "within", "set", "n_docs", "path", "tokens").mapInArrow(_verified(similarity, need), "set binary, docs long, root binary"), "paths-links")
+    found = stored(units.select("unit", "run", "leaf", "block", "within", "set", "n_docs", "path", "leaves", "tokens").mapInArrow(_verified(similarity, need), "set binary, docs long, root binary"), "paths-links")
+    drop(likely, wanted)
     links = found.groupBy("set").agg(F.sum("docs").alias("links"))
     roots = connected(found.select(F.col("set").alias("a"), F.col("root").alias("b")), "paths-components")
     known = classes.select("set", "n_docs", "set_id").join(links, "set", "left").join(roots.withColumnRenamed("node", "set"), "set", "left")
@@ -381,14 +411,15 @@ def keep_one(docs: DataFrame, joined: DataFrame, id_col: str = "doc_id", text_co
     """The document of the smallest identifier of each group, with the columns of `docs`."""
     joined = stored(joined, "paths-joined")
     stays = F.col("id").eqNullSafe(F.col("class_id"))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__t"))
+    plain = [F.col(f"`{c}`") for c in docs.columns]
+    th, key, number = fresh(docs, "__th", "__key", "__number")
+    marked = docs.withColumn(th, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("k.id")) & (F.col(f"d.{th}") == F.col("k.th"))
     if joined.filter(stays).groupBy("class_id").count().filter("count > 1").limit(1).count():  # an identifier stands twice in a group
-        number = F.row_number().over(Window.partitionBy("class_id").orderBy("th"))
-        kept = joined.filter(stays).withColumn("k", number).filter("k = 1").select(F.col("id").alias("__id"), F.col("th").alias("__t"))
-        twin = F.row_number().over(Window.partitionBy(id_col, "__th").orderBy(F.lit(1)))
-        return marked.withColumn("__k", twin).filter("__k = 1").join(kept, same, "left_semi").select(*own)
-    dropped = joined.filter(~stays).select(F.col("id").alias("__id"), F.col("th").alias("__t"))
-    maybe, rest = parted(marked.withColumn("__key", F.xxhash64(id_col)), dropped.select(F.xxhash64("__id").alias("__key")), "__key")
-    return maybe.join(dropped, same, "left_anti").select(*own).unionByName(rest.select(*own))
+        first = F.row_number().over(Window.partitionBy("class_id").orderBy("th"))
+        kept = joined.filter(stays).withColumn("k", first).filter("k = 1").select("id", "th")
+        twin = F.row_number().over(Window.partitionBy(id_col, th).orderBy(F.lit(1)))
+        return marked.withColumn(number, twin).filter(F.col(number) == 1).alias("d").join(kept.alias("k"), same, "left_semi").select(*plain)
+    dropped = joined.filter(~stays).select("id", "th")
+    maybe, rest = parted(marked.withColumn(key, F.xxhash64(id_col)), dropped.select(F.xxhash64("id").alias(key)), key)
+    return maybe.alias("d").join(dropped.alias("k"), same, "left_anti").select(*plain).unionByName(rest.select(*plain))

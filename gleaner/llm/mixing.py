@@ -3,13 +3,18 @@
 A document of a source with target T and size S should be taken T/S times: `base` whole copies and a fraction. The
 fractions, as words of mass (size times fraction), are rounded in pairs: a coin decides the direction, and mass moves
 from one document to the other until one of the two has none or all of its words. A pair keeps its sum of words, so
-a source keeps its target. Pairs are made within blocks of about BLOCK documents, largest document first; each block hands the
-document that is still open to the next level, until BLOCK at most are left in a source. These meet one block of the
-source that was kept aside, and the last document open there is rounded; what that adds or takes is made good by documents of the same block, as far as they come nearer. No task sees more than two blocks.
+a source keeps its target, and each document's chance to be taken up is its fraction. Pairs are made within blocks of
+about BLOCK documents, largest document first; each block hands the document that is still open to the next level, until
+BLOCK at most are left in a source. These meet one block of the source that was kept aside, and a coin of its fraction's
+odds rounds the last document open there. What that adds or takes is made good by other documents of that block, in
+random order, each of no more words than are still amiss; as that is as likely to add as to take, it leaves each
+document's chance near its fraction. No task sees more than two blocks.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; documents of size 0 get no
-words; repeated rows are documents of their own; an empty table gives an empty result; extra columns stay out of
-`decide` and pass through `apply_mix` untouched.
+words; equal sizes are paired in the order of a hash of the identifier; repeated rows are documents of their own; very
+long texts count whole, and one longer than its source's target is taken as its coin says; an empty table gives an empty
+result; extra columns stay out of `decide` and pass through `apply_mix` untouched, whatever their names. Two windows see
+one row for each source.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.shared import bounded, let, stored, unit
+from gleaner.llm.shared import bounded, fresh, let, stored, unit
 
 BLOCK = 128
 WEIGHTS, RATIO, CAP, SEED = (3, 1, 2), 1.5, 2.0, 20_240_601
@@ -85,25 +90,20 @@ def _decided(x: Column, taken: Column) -> Column:
     return F.struct(x["id"].alias("id"), x["occ"].alias("occ"), x["size"].alias("size"), x["base"].alias("base"), taken.alias("more"))
 
 
-def _closed(r: Column) -> Column:
-    """All units of the last block, decided: the open one is rounded, and the error is passed along the others.
-
-    Both ways of rounding it are mended, and the one that ends nearer to the target holds.
-    """
+def _closed(r: Column, seed: int) -> Column:
+    """All units of the last block, decided: a coin rounds the open one, and the error is passed along the others in random order."""
     act = r["act"]
+    up = (act["mass"] > 0) & (unit(act["id"], act["occ"], act["size"], F.lit(seed)) * act["size"] < act["mass"])
+    error = F.when(up, act["size"] - act["mass"]).otherwise(-act["mass"]).cast("double")
 
-    def mend(acc: Column, d: Column) -> Column:
+    def mend(acc: Column, x: Column) -> Column:
+        d = x["d"]
         change = F.when(d["more"], -d["size"]).otherwise(d["size"]).cast("double")
         turn = (d["size"] > 0) & (acc["error"] * change < 0) & (d["size"] <= F.abs(acc["error"]))
-        same = F.struct(acc["error"].alias("error"), F.concat(acc["all"], F.array(_decided(d, d["more"]))).alias("all"))
-        other = F.struct((acc["error"] + change).alias("error"), F.concat(acc["all"], F.array(_decided(d, ~d["more"]))).alias("all"))
-        return F.when(turn, other).otherwise(same)
-
-    def tried(up: Column, error: Column) -> Column:
-        return F.aggregate(r["done"], F.struct(error.cast("double").alias("error"), F.array(_decided(act, up)).alias("all")), mend)
+        return F.struct((acc["error"] + F.when(turn, change).otherwise(0.0)).alias("error"), F.concat(acc["all"], F.array(_decided(d, d["more"] != turn))).alias("all"))
 
-    ways = F.array(tried(F.lit(False), -act["mass"]), tried(act["mass"] > 0, F.when(act["mass"] > 0, act["size"] - act["mass"]).otherwise(0)))
-    return let(ways, lambda w: F.when(F.abs(w[1]["error"]) < F.abs(w[0]["error"]), w[1]["all"]).otherwise(w[0]["all"]))
+    dealt = F.array_sort(F.transform(r["done"], lambda d: F.struct(F.xxhash64(d["id"], d["occ"], d["size"], F.lit(seed + 1)).alias("h"), d.alias("d"))))
+    return F.aggregate(dealt, F.struct(error.alias("error"), F.array(_decided(act, up)).alias("all")), mend)["all"]
 
 
 def decide(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, ratio=RATIO, cap=CAP, block=BLOCK, seed=SEED) -> DataFrame:
@@ -138,7 +138,7 @@ def decide(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source
         units = step.select("source", "r.act.*", F.ceil(F.col("blocks") / block).alias("blocks"))
         most, level = -(-most // block), level + 1
     last = folded(units.unionByName(aside) if level else units, level)
-    kept.append(last.select("source", F.explode(let(F.col("r"), _closed)).alias("d")))
+    kept.append(last.select("source", F.explode(let(F.col("r"), lambda r: _closed(r, seed))).alias("d")))
     out = kept[0]
     for more in kept[1:]:
         out = out.union(more)
@@ -155,14 +155,20 @@ def apply_mix(docs: DataFrame, decisions: DataFrame, id_col="doc_id", text_col="
 
     Rows that share id, source and size are told apart by a running number, made for those rows only.
     """
-    counts = decisions.groupBy("id", "source", "size").agg(F.array_sort(F.collect_list(F.struct("occ", "copies"))).alias("__copies"))
-    counts = counts.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies")
-    counts = counts.hint("merge")  # a row a document: the plan of large tables, at every size
-    sized = docs.withColumn("__words", words(F.col(text_col)))
-    same = sized[id_col].eqNullSafe(F.col("__id")) & sized[source_col].eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    once = sized.join(counts.filter(F.size("__copies") == 1), same).withColumn("__n", F.col("__copies")[0]["copies"])
-    again = sized.join(counts.filter(F.size("__copies") > 1), same)
-    number = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64(text_col)))
-    again = again.withColumn("__n", F.element_at("__copies", number)["copies"])
-    both = once.unionByName(again)
-    return both.filter(F.col("__n") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    size, number, times = fresh(docs, "__size", "__number", "__times")
+    most = decisions.agg(F.max("copies")).first()[0] or 0
+    each = [F.count(F.when(F.col("copies") == n, 1)).alias(f"n{n}") for n in range(most + 1)]
+    counts = decisions.groupBy("id", "source", "size").agg(F.count("*").alias("n"), F.sum("copies").alias("sum"), F.array(*each).alias("with"))
+    counts = counts.hint("merge").alias("k")  # a row a document: the plan of large tables, at every size
+    sized = docs.withColumn(size, words(F.col(text_col))).alias("d")
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("k.id")) & F.col(f"d.{source_col}").eqNullSafe(F.col("k.source")) & (F.col(f"d.{size}") == F.col("k.size"))
+    plain, own = [F.col(f"`{c}`") for c in docs.columns], [F.col(f"d.`{c}`") for c in docs.columns]
+    known = sized.join(counts, same)
+    once = known.filter("k.n = 1").select(*own, F.col("k.sum").cast("int").alias(times))
+    place = F.row_number().over(Window.partitionBy(f"d.{id_col}", f"d.{source_col}", f"d.{size}").orderBy(F.xxhash64(f"d.{text_col}")))
+    again = known.filter("k.n > 1").select(*own, place.alias(number), F.col("k.with").alias(times))
+    up_to = F.lit(0)  # the first rows are taken most often
+    for n in range(1, most + 1):
+        up_to = F.when(F.col(number) <= sum((F.get(times, F.lit(m)) for m in range(n, most + 1)), F.lit(0)), n).otherwise(up_to)
+    both = once.unionByName(again.select(*plain, up_to.cast("int").alias(times)))
+    return both.filter(F.col(times) > 0).withColumn(number, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*plain)

@@ -68,7 +68,9 @@ def test_fingerprints_of_edited_texts(spark, small):
     assert sum(r.near_edited > r.near_next for r in got.values()) / len(got) > 0.9
 
 
-def test_joined_classes_and_links(spark, small):
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_joined_classes_and_links(spark, small, scale):
+    small = small.replace("sf0.001", scale)
     docs = documents(small)
     pairs = near_pairs([t for _, t, *_ in docs])
     root = union_find(len(docs), pairs)
