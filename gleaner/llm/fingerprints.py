@@ -6,12 +6,16 @@ hashed together. A match of two texts in a bucket so asks for the same k-mers in
 the share of matching buckets follow edit distance rather than overlap alone. One hash function with buckets stands
 for as many functions as there are buckets, so the work is that of sorting a text's k-mers twice.
 
-K-mer hashes and places are packed in one 64-bit number (40 bits of hash, 24 of place), so both sorts are of plain
-numbers. Each text is handled within its row: no explode and no shuffle for the fingerprints themselves.
+K-mer hashes and places are packed in one 64-bit number (33 bits of hash, 31 of place, as many as an array can have), so
+both sorts are of plain numbers. Each text is handled within its row: no explode and no shuffle for the fingerprints
+themselves.
 
 Defined cases: null text counts as empty; an empty text, or one of white space, has the empty fingerprint, and two
-such are alike by 1; a text of fewer than K words is one k-mer; a run without white space is cut every WORD code points; texts alike have equal
-fingerprints; rows of one identifier are ordered by a hash of their text; null identifiers come last; one row is its own next.
+such are alike by 1; a text of fewer than K words is one k-mer; a run of over WORD code points without white space gives
+a word for each window of WINDOW code points, so that an insertion changes a few of them only; very long texts are read
+whole; equal hashes count as repeats of a k-mer; texts alike have equal fingerprints; rows of one identifier are ordered
+by a hash of their text; null identifiers come last; one row is its own next; an empty table gives an empty result;
+extra columns stay out.
 """
 
 from __future__ import annotations
@@ -19,10 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, BUCKET_BITS, WORD = 2, 6, 16
-#: Rows of an identifier range (a task of the neighbour step), and ranges at most.
-RANGE_ROWS, RANGES = 1000, 10_000
-_PLACE = (1 << 24) - 1
+K, BUCKET_BITS, WORD, WINDOW = 2, 6, 32, 8
+#: Rows of an identifier range in the neighbour step; ranges at most (beyond 100 million rows they grow: each is a sort
+#: that may spill); identifiers sampled for each range to place its ends.
+RANGE_ROWS, RANGES, SAMPLED = 1000, 100_000, 20
+_PLACE = (1 << 31) - 1
 
 
 def _hash(x: Column) -> Column:
@@ -38,6 +43,14 @@ def _indices(a: str) -> Column:
     return F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
 
 
+def _words(text: Column) -> Column:
+    """Hashes of the words of a text, in order."""
+    runs = F.regexp_extract_all(text, F.lit("[^ \\x09-\\x0D]+"), F.lit(0))
+    windows = lambda run: F.transform(F.regexp_extract_all(run, F.lit(f"(?s)(?=(.{{{WINDOW}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
+    cut = F.flatten(F.transform(runs, lambda run: F.when(F.length(run) > WORD, windows(run)).otherwise(F.array(F.xxhash64(run)))))
+    return F.when(text.rlike(f"[^ \\x09-\\x0D]{{{WORD + 1}}}"), cut).otherwise(F.transform(runs, lambda x: F.xxhash64(x)))
+
+
 def fingerprinted(df: DataFrame, text_col: str, out: str, k: int = K, bits: int = BUCKET_BITS) -> DataFrame:
     """`df` and a column `out`: array<long>, for each bucket that has k-mers its number (high bits) and tuple hash (32 bits).
 
@@ -48,7 +61,7 @@ def fingerprinted(df: DataFrame, text_col: str, out: str, k: int = K, bits: int
     def step(d: DataFrame, **new: Column) -> DataFrame:
         return d.select(*kept, *[v.alias(n) for n, v in new.items()])
 
-    d = step(df, w=F.transform(F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(f"[^ \\x09-\\x0D]{{1,{WORD}}}"), F.lit(0)), lambda x: F.xxhash64(x)))
+    d = step(df, w=_words(F.coalesce(text_col, F.lit(""))))
     packed = lambda h, i: _hash(h).bitwiseOR(_place(i.cast("long")))
     several = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: packed(F.xxhash64(*[F.get("w", i + j) for j in range(k)]), i))
     d = step(d, s=F.array_sort(F.when(F.size("w") >= k, several).when(F.size("w") > 0, F.array(packed(F.xxhash64("w"), F.lit(0)))).otherwise(F.expr("cast(array() as array<bigint>)"))))
@@ -84,18 +97,34 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / filled)
 
 
+def _above(value: Column, cuts: list) -> Column:
+    """How many of the sorted cuts are greater than a value: looked for in groups of them, then in one group."""
+    if not cuts:
+        return F.lit(0)
+    size = max(1, round(len(cuts) ** 0.5))
+    groups = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    lasts, all_ = F.array(*[F.lit(g[-1]) for g in groups]), F.array(*[F.array(*map(F.lit, g)) for g in groups])
+    at = F.size(F.filter(lasts, lambda c: c <= value))  # whole groups that aren't greater
+    below = at * size + F.coalesce(F.size(F.filter(F.get(all_, at), lambda c: c <= value)), F.lit(0))
+    return F.when(at >= len(groups), 0).otherwise(len(cuts) - below)
+
+
 def with_next(df: DataFrame, id_col: str, text_col: str, carried: tuple[str, ...], prepare=lambda d: d, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Each row and, as next_*, `carried` of the following row in order of descending identifier (after the last: the first).
 
-    The order is cut into ranges by quantiles of the identifier. Every range is sorted by itself and also gets a copy
-    of the first row of the following range, so one shuffle is enough and no task sees more than a range. `prepare`
-    adds columns before the shuffle; it is applied once to each row and to the copies, which are one a range.
+    The order is cut into ranges at quantiles of a sample of the identifiers, chosen by their hash. Every range is sorted
+    by itself and also gets a copy of the first row of the following range, so one shuffle is enough and no task sees
+    more than a range. `prepare` adds columns before the shuffle; it is applied once to each row and to the copies, which
+    are one a range.
     """
     n = df.count()
     ranges = max(1, min(RANGES, -(-n // range_rows)))
-    cuts = df.select(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges))).first()[0] if ranges > 1 else None
-    cuts = sorted(set(cuts or []))
-    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col(id_col) < c)) if cuts else F.lit(0)
+    cuts = []
+    if ranges > 1:  # about SAMPLED * ranges identifiers, 2 * SAMPLED * RANGES at most, come to the driver
+        ids = df.filter(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(max(1, n // (SAMPLED * ranges)))) == 0)).select(id_col)
+        found = sorted(r[0] for r in ids.distinct().collect())
+        cuts = sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
+    place = _above(F.col(id_col), cuts)
     order = F.xxhash64(text_col)
     rows = df.withColumn("__range", F.when(F.col(id_col).isNull(), F.lit(len(cuts) + 1)).otherwise(place)).withColumn("__h", order)
     # ids only: where each range begins, and which range stands before it

@@ -14,7 +14,7 @@ more (a sketch made of the keys themselves); the comparison itself is exact, on
 of the similarity asked for is lost with a chance below LOSS, by having too few hits (16 runs and 4 hits at 0.8: 2.5e-7).
 Where nodes are split that chance grows with the steps, as some paths end: simulated at exactly 0.8, a pair is lost with
 a chance of 3e-4 if all its nodes are split 3 times, of 0.7 % at 6 and of 9 % at 10 times (nodes of over 2 million texts
-that share half of their shingles); at 0.9 with one below 1e-4 at 10 times.
+that share half of their shingles); at 0.9 the chance is below 1e-4 at 6 and 0.5 % at 10 times.
 
 What moves: keys of classes, then sets of those that have a likely partner, once for each node in which a partner is
 met. Their documents are picked by a Bloom filter of bounded size in a second scan, so no text is shuffled. Links are

@@ -239,6 +239,62 @@ def test_fingerprints(odd, empty, spark):
     assert single.edited_sha256 == hashlib.sha256(b"a b a b"[:4] + b"a b").hexdigest() and single.near_next == 1.0
 
 
+def plain_order_minhash(text, k=2, bits=6):
+    """Order MinHash with buckets, in plain Python: hashes of numbered k-mers from Spark's own function are given by the caller."""
+    w = [x for x in text.replace("\n", " ").split(" ") if x]
+    seen, kmers = {}, []
+    for i in range(max(1, len(w) - k + 1)) if w else []:
+        key = tuple(w[i : i + k])
+        kmers.append((key, seen.get(key, 0), i))
+        seen[key] = seen.get(key, 0) + 1
+    return kmers
+
+
+def test_fingerprints_against_plain_order_minhash(spark):
+    """Likeness of the signatures against the definition: minimal numbered k-mers of each bucket, in text order, compared as tuples."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(150)) for _ in range(3)]
+    for t in list(texts):
+        w = t.split()
+        for _ in range(6):
+            w[rng.randrange(150)] = rng.choice(vocabulary)
+        texts += [" ".join(w), " ".join(w[75:] + w[:75])]
+    mask = ~((1 << 31) - 1)
+    kmers = [plain_order_minhash(t) for t in texts]
+    words = spark.createDataFrame([(i, j, *key, o, p) for i, ks in enumerate(kmers) for j, (key, o, p) in enumerate(ks)], "t int, j int, a string, b string, o int, p int")
+    h = F.xxhash64(F.xxhash64(F.xxhash64("a"), F.xxhash64("b")).bitwiseAND(F.lit(mask)), "o")
+    tuples = [{} for _ in texts]
+    for r in words.select("t", "p", h.alias("h")).collect():
+        tuples[r.t].setdefault((r.h & ((1 << 64) - 1)) >> 58, []).append((r.h & mask, r.p))
+    picked = []
+    for buckets in tuples:
+        picked.append({b: tuple(x for x, _ in sorted(sorted(rows)[:2], key=lambda y: y[1])) for b, rows in buckets.items()})
+    d = fingerprints.fingerprinted(table(spark, texts).select("doc_id", "text"), "text", "sig")
+    a, b = d.alias("a"), d.alias("b")
+    near = a.join(b, F.col("a.doc_id") < F.col("b.doc_id")).select("a.doc_id", "b.doc_id", fingerprints.likeness(F.col("a.sig"), F.col("b.sig"))).collect()
+    for i, j, got in near:
+        filled = picked[i].keys() | picked[j].keys()
+        want = sum(picked[i].get(x) == picked[j].get(x) for x in filled) / len(filled)
+        assert got == pytest.approx(want, abs=1e-9), (i, j)
+
+
+def test_fingerprints_of_texts_without_spaces(spark):
+    rng = random.Random(4)
+    run = "".join(rng.choice("abcdefghijklmnop日本語文字") for _ in range(2000))
+    texts = [run, "x" + run, run[:900] + "yy" + run[900:], "".join(reversed(run)), "short " + run]
+    d = fingerprints.fingerprinted(table(spark, texts).select("doc_id", "text"), "text", "sig").collect()
+    sig = {r.doc_id: set(r.sig) for r in d}
+    like = lambda i: len(sig[0] & sig[i]) / len({x >> 32 for x in sig[0] | sig[i]})
+    assert like(1) > 0.8 and like(2) > 0.8 and like(3) < 0.1 and like(4) > 0.8
+
+
+def test_fingerprint_ranges_are_found_in_groups(spark):
+    for cuts in ([], [5], [3, 9], list(range(0, 100, 7)), [2, 2.5, 4, 8, 16, 32, 64]):
+        got = spark.range(-2, 110).select("id", fingerprints._above(F.col("id"), cuts).alias("n")).collect()
+        assert all(r.n == sum(c > r.id for c in cuts) for r in got)
+
+
 def test_fingerprints_depend_on_order_and_ranges(spark):
     w = [f"v{i}" for i in range(200)]
     texts = [" ".join(w), " ".join(w[100:] + w[:100]), " ".join(reversed(w)), " ".join(f"u{i}" for i in range(200))]
