@@ -1,115 +1,318 @@
-"""The engine as an API: build an index of files, search it, walk its graph. Queries come as tables, answers are tables."""
+"""The engine as an API: build an index of files, change it, search it, walk its graph. Queries come as tables, answers are tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.joins import bounded, top
-from gleaner.functions.text import any_of, glob_regex, in_scope, query_class
-from gleaner.operators import bm25, chunking, code, graph, metadata, ranking, vectors
+from gleaner.functions.text import any_of, in_scope, query_class
+from gleaner.operators import bm25, candidates, chunking, code, decompose, graph, metadata, ranking, vectors
+from gleaner.sources import segments
 
-#: Profiles of sources a search may be confined to: (globs to include, classes to allow).
-PROFILES = {"code": (("internal/**", "cmd/**", "pkg/**", "configs/**", "app/**"), ("source_code", "test", "config")), "project_memory": (("docs/**", "README.md"), ("docs", "adr", "config", "unknown")), "archive": (("archive/**",), ("archived",))}
+#: Results of a search at most, and by default; related nodes and bytes of an answer about the graph.
+MOST, DEFAULT, RELATED_BYTES = 100, 10, 16_384
+#: Tables of an index and the key by which a change removes rows.
+KEYS = {"files": "path", "chunks": "path", "vectors": "chunk_id", "nodes": "path", "edges": "id", "lists": "id"}
+#: When a compaction is due: orphans, their share, seconds without work, seconds since the last one.
+COMPACT_ORPHANS, COMPACT_SHARE, COMPACT_IDLE, COMPACT_PAUSE = 100, 0.2, 30, 3600
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """Tables of an index, read from one folder."""
+    """An index in one folder, as of a segment."""
 
-    chunks: DataFrame  # chunk_id, path, kind, title, start_line, end_line, content
-    vectors: DataFrame  # chunk_id, embedding
-    nodes: DataFrame
-    edges: DataFrame
-    terms: str  # folder of the inverted index
-    lists: str  # folder of the vector lists
+    spark: SparkSession
+    path: str
+    segment: int
+
+    def table(self, name: str) -> DataFrame:
+        """files (path, content), chunks, vectors, nodes, edges or lists, without what later changes removed."""
+        return segments.live(self.spark, f"{self.path}/{name}", KEYS[name], self.segment).drop("segment")
+
+    files = property(lambda self: self.table("files"))
+    chunks = property(lambda self: self.table("chunks"))
+    vectors = property(lambda self: self.table("vectors"))
+    nodes = property(lambda self: self.table("nodes"))
+    edges = property(lambda self: self.table("edges"))
+
+    @property
+    def terms(self) -> str:
+        return f"{self.path}/terms"
+
+    @property
+    def state(self) -> dict[str, str]:
+        """Keys and values noted with the changes, the latest of each."""
+        rows = self.spark.read.parquet(f"{self.path}/state/rows").filter(F.col("segment") <= self.segment)
+        return {r.key: r.value for r in rows.groupBy("key").agg(F.max_by("value", "segment").alias("value")).collect()}  # a few keys
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Corpus:
-        return Corpus(*(spark.read.parquet(f"{path}/{t}") for t in ("chunks", "vectors", "nodes", "edges")), f"{path}/terms", f"{path}/lists")
+        """The index as of the last change that was finished: its state is written last."""
+        last = spark.read.parquet(f"{path}/state/rows").agg(F.max("segment")).first()[0]
+        return Corpus(spark, path, last)
 
 
 @dataclass(frozen=True)
 class Options:
     """How to search; each filter is a predicate that Catalyst may push down."""
 
-    limit: int = 10
+    limit: int = DEFAULT
     weights: tuple[float, float] = ranking.WEIGHTS["engine"]
     classify: bool = False  # weights by the kind of each query
     mode: str = "and_then_or"
     scopes: tuple[str, ...] = ()
     kinds: tuple[str, ...] = ()
     globs: tuple[str, ...] = ()
+    symbol_type: str | None = None  # chunks that define a symbol of this kind
     profile: str | None = None
+    decisions: str | None = None  # current: decision records in force; history: all of them
     keyword_only: bool = False
     approximate: bool = False  # vector search reads the nearest lists only (without filters)
+    add_candidates: bool = False  # exact symbols, files named by decisions, PDF passages
     reranker: Callable[[Column, Column], Column] | None = None
     extra: dict = field(default_factory=dict)
 
     def checked(self) -> Options:
-        if self.profile is not None and self.profile not in PROFILES:
+        if self.profile is not None and self.profile not in metadata.PROFILES:
             raise ValueError(f"unknown profile {self.profile!r}")
         if self.mode not in ("and_then_or", "or"):
             raise ValueError(f"unknown mode {self.mode!r}")
-        return replace(self, limit=max(1, min(100, self.limit)))
+        if self.decisions not in (None, "current", "history"):
+            raise ValueError(f"unknown mode of decisions {self.decisions!r}")
+        if any(w < 0 for w in self.weights):
+            raise ValueError("weights can't be negative")
+        return replace(self, limit=clamp(self.limit, DEFAULT, 1, MOST))
+
+
+def clamp(value: int | None, default: int, least: int, most: int) -> int:
+    """A limit within its bounds; the default for none or nothing."""
+    return max(least, min(most, value)) if value else default
 
 
 def chunked(files: DataFrame) -> DataFrame:
     """Chunks of files by their kind: symbols of code, sections of Markdown, lines of the rest."""
     kind = code.content_type(code.language(F.col("path")))
     f = files.select("path", "content", kind.alias("k"))
-    parts = [chunking.chunks(f.filter("k = 'code'"), chunking.by_symbols, "code"), chunking.chunks(f.filter("k = 'markdown'"), chunking.by_sections, "markdown")]
+    parts = [chunking.chunks(f.filter("k = 'code'"), partial(chunking.by_symbols, context=True), "code"), chunking.chunks(f.filter("k = 'markdown'"), chunking.by_sections, "markdown")]
     rest = chunking.chunks(f.filter("k NOT IN ('code', 'markdown')"), chunking.by_lines, "text")
-    return parts[0].unionByName(parts[1]).unionByName(rest)
+    out = parts[0].unionByName(parts[1]).unionByName(rest)
+    return out.withColumn("context", context_of(F.col("path"), F.col("title"), F.col("content")))
+
+
+def context_of(path: Column, title: Column, content: Column) -> Column:
+    """Sentences of context for a chunk: where it is from, what it defines, what for by its first comment, and its language."""
+    said = F.regexp_extract(content, r"""(?s)(?:^|\n)\s*(?://+|#+|\"{3}|'{3}|/\*+)\s*([A-Z][^\n]*?[.!?])(?:\s|$)""", 1)
+    parts = (F.concat(F.lit("From file: "), path), F.when(title != "", F.concat(F.lit("Defines: "), title)), F.when(said != "", F.concat(F.lit("Purpose: "), F.regexp_replace(said, r"[.!?]$", ""))), F.concat(F.lit("Language: "), code.language(path)))
+    return F.concat(F.concat_ws(". ", *parts), F.lit("."))
+
 
+def by_file(chunks: DataFrame, each: int) -> DataFrame:
+    """(path, chunks): the first `each` chunks of a file as an array, in order."""
+    kept = top(chunks, each, ["path"], F.col("start_line"), F.col("chunk_id"), rank="n")
+    return kept.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start_line", "chunk_id", "title"))).alias("chunks"))
 
-def enriched(chunks: DataFrame) -> Column:
-    """A sentence of context for a chunk: where it is from and what it defines."""
-    return F.concat_ws(". ", F.concat(F.lit("From file: "), F.col("path")), F.when(F.col("title") != "", F.concat(F.lit("Defines: "), F.col("title"))), F.concat(F.lit("Language: "), code.language(F.col("path"))))
+
+def _embedded(spark: SparkSession, chunks: DataFrame) -> DataFrame:
+    c = chunks.groupBy("chunk_id").agg(F.min("content").alias("content")).withColumn("row", F.xxhash64("chunk_id"))
+    return vectors.static_embedding(c, "row", "content").join(c.select(F.col("row").alias("id"), "chunk_id"), "id").select("chunk_id", "embedding")
+
+
+def _graph(files: DataFrame, chunks: DataFrame, project: str, paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = code.file_graph(files, project, paths)
+    more_nodes, more_edges = code.chunk_graph(chunks, project)
+    return nodes.unionByName(more_nodes), edges.unionByName(more_edges)
+
+
+def _buckets(chunks: int) -> int:
+    """Buckets of terms for so many chunks: a query reads one for each term, so they grow with the index, to a bound of folders."""
+    return max(2, min(1024, chunks // 2000))
+
+
+def _note(spark: SparkSession, path: str, segment: int, values: dict[str, str]) -> None:
+    segments.put(f"{path}/state", segment, spark.createDataFrame(sorted(values.items()), "key string, value string"))
 
 
 def build_index(files: DataFrame, path: str, project: str = "project") -> Corpus:
-    """Write chunks, inverted index, vectors, nodes and edges under `path`; each table is replaced as a whole."""
-    spark = files.sparkSession
-    chunked(files).withColumn("context", enriched(files)).write.mode("overwrite").parquet(f"{path}/chunks")
-    chunks = spark.read.parquet(f"{path}/chunks").withColumn("row", F.xxhash64("chunk_id"))
-    v = vectors.static_embedding(chunks, "row", "content").join(chunks.select(F.col("row").alias("id"), "chunk_id").distinct(), "id").select("chunk_id", "embedding")
-    v.write.mode("overwrite").parquet(f"{path}/vectors")
-    bm25.build(chunks, "chunk_id", "content", f"{path}/terms")
-    vectors.build_lists(spark.read.parquet(f"{path}/vectors"), f"{path}/lists", id_col="chunk_id")
-    nodes, edges = code.file_graph(files, project)
-    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    edges.write.mode("overwrite").parquet(f"{path}/edges")
-    return Corpus.read(spark, path)
-
-
-def update_index(corpus: Corpus, path: str, changed: DataFrame, removed: DataFrame) -> DataFrame:
-    """Chunks after a change: rows of changed and removed paths go, the new chunks come; edges into removed files go stale."""
+    """Write files, chunks, inverted index, vectors, nodes and edges under `path` as segment 0; what was there is replaced."""
+    spark, now = files.sparkSession, Corpus(files.sparkSession, path, 0)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+    def put(name: str, rows: DataFrame) -> None:
+        segments.put(f"{path}/{name}", 0, rows, rows.select(KEYS[name]).limit(0))
+
+    put("files", files.select("path", "content"))
+    put("chunks", chunked(now.files))
+    put("vectors", _embedded(spark, now.chunks))
+    bm25.build(now.chunks.dropDuplicates(["chunk_id"]), "chunk_id", "content", now.terms, _buckets(now.chunks.count()))
+    vectors.build_lists(now.vectors, f"{path}/lists", id_col="chunk_id")
+    nodes, edges = _graph(now.files, now.chunks, project)
+    put("nodes", nodes)
+    put("edges", edges)
+    _note(spark, path, 0, {"project": project, "model": "static", "dimensions": "256", "chunk_tokens": str(chunking.MAX_TOKENS)})
+    return now
+
+
+def update_index(corpus: Corpus, changed: DataFrame, removed: DataFrame) -> Corpus:
+    """The index after a change of files (path, content) and removed paths (path), as a further segment.
+
+    Chunks, postings, vectors, nodes and edges of changed and removed files go, those of changed files come; edges of other
+    files into what is no longer there go stale, and stale ones into what is there again do not stay so. Only changed files
+    are chunked, tokenised, embedded and searched for edges. An import of another file that only now has a target is
+    found when that file changes, or by a build.
+    """
+    spark, path, n = corpus.spark, corpus.path, corpus.segment + 1
+    now, project = Corpus(spark, path, n), corpus.state["project"]
     gone = changed.select("path").union(removed.select("path")).distinct()
-    return corpus.chunks.join(gone, "path", "left_anti").unionByName(chunked(changed).withColumn("context", enriched(changed)))
+    segments.put(f"{path}/files", n, changed.select("path", "content"), gone)
+    new = spark.read.parquet(f"{path}/files/rows/segment={n}")
+    lost = corpus.chunks.join(bounded(gone), "path", "left_semi").select("chunk_id").distinct()
+    segments.put(f"{path}/chunks", n, chunked(new), gone)
+    added = spark.read.parquet(f"{path}/chunks/rows/segment={n}")
+    bm25.change(spark, now.terms, n, lost.select(F.col("chunk_id").alias("id")), added.dropDuplicates(["chunk_id"]), "chunk_id", "content")
+    segments.put(f"{path}/vectors", n, _embedded(spark, added), lost)
+    vectors.add_to_lists(spark, f"{path}/lists", n, spark.read.parquet(f"{path}/vectors/rows/segment={n}"), lost.select(F.col("chunk_id").alias("id")), id_col="chunk_id")
+    nodes, edges = _graph(new, added, project, now.files)
+    segments.put(f"{path}/nodes", n, nodes, gone)
+    segments.put(f"{path}/edges", n, *_edges_after(corpus, now, edges, gone))
+    _note(spark, path, n, {"project": project, "changed_in": str(n)})
+    return now
+
+
+def _edges_after(before: Corpus, now: Corpus, new: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges to write, ids to remove): those of changed files, and those of others whose end came or went."""
+    there = now.nodes.select(F.col("id").alias("dst")).distinct()
+    own = before.edges.join(bounded(gone), "path", "left_semi")
+    others = before.edges.join(bounded(gone), "path", "left_anti")
+    moved = before.nodes.join(bounded(gone), "path", "left_semi").select(F.col("id").alias("dst")).distinct()  # ends that may have gone
+    lost = others.filter(~F.col("stale")).join(moved, "dst", "left_semi").join(there, "dst", "left_anti").withColumn("stale", F.lit(True))
+    back = others.filter("stale").join(there, "dst", "left_semi").withColumn("stale", F.lit(False))
+    turned = lost.unionByName(back)
+    return new.unionByName(turned.select(*new.columns)), own.select("id").unionByName(turned.select("id"))
+
+
+def reconcile(corpus: Corpus, files: DataFrame) -> tuple[Corpus, DataFrame]:
+    """The index brought up to what the files (path, content) are now, and what was found: (change, n) for added, modified, removed."""
+    old = corpus.files.select("path", F.sha2("content", 256).alias("was"))
+    both = files.select("path", F.sha2("content", 256).alias("is")).join(old, "path", "full")
+    change = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").when(F.col("was") != F.col("is"), "modified")
+    found = both.select("path", change.alias("change")).filter("change IS NOT NULL")
+    if not found.limit(1).count():
+        return corpus, found.groupBy("change").agg(F.count("*").alias("n"))
+    changed = files.join(found.filter("change <> 'removed'").select("path"), "path", "left_semi")
+    return update_index(corpus, changed, found.filter("change = 'removed'").select("path")), found.groupBy("change").agg(F.count("*").alias("n"))
+
+
+def problems(corpus: Corpus) -> DataFrame:
+    """(problem, chunk_id): chunks that lack a vector or postings, vectors and postings that lack a chunk."""
+    c, v = corpus.chunks.select("chunk_id").distinct(), corpus.vectors.select("chunk_id")
+    p = segments.live(corpus.spark, f"{corpus.terms}/postings", "id", corpus.segment).select(F.col("id").alias("chunk_id")).distinct()
+    worded = corpus.chunks.filter(F.size(bm25.terms_of(F.col("content"))) > 0).select("chunk_id").distinct()
+    named = lambda df, what: df.select(F.lit(what).alias("problem"), "chunk_id")
+    return named(c.join(v, "chunk_id", "left_anti"), "no_vector").unionByName(named(worded.join(p, "chunk_id", "left_anti"), "no_postings")).unionByName(named(v.join(c, "chunk_id", "left_anti"), "orphan_vector")).unionByName(named(p.join(c, "chunk_id", "left_anti"), "orphan_postings"))
+
+
+def repair(corpus: Corpus) -> Corpus:
+    """Orphans removed, what lacks made again: a further segment with just that."""
+    spark, path, n = corpus.spark, corpus.path, corpus.segment + 1
+    found = problems(corpus)
+    lacking = lambda *kinds: corpus.chunks.join(found.filter(F.col("problem").isin(*kinds)).select("chunk_id").distinct(), "chunk_id", "left_semi")
+    orphans = lambda kind: found.filter(F.col("problem") == kind).select("chunk_id")
+    for name in ("files", "chunks", "nodes", "edges"):
+        segments.put(f"{path}/{name}", n, corpus.table(name).limit(0), corpus.table(name).select(KEYS[name]).limit(0))
+    segments.put(f"{path}/vectors", n, _embedded(spark, lacking("no_vector")), orphans("orphan_vector"))
+    bm25.change(spark, corpus.terms, n, orphans("orphan_postings").select(F.col("chunk_id").alias("id")), lacking("no_postings").dropDuplicates(["chunk_id"]), "chunk_id", "content")
+    vectors.add_to_lists(spark, f"{path}/lists", n, spark.read.parquet(f"{path}/vectors/rows/segment={n}"), orphans("orphan_vector").select(F.col("chunk_id").alias("id")), id_col="chunk_id")
+    _note(spark, path, n, {"repaired_in": str(n), "project": corpus.state["project"]})
+    return Corpus(spark, path, n)
+
+
+def compaction_due(orphans: Column, share: Column, idle: Column, since_last: Column) -> Column:
+    """Whether a table should be compacted: enough orphans, by number and share, and nothing else to do for a while."""
+    return (orphans >= COMPACT_ORPHANS) & (share >= COMPACT_SHARE) & (idle >= COMPACT_IDLE) & (since_last >= COMPACT_PAUSE)
+
+
+def compact(corpus: Corpus, path: str) -> Corpus:
+    """The index written anew under another path, as one segment, from stored rows: nothing is chunked or embedded again."""
+    spark = corpus.spark
+    for name in ("files", "chunks", "vectors", "nodes", "edges"):
+        rows = corpus.table(name)
+        segments.put(f"{path}/{name}", 0, rows, rows.select(KEYS[name]).limit(0))
+    now = Corpus(spark, path, 0)
+    bm25.build(now.chunks.dropDuplicates(["chunk_id"]), "chunk_id", "content", now.terms, _buckets(now.chunks.count()))
+    vectors.build_lists(now.vectors, f"{path}/lists", id_col="chunk_id")
+    _note(spark, path, 0, corpus.state)
+    return now
 
 
 def search(corpus: Corpus, queries: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
     """(query, chunk_id, path, title, start_line, end_line, score, in_both, rank) for a table of queries (query, q)."""
     o = options.checked()
-    chunks = corpus.chunks
+    chunks = _eligible(corpus.chunks, o)
+    merged = _retrieved(corpus, chunks, queries, o)
+    if o.add_candidates:
+        merged = merged.select("query", "id", "rrf", "in_both")
+        more = _candidates(corpus, chunks, queries, merged.select("query", "id", F.col("rrf").alias("score")))
+        merged = merged.unionByName(more.select("query", "id", F.col("score").alias("rrf"), F.lit(False).alias("in_both")))
+    shown = merged.join(chunks.select(F.col("chunk_id").alias("id"), "path", "title", "start_line", "end_line", "content", metadata.priority(F.col("meta")).alias("priority")), "id").join(bounded(queries.select("query", "q")), "query")
+    asked = candidates.needle(F.col("q"))
+    symbol, kind = F.array(symbol_of(F.col("title"))), symbol_kind(F.col("content"), F.col("title"))
+    exact = ranking.exact_factor(F.col("path"), F.col("content"), symbol, asked["text"], asked["quoted"], kind, candidates.declared_kinds(F.col("q")))
+    scored = shown.withColumn("score", F.round(F.col("rrf") * F.coalesce(exact, F.lit(1.0)) * ranking.path_factor(F.col("path")) * candidates.pdf_factor(F.col("q"), F.col("path")), 6))
+    if o.reranker is not None:
+        scored = scored.withColumn("score", o.reranker(F.col("q"), F.col("content")))
+    key = F.round(ranking.authority_key(F.col("score"), F.col("priority")), 6)
+    best = top(scored.drop("rank").withColumn("key", key), o.limit, ["query"], F.col("key").desc(), F.col("id"))
+    return best.select("query", F.col("id").alias("chunk_id"), "path", "title", "start_line", "end_line", "score", "in_both", "rank")
+
+
+def symbol_of(title: Column) -> Column:
+    """The symbol that a chunk's title names: the last part, without the number of a split."""
+    return F.substring_index(F.regexp_replace(title, r"_(?:part\d+|rest)$", ""), ".", -1)
+
+
+def symbol_kind(content: Column, title: Column) -> Column:
+    """function, method, class, interface or type of the symbol that a chunk's title names, by its declaration; else null."""
+    name = symbol_of(title)
+    word = lambda before, after="": F.contains(content, F.concat(F.lit(before), name, F.lit(after)))
+    return (
+        F.when(word("type ", " interface") | word("interface "), "interface").when(word("class "), "class").when(word("type ") | word("struct "), "type")
+        .when(word("func (", "") | content.rlike(r"(?m)^\s*func\s*\("), "method").when(word("func ") | word("def ") | word("function "), "function")
+    )
+
+
+def _eligible(chunks: DataFrame, o: Options) -> DataFrame:
     if o.scopes:
         chunks = chunks.filter(in_scope(F.col("path"), list(o.scopes)))
     if o.kinds:
         chunks = chunks.filter(F.col("kind").isin(*o.kinds))
     if o.globs:
-        chunks = chunks.filter(any_of(*[F.col("path").rlike(glob_regex(g)) for g in o.globs]))
+        chunks = chunks.filter(any_of(*[F.col("path").rlike(metadata.glob_regex(g)) for g in o.globs]))
+    if o.symbol_type:
+        chunks = chunks.filter(symbol_kind(F.col("content"), F.col("title")) == o.symbol_type)
     chunks = chunks.withColumn("meta", metadata.source_metadata(F.col("path")))
     if o.profile:
-        globs, classes = PROFILES[o.profile]
-        chunks = chunks.filter(any_of(*[F.col("path").rlike(glob_regex(g)) for g in globs]) & F.col("meta.source_class").isin(*classes))
-    filtered = bool(o.scopes or o.kinds or o.globs or o.profile)
-    depth = max(50, 10 * o.limit) if filtered else 2 * o.limit
-    scored = bm25.scores_built(queries.sparkSession, corpus.terms, queries, "query", "q")
-    if filtered:  # statistics are those of the whole index; what the filters leave is ranked
+        chunks = chunks.filter(metadata.eligible(F.col("path"), F.col("meta"), o.profile))
+    if o.decisions:
+        chunks = chunks.filter(metadata.decision_mode(F.col("meta"), F.col("content"), o.decisions))
+    return chunks
+
+
+def _filtered(o: Options) -> bool:
+    return bool(o.scopes or o.kinds or o.globs or o.profile or o.symbol_type or o.decisions)
+
+
+def _retrieved(corpus: Corpus, chunks: DataFrame, queries: DataFrame, o: Options) -> DataFrame:
+    """Keyword and vector rankings of each query, fused."""
+    spark = corpus.spark
+    depth = max(50, 10 * o.limit) if _filtered(o) else 2 * o.limit
+    scored = bm25.scores_built(spark, corpus.terms, queries, "query", "q", corpus.segment)
+    if _filtered(o):  # statistics are those of the whole index; what the filters leave is ranked
         scored = scored.join(chunks.select(F.col("chunk_id").alias("id")), "id", "left_semi")
     kw = bm25.best(scored, depth, o.mode)
     if o.keyword_only:
@@ -117,21 +320,41 @@ def search(corpus: Corpus, queries: DataFrame, options: Options = Options()) ->
     else:
         q = queries.select(F.xxhash64(F.col("query").cast("string")).alias("row"), "query", "q")
         qv = vectors.static_embedding(q, "row", "q").join(q.select(F.col("row").alias("id"), "query"), "id").select(F.col("query").alias("chunk_id"), "embedding")
-        if o.approximate and not filtered:
-            vs = vectors.nearest_built(queries.sparkSession, corpus.lists, qv, depth, id_col="chunk_id").filter("score > 0.5")
+        if o.approximate and not _filtered(o):
+            vs = vectors.nearest_built(spark, f"{corpus.path}/lists", qv, depth, id_col="chunk_id", segment=corpus.segment).filter("score > 0.5")
         else:
-            own = corpus.vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi") if filtered else corpus.vectors
+            own = corpus.vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi") if _filtered(o) else corpus.vectors
             vs = vectors.nearest(own, qv, depth, "cosine", "chunk_id", "embedding").filter("score > 0.5")
-    merged = _fused(kw, vs, queries, o)
-    shown = merged.join(chunks.select(F.col("chunk_id").alias("id"), "path", "title", "start_line", "end_line", "content", metadata.priority(F.col("meta")).alias("priority")), "id").join(bounded(queries.select("query", "q")), "query")
-    symbol = F.regexp_replace("title", r"_part\d+$", "")
-    exact = ranking.exact_factor(F.col("path"), F.col("content"), F.array(symbol), F.regexp_replace(F.trim("q"), "^[\"']|[\"']$", ""), F.trim("q").rlike("^[\"'].*[\"']$"))
-    scored = shown.withColumn("score", F.round(F.col("rrf") * exact * ranking.path_factor(F.col("path")), 6))
-    if o.reranker is not None:
-        scored = scored.withColumn("score", o.reranker(F.col("q"), F.col("content")))
-    key = F.round(ranking.authority_key(F.col("score"), F.col("priority")), 6)
-    best = top(scored.drop("rank").withColumn("key", key), o.limit, ["query"], F.col("key").desc(), F.col("id"))
-    return best.select("query", F.col("id").alias("chunk_id"), "path", "title", "start_line", "end_line", "score", "in_both", "rank")
+    return _fused(kw, vs, queries, o)
+
+
+def _candidates(corpus: Corpus, chunks: DataFrame, queries: DataFrame, results: DataFrame) -> DataFrame:
+    """What the results lack: holders of an exact symbol, files that a decision names, PDF passages; the best score of each."""
+    c = chunks.select(F.col("chunk_id").alias("id"), "path", "title", "start_line", "content", "meta")
+    symbols = c.filter("title <> ''").select("id", symbol_of(F.col("title")).alias("name"), F.lit(0).alias("kind_rank"), F.col("start_line").alias("line"))
+    named = candidates.decision_paths(queries, corpus.files.filter(metadata.source_metadata(F.col("path"))["source_class"] == "adr"))
+    found = candidates.exact_symbols(queries, symbols).withColumn("factor", F.lit(1.0))
+    found = found.unionByName(candidates.chunks_of_paths(named, c, candidates.ADR_CHUNKS).withColumn("factor", F.lit(1.0))).unionByName(candidates.pdf_passages(queries, c))
+    return candidates.append(results, queries, found)
+
+
+def search_decomposed(corpus: Corpus, queries: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
+    """(query, chunk_id, path, score, hits, rank): each query's sub-queries in one search, fused; paths that sub-queries name are added."""
+    o = options.checked()
+    subs = decompose.sub_queries(queries)
+    hinted, plain = subs.filter("hint <> ''"), subs.filter("hint = ''")
+
+    def run(part: DataFrame, own: Options) -> Callable[[DataFrame, int], DataFrame]:
+        return lambda q, depth: search(corpus, q, replace(own, limit=min(MOST, depth))).select("query", F.col("chunk_id").alias("id"), "rank")
+
+    keyed = lambda part, own: decompose.found_by(part, run(part, own), o.limit)
+    code_only = o if o.kinds else replace(o, kinds=("code",))
+    fused = ranking.fuse_many(keyed(plain, o).unionByName(keyed(hinted, code_only))).filter(F.col("rank") <= o.limit)
+    c = _eligible(corpus.chunks, o).select(F.col("chunk_id").alias("id"), "path", "start_line")
+    more = candidates.append(fused.select("query", "id", F.col("rrf").alias("score")), queries, candidates.chunks_of_paths(candidates.hinted_paths(subs), c, candidates.HINT_CHUNKS))
+    both = fused.select("query", "id", F.col("rrf").alias("score"), "hits").unionByName(more.withColumn("hits", F.lit(0).cast("long")))
+    best = top(both, o.limit, ["query"], F.col("score").desc(), F.col("hits").desc(), F.col("id"))
+    return best.join(c.select("id", "path").dropDuplicates(["id"]), "id").select("query", F.col("id").alias("chunk_id"), "path", "score", "hits", "rank")
 
 
 def _fused(kw: DataFrame, vs: DataFrame, queries: DataFrame, o: Options) -> DataFrame:
@@ -155,11 +378,34 @@ def expand_context(corpus: Corpus, hits: DataFrame, k: int = 1) -> DataFrame:
     return c.join(hits.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", F.explode("near").alias("n")).select("chunk_id", "n.*").filter("other is not null")
 
 
-def graph_query(corpus: Corpus, subjects: DataFrame, directions: tuple[str, ...] = ("out", "in"), per_kind: int = 10) -> DataFrame:
-    """(subject, other, kind, role, direction, confidence, rank): resolve subjects (a table of names), then one hop, capped for each kind."""
-    seeds = graph.resolve(corpus.nodes, subjects).select("subject", F.col("id").alias("seed"))
-    hit = graph.related(corpus.edges, seeds.select("seed").distinct(), directions).join(bounded(seeds, subjects), "seed")
-    return top(hit, per_kind, ["subject", "kind", "direction"], F.col("confidence").desc(), F.col("other")).select("subject", "other", "kind", "role", "direction", "confidence", "rank")
+def graph_query(corpus: Corpus, subjects: DataFrame, directions: tuple[str, ...] = ("out", "in"), per_kind: int = 10, budget: int = RELATED_BYTES) -> DataFrame:
+    """(subject, other, kind, role, direction, confidence, path, suppressed, other_kinds, rank) of subjects (subject[, type]).
+
+    Subjects are resolved by their type (auto without one), a file stands for all nodes of its path, edges of one
+    relationship are merged, each target is answered once by its surest edge, capped for each kind and by bytes.
+    """
+    typed = subjects if "type" in subjects.columns else subjects.withColumn("type", F.lit("auto"))
+    nodes = corpus.nodes
+    seeds = graph.seed_scope(graph.resolve_typed(nodes, typed), nodes)
+    merged = graph.best_edges(corpus.edges.filter(~F.col("stale")))
+    hit = graph.related(merged, seeds.select("seed").distinct(), directions).join(bounded(seeds, subjects), "seed")
+    ends = nodes.select(F.col("id").alias("other"), "path").dropDuplicates(["other"])
+    rows = hit.join(ends, "other")
+    rows = rows.withColumns({"text": F.concat_ws(" ", "seed", "kind", "other"), "method": F.concat_ws(":", "direction", "role"), "heuristic": F.lit(False)})
+    best = graph.best_targets(rows).withColumns({"direction": F.substring_index("method", ":", 1), "role": F.substring_index("method", ":", -1)})
+    few = top(best, per_kind, ["subject", "kind", "direction"], F.col("confidence").desc(), F.col("path"), F.col("other"))
+    kept = graph.within_budget(few.drop("rank"), budget, "subject", F.col("text"), F.col("confidence").desc(), F.col("path"), F.col("other"))
+    return kept.select("subject", "other", "kind", "role", "direction", "confidence", "path", "suppressed", "other_kinds", "rank")
+
+
+def graph_notes(corpus: Corpus, subjects: DataFrame) -> DataFrame:
+    """(subject, state, hints, warning): how each subject resolved, near names if it didn't, and a language that no extractor reads."""
+    typed = subjects if "type" in subjects.columns else subjects.withColumn("type", F.lit("auto"))
+    found = graph.resolve_typed(corpus.nodes, typed).groupBy("subject").agg(F.max("state").alias("state"))
+    near = graph.nearest_names(corpus.nodes, typed).groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("h"))  # a few a subject
+    rows = typed.select("subject").distinct().join(found, "subject", "left").join(near, "subject", "left")
+    hints = F.when(F.col("state").isNull(), F.transform("h", lambda x: x["name"]))
+    return rows.select("subject", F.coalesce("state", F.lit("not_found")).alias("state"), hints.alias("hints"), graph.language_warning(F.col("subject")).alias("warning"))
 
 
 def index_status(corpus: Corpus) -> DataFrame:
@@ -168,3 +414,12 @@ def index_status(corpus: Corpus) -> DataFrame:
     lacking = corpus.chunks.select("chunk_id").distinct().join(corpus.vectors, "chunk_id", "left_anti").agg(F.count("*").alias("without_vector"))
     e = corpus.edges.agg(F.count("*").alias("edges"), F.count_if("stale").alias("stale_edges"))
     return c.crossJoin(corpus.vectors.agg(F.count("*").alias("vectors"))).crossJoin(lacking).crossJoin(e)  # one row each
+
+
+def index_information(corpus: Corpus, model: str = "static", dimensions: int = 256) -> DataFrame:
+    """One row: the state of the index, rows and orphans of its vectors, its size in terms, and whether a model of these dimensions fits it."""
+    state = corpus.state
+    fits = state.get("model", model) == model and state.get("dimensions", str(dimensions)) == str(dimensions)
+    orphans = segments.counts(corpus.spark, f"{corpus.path}/vectors", "chunk_id", corpus.segment).select(F.col("rows").alias("vectors"), "orphans")
+    terms = bm25.statistics(corpus.spark, corpus.terms, corpus.segment)
+    return terms.crossJoin(orphans).select(F.lit(corpus.segment).alias("segment"), F.lit(state.get("model", "")).alias("model"), F.lit(fits).alias("compatible"), "docs", "terms", "avgdl", "vectors", "orphans")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.joins import bounded, top
 from gleaner.functions.text import tokens, without_stop_words
+from gleaner.sources import segments
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -50,27 +51,61 @@ def scores(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, quer
     return _weighted(tf, df, stats, q)
 
 
-def build(docs: DataFrame, doc_id: str, doc_text: str, path: str, buckets: int = 64) -> None:
-    """Write an inverted index: postings and document frequencies in buckets of terms, so a query reads its buckets only."""
+def put_segment(docs: DataFrame, doc_id: str, doc_text: str, path: str, segment: int, buckets: int, gone: DataFrame | None = None) -> None:
+    """Append documents to an inverted index, and remove those whose ids (a column id) are gone: postings in buckets of terms, and
+    what the change adds to or takes from document frequencies and corpus statistics. Nothing written before is rewritten."""
+    spark = docs.sparkSession
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
     p = postings(docs, doc_id, doc_text).withColumn("bucket", bucket)
-    p.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    spark = docs.sparkSession
-    written = spark.read.parquet(f"{path}/postings")
-    written.groupBy("bucket", "term").agg(F.count("*").alias("df")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-    lengths = docs.select(F.size(terms_of(F.col(doc_text))).alias("dl"))
-    lengths.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/stats")
+    p = p.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term")
+    ids = docs.select(F.col(doc_id).alias("id")) if gone is None else gone.select("id").distinct()
+    lost = segments.live(spark, f"{path}/postings", "id", segment - 1).join(ids, "id", "left_semi") if gone is not None else None
+    segments.put(f"{path}/postings", segment, p, ids if gone is not None else ids.limit(0), ("bucket",))
+    new = spark.read.schema(p.schema).parquet(f"{path}/postings/rows/segment={segment}")  # there may be no row
+    df = new.groupBy("bucket", "term").agg(F.count("*").alias("df"))
+    total = docs.select(F.size(terms_of(F.col(doc_text))).cast("long").alias("dl")).agg(F.count("*").alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total"))
+    if lost is not None:
+        df = df.unionByName(lost.groupBy("bucket", "term").agg((-F.count("*")).alias("df"))).groupBy("bucket", "term").agg(F.sum("df").alias("df")).filter("df <> 0")
+        less = lost.select("id", "dl").distinct().agg((-F.coalesce(F.sum("dl"), F.lit(0))).cast("long").alias("total"))
+        total = total.unionByName(less.crossJoin(ids.agg((-F.count("*")).alias("docs")))).agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"))  # one row each
+    segments.put(f"{path}/terms", segment, df, None, ("bucket",))
+    segments.put(f"{path}/stats", segment, total.withColumn("buckets", F.lit(buckets)))
+
+
+def build(docs: DataFrame, doc_id: str, doc_text: str, path: str, buckets: int = 64) -> None:
+    """Write an inverted index as its first segment; a query reads the buckets of its terms only."""
+    put_segment(docs, doc_id, doc_text, path, 0, buckets)
+
+
+def change(spark, path: str, segment: int, gone: DataFrame, added: DataFrame, doc_id: str, doc_text: str) -> None:
+    """Remove documents (a column id) from a written index and add others: cost follows the change, not the index."""
+    buckets = spark.read.parquet(f"{path}/stats/rows").agg(F.max("buckets")).first()[0]
+    put_segment(added, doc_id, doc_text, path, segment, buckets, gone)
+
+
+def all_ids(spark, path: str, segment: int = 0) -> DataFrame:
+    """Identifiers in a written index, in order."""
+    return segments.live(spark, f"{path}/postings", "id", segment).select("id").distinct().orderBy("id")
+
+
+def statistics(spark, path: str, segment: int = 0) -> DataFrame:
+    """One row: docs, terms (distinct) and avgdl of a written index."""
+    upto = F.col("segment") <= segment
+    stats = spark.read.parquet(f"{path}/stats/rows").filter(upto).agg(F.sum("docs").alias("docs"), (F.sum("total") / F.sum("docs")).alias("avgdl"))
+    terms = spark.read.parquet(f"{path}/terms/rows").filter(upto).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0").agg(F.count("*").alias("terms"))
+    return stats.crossJoin(terms)  # one row each
 
 
-def scores_built(spark, path: str, queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
-    """Scores from a written index. The broadcast join on bucket and term prunes partitions while the query runs."""
-    stats = spark.read.parquet(f"{path}/stats")
-    buckets = stats.first()["buckets"]
+def scores_built(spark, path: str, queries: DataFrame, query_id: str, query_text: str, segment: int = 0) -> DataFrame:
+    """Scores from a written index as of a segment. The broadcast join on bucket and term prunes partitions while the query runs."""
+    stats = spark.read.parquet(f"{path}/stats/rows").filter(F.col("segment") <= segment)
+    buckets = stats.agg(F.max("buckets")).first()[0]
+    stats = stats.agg(F.sum("docs").alias("docs"), (F.sum("total") / F.sum("docs")).alias("avgdl"))
     q = query_terms(queries, query_id, query_text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     wanted = bounded(q.select("bucket", "term").distinct())
-    tf = spark.read.parquet(f"{path}/postings").join(wanted, ["bucket", "term"]).select("id", "term", "dl", "tf")
-    df = spark.read.parquet(f"{path}/terms").join(wanted, ["bucket", "term"]).select("term", "df")
-    return _weighted(tf, df, stats.select("docs", "avgdl"), q.drop("bucket"))
+    tf = segments.live(spark, f"{path}/postings", "id", segment).join(wanted, ["bucket", "term"]).select("id", "term", "dl", "tf")
+    df = spark.read.parquet(f"{path}/terms/rows").filter(F.col("segment") <= segment).join(wanted, ["bucket", "term"]).groupBy("term").agg(F.sum("df").alias("df"))
+    return _weighted(tf, df, stats, q.drop("bucket"))
 
 
 def best(scored: DataFrame, k: int, mode: str = "and_then_or") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.joins import top
@@ -35,15 +35,16 @@ def imports(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(F.array_distinct(found)).alias("target"))
 
 
-def resolved_imports(files: DataFrame) -> DataFrame:
-    """(path, target, file): imports that name a known file: candidate paths are made for each and joined, never compared in pairs."""
+def resolved_imports(files: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """(path, target, file): imports of files that name a known file (paths: path, by default those of `files`): candidate paths
+    are made for each and joined, never compared in pairs."""
     folder = F.regexp_extract("path", "^(.*/)?[^/]*$", 1)
     dotted = F.replace("target", F.lit("."), F.lit("/"))
     tails = F.transform(F.sequence(F.lit(1), F.size(F.split("target", "/"))), lambda i: F.array_join(F.slice(F.split("target", "/"), i, F.size(F.split("target", "/"))), "/"))
     stems = F.concat(tails, F.array(dotted, F.concat(F.lit("src/"), dotted), F.concat(folder, F.regexp_replace("target", r"^\./", ""))))
     probes = F.flatten(F.transform(stems, lambda s: F.transform(F.array(*map(F.lit, ["", ".go", ".py", ".ts", ".js", "/index.ts", "/index.js", "/__init__.py"])), lambda e: F.concat(s, e))))
     tried = imports(files).withColumn("file", F.explode(F.array_distinct(probes)))
-    known = files.select(F.col("path").alias("file"))
+    known = (files if paths is None else paths).select(F.col("path").alias("file"))
     return top(tried.join(known, "file").filter(F.col("file") != F.col("path")), 1, ["path", "target"], F.col("file")).select("path", "target", "file")
 
 
@@ -58,27 +59,46 @@ def symbols(files: DataFrame) -> DataFrame:
     return rows.select("path", F.col("s")["n"].alias("name"), kind.alias("kind"), F.col("s")["l"].cast("int").alias("line"))
 
 
+#: Levels of a setting's dotted key that are read.
+KEY_LEVELS = 5
+
+
 def config_keys(files: DataFrame) -> DataFrame:
-    """(path, key): dotted keys of YAML by indentation (two levels), keys of env and properties files."""
+    """(path, key): dotted keys of YAML by indentation, of TOML by section, of JSON by nesting, and keys of env and properties files."""
     lang = language(F.col("path"))
-    lines = files.filter(lang.isin("yaml", "env", "properties", "toml")).select("path", lang.alias("lang"), F.posexplode(F.split("content", "\n")).alias("n", "line"))
-    key = F.regexp_extract("line", r"^\s*([A-Za-z_][\w.-]*)\s*[:=]", 1)
-    lines = lines.withColumn("key", key).filter("key <> ''").withColumn("nested", F.col("line").rlike(r"^\s+"))
-    from pyspark.sql import Window
-
+    f = files.select("path", "content", lang.alias("lang"))
+    lines = f.filter(F.col("lang").isin("yaml", "env", "properties", "toml")).select("path", "lang", F.posexplode(F.split("content", "\n")).alias("n", "line"))
+    key = F.regexp_extract("line", r"^\s*(?:export\s+)?[\"']?([A-Za-z_][\w.-]*)[\"']?\s*[:=]", 1)
+    section = F.regexp_extract("line", r"^\s*\[+\s*([A-Za-z_][\w.-]*)\s*\]+", 1)
+    lines = lines.withColumns({"key": key, "section": section, "depth": F.length(F.regexp_extract("line", r"^(\s*)", 1))}).filter("key <> '' OR section <> ''")
     w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    parent = F.last(F.when(~F.col("nested"), F.col("key")), ignorenulls=True).over(w)
-    return lines.select("path", F.when(F.col("nested") & (F.col("lang") == "yaml"), F.concat_ws(".", parent, "key")).otherwise(F.col("key")).alias("key"))
-
-
-def tested_files(files: DataFrame, most: int = 5) -> DataFrame:
+    toml = lines.filter("lang = 'toml'").withColumn("in", F.last(F.when(F.col("section") != "", F.col("section")), ignorenulls=True).over(w))
+    keys = toml.select("path", F.when(F.col("key") == "", F.col("section")).when(F.col("in").isNotNull(), F.concat_ws(".", "in", "key")).otherwise(F.col("key")).alias("key"))
+    flat = lines.filter("lang IN ('env', 'properties')").select("path", "key")
+    # YAML: the keys open above a line are the last of each lesser depth; a line's ancestors follow by one pass a level
+    own = Window.partitionBy("path").orderBy("n")
+    yaml = lines.filter("lang = 'yaml' AND key <> ''").select("path", "n", "key", "depth")
+    stack = F.aggregate("above", F.expr("cast(array() as array<struct<depth:int,key:string>>)"), lambda acc, x: F.concat(F.filter(acc, lambda y: y["depth"] < x["depth"]), F.array(x)))
+    yaml = yaml.withColumn("above", F.collect_list(F.struct("depth", "key")).over(own.rowsBetween(-4096, 0)))  # a settings file's lines
+    dotted = yaml.select("path", F.array_join(F.transform(F.slice(stack, 1, KEY_LEVELS), lambda x: x["key"]), ".").alias("key"))
+    # JSON: paths of nested objects, by the parser of the engine, a level at a time
+    out = keys.unionByName(flat).unionByName(dotted)
+    now = f.filter("lang = 'json'").select("path", F.lit(None).cast("string").alias("at"), F.explode(F.from_json("content", "map<string,string>")).alias("k", "v"))
+    for _ in range(KEY_LEVELS):
+        now = now.select("path", F.concat_ws(".", "at", "k").alias("at"), "v")
+        out = out.unionByName(now.select("path", F.col("at").alias("key")))
+        now = now.filter(F.col("v").startswith("{")).select("path", "at", F.explode(F.from_json("v", "map<string,string>")).alias("k", "v"))
+    return out.distinct()
+
+
+def tested_files(files: DataFrame, most: int = 5, paths: DataFrame | None = None) -> DataFrame:
     """(test, file, confidence): a test's implementation by its name, else by what it imports; the surest few."""
     tests = files.filter(is_test_path(F.col("path")))
     strip = F.regexp_replace(F.regexp_replace("path", r"_test\.(\w+)$", ".$1"), r"\.(?:test|spec)\.(\w+)$", ".$1")
     named = tests.select(F.col("path").alias("test"), F.explode(F.array_distinct(F.array(strip, F.regexp_replace(strip, r"(^|/)tests?/", "$1"), F.regexp_replace(strip, r"(^|/)test_([^/]+)$", "$1$2")))).alias("file"))
-    known = files.filter(~is_test_path(F.col("path"))).select(F.col("path").alias("file"))
+    known = (files if paths is None else paths).filter(~is_test_path(F.col("path"))).select(F.col("path").alias("file"))
     by_name = named.join(known, "file").select("test", "file", F.lit(CONFIDENCE["test_by_name"]).alias("confidence"))
-    by_import = resolved_imports(files).join(tests.select("path"), "path", "left_semi").select(F.col("path").alias("test"), "file", F.lit(CONFIDENCE["test_by_import"]).alias("confidence"))
+    by_import = resolved_imports(files, paths).join(tests.select("path"), "path", "left_semi").select(F.col("path").alias("test"), "file", F.lit(CONFIDENCE["test_by_import"]).alias("confidence"))
     best = by_name.unionByName(by_import).groupBy("test", "file").agg(F.max("confidence").alias("confidence"))
     return top(best, most, ["test"], F.col("confidence").desc(), F.col("file")).select("test", "file", "confidence")
 
@@ -91,35 +111,50 @@ def mentions(files: DataFrame, names: DataFrame) -> DataFrame:
     return found.join(names.select("target").distinct(), "target").groupBy("doc", "target").agg(F.max("confidence").alias("confidence"))
 
 
-def file_graph(files: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of all extractors in one pass each, unioned: containment, imports, definitions, settings, tests, mentions."""
+def package_of(files: DataFrame) -> DataFrame:
+    """(path, package): folder#name of Go files by their package clause, of Python files by their folder."""
+    lang, folder = language(F.col("path")), F.regexp_extract("path", "^(?:(.*)/)?[^/]*$", 1)
+    name = F.when(lang == "go", F.regexp_extract("content", r"(?m)^package\s+(\w+)", 1)).when(lang == "python", F.substring_index(folder, "/", -1)).otherwise("")
+    return files.select("path", F.concat_ws("#", folder, name).alias("package"), name.alias("name")).filter("name <> ''").drop("name")
+
+
+def file_graph(files: DataFrame, project: str, paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, kind, key, name, path) and edges (id, kind, src, dst, confidence, heuristic, stale, path, method) of all extractors in one
+    pass each, unioned: packages, imports, definitions, settings, tests, mentions. paths: all known files, if `files` are only some."""
     from gleaner.operators import graph
 
-    lang = language(F.col("path"))
-    kind = F.when(is_test_path(F.col("path")), "test_file").when(content_type(lang) == "markdown", "doc").when(content_type(lang) == "config", "config_file").otherwise("file")
-    own = files.select("path", kind.alias("kind"))
-    sym, keys = symbols(files), config_keys(files)
-    node = lambda df, k, key, name: df.select(graph.node_id(k, key, project).alias("id"), (F.lit(k) if isinstance(k, str) else k).alias("kind"), key.alias("key"), name.alias("name")).distinct()
-    sym_key = F.concat_ws("#", "path", "name")
-    nodes = node(own, F.col("kind"), F.col("path"), F.regexp_extract("path", "([^/]*)$", 1)).unionByName(node(sym, "symbol", sym_key, F.col("name")))
-    nodes = nodes.unionByName(node(keys, "config_key", F.concat_ws("#", "path", "key"), F.col("key")))
-    kinds = own.select(F.col("path").alias("p"), F.col("kind").alias("k"))
-    of = lambda col: graph.node_id(F.col(f"{col}_k"), F.col(col), project)
-    typed = lambda df, *cols: _with_kinds(df, kinds, cols)
-
-    def edge(df, name, src, dst, conf, heuristic):
-        return df.select(graph.edge_id("cheap", F.lit(name), F.lit(name), src, dst, project).alias("id"), F.lit(name).alias("kind"), src.alias("src"), dst.alias("dst"), conf.alias("confidence"), F.lit(heuristic).alias("heuristic"), F.lit(False).alias("stale"))
-
-    c = CONFIDENCE
-    out = edge(typed(resolved_imports(files), "path", "file"), "file_imports", of("path"), of("file"), F.lit(c["import"]), False)
-    out = out.unionByName(edge(typed(sym, "path"), "file_defines_symbol", of("path"), graph.node_id("symbol", sym_key, project), F.lit(c["defines"]), False))
-    out = out.unionByName(edge(typed(keys, "path"), "file_defines_config_key", of("path"), graph.node_id("config_key", F.concat_ws("#", "path", "key"), project), F.lit(c["config_key"]), False))
-    out = out.unionByName(edge(typed(tested_files(files), "test", "file"), "test_covers_implementation", of("test"), of("file"), F.col("confidence"), True))
-    said = mentions(files, files.select(F.col("path").alias("target")))
-    return nodes, out.unionByName(edge(typed(said, "doc", "target"), "doc_mentions_file", of("doc"), of("target"), F.col("confidence"), True)).dropDuplicates(["id"])
-
-
-def _with_kinds(df: DataFrame, kinds: DataFrame, cols: tuple[str, ...]) -> DataFrame:
-    for col in cols:
-        df = df.join(kinds.select(F.col("p").alias(col), F.col("k").alias(f"{col}_k")), col)
-    return df
+    known = (files if paths is None else paths).select("path")
+    kind_of = lambda p: F.when(is_test_path(p), "test_file").when(content_type(language(p)) == "markdown", "doc").when(content_type(language(p)) == "config", "config_file").otherwise("file")
+    file_id = lambda col: graph.node_id(kind_of(F.col(col)), F.col(col), project)
+    sym, keys, packages = symbols(files), config_keys(files), package_of(files)
+    node = lambda df, k, key, name: df.select(graph.node_id(k, key, project).alias("id"), (F.lit(k) if isinstance(k, str) else k).alias("kind"), key.alias("key"), name.alias("name"), "path").distinct()
+    sym_key, key_key = F.concat_ws("#", "path", "name"), F.concat_ws("#", "path", "key")
+    nodes = node(files.select("path"), kind_of(F.col("path")), F.col("path"), F.regexp_extract("path", "([^/]*)$", 1)).unionByName(node(sym, "symbol", sym_key, F.col("name")))
+    nodes = nodes.unionByName(node(keys, "config_key", key_key, F.col("key"))).unionByName(node(packages, "package", F.col("package"), F.substring_index("package", "#", -1)))
+
+    def edge(df, name, src, dst, conf, heuristic, method):
+        eid = graph.edge_id("cheap", F.lit(name), F.lit(name), src, dst, project)
+        return df.select(eid.alias("id"), F.lit(name).alias("kind"), src.alias("src"), dst.alias("dst"), conf.alias("confidence"), F.lit(heuristic).alias("heuristic"), F.lit(False).alias("stale"), "path", F.lit(method).alias("method"))
+
+    c, lit = CONFIDENCE, F.lit
+    out = edge(resolved_imports(files, known), "file_imports", file_id("path"), file_id("file"), lit(c["import"]), False, "import")
+    out = out.unionByName(edge(sym, "file_defines_symbol", file_id("path"), graph.node_id("symbol", sym_key, project), lit(c["defines"]), False, "declaration"))
+    out = out.unionByName(edge(keys, "file_defines_config_key", file_id("path"), graph.node_id("config_key", key_key, project), lit(c["config_key"]), False, "setting"))
+    out = out.unionByName(edge(packages, "package_contains_file", graph.node_id("package", F.col("package"), project), file_id("path"), lit(1.0), False, "package"))
+    tests = tested_files(files, paths=known).withColumn("path", F.col("test"))
+    out = out.unionByName(edge(tests, "test_covers_implementation", file_id("test"), file_id("file"), F.col("confidence"), True, "test"))
+    said = mentions(files, known.select(F.col("path").alias("target"))).withColumn("path", F.col("doc"))
+    return nodes, out.unionByName(edge(said, "doc_mentions_file", file_id("doc"), file_id("target"), F.col("confidence"), True, "mention")).dropDuplicates(["id"])
+
+
+def chunk_graph(chunks: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes of chunks and the edges from their files to them."""
+    from gleaner.operators import graph
+
+    p = F.col("path")
+    kind = F.when(is_test_path(p), "test_file").when(content_type(language(p)) == "markdown", "doc").when(content_type(language(p)) == "config", "config_file").otherwise("file")
+    src, dst = graph.node_id(kind, p, project), graph.node_id("chunk", F.col("chunk_id"), project)
+    nodes = chunks.select(dst.alias("id"), F.lit("chunk").alias("kind"), F.col("chunk_id").alias("key"), "title", "path").groupBy("id", "kind", "key", "path").agg(F.min("title").alias("name")).select("id", "kind", "key", "name", "path")
+    eid = graph.edge_id("cheap", F.lit("file_has_chunk"), F.lit("file_has_chunk"), src, dst, project)
+    edges = chunks.select(eid.alias("id"), F.lit("file_has_chunk").alias("kind"), src.alias("src"), dst.alias("dst"), F.lit(1.0).alias("confidence"), F.lit(False).alias("heuristic"), F.lit(False).alias("stale"), "path", F.lit("chunk").alias("method"))
+    return nodes, edges.dropDuplicates(["id"])

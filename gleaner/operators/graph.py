@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.joins import top
+from gleaner.functions.joins import bounded, top
 
 #: Role of the other end, seen from the source and from the target of an edge.
 ROLES = {
     "file_imports": ("imported", "importer"), "file_defines_symbol": ("definition", "file"), "file_defines_config_key": ("setting", "file"), "test_covers_implementation": ("implementation", "test"),
-    "doc_mentions_file": ("mentioned", "document"), "contains": ("child", "parent"), "lives_in": ("home", "resident"), "ordered_by": ("buyer", "order"), "has_part": ("part", "used_in"), "supplied_by": ("supplier", "supplies"),
+    "doc_mentions_file": ("mentioned", "document"), "package_contains_file": ("member", "package"), "file_has_chunk": ("chunk", "file"), "contains": ("child", "parent"), "lives_in": ("home", "resident"), "ordered_by": ("buyer", "order"), "has_part": ("part", "used_in"), "supplied_by": ("supplier", "supplies"),
 }
 
 
@@ -76,26 +76,104 @@ def paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return found.drop("at")
 
 
-def match_score(subject: Column, key: Column, name: Column, node: Column) -> Column:
-    """How well a node fits a subject: key 0, name 2, id 3; 4 more if only the case differs, 8 for a part of the name."""
-    low = F.lower(subject)
-    return (
-        F.when(key == subject, 0).when(name == subject, 2).when(node == subject, 3).when(F.lower(key) == low, 4).when(F.lower(name) == low, 6)
-        .when(F.lower(node) == low, 7).when(F.contains(F.lower(name), low), 10).when(F.contains(F.lower(node), low), 11)
-    )
-
-
-def resolve(nodes: DataFrame, subjects: DataFrame, limit: int = 10) -> DataFrame:
-    """(subject, id, score, state): the nodes of the least score of each subject; one is resolved, several are ambiguous."""
-    hit = nodes.crossJoin(F.broadcast(subjects)).withColumn("score", match_score(F.col("subject"), F.col("key"), F.col("name"), F.col("id"))).filter("score is not null")
-    tier = hit.groupBy("subject").agg(F.min("score").alias("best"))
-    best = hit.join(F.broadcast(tier), "subject").filter(F.col("score") == F.col("best"))
-    size = best.groupBy("subject").agg(F.count("*").alias("n"))
-    ranked = top(best, limit, ["subject"], F.col("id")).join(F.broadcast(size), "subject")
-    return ranked.select("subject", "id", "score", F.when(F.col("n") == 1, "resolved").otherwise("ambiguous").alias("state"))
-
-
-def nearest_names(nodes: DataFrame, subjects: DataFrame, most: int = 3, k: int = 5) -> DataFrame:
-    """Did-you-mean: names within an edit distance, nearest first."""
-    near = nodes.crossJoin(F.broadcast(subjects)).withColumn("edits", F.levenshtein(F.lower("name"), F.lower("subject"), most)).filter("edits >= 0")
-    return top(near.select("subject", "name", "edits").distinct(), k, ["subject"], F.col("edits"), F.col("name")).select("subject", "name", "edits", "rank")
+#: Tiers of a match by what is equal: key, path, name, id; 4 more if only the case differs, 10 and 11 for parts of name and id.
+TIERS = (("key", 0), ("path", 1), ("name", 2), ("id", 3))
+FOLDED, PART_OF_NAME, PART_OF_ID = 4, 10, 11
+FILE_KINDS = ("file", "test_file", "doc", "config_file")
+#: Subjects shown, hints shown, and the edits within which a name is a hint.
+CANDIDATES, HINTS, EDITS = 10, 5, 3
+
+
+def resolve(nodes: DataFrame, subjects: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+    """(subject, id, score, state): the nodes of the least score of each subject; one is resolved, several are ambiguous.
+
+    Equal forms are found by one equi-join on the form; only subjects that no node equals are looked for within names.
+    nodes: (id, key, name[, path]).
+    """
+    tiers = [(c, t) for c, t in TIERS if c in nodes.columns]
+    exact = [F.struct(F.col(c).cast("string").alias("form"), F.lit(t).alias("score")) for c, t in tiers]
+    folded = [F.struct(F.concat(F.lit("\0"), F.lower(c)).alias("form"), F.lit(t + FOLDED).alias("score")) for c, t in tiers]
+    forms = nodes.select("id", F.explode(F.array(*exact, *folded)).alias("f")).select("id", "f.*").filter("form IS NOT NULL")
+    asked = subjects.select("subject").distinct()
+    wanted = asked.select("subject", F.explode(F.array("subject", F.concat(F.lit("\0"), F.lower("subject")))).alias("form"))
+    equal = forms.join(bounded(wanted), "form").groupBy("subject", "id").agg(F.min("score").alias("score"))
+    rest = bounded(asked.join(equal.select("subject").distinct(), "subject", "left_anti"))
+    low = F.lower("subject")
+    part = F.when(F.contains(F.lower("name"), low), PART_OF_NAME).when(F.contains(F.lower("id"), low), PART_OF_ID)
+    within = nodes.select("id", "name").join(rest, F.contains(F.lower("name"), low) | F.contains(F.lower("id"), low)).select("subject", "id", part.alias("score"))
+    hit = equal.unionByName(within)
+    per = Window.partitionBy("subject")
+    best = hit.withColumn("best", F.min("score").over(per)).filter(F.col("score") == F.col("best")).withColumn("n", F.count("*").over(per))
+    return top(best, limit, ["subject"], F.col("id")).select("subject", "id", "score", F.when(F.col("n") == 1, "resolved").otherwise("ambiguous").alias("state"))
+
+
+def resolve_typed(nodes: DataFrame, subjects: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+    """(subject, type, id, state) of subjects with a type: auto, path, symbol, package or result_id.
+
+    path: equal to the path of a file; package: key or name, then directory, then either by case; result_id: the id;
+    symbol: among symbols only; auto: as a path if it has a slash and one file has it, else among all nodes.
+    """
+    typed = lambda *kinds: subjects.filter(F.col("type").isin(*kinds)).select("subject", "type")
+    files = nodes.filter(F.col("kind").isin(*FILE_KINDS)).select("id", F.col("path").alias("subject"))
+    as_path = typed("path", "auto").filter((F.col("type") == "path") | F.contains("subject", F.lit("/"))).join(files, "subject")
+    as_path = as_path.withColumn("n", F.count("*").over(Window.partitionBy("subject", "type"))).filter((F.col("type") == "path") | (F.col("n") == 1))
+    as_path = as_path.select("subject", "type", "id", "n")
+    by_id = typed("result_id").join(nodes.select(F.col("id").alias("subject"), "id"), "subject").select("subject", "type", "id", F.lit(1).cast("long").alias("n"))
+    folder = F.substring_index("key", "#", 1)
+    forms = F.array(*[F.struct(x.alias("form"), F.lit(t).alias("score")) for x, t in ((F.col("key"), 0), (F.col("name"), 0), (F.concat(F.lit("\1"), folder), 1), *((F.concat(F.lit("\0"), F.lower(c)), 2) for c in (F.col("key"), F.col("name"), folder)))])
+    packages = nodes.filter("kind = 'package'").select("id", F.explode(forms).alias("f")).select("id", "f.*")
+    wanted = typed("package").select("subject", "type", F.explode(F.array(F.col("subject"), F.concat(F.lit("\1"), "subject"), F.concat(F.lit("\0"), F.lower("subject")))).alias("form"))
+    package = wanted.join(packages, "form").groupBy("subject", "type", "id").agg(F.min("score").alias("score"))
+    per = Window.partitionBy("subject", "type")
+    package = package.withColumn("best", F.min("score").over(per)).filter("score = best").withColumn("n", F.count("*").over(per)).select("subject", "type", "id", "n")
+    symbols = resolve(nodes.filter("kind = 'symbol'"), typed("symbol"), limit)
+    others = resolve(nodes, typed("auto").join(as_path.filter("type = 'auto'").select("subject"), "subject", "left_anti"), limit)
+    found = top(as_path.unionByName(by_id).unionByName(package), limit, ["subject", "type"], F.col("id")).select("subject", "type", "id", F.when(F.col("n") == 1, "resolved").otherwise("ambiguous").alias("state"))
+    named = lambda df, t: df.select("subject", F.lit(t).alias("type"), "id", "state")
+    return found.unionByName(named(symbols, "symbol")).unionByName(named(others, "auto"))
+
+
+def seed_scope(resolved: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(subject, seed): resolved subjects (subject, id); a file stands for every node of its path, any other node for itself."""
+    own = resolved.select("subject", "id").join(nodes.select("id", "kind", "path"), "id")
+    file = F.col("kind").isin(*FILE_KINDS) & (F.coalesce("path", F.lit("")) != "")
+    wide = own.filter(file).select("subject", "path").join(nodes.select("path", F.col("id").alias("seed")), "path").select("subject", "seed")
+    return wide.unionByName(own.filter(~file).select("subject", F.col("id").alias("seed"))).distinct()
+
+
+def best_targets(rows: DataFrame, by: str = "subject") -> DataFrame:
+    """One row a target: the surest path (then not heuristic, the shorter text, path, method, kind), how many others were left out and their kinds.
+
+    rows: (by, other, kind, confidence, heuristic, text, path, method).
+    """
+    fields = ["kind", "confidence", "heuristic", "text", "path", "method"]
+    order = F.struct((-F.col("confidence")).alias("a"), F.col("heuristic").alias("b"), F.length("text").alias("c"), F.col("path").alias("d"), F.col("method").alias("e"), F.col("kind").alias("f"), F.col("text").alias("g"))
+    best = rows.groupBy(by, "other").agg(F.min_by(F.struct(*fields), order).alias("x"), F.count("*").alias("n"), F.collect_set("kind").alias("kinds"))  # kinds are few
+    others = F.array_sort(F.array_except("kinds", F.array("x.kind")))
+    return best.select(by, "other", "x.*", (F.col("n") - 1).alias("suppressed"), others.alias("other_kinds"))
+
+
+def last_segment(x: Column) -> Column:
+    return F.substring_index(x, "/", -1)
+
+
+def nearest_names(nodes: DataFrame, subjects: DataFrame, most: int = EDITS, k: int = HINTS) -> DataFrame:
+    """Did-you-mean: names within an edit distance of the subject's last path segment, nearest first. A symbol goes by its name, a file by
+    its base name; names are compared once each, and only with subjects of about their length."""
+    hint = F.when(F.col("kind") == "symbol", F.col("name")).when(F.col("kind").isin(*FILE_KINDS), last_segment(F.col("key"))).otherwise(F.col("name")) if "kind" in nodes.columns else F.col("name")
+    names = nodes.select(hint.alias("name")).distinct()
+    asked = bounded(subjects.select("subject", F.lower(last_segment(F.trim("subject"))).alias("target")).distinct())
+    near = names.join(asked, F.abs(F.length("name") - F.length("target")) <= most).withColumn("edits", F.levenshtein(F.lower("name"), F.col("target"), most)).filter("edits >= 0")
+    return top(near, k, ["subject"], F.col("edits"), F.col("name")).select("subject", "name", "edits", "rank")
+
+
+#: Languages that are code but that no extractor reads.
+UNREAD = {"rs": "rust", "java": "java", "kt": "kotlin", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "rb": "ruby", "php": "php", "swift": "swift", "sh": "shell", "bash": "shell", "cs": "csharp", "scala": "scala"}
+
+
+def language_warning(subject: Column) -> Column:
+    """The language that a subject's path, or the first part of its name, asks for, if no extractor reads it; else null."""
+    known = F.create_map(*[F.lit(x) for kv in UNREAD.items() for x in kv])
+    by_path = known[F.lower(F.regexp_extract(subject, r"\.([A-Za-z]+)$", 1))]
+    start = F.lower(F.regexp_extract(subject, r"^([A-Za-z]+)_", 1))
+    return F.coalesce(by_path, F.when(start.isin(*sorted(set(UNREAD.values()) - {"c"})), start))

@@ -54,9 +54,14 @@ def path_factor(path: Column) -> Column:
     return F.when(is_test_path(path), TEST_PENALTY).otherwise(one) * F.when(impl, IMPL_BOOST).otherwise(one) * F.when(wrapper, WRAPPER_PENALTY).otherwise(one)
 
 
-def exact_factor(path: Column, content: Column, symbols: Column, needle: Column, quoted: Column) -> Column:
-    """The first case that fits: exact path, exact symbol, quoted phrase within the content."""
-    return F.when(path == needle, EXACT_PATH).when(F.array_contains(symbols, needle), EXACT_SYMBOL).when(quoted & F.contains(content, needle), QUOTED_CONTENT).otherwise(1.0)
+def exact_factor(path: Column, content: Column, symbols: Column, needle: Column, quoted: Column, kind: Column | None = None, declared: Column | None = None) -> Column:
+    """The first case that fits: exact path, exact symbol, quoted phrase within the content.
+
+    declared: kinds of symbol that the query declares (`type Name struct`); a symbol of another kind is held back then.
+    """
+    named = F.array_contains(symbols, needle)
+    right = F.lit(True) if declared is None else declared.isNull() | F.coalesce(F.array_contains(declared, kind), F.lit(False))
+    return F.when(path == needle, EXACT_PATH).when(named & right, EXACT_SYMBOL).when(named, WRONG_KIND).when(quoted & F.contains(content, needle), QUOTED_CONTENT).otherwise(1.0)
 
 
 def authority_key(score: Column, priority: Column) -> Column:

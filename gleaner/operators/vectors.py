@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.joins import bounded, top
+from gleaner.functions.text import tokens, without_stop_words
+from gleaner.sources import segments
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,9 +36,11 @@ def score_of(d: Column, metric: str) -> Column:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query, id, distance, score, rank): a stated query set against all rows; each task keeps k rows a query before the shuffle."""
-    q = bounded(queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("qv")))
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).crossJoin(q).filter(F.size("v") == F.size("qv"))
-    d = F.round(distance(F.col("v"), F.col("qv"), metric), 6)
+    made = unit_vector if metric == "cosine" else (lambda v: v)  # each side is brought to unit length once, not once a pair
+    q = bounded(queries.select(F.col(id_col).alias("query"), made(F.col(vec_col)).alias("qv")))
+    own = vectors.select(F.col(id_col).alias("id"), made(F.col(vec_col)).alias("v"))
+    pairs = own.crossJoin(q).filter(F.size("v") == F.size("qv"))
+    d = _cosine(F.col("v"), F.col("qv")) if metric == "cosine" else F.round(distance(F.col("v"), F.col("qv"), metric), 6)
     scored = pairs.select("query", "id", d.alias("distance"))
     ranked = top(scored, k, ["query"], F.col("distance"), F.col("id"))
     return ranked.select("query", "id", "distance", F.round(score_of(F.col("distance"), metric), 7 if metric == "cosine" else 6).alias("score"), "rank")
@@ -73,39 +77,66 @@ def in_lists(vectors: DataFrame, centres: np.ndarray, n: int, id_col: str, vec_c
     return plain.mapInPandas(work, f"id {plain.schema['id'].dataType.simpleString()}, v array<double>, list array<int>").withColumn("list", F.explode("list"))
 
 
-def build_lists(vectors: DataFrame, path: str, lists: int = 32, sample: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
-    """Write every vector under its nearest centre, one folder a list, and the centres."""
-    centres = centres_of(vectors, lists, sample, vec_col, id_col)
-    in_lists(vectors, centres, 1, id_col, vec_col).write.mode("overwrite").partitionBy("list").parquet(f"{path}/lists")
+def lists_for(rows: int) -> int:
+    """Lists for so many vectors: about the square root, so a list stays near as many rows as there are lists."""
+    return max(1, min(65_536, round(rows**0.5)))
+
+
+def probes_for(lists: int) -> int:
+    """Lists that a query reads: most of a few, and a share that falls with their number."""
+    return min(lists, max(8, round(4 * lists**0.5)))
+
+
+def build_lists(vectors: DataFrame, path: str, lists: int | None = None, sample: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
+    """Write every vector under its nearest centre, one folder a list, and the centres, fitted on at most `sample` rows (32 a list)."""
+    lists = lists or lists_for(vectors.count())
+    centres = centres_of(vectors, lists, sample or 32 * lists, vec_col, id_col)
+    rows = in_lists(vectors, centres, 1, id_col, vec_col)
+    segments.put(path, 0, rows, rows.select("id").limit(0), ("list",))
     vectors.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
 
 
-def nearest_built(spark, path: str, queries: DataFrame, k: int, probes: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def _centres(spark, path: str) -> np.ndarray:
+    return np.array([r.centre for r in spark.read.parquet(f"{path}/centres").orderBy("list").collect()])  # one row a list
+
+
+def add_to_lists(spark, path: str, segment: int, vectors: DataFrame, gone: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
+    """Append vectors to written lists and remove ids (a column id); centres stay as they were fitted."""
+    segments.put(path, segment, in_lists(vectors, _centres(spark, path), 1, id_col, vec_col), gone, ("list",))
+
+
+def nearest_built(spark, path: str, queries: DataFrame, k: int, probes: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", segment: int = 0) -> DataFrame:
     """(query, id, distance, score, rank) from written lists: each query reads `probes` of them, the others are pruned."""
-    rows = spark.read.parquet(f"{path}/centres").orderBy("list").collect()  # one row a list
-    centres = np.array([r.centre for r in rows])
-    q = bounded(in_lists(queries, centres, min(probes, len(centres)), id_col, vec_col).select(F.col("id").alias("query"), F.col("v").alias("qv"), "list"), queries)
-    scored = spark.read.parquet(f"{path}/lists").join(q, "list").select("query", "id", F.round(distance(F.col("v"), F.col("qv"), "cosine"), 6).alias("distance"))
+    centres = _centres(spark, path)
+    probes = probes or probes_for(len(centres))
+    q = in_lists(queries, centres, min(probes, len(centres)), id_col, vec_col).select(F.col("id").alias("query"), unit_vector(F.col("v")).alias("qv"), "list")
+    rows = segments.live(spark, path, "id", segment).withColumn("v", unit_vector(F.col("v")))
+    return _ranked(rows.join(bounded(q, queries), "list").select("query", "id", _cosine(F.col("v"), F.col("qv")).alias("distance")), k)
+
+
+def _cosine(a: Column, b: Column) -> Column:
+    """Distance of two unit vectors."""
+    return F.round(1 - dot(a, b), 6)
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
     ranked = top(scored, k, ["query"], F.col("distance"), F.col("id"))
     return ranked.select("query", "id", "distance", F.round(score_of(F.col("distance"), "cosine"), 7).alias("score"), "rank")
 
 
-def nearest_by_lists(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 32, probes: int = 20, sample: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest_by_lists(vectors: DataFrame, queries: DataFrame, k: int, lists: int | None = None, probes: int | None = None, sample: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """As nearest (cosine), approximately and without a written index: every row is in one list, every query reads `probes` lists."""
-    centres = centres_of(vectors, lists, sample, vec_col, id_col)
+    lists = lists or lists_for(vectors.count())
+    centres = centres_of(vectors, lists, sample or 32 * lists, vec_col, id_col)
     if not len(centres):
         return nearest(vectors, queries, k, "cosine", id_col, vec_col)
-    v = in_lists(vectors, centres, 1, id_col, vec_col)
-    q = bounded(in_lists(queries, centres, min(probes, len(centres)), id_col, vec_col).select(F.col("id").alias("query"), F.col("v").alias("qv"), "list"), queries)
-    scored = v.join(q, "list").select("query", "id", F.round(distance(F.col("v"), F.col("qv"), "cosine"), 6).alias("distance"))
-    ranked = top(scored, k, ["query"], F.col("distance"), F.col("id"))
-    return ranked.select("query", "id", "distance", F.round(score_of(F.col("distance"), "cosine"), 7).alias("score"), "rank")
+    v = in_lists(vectors, centres, 1, id_col, vec_col).withColumn("v", unit_vector(F.col("v")))
+    q = in_lists(queries, centres, min(probes or probes_for(len(centres)), len(centres)), id_col, vec_col).select(F.col("id").alias("query"), unit_vector(F.col("v")).alias("qv"), "list")
+    return _ranked(v.join(bounded(q, queries), "list").select("query", "id", _cosine(F.col("v"), F.col("qv")).alias("distance")), k)
 
 
 def static_embedding(texts: DataFrame, id_col: str, text_col: str, dims: int = 256) -> DataFrame:
     """(id, embedding): hashed tokens (weight 0.7) and letter-digit byte trigrams (0.3), FNV-1 64-bit, L2-normalised."""
-    from gleaner.functions.text import tokens, without_stop_words
-
     def fnv(raw: bytes) -> int:
         h = 0xCBF29CE484222325
         for b in raw:

@@ -33,8 +33,21 @@ fn AS (SELECT *, round(raw::DOUBLE / max(raw::DOUBLE) OVER (PARTITION BY query),
 fused AS (SELECT query, id, rrf, keyword_rank, vector_rank, in_both, keyword_score, row_number() OVER (PARTITION BY query ORDER BY rrf DESC, in_both DESC, coalesce(keyword_score, 0) DESC, id) AS rank FROM fn)"""
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def index_of(spark, sf_dir) -> str:
+    """The inverted index of the documents: written once an application, read by every search after that."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        path = scratch(spark, "terms")
+        bm25.build(table(spark, sf_dir, "documents"), "doc_id", "text", path, 16)
+        _indexes[key] = path
+    return _indexes[key]
+
+
 def keyword(spark, sf_dir, k: int = DEPTH, mode: str = "and_then_or"):
-    return bm25.search(table(spark, sf_dir, "documents"), queries_of(spark, sf_dir), "doc_id", "text", "item_id", "q", k, mode)
+    return bm25.best(bm25.scores_built(spark, index_of(spark, sf_dir), queries_of(spark, sf_dir), "item_id", "q"), k, mode)
 
 
 def vector(spark, sf_dir, k: int = DEPTH, metric: str = "cosine"):
@@ -65,12 +78,37 @@ def bm25_and_or_topk(spark, sf_dir):
 
 
 @query(f"WITH {SQL_BM25} SELECT query, id, score, rank FROM kw")
-def bm25_from_index(spark, sf_dir):
-    """The same search from a written inverted index, of which only the queries' buckets are read."""
-    path = scratch(spark, "bm25")
-    bm25.build(table(spark, sf_dir, "documents"), "doc_id", "text", path, 16)
-    q = queries_of(spark, sf_dir)
-    return bm25.best(bm25.scores_built(spark, path, q, "item_id", "q"), DEPTH)
+def bm25_without_index(spark, sf_dir):
+    """The same search without an index, in one plan over the texts."""
+    return bm25.search(table(spark, sf_dir, "documents"), queries_of(spark, sf_dir), "doc_id", "text", "item_id", "q", DEPTH)
+
+
+_CHANGED = "CASE WHEN doc_id % 10 = 3 THEN text || ' ' || substr(text, 1, 200) ELSE text END"
+
+
+@query(f"WITH {SQL_BM25.replace('FROM documents)', f'FROM (SELECT doc_id, {_CHANGED} AS text FROM documents WHERE doc_id % 10 <> 7))')} SELECT query, id, score, rank FROM kw")
+def bm25_after_changes(spark, sf_dir):
+    """An index that grew by segments: built without some documents, which are added, then others are replaced and others removed.
+    The rows are those of an index built anew."""
+    d, path, late = table(spark, sf_dir, "documents").select("doc_id", "text"), scratch(spark, "changed"), F.col("doc_id") % 10
+    ids = lambda df: df.select(F.col("doc_id").alias("id"))
+    bm25.build(d.filter(late != 5), "doc_id", "text", path, 16)
+    bm25.change(spark, path, 1, ids(d.limit(0)), d.filter(late == 5), "doc_id", "text")
+    again = d.filter(late == 3)
+    bm25.change(spark, path, 2, ids(again), again.withColumn("text", F.expr(_CHANGED)), "doc_id", "text")
+    bm25.change(spark, path, 3, ids(d.filter(late == 7)), d.limit(0), "doc_id", "text")
+    return bm25.best(bm25.scores_built(spark, path, queries_of(spark, sf_dir), "item_id", "q", 3), DEPTH)
+
+
+@query(f"""WITH dt AS (SELECT {SQL_TERMS.format('text')} AS t FROM documents WHERE doc_id % 10 <> 7), u AS (SELECT unnest(t) AS term FROM dt)
+SELECT (SELECT count(*) FROM dt) AS docs, round((SELECT avg(len(t)) FROM dt), 6) AS avgdl, (SELECT count(DISTINCT term) FROM u) AS terms, (SELECT count(*) FROM dt WHERE len(t) > 0) AS ids""")
+def index_statistics(spark, sf_dir):
+    """Documents, mean length, terms and identifiers of an index after a removal."""
+    d, path = table(spark, sf_dir, "documents").select("doc_id", "text"), scratch(spark, "statistics")
+    bm25.build(d, "doc_id", "text", path, 16)
+    bm25.change(spark, path, 1, d.filter("doc_id % 10 = 7").select(F.col("doc_id").alias("id")), d.limit(0), "doc_id", "text")
+    s = bm25.statistics(spark, path, 1)
+    return s.crossJoin(bm25.all_ids(spark, path, 1).agg(F.count("*").alias("ids"))).select("docs", F.round("avgdl", 6).alias("avgdl"), "terms", "ids")  # one row each
 
 
 @query(f"WITH {SQL_BM25} SELECT query, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 10")
@@ -243,5 +281,4 @@ def adjacent_context(spark, sf_dir):
 def highlights(spark, sf_dir):
     """How often a term is found in a result, by character offsets."""
     found = keyword(spark, sf_dir, 3).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.lower(F.substring("text", i, 3)) == "the")
-    return found.select("query", "id", F.size(at).cast("long").alias("hits"))
+    return found.select("query", "id", F.regexp_count(F.lower("text"), F.lit("the")).cast("long").alias("hits"))
