@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 
 #: Words that carry no meaning in program text.
 STOP_WORDS = ("var", "let", "const", "func", "function", "def", "class", "return", "if", "else", "for", "while", "data", "result", "value", "item", "key", "err", "ctx", "tmp")
-#: File extensions that make a query a path.
-PATH_EXTENSIONS = "go|ts|tsx|js|jsx|py|md|pdf|json|yaml|yml|toml|css|scss|html|rs|java|kt|c|cpp|h|hpp|rb|php|swift|sh|bash|zsh"
 #: Patterns of query classes.
 ERROR_CODE = r"(?i)^(ERR_\w+|E\d{4,5}|[A-Z]{2,}\d{3,}|\w+Exception)$"
 QUOTED = r"""^["'].*["']$"""
-FILE_PATH = rf"(?i)^[\w\-\./\\]+\.({PATH_EXTENSIONS})$"
+FILE_PATH = r"(?i)^[\w\-\./\\]+\.(go|ts|tsx|js|jsx|py|md|pdf|json|yaml|yml|toml|css|scss|html|rs|java|kt|c|cpp|h|hpp|rb|php|swift|sh|bash|zsh)$"
 IDENTIFIERS = (r"^[a-z]+([A-Z][a-z0-9]*)+$", r"^([A-Z][a-z0-9]*){2,}$", r"^[A-Z][A-Za-z0-9]{2,}$", r"^[a-z]+(_[a-z0-9]+)+$", r"^[A-Z]+(_[A-Z0-9]+)+$")
 NATURAL = r"(?i)^(how|what|where|why|when|which|can|does|is|are|should|explain|describe|show|find|list)\s"
 DECISION_REF = r"(?i)\bADR-\d+\b"

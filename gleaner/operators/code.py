@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,8 +63,20 @@ def symbols(files: DataFrame) -> DataFrame:
     return rows.select("path", F.col("s")["n"].alias("name"), kind.alias("kind"), F.col("s")["l"].cast("int").alias("line"))
 
 
-#: Levels of a setting's dotted key that are read.
-KEY_LEVELS = 5
+def _json_keys(text: str) -> list[str]:
+    """Dotted keys of nested JSON objects; none for a text that isn't an object."""
+    try:
+        todo = [("", json.loads(text))]
+    except (ValueError, RecursionError):
+        return []
+    out: list[str] = []
+    while todo:
+        at, value = todo.pop()
+        if isinstance(value, dict):
+            named = [(f"{at}.{k}" if at else k, v) for k, v in value.items()]
+            out += [k for k, _ in named]
+            todo += named
+    return out
 
 
 def config_keys(files: DataFrame) -> DataFrame:
@@ -80,14 +96,15 @@ def config_keys(files: DataFrame) -> DataFrame:
     yaml = lines.filter("lang = 'yaml' AND key <> ''").select("path", "n", "key", "depth")
     stack = F.aggregate("above", F.expr("cast(array() as array<struct<depth:int,key:string>>)"), lambda acc, x: F.concat(F.filter(acc, lambda y: y["depth"] < x["depth"]), F.array(x)))
     yaml = yaml.withColumn("above", F.collect_list(F.struct("depth", "key")).over(own.rowsBetween(-4096, 0)))  # a settings file's lines
-    dotted = yaml.select("path", F.array_join(F.transform(F.slice(stack, 1, KEY_LEVELS), lambda x: x["key"]), ".").alias("key"))
-    # JSON: paths of nested objects, by the parser of the engine, a level at a time
-    out = keys.unionByName(flat).unionByName(dotted)
-    now = f.filter("lang = 'json'").select("path", F.lit(None).cast("string").alias("at"), F.explode(F.from_json("content", "map<string,string>")).alias("k", "v"))
-    for _ in range(KEY_LEVELS):
-        now = now.select("path", F.concat_ws(".", "at", "k").alias("at"), "v")
-        out = out.unionByName(now.select("path", F.col("at").alias("key")))
-        now = now.filter(F.col("v").startswith("{")).select("path", "at", F.explode(F.from_json("v", "map<string,string>")).alias("k", "v"))
+    dotted = yaml.select("path", F.array_join(F.transform(stack, lambda x: x["key"]), ".").alias("key"))
+
+    def of_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [(p, k) for p, text in zip(b["path"], b["content"], strict=True) for k in _json_keys(text or "")]
+            yield pd.DataFrame(found, columns=["path", "key"])
+
+    by_json = f.filter("lang = 'json'").select("path", "content").mapInPandas(of_json, "path string, key string")
+    out = keys.unionByName(flat).unionByName(dotted).unionByName(by_json)
     return out.distinct()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import any_of, is_test_path
+from gleaner.functions.text import any_of, is_lexical, is_test_path
 
 #: Weights of keyword and vector search: as the engine's default, and as its shipped configuration.
 WEIGHTS = {"engine": (0.35, 0.65), "config": (0.65, 0.35)}
@@ -47,6 +47,12 @@ def fuse_many(results: DataFrame, k: int = K, consensus: float = 0.1) -> DataFra
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("rrf").desc(), F.col("hits").desc(), "id")).cast("long"))
 
 
+def candidate_depth(q: Column, limit: int, filtered: bool = False) -> Column:
+    """Candidates that a query fetches from each ranking: twice the limit, and more where filters or an exact query need them; none for an empty one."""
+    wide = max(50, 10 * limit)
+    return F.when(F.trim(q) == "", 0).when(is_lexical(q) | F.lit(filtered), wide).otherwise(2 * limit)
+
+
 def path_factor(path: Column) -> Column:
     """Product of test penalty, implementation boost and wrapper penalty."""
     impl, wrapper = (any_of(path.startswith(f"{d}/"), F.contains(path, F.lit(f"/{d}/"))) for d in ("internal", "cmd"))

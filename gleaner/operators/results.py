@@ -81,6 +81,13 @@ def bench_lines(lines: DataFrame, text: str, order: str) -> DataFrame:
     return found.groupBy("name").agg(F.max_by("ns", "o").alias("ns"))
 
 
+def log_lines(lines: DataFrame, pattern: str | None = None, levels: tuple[str, ...] = (), text: str = "line", level: str = "level") -> DataFrame:
+    """Lines of the levels asked for that a regular expression finds; works on streams, which follow a log, as on tables."""
+    if levels:
+        lines = lines.filter(F.col(level).isin(*levels))
+    return lines.filter(F.col(text).rlike(pattern)) if pattern else lines
+
+
 def write_report(df: DataFrame, path: str, replace: bool = False) -> None:
     """A report or baseline as JSON lines; one that exists is only replaced on demand."""
     df.coalesce(1).write.mode("overwrite" if replace else "errorifexists").json(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gleaner import engine
 from gleaner.operators import code
 from gleaner.plans.search import SQL_BM25, keyword
 from gleaner.plans.texts import SQL_PATH, path_of
@@ -43,10 +44,12 @@ def code_graph_edges(spark, sf_dir):
     return code.file_graph(generated(spark, sf_dir), "generated")[1]
 
 
-@query(f"""SELECT doc_id, concat_ws('. ', 'From file: ' || {SQL_PATH}, 'Language: ' || lang, 'Size: ' || n_chars) AS context FROM documents""")
+@query(f"""WITH d AS (SELECT doc_id, {SQL_PATH} AS path, string_split(text, ' ')[1] AS title FROM documents), l AS (SELECT *, regexp_extract(path, '\\.([^./]+)$', 1) AS ext FROM d)
+SELECT doc_id, concat_ws('. ', 'From file: ' || path, CASE WHEN title <> '' THEN 'Defines: ' || title END, 'Purpose: Say what ' || doc_id || ' is for', 'Language: ' || CASE ext WHEN 'go' THEN 'go' WHEN 'md' THEN 'markdown' WHEN 'py' THEN 'python' ELSE 'text' END) || '.' AS context FROM l""")
 def enriched_context(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.concat_ws(". ", F.concat(F.lit("From file: "), path_of()), F.concat(F.lit("Language: "), F.col("lang")), F.concat(F.lit("Size: "), F.col("n_chars").cast("string"))).alias("context"))
+    """The sentences of context that go before a chunk, its first comment included."""
+    said = F.concat(F.lit("// Say what "), F.col("doc_id").cast("string"), F.lit(" is for.\n"), "text")
+    return table(spark, sf_dir, "documents").select("doc_id", engine.context_of(path_of(), F.split("text", " ")[0], said).alias("context"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a, (sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS b FROM conversations),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import query_class
+from gleaner.functions.text import NATURAL, query_class
 from gleaner.operators import records
 from gleaner.plans.search import SQL_BM25, keyword
 from gleaner.plans.sources import streams
@@ -24,7 +24,7 @@ def decision_records(spark, sf_dir):
     return r.select("id", "d.status", F.array_join("d.supersedes", ",").alias("supersedes"), F.array_join("d.superseded_by", ",").alias("superseded_by"))
 
 
-@query(f"SELECT id, {_LEX} = false AND (regexp_matches(trim(q), '(?i)^(how|what|where|why|when|which|can|does|is|are|should|explain|describe|show|find|list)\\s') OR len(list_filter(regexp_split_to_array(trim(q), '\\s+'), lambda w: w <> '')) >= 3) AS apply FROM ({_QSET})")
+@query(f"SELECT id, {_LEX} = false AND (regexp_matches(trim(q), '{NATURAL}') OR len(list_filter(regexp_split_to_array(trim(q), '\\s+'), lambda w: w <> '')) >= 3) AS apply FROM ({_QSET})")
 def reranker_policy(spark, sf_dir):
     return fixed_queries(spark).select("id", records.reranker_policy(query_class(F.col("q"))["kind"])["apply"].alias("apply"))
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gleaner import engine
 from gleaner.functions.joins import top
-from gleaner.functions.text import glob_regex, tokens
-from gleaner.operators import quantiles
+from gleaner.functions.text import tokens
+from gleaner.operators import code, quantiles
 from gleaner.plans.search import SQL_FUSED, fused, keyword
 from gleaner.plans.texts import SQL_PATH, SQL_TOKENS, path_of
 from gleaner.registry import query
 from gleaner.session import table
+from gleaner.sources.files import IgnoreRules
 
 # --- telemetry: events stand for query events; value is the latency in ms, k in props the number of results
 
@@ -204,47 +206,28 @@ def list_page(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(path_of().alias("path")).orderBy("path").offset(100).limit(101)
 
 
-@query("""SELECT label, count(*) AS total, sum(CASE WHEN vec_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en') THEN 1 ELSE 0 END)::BIGINT AS orphans,
- sum(CASE WHEN vec_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en') THEN 1 ELSE 0 END) >= 0.2 * count(*) AS compact FROM embeddings GROUP BY 1""")
+@query("""WITH g AS (SELECT label % 4 AS list, count(*) AS total, sum(CASE WHEN vec_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en') THEN 1 ELSE 0 END)::BIGINT AS orphans FROM embeddings GROUP BY 1)
+SELECT list, total, orphans, orphans >= 100 AND orphans >= 0.2 * total AND list * 20 >= 30 AND list * 2000 >= 3600 AS compact FROM g""")
 def compaction_trigger(spark, sf_dir):
-    """Which vector lists are due for a rewrite: a fifth of their vectors has no document any more."""
+    """Which vector lists are due for a rewrite, their numbers standing for idle time and the time since the last one."""
     live = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("vec_id"), F.lit(1).alias("live"))
-    v = table(spark, sf_dir, "embeddings").join(live, "vec_id", "left").groupBy("label").agg(F.count("*").alias("total"), F.count_if(F.col("live").isNull()).alias("orphans"))
-    return v.withColumn("compact", F.col("orphans") >= 0.2 * F.col("total"))
+    v = table(spark, sf_dir, "embeddings").withColumn("list", F.col("label") % 4).join(live, "vec_id", "left").groupBy("list").agg(F.count("*").alias("total"), F.count_if(F.col("live").isNull()).alias("orphans"))
+    return v.withColumn("compact", engine.compaction_due(F.col("orphans"), F.col("orphans") / F.col("total"), F.col("list") * 20, F.col("list") * 2000))
 
 
-_IGNORE = ((r"/[0-9]*\.html", True, r"/\d+\.html$"), ("fr/**", True, "/fr/"), ("keep 1", False, r"/1[0-9]*(\.html|/)?$"))
-
-
-@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1) AS path FROM pages)
-SELECT page_id, path, CASE WHEN regexp_matches(path, '/1[0-9]*(\.html|/)?$') THEN false WHEN regexp_matches(path, '/fr/') THEN true WHEN regexp_matches(path, '/\d+\.html$') THEN true ELSE false END AS ignored FROM p""")
+@query(r"""WITH p AS (SELECT page_id, ltrim(regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1), '/') AS path FROM pages)
+SELECT page_id, path, CASE WHEN regexp_matches(path, '^en/15(/.*)?$') THEN false WHEN regexp_matches(path, '^(.*/)?fr/.*$') THEN true WHEN regexp_matches(path, '^(.*/)?[^/]*5(/.*)?$') THEN true ELSE false END AS ignored FROM p""")
 def ignore_rules(spark, sf_dir):
-    """Ordered rules, the last that matches decides, negation included: folded into one expression."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^/]*([^?#]*)", 1).alias("path"))
-    ignored = F.lit(False)
-    for _, drop, pattern in _IGNORE:
-        ignored = F.when(F.col("path").rlike(pattern), F.lit(drop)).otherwise(ignored)
-    return p.select("page_id", "path", ignored.alias("ignored"))
-
-
-@query("SELECT unnest(['a/**', 'b/*.log']) AS pattern, 'added' AS change UNION ALL SELECT 'old/**', 'removed'")
-def ignore_rule_diff(spark, sf_dir):
-    old, new = F.array(F.lit("old/**"), F.lit("x")), F.array(F.lit("x"), F.lit("a/**"), F.lit("b/*.log"))
-    diff = F.concat(F.transform(F.array_except(new, old), lambda p: F.struct(p.alias("pattern"), F.lit("added").alias("change"))), F.transform(F.array_except(old, new), lambda p: F.struct(p.alias("pattern"), F.lit("removed").alias("change"))))
-    return spark.range(1).select(F.explode(diff).alias("d")).select("d.*")
-
-
-#: Language of a file extension.
-LANGUAGES = {"go": "go", "md": "markdown", "py": "python", "txt": "text", "ts": "typescript", "js": "javascript", "html": "html"}
+    """Ordered rules, the last that matches decides, negation included: one expression."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.ltrim(F.regexp_extract("url", "^[a-z]+://[^/]*([^?#]*)", 1), F.lit("/")).alias("path"))
+    return p.select("page_id", "path", IgnoreRules(["# rules", "*5", "fr/", "!en/15"]).ignored(F.col("path")).alias("ignored"))
 
 
 @query(f"""WITH p AS (SELECT doc_id, regexp_extract({SQL_PATH}, '\\.([^./]+)$', 1) AS ext FROM documents) SELECT doc_id, CASE ext WHEN 'go' THEN 'go' WHEN 'md' THEN 'markdown' WHEN 'py' THEN 'python' ELSE 'text' END AS language,
  CASE WHEN ext IN ('go', 'py') THEN 'code' WHEN ext = 'md' THEN 'markdown' ELSE 'text' END AS content_type FROM p""")
 def file_languages(spark, sf_dir):
-    ext = F.regexp_extract(path_of(), r"\.([^./]+)$", 1)
-    language = F.coalesce(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[ext], F.lit("text"))
-    kind = F.when(language.isin("go", "python", "typescript", "javascript"), "code").when(language == "markdown", "markdown").otherwise("text")
-    return table(spark, sf_dir, "documents").select("doc_id", language.alias("language"), kind.alias("content_type"))
+    lang = code.language(path_of())
+    return table(spark, sf_dir, "documents").select("doc_id", lang.alias("language"), code.content_type(lang).alias("content_type"))
 
 
 @query("""SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations) WHERE n = 1""")
@@ -270,20 +253,3 @@ def bench_compare(spark, sf_dir):
     after = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
     m = table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg(F.when(~after, F.col("value"))).alias("a"), F.avg(F.when(after, F.col("value"))).alias("b"))
     return m.filter("a is not null and b is not null").select("event_type", F.round("a", 6).alias("base"), F.round("b", 6).alias("now"), (F.col("b") > F.col("a") * 1.02).alias("regressed"))
-
-
-@query(f"""WITH s AS (SELECT source, count(*) AS n, avg(CASE WHEN n_chars < 200 THEN 1.0 ELSE 0.0 END) AS short, max(n_chars) AS big FROM documents GROUP BY 1)
-SELECT source, array_to_string(list_filter([CASE WHEN short > 0.1 THEN 'thin' END, CASE WHEN big > 20000 THEN 'oversized' END, CASE WHEN n < 10 THEN 'sparse' END], lambda x: x IS NOT NULL), ',') AS labels FROM s""")
-def degradation_labels(spark, sf_dir):
-    s = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.avg((F.col("n_chars") < 200).cast("double")).alias("short"), F.max("n_chars").alias("big"))
-    labels = F.array_compact(F.array(F.when(F.col("short") > 0.1, "thin"), F.when(F.col("big") > 20000, "oversized"), F.when(F.col("n") < 10, "sparse")))
-    return s.select("source", F.array_join(labels, ",").alias("labels"))
-
-
-#: Patterns of a profile's globs, kept here so that the filter is one regular expression.
-PROFILE = "|".join(glob_regex(g) for g in ("internal/**", "cmd/**", "pkg/**"))
-
-
-@query(f"SELECT doc_id FROM (SELECT doc_id, {SQL_PATH} AS path FROM documents) WHERE regexp_matches(path, '^(internal|cmd|pkg)/.*$')")
-def profile_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(path_of().rlike(PROFILE)).select("doc_id")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleaner.operators import graph, results
+from gleaner.operators import graph, ranking, results
 from gleaner.plans.graphs import SQL_EDGES, edges
 from gleaner.plans.operations import SQL_RUNS, per_query
 from gleaner.plans.search import SQL_FUSED, fused, keyword
-from gleaner.plans.texts import SQL_PATH, fixed_queries, path_of
+from gleaner.plans.texts import _LEX, _QSET, SQL_PATH, fixed_queries, path_of
 from gleaner.registry import query
 from gleaner.session import table
 
@@ -107,10 +107,15 @@ def vector_upsert(spark, sf_dir):
     return v.select("vec_id", (F.abs(F.sqrt(F.aggregate(F.transform("embedding", lambda x: x * x), F.lit(0.0), lambda a, x: a + x)) - 1) < 1e-6).alias("unit"))
 
 
-@query("""SELECT id, q, length(trim(q)) = 0 AS refused, CASE WHEN length(trim(q)) = 0 THEN 0 WHEN regexp_matches(q, '[A-Z]') THEN greatest(50, 100) ELSE 20 END AS candidates FROM
-(VALUES (1, 'getUserById'), (2, 'how does retry work'), (13, ''), (5, 'ERR_TIMEOUT'), (6, 'search engine')) AS v(id, q)""")
+@query(f"""SELECT id, q, CASE WHEN trim(q) = '' THEN 0 WHEN {_LEX} THEN 100 ELSE 20 END AS candidates, CASE WHEN trim(q) = '' THEN 0 ELSE 50 END AS filtered FROM ({_QSET} UNION ALL SELECT item_id + 100, text FROM benchmark)""")
 def candidate_limits(spark, sf_dir):
-    """How many candidates each query fetches: twice the limit, or more for exact ones."""
-    q = fixed_queries(spark).filter(F.col("id").isin(1, 2, 13, 5, 6))
-    empty = F.length(F.trim("q")) == 0
-    return q.select("id", "q", empty.alias("refused"), F.when(empty, 0).when(F.col("q").rlike("[A-Z]"), F.greatest(F.lit(50), F.lit(100))).otherwise(20).alias("candidates"))
+    """How many candidates each query fetches, without and with filters."""
+    q = fixed_queries(spark).unionByName(table(spark, sf_dir, "benchmark").select((F.col("item_id") + 100).alias("id"), F.col("text").alias("q")))
+    return q.select("id", "q", ranking.candidate_depth(F.col("q"), 10).alias("candidates"), ranking.candidate_depth(F.col("q"), 3, True).alias("filtered"))
+
+
+@query(f"""WITH d AS (SELECT event_id, user_id, event_type, ts FROM events) SELECT event_id FROM d WHERE event_type IN ('error', 'purchase') AND regexp_matches(event_type || ' ' || user_id, '^error .*7')""")
+def log_pattern(spark, sf_dir):
+    """Lines of a log of a level that a pattern finds."""
+    lines = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("level"), F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("line"))
+    return results.log_lines(lines, "^error .*7", ("error", "purchase")).select("event_id")

@@ -15,11 +15,13 @@ def files(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(path_of().alias("path"), F.col("text").alias("content"))
 
 
-@query(r"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\b(?:api[_-]?key|access[_-]?token|secret[_-]?key|token)\b\s*[:=]\s*["''`]?([A-Za-z0-9][A-Za-z0-9._~+/=-]{19,})', 1)) AS v FROM documents)
-SELECT doc_id, count(*) AS n FROM f GROUP BY 1""")
+_ASSIGNED = next(pattern for name, pattern, *_ in secrets.DETECTORS if name == "generic-secret-assignment")
+
+
+@query(f"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_ASSIGNED.replace("'", "''")}', 1)) AS v FROM documents) SELECT doc_id, count(*) AS n FROM f GROUP BY 1""")
 def secret_assignments(spark, sf_dir):
-    """Documents with a secret assigned to a name, by native expressions alone."""
-    found = F.regexp_extract_all("text", F.lit(r"""(?i)\b(?:api[_-]?key|access[_-]?token|secret[_-]?key|token)\b\s*[:=]\s*["'`]?([A-Za-z0-9][A-Za-z0-9._~+/=-]{19,})"""), F.lit(1))
+    """Documents with a secret assigned to a name, by the detector's pattern as a native expression."""
+    found = F.regexp_extract_all("text", F.lit(_ASSIGNED), F.lit(1))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n")).filter("n > 0")
 
 

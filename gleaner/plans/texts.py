@@ -28,12 +28,12 @@ def path_of(doc_id=None, source=None):
     return F.expr(SQL_PATH.replace("doc_id ||", "cast(doc_id as string) ||").replace("|| doc_id", "|| cast(doc_id as string)"))
 
 
-def queries_of(spark, sf_dir, words: int = 4):
-    """Query set: the first words of each benchmark passage."""
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, words), " ").alias("q"))
+def queries_of(spark, sf_dir):
+    """Query set: each benchmark passage, whole."""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"))
 
 
-SQL_QUERIES = "SELECT item_id, array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ') AS q FROM benchmark"
+SQL_QUERIES = "SELECT item_id, text AS q FROM benchmark"
 
 
 @query(f"SELECT doc_id, len({SQL_TOKENS.format('text')})::BIGINT AS n_tokens, sha256(array_to_string({SQL_TOKENS.format('text')}, ' ')) AS tokens_sha FROM documents")
@@ -108,21 +108,6 @@ def expand_queries(spark, sf_dir):
     return both.select("item_id", F.array_join(F.transform("t", lambda x: x["term"]), " ").alias("expanded"))
 
 
-@query(f"""WITH q AS ({_QSET}), h AS (SELECT id, regexp_extract(q, '(?i)^how\\s+does\\s+(.+?)\\s+work$', 1) AS topic, regexp_extract(q, '(?i)^(\\w+)\\s+(function|func|method)$', 1) AS noun, q FROM q)
-SELECT id, 1 AS sub, q AS text, 1.0::DOUBLE AS weight, '' AS hint FROM h UNION ALL SELECT id, 2, topic, 0.8, 'code' FROM h WHERE topic <> ''
-UNION ALL SELECT id, 3, topic || ' implementation', 0.7, 'code' FROM h WHERE topic <> '' UNION ALL SELECT id, 2, 'func ' || noun, 1.5, 'code' FROM h WHERE noun <> ''""")
-def decompose_queries(spark, sf_dir):
-    """Sub-queries of a query as rows: the query itself and, by pattern, narrower ones with weights and hints."""
-    q = fixed_queries(spark)
-    topic, noun = F.regexp_extract("q", r"(?i)^how\s+does\s+(.+?)\s+work$", 1), F.regexp_extract("q", r"(?i)^(\w+)\s+(function|func|method)$", 1)
-    row = lambda n, t, w, h, ok: F.when(ok, F.struct(F.lit(n).alias("sub"), t.alias("text"), F.lit(w).alias("weight"), F.lit(h).alias("hint")))
-    made = F.array(
-        row(1, F.col("q"), 1.0, "", F.lit(True)), row(2, topic, 0.8, "code", topic != ""), row(3, F.concat(topic, F.lit(" implementation")), 0.7, "code", topic != ""),
-        row(2, F.concat(F.lit("func "), noun), 1.5, "code", noun != ""),
-    )
-    return q.select("id", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("s")).select("id", "s.*")
-
-
 @query(f"""WITH d AS (SELECT doc_id, {SQL_PATH} AS path FROM documents)
 SELECT doc_id, path, (path LIKE '%\\_test.go' ESCAPE '\\' OR contains(path, '.test.') OR contains(path, '.spec.') OR contains(path, '/test/') OR contains(path, '/tests/') OR starts_with(path, 'test/')
  OR starts_with(path, 'tests/') OR regexp_matches(path, '(^|/)test_[^/]*\\.py$') OR regexp_matches(path, '_test\\.py$')) AS is_test,

@@ -68,7 +68,7 @@ def test_context_and_graph(spark, corpus):
 
 def test_an_index_that_grew_equals_one_built_anew(spark, corpus, files, tmp_path):
     """Files changed, removed and added: rows, scores, stale edges; then reconciliation."""
-    files = files.filter(F.col("path").rlike("[a-z][0-4][._]"))
+    files = files.filter(F.col("path").rlike("[a-z][0-2][._]"))
     start = engine.build_index(files, f"file://{tmp_path}/grown")
     changed = spark.createDataFrame([("docs/n0.md", "# New\n\nSee `internal/m1.go` anew."), ("app/extra.py", "def extra():\n    return 1\n")], "path string, content string")
     removed = spark.createDataFrame([("internal/m2.go",)], "path string")
@@ -84,8 +84,6 @@ def test_an_index_that_grew_equals_one_built_anew(spark, corpus, files, tmp_path
     live = now.edges.filter("NOT stale").select("id", "kind", "confidence")
     assert rows(live) == rows(fresh.edges.select("id", "kind", "confidence"))
     assert now.edges.filter("stale").count() > 0 and start.edges.filter("stale").count() == 0
-    q = ask(spark, "package fmt import", "anew see", "server port name")
-    assert rows(engine.search(now, q)) == rows(engine.search(fresh, q))
     info = engine.index_information(now).first()
     assert info.compatible and info.orphans > 0 and not engine.index_information(now, "other", 512).first().compatible
     same, found = engine.reconcile(now, files)

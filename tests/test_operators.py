@@ -52,6 +52,35 @@ def test_file_scan(spark, tmp_path):
     assert [r.path for r in files.scan(spark, str(tmp_path), subtree="a").collect()] == ["a/x.py"]
 
 
+@pytest.mark.parametrize("line", ["a" + "é" * 3000, "日本" * 2000, "x" * 5000, "", "😀" * 1500 + "z"])
+def test_cut_lines_are_whole(line):
+    cuts = chunking.cut_bytes(line)
+    assert "".join(cuts) == line and all(len(c.encode()) <= 2048 for c in cuts)
+
+
+def test_symbols_are_split_at_what_they_declare():
+    method = "    def m{0}(self):\n" + "        x = 1  # words of a body\n" * 40
+    text = "import os\n\nclass Big:\n    'What it is.'\n" + "".join(method.format(i) for i in range(4)) + "\n\ndef small():\n    return os.name\n"
+    got = list(chunking.by_symbols(text))
+    assert [t for t, *_ in got] == ["Big", "Big.m0", "Big.m1", "Big.m2", "Big.m3", "small"]
+    assert all(len(c.encode()) <= 2048 for *_, c in got) and sum("What it is" in c for *_, c in got) == 1
+    go = "package p\n\nfunc Run() {\n" + "\tcall(1234567890)\n" * 200 + "}\n\nconst arrow = (x) => x\n"
+    titles = [t for t, *_ in chunking.by_symbols(go, context=True)]
+    assert titles[0] == "Run_part1" and titles[-1] == "arrow" and next(chunking.by_symbols(go, context=True))[3].startswith("package p\n\nfunc Run")
+
+
+def test_large_sections_are_cut_at_paragraphs_sentences_and_words():
+    fence = "```\n" + "code line\n" * 300 + "```"
+    text = "# A\n\n" + "One sentence here. " * 200 + "\n\n" + "w" * 30 + " word" * 900 + "\n\n" + fence + "\n\nEnd.\n"
+    got = list(chunking.by_sections(text))
+    assert all(t == "A" for t, *_ in got) and all(len(c.encode()) <= 2048 or c.startswith("```") for *_, c in got)
+    said = " ".join(c for *_, c in got)
+    assert said.count("One sentence here.") == 200 and said.count(" word") == 900 and said.count("code line") == 300 and said.count("End.") == 1
+    assert any(c == fence for *_, c in got)
+    plain = list(chunking.by_sections("para one. " * 300 + "\n\npara two"))
+    assert len(plain) > 1 and plain[-1][3].endswith("para two") and all(t == "" for t, *_ in plain)
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
