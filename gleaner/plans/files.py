@@ -70,7 +70,7 @@ def line_overlap_best(spark, sf_dir):
 @query("""WITH b AS (SELECT source, substr(sha256(text), 1, 3) AS p, sha256(string_agg(sha256(text), ',' ORDER BY sha256(text))) AS v FROM documents GROUP BY 1, 2)
 SELECT source, sha256(string_agg(v, ',' ORDER BY p)) AS version FROM b GROUP BY 1""")
 def source_version(spark, sf_dir):
-    """Digest of a source's file digests, in two levels: by 4,096 prefixes, then over these, so no group is unbounded."""
+    """Digest of a source's file digests, in two levels: by 4,096 prefixes, then over these; a group holds a 4,096th of a source's digests."""
     d = table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("h"))
     part = d.groupBy("source", F.substring("h", 1, 3).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("v"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda x: x["v"])

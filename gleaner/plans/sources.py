@@ -79,17 +79,16 @@ def stream_telemetry(spark, sf_dir):
 
 @query("SELECT user_id, max_by(event_type, (ts, event_id)) AS event_type, count(*) AS seen FROM events GROUP BY 1")
 def stream_upsert(spark, sf_dir):
-    """Latest event of each user, upserted by foreachBatch into a versioned table."""
+    """Latest event of each user, upserted by foreachBatch into a versioned table: a batch that runs again replaces its own version."""
     out = scratch(spark, "upsert")
 
     def sink(batch, batch_id: int) -> None:
         new = batch.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("last"), F.count("*").alias("seen"))
         if batch_id:
-            old = spark.read.parquet(f"{out}/v{batch_id - 1}")
+            old = spark.read.parquet(f"{out}/v={batch_id - 1}")
             new = old.unionByName(new).groupBy("user_id").agg(F.max("last").alias("last"), F.sum("seen").alias("seen"))
-        new.write.mode("overwrite").parquet(f"{out}/v{batch_id}")
-        versions.append(batch_id)
+        new.write.mode("overwrite").parquet(f"{out}/v={batch_id}")
 
-    versions: list[int] = []
     streams.run_to_end(streams.event_stream(spark, sf_dir), sink, scratch(spark, "upsert-state"))
-    return spark.read.parquet(f"{out}/v{versions[-1]}").select("user_id", "last.event_type", "seen")
+    versions = spark.read.parquet(out)
+    return versions.join(versions.agg(F.max("v").alias("v")), "v").select("user_id", "last.event_type", "seen")

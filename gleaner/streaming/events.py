@@ -45,24 +45,36 @@ def coalesced(first: str, now: str | None, new: str) -> str | None:
 def debounced(events: DataFrame, key: str = "user_id", gap: str = "2 hours") -> DataFrame:
     """(key, first, last, operation, merged): for each path and quiet-window batch the one operation that its events come to.
 
-    A session window collects a batch; the fold over its few events, in order, runs on Arrow batches of sessions.
+    Events stream through a task in order of key and time, and a batch is folded as it passes: of a batch without a pause
+    only its first and present operation are held.
     """
     op = F.create_map(*[F.lit(x) for kv in OPERATIONS.items() for x in kv])[F.col("event_type")]
-    batch = events.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", op.alias("op")))).alias("e"))
-    plain = batch.select(F.col(key).alias("key"), F.col("e")[0]["ts"].alias("first"), F.element_at("e", -1)["ts"].alias("last"), F.transform("e", lambda x: x["op"]).alias("ops"))
-
-    def fold(ops) -> str | None:
-        first = now = None
-        for op in ops:
-            if first is None:
-                first = now = op
-            else:
-                now = coalesced(first, now, op)
-                first = first if now is not None else None
-        return now
+    quiet = F.expr(f"cast(unix_micros(timestamp'1970-01-01 00:00:00Z' + interval {gap}) as bigint)")
+    plain = events.select(F.col(key).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", op.alias("op"), quiet.alias("gap"))
+    kind = plain.schema["key"].dataType.simpleString()
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list | None = None  # key, first and last time, first and present operation, number
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "first": b["first"], "last": b["last"], "operation": [fold(o) for o in b["ops"]], "merged": [len(o) for o in b["ops"]]})
-
-    return plain.mapInPandas(work, f"key {plain.schema['key'].dataType.simpleString()}, first timestamp, last timestamp, operation string, merged int").filter("operation is not null")
+            done = []
+            for k, at, op, gap in zip(b["key"], b["at"], b["op"], b["gap"], strict=True):
+                if held is None or held[0] != k or at - held[2] >= gap:
+                    if held is not None:
+                        done.append(held)
+                    held = [k, at, at, op, op, 1]
+                    continue
+                held[2], held[5] = at, held[5] + 1
+                if held[3] is None:
+                    held[3] = held[4] = op
+                else:
+                    held[4] = coalesced(held[3], held[4], op)
+                    held[3] = held[3] if held[4] is not None else None
+            yield _told(done)
+        yield _told([held] if held is not None else [])
+
+    rows = plain.repartition("key").sortWithinPartitions("key", "at", "event_id").mapInPandas(work, f"key {kind}, first long, last long, operation string, merged int")
+    return rows.filter("operation is not null").withColumns({"first": F.timestamp_micros("first"), "last": F.timestamp_micros("last")})
+
+
+def _told(batches: list[list]) -> pd.DataFrame:
+    return pd.DataFrame([(k, first, last, now, n) for k, first, last, _, now, n in batches], columns=["key", "first", "last", "operation", "merged"])
