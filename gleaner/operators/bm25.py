@@ -20,7 +20,7 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf, dl): an index row for each term of a document."""
     d = docs.select(F.col(id_col).alias("id"), terms_of(F.col(text_col)).alias("t"))
     d = d.select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-    return d.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return d.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -63,11 +63,11 @@ def put_segment(docs: DataFrame, doc_id: str, doc_text: str, path: str, segment:
     segments.put(f"{path}/postings", segment, p, ids if gone is not None else ids.limit(0), ("bucket",))
     new = spark.read.schema(p.schema).parquet(f"{path}/postings/rows/segment={segment}")  # there may be no row
     df = new.groupBy("bucket", "term").agg(F.count("*").alias("df"))
-    total = docs.select(F.size(terms_of(F.col(doc_text))).cast("long").alias("dl")).agg(F.count("*").alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total"))
+    total = docs.agg(F.count("*").alias("docs")).crossJoin(new.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("long").alias("total")))  # one row each; lengths add up to the counts of terms
     if lost is not None:
         df = df.unionByName(lost.groupBy("bucket", "term").agg((-F.count("*")).alias("df"))).groupBy("bucket", "term").agg(F.sum("df").alias("df")).filter("df <> 0")
         less = lost.select("id", "dl").distinct().agg((-F.coalesce(F.sum("dl"), F.lit(0))).cast("long").alias("total"))
-        total = total.unionByName(less.crossJoin(ids.agg((-F.count("*")).alias("docs")))).agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"))  # one row each
+        total = total.unionByName(less.crossJoin(ids.agg((-F.count("*")).alias("docs"))).select("docs", "total")).agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"))  # one row each
     segments.put(f"{path}/terms", segment, df, None, ("bucket",))
     segments.put(f"{path}/stats", segment, total.withColumn("buckets", F.lit(buckets)))
 
