@@ -32,8 +32,8 @@ def test_entry_has_a_stable_schema(spark):
 
 
 def test_the_whole_graph_is_searched(spark, small):
-    kinds = {r.kind for r in catalog.QUERIES["graph_edges_all"](spark, small).select("kind").distinct().collect()}
+    kinds = {r.kind for r in catalog.QUERIES["graph_edges"](spark, small).select("kind").distinct().collect()}
     assert {"has_part", "supplied_by"} <= kinds
-    found = {r.subject: r.id for r in catalog.QUERIES["subject_resolution_all"](spark, small).filter("state = 'resolved'").collect()}
+    found = {r.subject: r.id for r in catalog.QUERIES["subject_resolution"](spark, small).filter("state = 'resolved'").collect()}
     assert found["Customer#000000001"] == "node:customer:shop:1" and found["supplier 3"] == "node:supplier:shop:3"
-    assert {"supplier 3", "customer#00000002"} <= {r.subject for r in catalog.QUERIES["did_you_mean_all"](spark, small).collect()}
+    assert {"supplier 3", "customer#00000002"} <= {r.subject for r in catalog.QUERIES["did_you_mean"](spark, small).collect()}
