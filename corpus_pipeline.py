@@ -1,7 +1,11 @@
 """From raw documents to token counts: filter by quality, drop copies and near-copies, mix sources, encode.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the
-next stage's docs. All stages but the last return the columns of documents.
+next stage's docs. All stages but the last return the columns of documents, and any further ones, whatever their names.
+
+Defined cases, in every stage: null text counts as empty; an empty table gives an empty result; rows without an
+identifier take part, and are told apart by their text; of repeated rows one passes the stages that drop copies; very
+long texts are handled whole; which of equal rows passes is decided by hashes, so reruns agree.
 """
 
 from __future__ import annotations
@@ -15,24 +19,24 @@ from gleaner.llm.shared import stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble, fitted on the labels, doesn't reject."""
+    """Documents that the rule ensemble, fitted on the labels, doesn't reject; without labels none is. Empty texts are scored like others."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels)
     return quality.accepted(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is equal but for white space."""
+    """One document of each group that is equal but for white space: the longest, then of the smallest identifier. Empty texts are one group."""
     return exact_dedup.keep_one(docs, stored(exact_dedup.decide(docs), "pipeline-copies"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each connected group of near-copies: the smallest identifier."""
+    """One document of each connected group of near-copies: the smallest identifier, a null one last. Empty texts are one group."""
     return jaccard_join.keep_one(docs, jaccard_join.join(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: never, once or twice."""
+    """Documents as often as the mix takes them: never, once or twice; those without words never. A null source is a source of its own."""
     return mixing.apply_mix(docs, stored(mixing.decide(docs), "pipeline-mix"))
 
 
