@@ -140,3 +140,24 @@ def test_pipeline_keeps_clean_documents_once_a_group(spark, small):
     assert {d for d, _ in mixed} <= {d for d, _ in near}
     out = p.run(spark, small)
     assert out.count() == len(mixed) and {r.doc_id for r in out.collect()} == {d for d, _ in mixed}
+
+
+def test_pipeline_stages_on_odd_tables(spark, small):
+    """Nulls, empty and long texts, repeated rows, an empty table and columns with names that stages use themselves."""
+    import corpus_pipeline as p
+
+    base = spark.read.parquet(f"{small}/documents.parquet")
+    texts = [None, "", "  ", "one two three four five six", "one two three four five six", "One two three\nfour five six", "w " * 30_000, "plain words of a clean sentence here. " * 20]
+    rows = [(i if i < 7 else None, t, None if i % 3 == 0 else "en", None if i % 2 else "s", len(t or ""), f"mine {i}", "x") for i, t in enumerate([*texts, texts[3]])]
+    odd = spark.createDataFrame(rows, f"{base._jdf.schema().toDDL().replace('`', '')}, `__key` string, size string")
+    for docs in (odd, odd.limit(0)):
+        for name, stage in p.STAGES[:-1]:
+            out = stage(spark, docs, small)
+            got = out.collect()
+            assert out.columns == docs.columns, name
+            assert all(r["__key"].startswith("mine") and r["size"] == "x" for r in got) and (docs is odd or not got), name
+        assert p.STAGES[-1][1](spark, docs, small).count() == docs.count()
+    kept = p.drop_copies(spark, odd, small).collect()
+    assert sorted(len(r.text or "") for r in kept) == [2, 27, 27, 760, 60_000]
+    near = p.drop_near_copies(spark, odd, small).collect()
+    assert len(near) == 4 and {r.doc_id for r in near} == {0, 3, 6, None}
