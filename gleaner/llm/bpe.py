@@ -4,8 +4,8 @@ Encoding has two tiers. A pre-token that is itself a vocabulary entry is resolve
 perfect hash (hash and displace). All others are merged: their bytes form a doubly linked list, and a heap holds
 the mergeable neighbours by rank, then by place, so that n bytes take O(n log n) time however long the pre-token.
 
-Defined cases: null and empty texts have no tokens and decode to no bytes; repeated rows are encoded alike; extra
-columns are left out unless named in `keep`; texts of any length are cut into pre-tokens in slices of bounded size.
+Defined cases: null and empty texts have no tokens and decode to no bytes; repeated rows are encoded alike; of equal
+ranks the leftmost neighbours are merged first; an empty table gives an empty result; extra columns are left out unless named in `keep`; texts of any length are cut into pre-tokens in slices of bounded size.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ them, and they are compiled into one Spark expression, so that scoring runs insi
 
 Defined cases: null text counts as empty and gets a score like any other; without labels of both kinds the score is
 the share of label 1 (0.5 without labels); of repeated labels of a document the largest counts; repeated documents
-are scored alike; extra columns stay out of `score`.
+are scored alike; of equally good splits the first statistic and the least threshold hold; statistics are of whole
+texts, however long; an empty table gives an empty result; extra columns stay out of `score`.
 """
 
 from __future__ import annotations

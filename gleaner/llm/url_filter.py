@@ -6,7 +6,8 @@ the list itself, which removes false positives; of the rules that fit, the longe
 
 Defined cases: a null url or one without `://` has an empty host and path and fits no rule; a URL that fits no rule
 is allowed (the list names no more); equal rules count once, a block before an allow; of two fitting rules of one
-length, that with the longer host decides; repeated rows are judged alike; an empty list allows everything; extra columns stay out.
+length, that with the longer host decides; repeated rows are judged alike; very long urls are judged whole; an empty
+list allows everything; an empty table of pages gives an empty result; extra columns stay out.
 """
 
 from __future__ import annotations
