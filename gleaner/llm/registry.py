@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, exact_dedup, fingerprints, html_text, jaccard_join, language, licenses, mixing, quality, url_filter
+from gleaner.llm import bpe, clustering, embedding_join, exact_dedup, fingerprints, html_text, jaccard_join, language, licenses, mixing, periodic_runs, quality, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.decide(_read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language, op3_exact_dedup, op4_html_text, op5_fingerprints, op6_url_filter, op7_quality, op8_jaccard_join, op9_byte_bpe, op10_mixing)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_periodic_tail(_read(spark, sf_dir, "documents"))
+    return periodic_runs.report(periodic_runs.find(docs))
 
-ORACLES = {"op1_license_scan": licenses.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op6_url_filter": url_filter.ORACLE}
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.report(clustering.cluster(_read(spark, sf_dir, "embeddings")))
+
+
+def op13_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.report(embedding_join.join(_read(spark, sf_dir, "embeddings")))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language, op3_exact_dedup, op4_html_text, op5_fingerprints, op6_url_filter, op7_quality, op8_jaccard_join, op9_byte_bpe, op10_mixing, op11_periodic_runs, op12_clustering, op13_embedding_join)}
+
+ORACLES = {"op1_license_scan": licenses.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op6_url_filter": url_filter.ORACLE, "op12_clustering": clustering.oracle(), "op13_embedding_join": embedding_join.ORACLE}
