@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from gleaner.plans import engine_parts, files, graphs, memory, operations, results, search, sources, texts  # noqa: F401
+from gleaner.plans import changes, engine_parts, files, graphs, memory, operations, results, search, sources, texts  # noqa: F401
 from gleaner.registry import ORACLES, QUERIES  # noqa: F401

@@ -9,6 +9,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner import graph_index
 from gleaner.functions.joins import bounded, top
 from gleaner.functions.text import any_of, in_scope, query_class
 from gleaner.operators import bm25, candidates, chunking, code, decompose, graph, metadata, ranking, vectors
@@ -17,7 +18,7 @@ from gleaner.sources import segments
 #: Results of a search at most, and by default; related nodes and bytes of an answer about the graph.
 MOST, DEFAULT, RELATED_BYTES = 100, 10, 16_384
 #: Tables of an index and the key by which a change removes rows.
-KEYS = {"files": "path", "chunks": "path", "vectors": "chunk_id", "nodes": "path", "edges": "id", "lists": "id"}
+KEYS = {"files": "path", "chunks": "path", "vectors": "chunk_id", "lists": "id"} | graph_index.KEYS
 #: When a compaction is due: orphans, their share, seconds without work, seconds since the last one.
 COMPACT_ORPHANS, COMPACT_SHARE, COMPACT_IDLE, COMPACT_PAUSE = 100, 0.2, 30, 3600
 
@@ -122,12 +123,6 @@ def _embedded(spark: SparkSession, chunks: DataFrame) -> DataFrame:
     return vectors.static_embedding(c, "row", "content").join(c.select(F.col("row").alias("id"), "chunk_id"), "id").select("chunk_id", "embedding")
 
 
-def _graph(files: DataFrame, chunks: DataFrame, project: str, paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    nodes, edges = code.file_graph(files, project, paths)
-    more_nodes, more_edges = code.chunk_graph(chunks, project)
-    return nodes.unionByName(more_nodes), edges.unionByName(more_edges)
-
-
 def _buckets(chunks: int) -> int:
     """Buckets of terms for so many chunks: a query reads one for each term, so they grow with the index, to a bound of folders."""
     return max(2, min(1024, chunks // 2000))
@@ -151,9 +146,7 @@ def build_index(files: DataFrame, path: str, project: str = "project") -> Corpus
     put("vectors", _embedded(spark, now.chunks))
     bm25.build(now.chunks.dropDuplicates(["chunk_id"]), "chunk_id", "content", now.terms, _buckets(now.chunks.count()))
     vectors.build_lists(now.vectors, f"{path}/lists", id_col="chunk_id")
-    nodes, edges = _graph(now.files, now.chunks, project)
-    put("nodes", nodes)
-    put("edges", edges)
+    graph_index.build(path, now.files, project, code.chunk_graph(now.chunks, project))
     _note(spark, path, 0, {"project": project, "model": "static", "dimensions": "256", "chunk_tokens": str(chunking.MAX_TOKENS)})
     return now
 
@@ -163,8 +156,9 @@ def update_index(corpus: Corpus, changed: DataFrame, removed: DataFrame) -> Corp
 
     Chunks, postings, vectors, nodes and edges of changed and removed files go, those of changed files come; edges of other
     files into what is no longer there go stale, and stale ones into what is there again do not stay so. Only changed files
-    are chunked, tokenised, embedded and searched for edges. An import of another file that only now has a target is
-    found when that file changes, or by a build.
+    are chunked, tokenised, embedded and searched for edges; references of other files are resolved again where a file
+    that they could mean came or went, so that live edges are those of a build. What a change writes counts when its state
+    is written, last; a change that stopped before is made anew and replaces its tables.
     """
     spark, path, n = corpus.spark, corpus.path, corpus.segment + 1
     now, project = Corpus(spark, path, n), corpus.state["project"]
@@ -177,25 +171,11 @@ def update_index(corpus: Corpus, changed: DataFrame, removed: DataFrame) -> Corp
     bm25.change(spark, now.terms, n, lost.select(F.col("chunk_id").alias("id")), added.dropDuplicates(["chunk_id"]), "chunk_id", "content")
     segments.put(f"{path}/vectors", n, _embedded(spark, added), lost)
     vectors.add_to_lists(spark, f"{path}/lists", n, spark.read.parquet(f"{path}/vectors/rows/segment={n}"), lost.select(F.col("chunk_id").alias("id")), id_col="chunk_id")
-    nodes, edges = _graph(new, added, project, now.files)
-    segments.put(f"{path}/nodes", n, nodes, gone)
-    segments.put(f"{path}/edges", n, *_edges_after(corpus, now, edges, gone))
+    graph_index.change(graph_index.GraphIndex(spark, path, corpus.segment, project), new, removed, code.chunk_graph(added, project))
     _note(spark, path, n, {"project": project, "changed_in": str(n)})
     return now
 
 
-def _edges_after(before: Corpus, now: Corpus, new: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges to write, ids to remove): those of changed files, and those of others whose end came or went."""
-    there = now.nodes.select(F.col("id").alias("dst")).distinct()
-    own = before.edges.join(bounded(gone), "path", "left_semi")
-    others = before.edges.join(bounded(gone), "path", "left_anti")
-    moved = before.nodes.join(bounded(gone), "path", "left_semi").select(F.col("id").alias("dst")).distinct()  # ends that may have gone
-    lost = others.filter(~F.col("stale")).join(moved, "dst", "left_semi").join(there, "dst", "left_anti").withColumn("stale", F.lit(True))
-    back = others.filter("stale").join(there, "dst", "left_semi").withColumn("stale", F.lit(False))
-    turned = lost.unionByName(back)
-    return new.unionByName(turned.select(*new.columns)), own.select("id").unionByName(turned.select("id"))
-
-
 def reconcile(corpus: Corpus, files: DataFrame) -> tuple[Corpus, DataFrame]:
     """The index brought up to what the files (path, content) are now, and what was found: (change, n) for added, modified, removed."""
     old = corpus.files.select("path", F.sha2("content", 256).alias("was"))
@@ -223,8 +203,9 @@ def repair(corpus: Corpus) -> Corpus:
     found = problems(corpus)
     lacking = lambda *kinds: corpus.chunks.join(found.filter(F.col("problem").isin(*kinds)).select("chunk_id").distinct(), "chunk_id", "left_semi")
     orphans = lambda kind: found.filter(F.col("problem") == kind).select("chunk_id")
-    for name in ("files", "chunks", "nodes", "edges"):
+    for name in ("files", "chunks"):
         segments.put(f"{path}/{name}", n, corpus.table(name).limit(0), corpus.table(name).select(KEYS[name]).limit(0))
+    graph_index.unchanged(graph_index.GraphIndex(spark, path, corpus.segment, corpus.state["project"]))
     segments.put(f"{path}/vectors", n, _embedded(spark, lacking("no_vector")), orphans("orphan_vector"))
     bm25.change(spark, corpus.terms, n, orphans("orphan_postings").select(F.col("chunk_id").alias("id")), lacking("no_postings").dropDuplicates(["chunk_id"]), "chunk_id", "content")
     vectors.add_to_lists(spark, f"{path}/lists", n, spark.read.parquet(f"{path}/vectors/rows/segment={n}"), orphans("orphan_vector").select(F.col("chunk_id").alias("id")), id_col="chunk_id")
@@ -240,9 +221,10 @@ def compaction_due(orphans: Column, share: Column, idle: Column, since_last: Col
 def compact(corpus: Corpus, path: str) -> Corpus:
     """The index written anew under another path, as one segment, from stored rows: nothing is chunked or embedded again."""
     spark = corpus.spark
-    for name in ("files", "chunks", "vectors", "nodes", "edges"):
+    for name in ("files", "chunks", "vectors"):
         rows = corpus.table(name)
         segments.put(f"{path}/{name}", 0, rows, rows.select(KEYS[name]).limit(0))
+    graph_index.copied(graph_index.GraphIndex(spark, corpus.path, corpus.segment), path)
     now = Corpus(spark, path, 0)
     bm25.build(now.chunks.dropDuplicates(["chunk_id"]), "chunk_id", "content", now.terms, _buckets(now.chunks.count()))
     vectors.build_lists(now.vectors, f"{path}/lists", id_col="chunk_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,17 +40,21 @@ def imports(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(F.array_distinct(found)).alias("target"))
 
 
-def resolved_imports(files: DataFrame, paths: DataFrame | None = None) -> DataFrame:
-    """(path, target, file): imports of files that name a known file (paths: path, by default those of `files`): candidate paths
-    are made for each and joined, never compared in pairs."""
+def wanted_imports(files: DataFrame) -> DataFrame:
+    """(path, target, file): every file that an import could mean, by suffixes of its target and the endings of its language."""
     folder = F.regexp_extract("path", "^(.*/)?[^/]*$", 1)
     dotted = F.replace("target", F.lit("."), F.lit("/"))
     tails = F.transform(F.sequence(F.lit(1), F.size(F.split("target", "/"))), lambda i: F.array_join(F.slice(F.split("target", "/"), i, F.size(F.split("target", "/"))), "/"))
     stems = F.concat(tails, F.array(dotted, F.concat(F.lit("src/"), dotted), F.concat(folder, F.regexp_replace("target", r"^\./", ""))))
     probes = F.flatten(F.transform(stems, lambda s: F.transform(F.array(*map(F.lit, ["", ".go", ".py", ".ts", ".js", "/index.ts", "/index.js", "/__init__.py"])), lambda e: F.concat(s, e))))
-    tried = imports(files).withColumn("file", F.explode(F.array_distinct(probes)))
+    return imports(files).withColumn("file", F.explode(F.array_distinct(probes))).filter("file <> path")
+
+
+def resolved_imports(files: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """(path, target, file): imports of files that name a known file (paths: path, by default those of `files`): candidate paths
+    are made for each and joined, never compared in pairs."""
     known = (files if paths is None else paths).select(F.col("path").alias("file"))
-    return top(tried.join(known, "file").filter(F.col("file") != F.col("path")), 1, ["path", "target"], F.col("file")).select("path", "target", "file")
+    return wanted_imports(files).join(known, "file").groupBy("path", "target").agg(F.min("file").alias("file"))
 
 
 def symbols(files: DataFrame) -> DataFrame:
@@ -79,24 +84,39 @@ def _json_keys(text: str) -> list[str]:
     return out
 
 
+_YAML_KEY = re.compile(r"^(\s*)(?:export\s+)?[\"']?([A-Za-z_][\w.-]*)[\"']?\s*[:=]")
+
+
+def _yaml_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, key): dotted keys by indentation; what is held of a file is the chain of keys above the present line."""
+    for b in batches:
+        found: list[tuple[str, str]] = []
+        for path, text in zip(b["path"], b["content"], strict=True):
+            above: list[tuple[int, str]] = []
+            for line in (text or "").split("\n"):
+                if m := _YAML_KEY.match(line):
+                    depth = len(m[1])
+                    while above and above[-1][0] >= depth:
+                        above.pop()
+                    above.append((depth, f"{above[-1][1]}.{m[2]}" if above else m[2]))
+                    found.append((path, above[-1][1]))
+        yield pd.DataFrame(found, columns=["path", "key"])
+
+
 def config_keys(files: DataFrame) -> DataFrame:
     """(path, key): dotted keys of YAML by indentation, of TOML by section, of JSON by nesting, and keys of env and properties files."""
     lang = language(F.col("path"))
     f = files.select("path", "content", lang.alias("lang"))
-    lines = f.filter(F.col("lang").isin("yaml", "env", "properties", "toml")).select("path", "lang", F.posexplode(F.split("content", "\n")).alias("n", "line"))
+    lines = f.filter(F.col("lang").isin("env", "properties", "toml")).select("path", "lang", F.posexplode(F.split("content", "\n")).alias("n", "line"))
     key = F.regexp_extract("line", r"^\s*(?:export\s+)?[\"']?([A-Za-z_][\w.-]*)[\"']?\s*[:=]", 1)
     section = F.regexp_extract("line", r"^\s*\[+\s*([A-Za-z_][\w.-]*)\s*\]+", 1)
-    lines = lines.withColumns({"key": key, "section": section, "depth": F.length(F.regexp_extract("line", r"^(\s*)", 1))}).filter("key <> '' OR section <> ''")
+    lines = lines.withColumns({"key": key, "section": section}).filter("key <> '' OR section <> ''")
     w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     toml = lines.filter("lang = 'toml'").withColumn("in", F.last(F.when(F.col("section") != "", F.col("section")), ignorenulls=True).over(w))
     keys = toml.select("path", F.when(F.col("key") == "", F.col("section")).when(F.col("in").isNotNull(), F.concat_ws(".", "in", "key")).otherwise(F.col("key")).alias("key"))
     flat = lines.filter("lang IN ('env', 'properties')").select("path", "key")
-    # YAML: the keys open above a line are the last of each lesser depth; a line's ancestors follow by one pass a level
-    own = Window.partitionBy("path").orderBy("n")
-    yaml = lines.filter("lang = 'yaml' AND key <> ''").select("path", "n", "key", "depth")
-    stack = F.aggregate("above", F.expr("cast(array() as array<struct<depth:int,key:string>>)"), lambda acc, x: F.concat(F.filter(acc, lambda y: y["depth"] < x["depth"]), F.array(x)))
-    yaml = yaml.withColumn("above", F.collect_list(F.struct("depth", "key")).over(own.rowsBetween(-4096, 0)))  # a settings file's lines
-    dotted = yaml.select("path", F.array_join(F.transform(stack, lambda x: x["key"]), ".").alias("key"))
+    # YAML: the keys open above a line are the last of each lesser depth; one pass over a file's lines keeps just those
+    yaml = f.filter("lang = 'yaml'").select("path", "content").mapInPandas(_yaml_keys, "path string, key string")
 
     def of_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -104,28 +124,51 @@ def config_keys(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(found, columns=["path", "key"])
 
     by_json = f.filter("lang = 'json'").select("path", "content").mapInPandas(of_json, "path string, key string")
-    out = keys.unionByName(flat).unionByName(dotted).unionByName(by_json)
+    out = keys.unionByName(flat).unionByName(yaml).unionByName(by_json)
     return out.distinct()
 
 
-def tested_files(files: DataFrame, most: int = 5, paths: DataFrame | None = None) -> DataFrame:
-    """(test, file, confidence): a test's implementation by its name, else by what it imports; the surest few."""
+def wanted_tests(files: DataFrame) -> DataFrame:
+    """(path, file): the implementation that a test's name could mean."""
     tests = files.filter(is_test_path(F.col("path")))
     strip = F.regexp_replace(F.regexp_replace("path", r"_test\.(\w+)$", ".$1"), r"\.(?:test|spec)\.(\w+)$", ".$1")
-    named = tests.select(F.col("path").alias("test"), F.explode(F.array_distinct(F.array(strip, F.regexp_replace(strip, r"(^|/)tests?/", "$1"), F.regexp_replace(strip, r"(^|/)test_([^/]+)$", "$1$2")))).alias("file"))
-    known = (files if paths is None else paths).filter(~is_test_path(F.col("path"))).select(F.col("path").alias("file"))
-    by_name = named.join(known, "file").select("test", "file", F.lit(CONFIDENCE["test_by_name"]).alias("confidence"))
-    by_import = resolved_imports(files, paths).join(tests.select("path"), "path", "left_semi").select(F.col("path").alias("test"), "file", F.lit(CONFIDENCE["test_by_import"]).alias("confidence"))
-    best = by_name.unionByName(by_import).groupBy("test", "file").agg(F.max("confidence").alias("confidence"))
+    named = F.array(strip, F.regexp_replace(strip, r"(^|/)tests?/", "$1"), F.regexp_replace(strip, r"(^|/)test_([^/]+)$", "$1$2"))
+    return tests.select("path", F.explode(F.array_distinct(named)).alias("file"))
+
+
+def _surest_tests(by_name: DataFrame, imported: DataFrame, most: int) -> DataFrame:
+    """(test, file, confidence): the surest few of what tests are named after (path, file) and what they import."""
+    rows = lambda df, how: df.select(F.col("path").alias("test"), "file", F.lit(CONFIDENCE[how]).alias("confidence"))
+    found = rows(by_name.filter(~is_test_path(F.col("file"))), "test_by_name").unionByName(rows(imported.filter(is_test_path(F.col("path"))), "test_by_import"))
+    best = found.groupBy("test", "file").agg(F.max("confidence").alias("confidence"))
     return top(best, most, ["test"], F.col("confidence").desc(), F.col("file")).select("test", "file", "confidence")
 
 
-def mentions(files: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc, target, confidence) of known `names` (target) in documents: inline code and links become tokens, joined by equality."""
+def tested_files(files: DataFrame, most: int = 5, paths: DataFrame | None = None) -> DataFrame:
+    """(test, file, confidence): a test's implementation by its name, else by what it imports; the surest few."""
+    known = (files if paths is None else paths).select(F.col("path").alias("file"))
+    return _surest_tests(wanted_tests(files).join(known, "file"), resolved_imports(files, paths), most)
+
+
+def wanted_mentions(files: DataFrame) -> DataFrame:
+    """(path, target, confidence): what documents name as inline code or link to."""
     docs = files.filter(language(F.col("path")) == "markdown")
-    token = lambda pattern, kind: docs.select(F.col("path").alias("doc"), F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(1))).alias("target"), F.lit(CONFIDENCE[kind]).alias("confidence"))
+    token = lambda pattern, kind: docs.select("path", F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(1))).alias("target"), F.lit(CONFIDENCE[kind]).alias("confidence"))
     found = token(r"`([^`\n]+)`", "mention_code").unionByName(token(r"\]\(([^)\s#]+)", "mention_link"))
-    return found.join(names.select("target").distinct(), "target").groupBy("doc", "target").agg(F.max("confidence").alias("confidence"))
+    return found.groupBy("path", "target").agg(F.max("confidence").alias("confidence"))
+
+
+def mentions(files: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc, target, confidence) of known `names` (target) in documents: inline code and links become tokens, joined by equality."""
+    return wanted_mentions(files).join(names.select("target").distinct(), "target").select(F.col("path").alias("doc"), "target", "confidence")
+
+
+def wanted(files: DataFrame) -> DataFrame:
+    """(path, how, target, file, confidence): every file, known or not, that a reference of `path` could mean."""
+    none, c = F.lit(""), CONFIDENCE
+    out = wanted_imports(files).select("path", F.lit("import").alias("how"), "target", "file", F.lit(c["import"]).alias("confidence"))
+    out = out.unionByName(wanted_tests(files).select("path", F.lit("test").alias("how"), none.alias("target"), "file", F.lit(c["test_by_name"]).alias("confidence")))
+    return out.unionByName(wanted_mentions(files).select("path", F.lit("mention").alias("how"), "target", F.col("target").alias("file"), "confidence"))
 
 
 def package_of(files: DataFrame) -> DataFrame:
@@ -135,33 +178,57 @@ def package_of(files: DataFrame) -> DataFrame:
     return files.select("path", F.concat_ws("#", folder, name).alias("package"), name.alias("name")).filter("name <> ''").drop("name")
 
 
-def file_graph(files: DataFrame, project: str, paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, kind, key, name, path) and edges (id, kind, src, dst, confidence, heuristic, stale, path, method) of all extractors in one
-    pass each, unioned: packages, imports, definitions, settings, tests, mentions. paths: all known files, if `files` are only some."""
+#: Kinds of edges that depend on which other files there are.
+CROSS = ("file_imports", "test_covers_implementation", "doc_mentions_file")
+
+
+def _file_kind(p: Column) -> Column:
+    return F.when(is_test_path(p), "test_file").when(content_type(language(p)) == "markdown", "doc").when(content_type(language(p)) == "config", "config_file").otherwise("file")
+
+
+def _edge(df: DataFrame, project: str, name: str, src: Column, dst: Column, conf: Column, heuristic: bool, method: str) -> DataFrame:
     from gleaner.operators import graph
 
-    known = (files if paths is None else paths).select("path")
-    kind_of = lambda p: F.when(is_test_path(p), "test_file").when(content_type(language(p)) == "markdown", "doc").when(content_type(language(p)) == "config", "config_file").otherwise("file")
-    file_id = lambda col: graph.node_id(kind_of(F.col(col)), F.col(col), project)
+    eid = graph.edge_id("cheap", F.lit(name), F.lit(name), src, dst, project)
+    return df.select(eid.alias("id"), F.lit(name).alias("kind"), src.alias("src"), dst.alias("dst"), conf.alias("confidence"), F.lit(heuristic).alias("heuristic"), F.lit(False).alias("stale"), "path", F.lit(method).alias("method"))
+
+
+def cross_edges(candidates: DataFrame, known: DataFrame, project: str, most: int = 5) -> DataFrame:
+    """Edges between files: candidates (as `wanted` gives them) that name a known path, resolved: an import to its first
+    candidate by name, a test to the surest few, a mention to what it names."""
+    from gleaner.operators import graph
+
+    file_id = lambda col: graph.node_id(_file_kind(F.col(col)), F.col(col), project)
+    hits = candidates.join(known.select(F.col("path").alias("file")), "file")
+    imported = hits.filter("how = 'import'").groupBy("path", "target").agg(F.min("file").alias("file"))
+    tests = _surest_tests(hits.filter("how = 'test'"), imported, most).withColumn("path", F.col("test"))
+    out = _edge(imported, project, "file_imports", file_id("path"), file_id("file"), F.lit(CONFIDENCE["import"]), False, "import")
+    out = out.unionByName(_edge(tests, project, "test_covers_implementation", file_id("test"), file_id("file"), F.col("confidence"), True, "test"))
+    said = hits.filter("how = 'mention'")
+    return out.unionByName(_edge(said, project, "doc_mentions_file", file_id("path"), file_id("file"), F.col("confidence"), True, "mention")).dropDuplicates(["id"])
+
+
+def own_graph(files: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes of files, symbols, settings and packages, and the edges that a file has by itself."""
+    from gleaner.operators import graph
+
+    file_id = graph.node_id(_file_kind(F.col("path")), F.col("path"), project)
     sym, keys, packages = symbols(files), config_keys(files), package_of(files)
     node = lambda df, k, key, name: df.select(graph.node_id(k, key, project).alias("id"), (F.lit(k) if isinstance(k, str) else k).alias("kind"), key.alias("key"), name.alias("name"), "path").distinct()
     sym_key, key_key = F.concat_ws("#", "path", "name"), F.concat_ws("#", "path", "key")
-    nodes = node(files.select("path"), kind_of(F.col("path")), F.col("path"), F.regexp_extract("path", "([^/]*)$", 1)).unionByName(node(sym, "symbol", sym_key, F.col("name")))
+    nodes = node(files.select("path"), _file_kind(F.col("path")), F.col("path"), F.regexp_extract("path", "([^/]*)$", 1)).unionByName(node(sym, "symbol", sym_key, F.col("name")))
     nodes = nodes.unionByName(node(keys, "config_key", key_key, F.col("key"))).unionByName(node(packages, "package", F.col("package"), F.substring_index("package", "#", -1)))
+    c = CONFIDENCE
+    out = _edge(sym, project, "file_defines_symbol", file_id, graph.node_id("symbol", sym_key, project), F.lit(c["defines"]), False, "declaration")
+    out = out.unionByName(_edge(keys, project, "file_defines_config_key", file_id, graph.node_id("config_key", key_key, project), F.lit(c["config_key"]), False, "setting"))
+    return nodes, out.unionByName(_edge(packages, project, "package_contains_file", graph.node_id("package", F.col("package"), project), file_id, F.lit(1.0), False, "package")).dropDuplicates(["id"])
+
 
-    def edge(df, name, src, dst, conf, heuristic, method):
-        eid = graph.edge_id("cheap", F.lit(name), F.lit(name), src, dst, project)
-        return df.select(eid.alias("id"), F.lit(name).alias("kind"), src.alias("src"), dst.alias("dst"), conf.alias("confidence"), F.lit(heuristic).alias("heuristic"), F.lit(False).alias("stale"), "path", F.lit(method).alias("method"))
-
-    c, lit = CONFIDENCE, F.lit
-    out = edge(resolved_imports(files, known), "file_imports", file_id("path"), file_id("file"), lit(c["import"]), False, "import")
-    out = out.unionByName(edge(sym, "file_defines_symbol", file_id("path"), graph.node_id("symbol", sym_key, project), lit(c["defines"]), False, "declaration"))
-    out = out.unionByName(edge(keys, "file_defines_config_key", file_id("path"), graph.node_id("config_key", key_key, project), lit(c["config_key"]), False, "setting"))
-    out = out.unionByName(edge(packages, "package_contains_file", graph.node_id("package", F.col("package"), project), file_id("path"), lit(1.0), False, "package"))
-    tests = tested_files(files, paths=known).withColumn("path", F.col("test"))
-    out = out.unionByName(edge(tests, "test_covers_implementation", file_id("test"), file_id("file"), F.col("confidence"), True, "test"))
-    said = mentions(files, known.select(F.col("path").alias("target"))).withColumn("path", F.col("doc"))
-    return nodes, out.unionByName(edge(said, "doc_mentions_file", file_id("doc"), file_id("target"), F.col("confidence"), True, "mention")).dropDuplicates(["id"])
+def file_graph(files: DataFrame, project: str, paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, kind, key, name, path) and edges (id, kind, src, dst, confidence, heuristic, stale, path, method) of all extractors in one
+    pass each, unioned: packages, imports, definitions, settings, tests, mentions. paths: all known files, if `files` are only some."""
+    nodes, edges = own_graph(files, project)
+    return nodes, edges.unionByName(cross_edges(wanted(files), files if paths is None else paths, project))
 
 
 def chunk_graph(chunks: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:

@@ -19,9 +19,13 @@ def put(path: str, n: int, rows: DataFrame, gone: DataFrame | None = None, by: t
         gone.distinct().write.mode("overwrite").parquet(f"{path}/gone/segment={n}")
 
 
-def live(spark: SparkSession, path: str, key: str, upto: int) -> DataFrame:
-    """The rows as of change `upto`, with their segment. Only tables that were ever changed are joined with what is gone."""
-    rows = spark.read.parquet(f"{path}/rows").filter(F.col("segment") <= upto)
+def live(spark: SparkSession, path: str, key: str, upto: int, schema: str | None = None) -> DataFrame:
+    """The rows as of change `upto`, with their segment. Only tables that were ever changed are joined with what is gone.
+
+    schema: of the rows, for tables that may have none so far.
+    """
+    read = spark.read.schema(f"{schema}, segment int") if schema else spark.read
+    rows = read.parquet(f"{path}/rows").filter(F.col("segment") <= upto)
     if upto == 0:
         return rows
     gone = spark.read.parquet(f"{path}/gone").filter(F.col("segment") <= upto).groupBy(key).agg(F.max("segment").alias("until"))

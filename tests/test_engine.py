@@ -95,8 +95,9 @@ def test_repair(spark, files, tmp_path):
     c = engine.build_index(files.filter(F.col('path').rlike('[a-z][0-1][._]')), f"file://{tmp_path}/broken")
     some = c.vectors.limit(3)
     engine.segments.put(f"{c.path}/vectors", 1, some.select(F.concat(F.lit("x"), "chunk_id").alias("chunk_id"), "embedding"), some.select("chunk_id"))
-    for name in ("files", "chunks", "nodes", "edges"):
+    for name in ("files", "chunks"):
         engine.segments.put(f"{c.path}/{name}", 1, c.table(name).limit(0), c.table(name).select(engine.KEYS[name]).limit(0))
+    engine.graph_index.unchanged(engine.graph_index.GraphIndex(spark, c.path, 0))
     engine.bm25.change(spark, c.terms, 1, some.select(F.col("chunk_id").alias("id")), c.chunks.limit(0), "chunk_id", "content")
     engine._note(spark, c.path, 1, {"project": "project"})
     broken = engine.Corpus.read(spark, c.path)
