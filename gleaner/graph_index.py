@@ -84,9 +84,11 @@ def change(before: GraphIndex, changed: DataFrame, removed: DataFrame, more: tup
     now, buckets = GraphIndex(spark, path, n, project), before.buckets
     gone = changed.select("path").union(removed.select("path")).distinct()
     _put(path, "paths", n, changed.select("path").distinct(), gone)
+    gone = spark.read.parquet(f"{path}/paths/gone/segment={n}")  # read from here on, not made again
     hopes = code.wanted(changed).withColumn("bucket", _bucket(F.col("file"), buckets))
     _put(path, "wanted", n, hopes, gone)
-    again = again_resolved(before, gone, now.table("paths"))
+    again_resolved(before, gone, now.table("paths")).write.mode("overwrite").parquet(f"{path}/wanted/again/segment={n}")
+    again = spark.read.parquet(f"{path}/wanted/again/segment={n}")
     nodes, edges = _with(code.own_graph(changed, project), more)
     _put(path, "nodes", n, nodes, gone)
     new_wanted = spark.read.schema(WANTED).parquet(f"{path}/wanted/rows/segment={n}")
@@ -100,6 +102,9 @@ def again_resolved(before: GraphIndex, gone: DataFrame, paths: DataFrame) -> Dat
     there = before.table("paths").join(bounded(gone), "path", "left_semi")
     came, went = gone.join(there, "path", "left_anti"), there.join(paths.join(bounded(gone), "path", "left_semi"), "path", "left_anti")
     moved = came.union(went).select(F.col("path").alias("file")).withColumn("bucket", _bucket(F.col("file"), before.buckets))
+    place = f"{before.path}/wanted/moved/segment={before.segment + 1}"
+    moved.write.mode("overwrite").parquet(place)
+    moved = before.spark.read.parquet(place)
     at = [r.bucket for r in moved.select("bucket").distinct().collect()]  # BUCKETS at most
     found = before.table("wanted").filter(F.col("bucket").isin(at)).join(bounded(moved.select("file")), "file", "left_semi")
     return found.select("path").distinct().join(bounded(gone), "path", "left_anti")

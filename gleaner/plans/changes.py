@@ -25,7 +25,7 @@ def _files(docs):
     head = F.when(F.col("e") == ".go", F.concat(F.lit('package d\nimport "app/src/'), target, F.lit('"\n'))).when(F.col("e") == ".md", F.concat(F.lit("See `src/"), target, F.lit(".go`.\n")))
     head = F.coalesce(head, F.concat(F.lit("import src."), target, F.lit("\n")))
     both = docs.withColumn("e", F.explode(F.array_compact(F.array(ending, F.when(F.col("doc_id") % 4 == 1, "/__init__.py")))))
-    return both.select("doc_id", "e", F.concat(own, "e").alias("path"), F.concat(head, F.coalesce("text", F.lit(""))).alias("content"))
+    return both.select("doc_id", (F.col("doc_id") % 3).alias("third"), "e", F.concat(own, "e").alias("path"), F.concat(head, F.coalesce("text", F.lit(""))).alias("content"))
 
 
 @query(f"""WITH {SQL_GROWN} SELECT kind, path, min(r.file) AS other FROM r JOIN (SELECT path AS file FROM f) k USING (file) WHERE r.file <> path GROUP BY kind, path""")
@@ -33,7 +33,9 @@ def grown_graph(spark, sf_dir):
     """References between files after a build and three changes: a third of the documents first, then the others, some
     with new references, some gone; files that came later are found from files that didn't change."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") + F.col("n_chars") % 97 + 1).alias("j"))
-    part = lambda k: _files(docs.filter(F.col("doc_id") % 3 == k)).select("path", "content")
+    at = scratch(spark, "grown-files")
+    _files(docs).write.partitionBy("third").parquet(at)
+    part = lambda k: spark.read.parquet(at).filter(F.col("third") == k).select("path", "content")
     none = docs.select(F.lit("").alias("path")).limit(0)
     g = graph_index.build(scratch(spark, "grown-graph"), part(2))
     g = graph_index.change(g, part(0), none)
