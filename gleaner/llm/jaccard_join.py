@@ -2,11 +2,12 @@
 
 A document is the set of hashes of its five-word shingles; documents of one set are one class. RUNS hash functions each
 choose one token of a class (the token of least hash, so two sets choose alike with a probability equal to their
-similarity). Each run begins a path with the token of its own function; classes that chose one token share a node. A
-node of over SPLIT classes is split by the tokens of CHILDREN further functions, which the node itself draws among those
-not yet on its path, and its parts are split again until they are small: unlike classes part quickly, as the chance of a
-common path falls with each step, while a pair at 0.8 has 1.6 common parts to expect from each. A part that keeps most
-of its node isn't split further, as its classes are alike. Nodes of one class are dropped, nodes of LIMIT classes at most
+similarity). Each run begins a path with the token of its own function; classes that chose one token share a node.
+A node of over SPLIT classes is split by the tokens of CHILDREN further functions: of those not yet on its path, the ones
+on which its classes agree least (counted over the whole node), so that a token that most of them share doesn't keep
+them together. Its parts are split again until LIMIT classes are left: unlike classes part quickly, as the chance of a common path
+falls with each step, while a pair at 0.8 has 1.6 common parts to expect from each. A node whose classes are alike, by
+their mean agreement over all functions, isn't split. Nodes of one class are dropped, nodes of LIMIT classes at most
 are compared by brute force, and larger ones in pairs of blocks of that size, so that nothing is capped.
 
 Two classes are compared at one of the nodes they share, and only if the functions agree on NEED of their tokens or
@@ -41,8 +42,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.shared import connected, drop, fresh, look_up, parted, stored
 
 WORDS, SIMILARITY, RUNS, LIMIT, SPLIT, LOSS = 5, 0.8, 16, 500, 2000, 2.5e-7
-#: Functions that split a node; a part with this share of its node isn't split further.
-CHILDREN, DENSE = 2, 0.75
+#: Functions that split a node; a node isn't split if two of its classes agree on this share of all functions on average.
+CHILDREN, ALIKE = 2, 0.6
 #: Words that a worker remembers the hash of; shingles hashed at once; pairs of a group compared one by one.
 REMEMBERED, CHUNK, FEW = 200_000, 4096, 8
 #: Power of two of the bits (8 MB) of the filter that picks the documents whose sets are read again.
@@ -144,7 +145,7 @@ def _nodes(classes: DataFrame, limit: int, split: int, runs: int) -> tuple[DataF
     small = rows.filter(F.col("n") <= split).withColumns({"leaf": F.lit(0).cast("long"), "leaves": none})
     tables = [shared]
     if shared.filter(F.col("n") > split).limit(1).count():
-        ends, tables = _leaves(rows.filter(F.col("n") > split), split, runs, tables)
+        ends, tables = _leaves(rows.filter(F.col("n") > split), limit, runs, tables)
         of_class = ends.groupBy("set").agg(F.array_sort(F.collect_list("node")).alias("leaves"))
         small = small.unionByName(ends.join(of_class, "set").withColumns({"run": F.lit(-1), "leaf": F.col("node")}))
     blocks = F.ceil(F.col("n") / limit).cast("int")
@@ -153,30 +154,36 @@ def _nodes(classes: DataFrame, limit: int, split: int, runs: int) -> tuple[DataF
     return rows.select(F.xxhash64("node", lo, hi).alias("unit"), "run", "leaf", "block", (lo == hi).alias("within"), "set", "n_docs", "path", "leaves"), tables
 
 
-def _leaves(large: DataFrame, split: int, runs: int, tables: list[DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
-    """Parts of nodes, split on until they are small, alike, or all functions are on their path: set, n_docs, path, node, n. A job a level."""
+def _leaves(large: DataFrame, limit: int, runs: int, tables: list[DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
+    """Parts of nodes, split on until they are small, alike, or no function is left: set, n_docs, path, node, n. A job a level."""
     bit = lambda r: F.call_function("shiftleft", F.lit(1).cast("long"), r)
-    level = large.select("set", "n_docs", "path", "node", "n", bit(F.col("run")).alias("used"))
-    ends = []
+    own = ["set", "n_docs", "path", "node", "n"]
+    level = large.select(*own, bit(F.col("run")).alias("used"))
+    out = None
     while True:
-        at = F.pmod(F.xxhash64("node"), F.lit(runs)).cast("int")
-        free = F.filter(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda i: F.pmod(at + i, F.lit(runs)).cast("int")), lambda r: F.col("used").bitwiseAND(bit(r)) == 0)
-        parts = level.withColumn("r", F.explode(F.slice(free, 1, CHILDREN))).filter(F.get("path", F.col("r")) != 0)
-        parts = parts.select("set", "n_docs", "path", F.xxhash64("node", "r", F.get("path", F.col("r"))).alias("node"), F.col("n").alias("of"), F.col("used").bitwiseOR(bit(F.col("r"))).alias("used"))
+        spread = stored(_spread(level, runs), "paths-spread")
+        free = F.filter("order", lambda x: F.col("used").bitwiseAND(bit(x["r"])) == 0)
+        told = level.join(spread.hint("merge"), "node").withColumn("free", F.slice(free, 1, CHILDREN))
+        last = told.filter((F.col("alike") >= ALIKE) | (F.size("free") == 0)).select(*own)
+        parts = told.filter((F.col("alike") < ALIKE) & (F.size("free") > 0)).withColumn("r", F.explode("free.r")).filter(F.get("path", F.col("r")) != 0)
+        parts = parts.select("set", "n_docs", "path", F.xxhash64("node", "r", F.get("path", F.col("r"))).alias("node"), F.col("used").bitwiseOR(bit(F.col("r"))).alias("used"))
         parts = stored(parts, "paths-parts")
         sizes = parts.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
         now = stored(parts.join(sizes.hint("merge"), "node"), "paths-level")
         drop(parts)
-        tables.append(now)
-        whole = (F.col("n") <= split) | (F.col("n") >= DENSE * F.col("of")) | (F.bit_count("used") >= runs)
-        ends.append(now.filter(whole).select("set", "n_docs", "path", "node", "n"))
-        level = now.filter(~whole).drop("of")
+        tables += [spread, now]
+        ended = last.unionByName(now.filter(F.col("n") <= limit).select(*own))
+        out = ended if out is None else out.unionByName(ended)
+        level = now.filter(F.col("n") > limit)
         if not level.limit(1).count():
-            break
-    out = ends[0]
-    for more in ends[1:]:
-        out = out.unionByName(more)
-    return out, tables
+            return out, tables
+
+
+def _spread(level: DataFrame, runs: int) -> DataFrame:
+    """node, alike, order: the share of functions on which two classes of a node agree, and the functions by how seldom they do."""
+    tokens = level.select("node", "n", F.posexplode("path").alias("r", "t")).filter("t <> 0").groupBy("node", "n", "r", "t").agg(F.count("*").cast("double").alias("c"))
+    agreed = tokens.groupBy("node", "n", "r").agg((F.sum(F.col("c") * F.col("c")) / (F.col("n") * F.col("n"))).alias("s"))
+    return agreed.groupBy("node").agg((F.sum("s") / runs).alias("alike"), F.array_sort(F.collect_list(F.struct("s", "r"))).alias("order"))
 
 
 _FIELDS = "unit long, run int, leaf long, block int, within boolean, set binary, n_docs long, path array<long>, leaves array<long>"
