@@ -6,13 +6,13 @@ from one document to the other until one of the two has none or all of its words
 a source keeps its target, and each document's chance to be taken up is its fraction. Pairs are made within blocks of
 about BLOCK documents, largest document first; each block hands the document that is still open to the next level, until
 BLOCK at most are left in a source. These meet one block of the source that was kept aside, and a coin of its fraction's
-odds rounds the last document open there. What that adds or takes is made good by other documents of that block, in
-random order, each of no more words than are still amiss; as that is as likely to add as to take, it leaves each
-document's chance near its fraction. No task sees more than two blocks.
+odds rounds the last document open there. What that adds or takes is made good by a few documents of that block: among
+the subsets of a dozen, chosen by chance, one that brings the words near again, of few documents, is turned; as that is as
+likely to add as to take, it leaves each document's chance near its fraction. No task sees more than two blocks.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; documents of size 0 get no
 words; equal sizes are paired in the order of a hash of the identifier; repeated rows are documents of their own; very
-long texts count whole, and one longer than its source's target is taken as its coin says; an empty table gives an empty
+long texts count whole, and one longer than its source's target is taken if that comes nearest to the target; an empty table gives an empty
 result; extra columns stay out of `decide` and pass through `apply_mix` untouched, whatever their names. Two windows see
 one row for each source.
 """
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.shared import bounded, fresh, let, stored, unit
 
 BLOCK = 128
+#: Documents of which every subset is weighed to mend the last rounding, and the error allowed (a share of the block's words).
+TURNED, NEAR = 12, 0.005
 WEIGHTS, RATIO, CAP, SEED = (3, 1, 2), 1.5, 2.0, 20_240_601
 
 
@@ -91,19 +93,34 @@ def _decided(x: Column, taken: Column) -> Column:
 
 
 def _closed(r: Column, seed: int) -> Column:
-    """All units of the last block, decided: a coin rounds the open one, and the error is passed along the others in random order."""
+    """All units of the last block, decided: a coin rounds the open one, and if that leaves an error of words, few others are turned.
+
+    Of TURNED units (the open one and others in random order) every subset is weighed: any that brings the error within
+    NEAR of the block's words will do, the smallest first and by chance among those; if none does, the one of least error.
+    """
     act = r["act"]
     up = (act["mass"] > 0) & (unit(act["id"], act["occ"], act["size"], F.lit(seed)) * act["size"] < act["mass"])
     error = F.when(up, act["size"] - act["mass"]).otherwise(-act["mass"]).cast("double")
-
-    def mend(acc: Column, x: Column) -> Column:
-        d = x["d"]
-        change = F.when(d["more"], -d["size"]).otherwise(d["size"]).cast("double")
-        turn = (d["size"] > 0) & (acc["error"] * change < 0) & (d["size"] <= F.abs(acc["error"]))
-        return F.struct((acc["error"] + F.when(turn, change).otherwise(0.0)).alias("error"), F.concat(acc["all"], F.array(_decided(d, d["more"] != turn))).alias("all"))
-
-    dealt = F.array_sort(F.transform(r["done"], lambda d: F.struct(F.xxhash64(d["id"], d["occ"], d["size"], F.lit(seed + 1)).alias("h"), d.alias("d"))))
-    return F.aggregate(dealt, F.struct(error.alias("error"), F.array(_decided(act, up)).alias("all")), mend)["all"]
+    dealt = F.transform(F.array_sort(F.transform(r["done"], lambda d: F.struct(F.xxhash64(d["id"], d["occ"], d["size"], F.lit(seed + 1)).alias("h"), d.alias("d")))), lambda x: x["d"])
+    every = F.concat(F.array(_decided(act, up)), dealt)
+    words = F.aggregate(every, F.lit(0.0), lambda acc, d: acc + d["size"])
+    parts = F.struct(F.filter(every, lambda d: d["size"] > 0).alias("some"), F.filter(every, lambda d: d["size"] <= 0).alias("none"), error.alias("error"), (NEAR * words + 1).alias("near"))
+
+    def mended(p: Column) -> Column:
+        few = F.slice(p["some"], 1, TURNED)
+        step = lambda d: F.when(d["more"], -d["size"]).otherwise(d["size"]).cast("double")
+        start = F.array(F.struct(p["error"].alias("error"), F.lit(0).alias("turned"), F.lit(0).alias("mask")))
+        both = lambda acc, x: F.concat(acc, F.transform(acc, lambda y: F.struct((y["error"] + x["step"]).alias("error"), (y["turned"] + 1).alias("turned"), y["mask"].bitwiseOR(x["bit"]).alias("mask"))))
+        steps = F.transform(few, lambda d, i: F.struct(step(d).alias("step"), F.call_function("shiftleft", F.lit(1), i).alias("bit")))
+        chance = lambda y: F.xxhash64(act["id"], act["occ"], y["mask"], F.lit(seed + 2))
+        key = lambda y: F.struct(F.when(F.abs(y["error"]) <= p["near"], y["turned"].cast("double")).otherwise(TURNED + F.abs(y["error"])).alias("cost"), chance(y).alias("h"), y["mask"].alias("mask"))
+        best = F.array_min(F.transform(F.aggregate(steps, start, both), key))["mask"]
+        mask = F.when(F.abs(p["error"]) <= p["near"], F.lit(0)).otherwise(best)
+        is_in = lambda m, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1
+        turn = lambda m: F.transform(few, lambda d, i: _decided(d, d["more"] != is_in(m, i)))
+        return F.concat(let(mask, turn), F.slice(p["some"], TURNED + 1, F.size(p["some"]) + 1), p["none"])
+
+    return let(parts, mended)
 
 
 def decide(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, ratio=RATIO, cap=CAP, block=BLOCK, seed=SEED) -> DataFrame:

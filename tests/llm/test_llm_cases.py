@@ -166,6 +166,26 @@ def test_jaccard_meets_pairs_in_split_nodes(spark):
     assert all(got[k] <= links[k] for k in got) and sum(got.values()) >= 0.999 * sum(links) > 50_000
 
 
+def test_jaccard_recall_where_nodes_are_split_four_times(spark):
+    """Pairs at about 0.8 among texts that share most of a passage, with buckets of two so that nodes are split four times."""
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage, texts, pairs = [word() for _ in range(60)], [], set()
+    for k in range(1500):
+        own = [word() for _ in range(44)]
+        texts += [" ".join([*passage, *own]), " ".join([*passage, *own[:-11], *(word() for _ in range(11))])]
+        pairs.add((2 * k, 2 * k + 1))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near = {p for p in near_pairs(texts[:40])}
+    assert near == {p for p in pairs if p[1] < 40}  # 89 shingles of 111 are common: 0.802
+    sketches = jaccard_join._sketches(docs, "doc_id", "text", 5, 16).groupBy("set").agg(F.count("*").alias("n_docs"), F.first("k1").alias("k1"))
+    nodes, tables = jaccard_join._nodes(sketches, 2, 4, 16)
+    assert len(tables) // 2 >= 4  # more than that no node of these needs, however small the buckets
+    got = jaccard_join.join(docs, split=4, limit=2)
+    found = {r.id for r in got.filter("n_links > 0").collect()}
+    assert sum(a in found and b in found for a, b in pairs) >= 0.99 * len(pairs)
+
+
 def test_jaccard_splits_a_large_node_of_unlike_texts(spark):
     """Thousands of classes that share half of their shingles: nodes are split to small ones, and the planted pairs are found."""
     rng = random.Random(8)
@@ -523,6 +543,70 @@ def test_mixing_takes_small_sources_by_their_chances(spark):
     assert abs(sum(by.values()) / 400 - 31.2) < 0.5 and max(abs(x - 31.2) for x in by.values()) < 6
 
 
+def plain_mix(units, rate, seed=mixing.SEED):
+    """One source's documents [(id, size)], rounded as the docstring words it, pair by pair."""
+    import xxhash
+
+    def chain(*values):  # of (value, bytes)
+        h = 42
+        for v, width in values:
+            h = xxhash.xxh64_intdigest((v & ((1 << 8 * width) - 1)).to_bytes(width, "little"), h)
+        return h
+
+    share = lambda *values: (chain(*values) >> 11) / float(1 << 53)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    base, rest = int(rate), rate - int(rate)
+    todo = sorted(([i, 1, n, n * rest] for i, n in units), key=lambda u: (-u[2], signed(chain((u[0], 8), (1, 4), (seed, 4)))))
+    act, done = todo[0], []
+    for b in todo[1:]:
+        a = act
+        a_gap, b_gap = a[2] - a[3], b[2] - b[3]
+        up, down = min(a_gap, b[3]), min(a[3], b_gap)
+        if share((a[0], 8), (1, 4), (b[0], 8), (1, 4), (seed, 4)) * (up + down) < down:
+            if a_gap <= b[3]:
+                done.append((a[0], a[2], True))
+                act = [*b[:3], b[3] - a_gap]
+            else:
+                done.append((b[0], b[2], False))
+                act = [*a[:3], a[3] + b[3]]
+        elif a[3] <= b_gap:
+            done.append((a[0], a[2], False))
+            act = [*b[:3], b[3] + a[3]]
+        else:
+            done.append((b[0], b[2], True))
+            act = [*a[:3], a[3] - b_gap]
+    up = act[3] > 0 and share((act[0], 8), (1, 4), (act[2], 8), (seed, 4)) * act[2] < act[3]
+    error = act[2] - act[3] if up else -act[3]
+    done.sort(key=lambda d: signed(chain((d[0], 8), (1, 4), (d[1], 8), (seed + 1, 4))))
+    every = [(act[0], act[2], up), *done]
+    near, few = mixing.NEAR * sum(d[1] for d in every) + 1, [d for d in every if d[1] > 0][: mixing.TURNED]
+    turned = set()
+    if abs(error) > near:
+
+        def cost(mask):
+            left = error
+            for k, d in enumerate(few):
+                if mask >> k & 1:
+                    left += -d[1] if d[2] else d[1]
+            own = float(mask.bit_count()) if abs(left) <= near else mixing.TURNED + abs(left)
+            return own, signed(chain((act[0], 8), (1, 4), (mask, 4), (seed + 2, 4))), mask
+
+        best = min(map(cost, range(1 << len(few))))[2]
+        turned = {d[0] for k, d in enumerate(few) if best >> k & 1}
+    return {i: base + (more != (i in turned)) for i, _, more in every}
+
+
+def test_mix_equals_plain_pivotal_rounding(spark):
+    rng = random.Random(19)
+    rows = [(100 * s + k, f"s{s:02}", rng.choice([rng.randint(1, 30), rng.randint(1, 900)])) for s in range(9) for k in range(rng.randint(1, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n int").selectExpr("doc_id", "source", "repeat('w ', n) AS text")
+    got = mixing.decide(docs).collect()
+    for s in {r[1] for r in rows}:
+        own = [r for r in got if r.source == s]
+        want = plain_mix([(i, n) for i, x, n in rows if x == s], min(2.0, own[0].target / own[0].source_size))
+        assert {r.id: r.copies for r in own} == want
+
+
 def test_mixing_repeated_rows_and_levels(spark):
     texts = ["w " * (1 + i % 9) for i in range(900)]
     docs = table(spark, texts, [i // 3 if i < 600 else i for i in range(900)]).withColumn("source", F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise("a"))
