@@ -27,8 +27,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from gleaner.llm.shared import bounded, drop, fresh, look_up, parted, sift, stored
 
-#: Entries of a memtable (about 30 MB); rows of a group that one task compares.
-MEMTABLE, SALT = 200_000, 256
+#: Entries of a memtable (about 15 MB with its run); rows of a group that one task compares.
+MEMTABLE, SALT = 50_000, 256
+SLICE = 1000  # rows of a batch that are Python objects at a time
 
 
 def normalised(text: Column) -> Column:
@@ -44,15 +45,15 @@ def flush(keyed: DataFrame) -> DataFrame:
         return (-chars, key is None, *(() if key is None else (key,)))
 
     def run(table: dict) -> pa.RecordBatch:
-        rows = sorted(table.items())
-        columns = [[k for k, _ in rows], *([v[i] for _, v in rows] for i in range(3))]
+        keys = sorted(table)
+        columns = [keys, *([table[k][i] for k in keys] for i in range(3))]
         kinds = (pa.binary(), pa.int64(), pa.int64(), arrow)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["digest", "rows", "chars", "id"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[bytes, list] = {}
         for batch in batches:
-            for key, chars, digest in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for key, chars, digest in (row for at in range(0, batch.num_rows, SLICE) for row in zip(*(batch.column(i).slice(at, SLICE).to_pylist() for i in range(3)), strict=True)):
                 old = table.get(digest)
                 if old is None:
                     if len(table) >= MEMTABLE:
