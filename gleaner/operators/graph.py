@@ -98,15 +98,44 @@ def resolve(nodes: DataFrame, subjects: DataFrame, limit: int = CANDIDATES) -> D
     wanted = asked.select("subject", F.explode(F.array("subject", F.concat(F.lit("\0"), F.lower("subject")))).alias("form"))
     equal = forms.join(bounded(wanted), "form").groupBy("subject", "id").agg(F.min("score").alias("score"))
     rest = bounded(asked.join(equal.select("subject").distinct(), "subject", "left_anti"))
-    low = F.lower("subject")
-    part = F.when(F.contains(F.lower("name"), low), PART_OF_NAME).when(F.contains(F.lower("id"), low), PART_OF_ID)
-    within = nodes.select("id", "name").join(rest, F.contains(F.lower("name"), low) | F.contains(F.lower("id"), low)).select("subject", "id", part.alias("score"))
+    within = _within(nodes, rest)
     hit = equal.unionByName(within)
     per = Window.partitionBy("subject")
     best = hit.withColumn("best", F.min("score").over(per)).filter(F.col("score") == F.col("best")).withColumn("n", F.count("*").over(per))
     return top(best, limit, ["subject"], F.col("id")).select("subject", "id", "score", F.when(F.col("n") == 1, "resolved").otherwise("ambiguous").alias("state"))
 
 
+#: Characters of the pieces by which parts of names are looked up.
+PIECE = 3
+
+
+def _pieces(text: Column, n: int) -> Column:
+    """The distinct stretches of n characters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n)))
+
+
+def _within(nodes: DataFrame, subjects: DataFrame) -> DataFrame:
+    """(subject, id, score): nodes whose name or id holds the subject, case aside.
+
+    Of a subject's pieces of PIECE characters the one that fewest nodes hold is looked up by an equi-join, and only the
+    nodes that hold it are searched; shorter subjects are pieces themselves. Nodes are cut into pieces twice and never paired with subjects.
+    """
+    low = F.lower("subject")
+    asked = subjects.select("subject", low.alias("low"), F.least(F.length(low), F.lit(PIECE)).alias("size")).filter("size > 0")
+    sizes = [r["size"] for r in asked.select("size").distinct().collect()]  # 1 to PIECE
+    if not sizes:
+        return nodes.select(F.lit("").alias("subject"), "id", F.lit(0).alias("score")).limit(0)
+    probes = asked.withColumn("piece", F.explode(F.coalesce(*[F.when(F.col("size") == n, _pieces(F.col("low"), n)) for n in sizes])))
+    texts = nodes.select("id", F.lower("name").alias("low_name"), F.lower("id").alias("low_id"))
+    held = F.array_distinct(F.concat(*[_pieces(F.col(c), n) for n in sizes for c in ("low_name", "low_id")]))
+    cut = texts.withColumn("piece", F.explode(held))
+    counts = cut.join(bounded(probes.select("piece").distinct()), "piece").groupBy("piece").agg(F.count("*").alias("n"))
+    rarest = probes.join(counts, "piece", "left").groupBy("subject", "low").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+    found = cut.join(bounded(rarest), "piece")
+    part = F.when(F.contains("low_name", F.col("low")), PART_OF_NAME).when(F.contains("low_id", F.col("low")), PART_OF_ID)
+    return found.select("subject", "id", part.alias("score")).filter("score IS NOT NULL")
+
+
 def resolve_typed(nodes: DataFrame, subjects: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """(subject, type, id, state) of subjects with a type: auto, path, symbol, package or result_id.
 
@@ -159,14 +188,30 @@ def last_segment(x: Column) -> Column:
 
 def nearest_names(nodes: DataFrame, subjects: DataFrame, most: int = EDITS, k: int = HINTS) -> DataFrame:
     """Did-you-mean: names within an edit distance of the subject's last path segment, nearest first. A symbol goes by its name, a file by
-    its base name; names are compared once each, and only with subjects of about their length."""
+    its base name. Of a name cut into one part more than edits are allowed, some part stays whole: names are joined with subjects by
+    their length, a part's number and its text at any place up to that many characters away, and only those are compared."""
     hint = F.when(F.col("kind") == "symbol", F.col("name")).when(F.col("kind").isin(*FILE_KINDS), last_segment(F.col("key"))).otherwise(F.col("name")) if "kind" in nodes.columns else F.col("name")
-    names = nodes.select(hint.alias("name")).distinct()
-    asked = bounded(subjects.select("subject", F.lower(last_segment(F.trim("subject"))).alias("target")).distinct())
-    near = names.join(asked, F.abs(F.length("name") - F.length("target")) <= most).withColumn("edits", F.levenshtein(F.lower("name"), F.col("target"), most)).filter("edits >= 0")
+    names = nodes.select(hint.alias("name")).distinct().withColumn("low", F.lower("name"))
+    asked = subjects.select("subject", F.lower(last_segment(F.trim("subject"))).alias("target")).distinct()
+    start, size = _segment(F.length("low"), F.col("i"), most + 1)
+    held = names.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(most)))).select("name", "low", F.length("low").alias("n"), "i", F.substring("low", start + 1, size).alias("piece"))
+    probes = asked.withColumn("n", F.explode(F.sequence(F.greatest(F.length("target") - most, F.lit(0)), F.length("target") + most)))
+    probes = probes.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("shift", F.explode(F.sequence(F.lit(-most), F.lit(most))))
+    start, size = _segment(F.col("n"), F.col("i"), most + 1)
+    place = start + F.col("shift")
+    probes = probes.filter((place >= 0) & (place + size <= F.length("target"))).select("subject", "target", "n", "i", F.substring("target", place + 1, size).alias("piece")).distinct()
+    near = held.join(bounded(probes), ["n", "i", "piece"]).select("subject", "target", "name", "low").distinct()
+    near = near.withColumn("edits", F.levenshtein("low", "target", most)).filter("edits >= 0")
     return top(near, k, ["subject"], F.col("edits"), F.col("name")).select("subject", "name", "edits", "rank")
 
 
+def _segment(n: Column, i: Column, parts: int) -> tuple[Column, Column]:
+    """(start, length) of part i of `parts` even parts of a text of n characters, the longer ones last."""
+    short, longer = F.floor(n / parts).cast("int"), (n % parts).cast("int")
+    before = F.greatest(i - (parts - longer), F.lit(0))  # longer parts before this one
+    return (i * short + before).cast("int"), (short + (i >= parts - longer).cast("int")).cast("int")
+
+
 #: Languages that are code but that no extractor reads.
 UNREAD = {"rs": "rust", "java": "java", "kt": "kotlin", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "rb": "ruby", "php": "php", "swift": "swift", "sh": "shell", "bash": "shell", "cs": "csharp", "scala": "scala"}
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.joins import bounded
 from gleaner.functions.text import confidence_label
-from gleaner.operators import graph
+from gleaner.operators import graph, traversal
 from gleaner.registry import query
-from gleaner.session import table
+from gleaner.session import scratch, table
 
 _KINDS = (("region", "r_regionkey", "r_name"), ("nation", "n_nationkey", "n_name"), ("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", None), ("part", "p_partkey", "p_name"), ("orders", "o_orderkey", None))
 #: (table, kind, source kind, source column, target kind, target column, confidence, heuristic, stale) as SQL.
@@ -193,3 +193,37 @@ def link_edges(spark, sf_dir):
     """Edges from pages to the paths that they link to."""
     p = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"#?]*)"'), F.lit(1))).alias("target"))
     return p.groupBy("page_id", "target").agg(F.count("*").alias("n"))
+
+
+_STEP = """h{d} AS (SELECT seed, node, max(confidence) AS confidence FROM (SELECT f.seed, u.dst AS node, least(f.confidence, u.confidence) AS confidence FROM k{p} f JOIN u ON u.src = f.node)
+  WHERE (seed, node) NOT IN (SELECT (seed, node) FROM s{p}) GROUP BY seed, node),
+r{d} AS (SELECT h.seed, node, confidence, row_number() OVER (PARTITION BY h.seed ORDER BY confidence DESC, node) AS pos, b.room FROM h{d} h JOIN l{p} b USING (seed)),
+k{d} AS (SELECT seed, node, confidence FROM r{d} WHERE pos <= room), s{d} AS (SELECT * FROM s{p} UNION ALL SELECT seed, node FROM r{d} WHERE pos <= room + 1),
+c{d} AS (SELECT seed FROM c{p} UNION SELECT seed FROM r{d} WHERE pos > room),
+l{d} AS (SELECT b.seed, b.room - coalesce(k.n, 0) AS room FROM l{p} b LEFT JOIN (SELECT seed, count(*) AS n FROM k{d} GROUP BY seed) k USING (seed) WHERE b.seed NOT IN (SELECT seed FROM c{d}))"""
+
+
+@query(f"""WITH {SQL_EDGES}, u AS (SELECT src, dst, max(confidence) AS confidence FROM (SELECT src, dst, confidence FROM edges UNION ALL SELECT dst, src, confidence FROM edges) GROUP BY src, dst),
+k0 AS (SELECT 'node:supplier:shop:' || s_suppkey AS seed, 'node:supplier:shop:' || s_suppkey AS node, 1.0::DOUBLE AS confidence FROM supplier), s0 AS (SELECT seed, node FROM k0), c0 AS (SELECT seed FROM k0 WHERE false), l0 AS (SELECT seed, 40 AS room FROM k0),
+{", ".join(_STEP.format(d=d, p=d - 1) for d in (1, 2, 3))}
+SELECT seed, node, depth, confidence, seed IN (SELECT seed FROM c3) AS truncated FROM ({" UNION ALL ".join(f"SELECT seed, node, {d} AS depth, confidence FROM k{d}" for d in (1, 2, 3))})""")
+def neighbours_bounded(spark, sf_dir):
+    """Up to 40 nodes around each supplier within three hops over all edges, the surest of each hop first."""
+    seeds = table(spark, sf_dir, "supplier").select(graph.node_id("supplier", F.col("s_suppkey")).alias("seed"))
+    return traversal.neighbours(edges(spark, sf_dir), seeds, 3, 40, scratch(spark, "neighbours"))
+
+
+@query(f"""WITH {SQL_EDGES}, e AS (SELECT src, dst, kind, max(confidence) AS confidence FROM edges GROUP BY src, dst, kind),
+pairs AS (SELECT 'node:orders:shop:' || o_orderkey AS seed, 'node:nation:shop:' || c_nationkey AS target FROM orders JOIN customer ON o_custkey = c_custkey),
+p1 AS (SELECT p.seed, [p.seed, e.dst] AS path, [e.kind] AS kinds, e.confidence AS weakest FROM (SELECT DISTINCT seed FROM pairs) p JOIN e ON e.src = p.seed),
+p2 AS (SELECT seed, list_append(path, e.dst) AS path, list_append(kinds, e.kind) AS kinds, least(weakest, e.confidence) AS weakest FROM p1 JOIN e ON e.src = path[-1] WHERE NOT list_contains(path, e.dst)),
+p3 AS (SELECT seed, list_append(path, e.dst) AS path, list_append(kinds, e.kind) AS kinds, least(weakest, e.confidence) AS weakest FROM p2 JOIN e ON e.src = path[-1] WHERE NOT list_contains(path, e.dst)),
+d AS (SELECT q.seed, q.target, path, kinds, weakest, row_number() OVER (PARTITION BY q.seed, q.target ORDER BY len(kinds), weakest DESC, path, kinds) AS pos, count(*) OVER (PARTITION BY q.seed, q.target) AS n
+ FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) a JOIN pairs q ON q.seed = a.seed AND q.target = path[-1])
+SELECT seed, target, array_to_string(path, '>') AS path, array_to_string(kinds, ',') AS kinds, weakest, n > 3 AS truncated FROM d WHERE pos <= 3""")
+def paths_bounded(spark, sf_dir):
+    """The three best paths of up to three hops from every order to its customer's nation, over all edges: by the customer, or by a part's supplier there."""
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    ends = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(graph.node_id("orders", F.col("o_orderkey")).alias("seed"), graph.node_id("nation", F.col("c_nationkey")).alias("target"))
+    found = traversal.paths(edges(spark, sf_dir), ends, 3, 3, scratch(spark, "paths"), beam=10_000)
+    return found.select("seed", "target", F.array_join("path", ">").alias("path"), F.array_join("kinds", ",").alias("kinds"), "weakest", "truncated")
