@@ -9,10 +9,10 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner import graph_index
+from gleaner import build_log, graph_index
 from gleaner.functions.joins import bounded, top
 from gleaner.functions.text import any_of, in_scope, query_class
-from gleaner.operators import bm25, candidates, chunking, code, decompose, graph, metadata, ranking, vectors
+from gleaner.operators import bm25, candidates, chunking, code, decompose, embedding_cache, expansion, graph, metadata, ranking, records, vectors
 from gleaner.sources import segments
 
 #: Results of a search at most, and by default; related nodes and bytes of an answer about the graph.
@@ -75,7 +75,11 @@ class Options:
     keyword_only: bool = False
     approximate: bool = False  # vector search reads the nearest lists only (without filters)
     add_candidates: bool = False  # exact symbols, files named by decisions, PDF passages
+    provider: embedding_cache.Provider | None = None  # of the queries' vectors; if it isn't the index's model, keywords alone decide
+    expand: bool = True  # further words for the keyword side; never for exact queries, nor without a vector side
+    synonyms: dict[str, tuple[str, ...]] | None = None
     reranker: Callable[[Column, Column], Column] | None = None
+    rerank: str = "always"  # always, never, or auto: by the kind of each query
     extra: dict = field(default_factory=dict)
 
     def checked(self) -> Options:
@@ -85,6 +89,8 @@ class Options:
             raise ValueError(f"unknown mode {self.mode!r}")
         if self.decisions not in (None, "current", "history"):
             raise ValueError(f"unknown mode of decisions {self.decisions!r}")
+        if self.rerank not in ("always", "never", "auto"):
+            raise ValueError(f"unknown policy of the reranker {self.rerank!r}")
         if any(w < 0 for w in self.weights):
             raise ValueError("weights can't be negative")
         return replace(self, limit=clamp(self.limit, DEFAULT, 1, MOST))
@@ -118,9 +124,24 @@ def by_file(chunks: DataFrame, each: int) -> DataFrame:
     return kept.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start_line", "chunk_id", "title"))).alias("chunks"))
 
 
-def _embedded(spark: SparkSession, chunks: DataFrame) -> DataFrame:
-    c = chunks.groupBy("chunk_id").agg(F.min("content").alias("content")).withColumn("row", F.xxhash64("chunk_id"))
-    return vectors.static_embedding(c, "row", "content").join(c.select(F.col("row").alias("id"), "chunk_id"), "id").select("chunk_id", "embedding")
+def static_provider(dims: int = 256) -> embedding_cache.Provider:
+    """Vectors of hashed words and letters: no model to load, the last resort of a list of providers."""
+    return embedding_cache.Provider("static" if dims == 256 else f"static-{dims}", lambda c: vectors.static_embedding(c, "id", "content", dims))
+
+
+def _embedded(spark: SparkSession, chunks: DataFrame, place: str, providers: list[embedding_cache.Provider]) -> tuple[DataFrame, str]:
+    """((chunk_id, embedding), model) of chunks: contents that an earlier run embedded are looked up, the others are embedded."""
+    c = chunks.groupBy("chunk_id").agg(F.min("content").alias("content")).withColumn("key", F.sha2("content", 256))
+    found, model = embedding_cache.Cache(spark, place).embedded(c.select("content"), providers)
+    return c.select("chunk_id", "key").join(found, "key").select("chunk_id", "embedding"), model
+
+
+def _providers_of(corpus: Corpus, providers: tuple[embedding_cache.Provider, ...]) -> list[embedding_cache.Provider]:
+    """Those whose vectors may join the ones that an index has."""
+    fitting = [p for p in [*providers, static_provider()] if p.model == corpus.state["model"]]
+    if not fitting:
+        raise ValueError(f"the index holds vectors of {corpus.state['model']!r}: its provider is needed")
+    return fitting
 
 
 def _buckets(chunks: int) -> int:
@@ -128,30 +149,49 @@ def _buckets(chunks: int) -> int:
     return max(2, min(1024, chunks // 2000))
 
 
-def _note(spark: SparkSession, path: str, segment: int, values: dict[str, str]) -> None:
-    segments.put(f"{path}/state", segment, spark.createDataFrame(sorted(values.items()), "key string, value string"))
+def _note(spark: SparkSession, path: str, segment: int, values: dict[str, str], name: str = "state") -> None:
+    segments.put(f"{path}/{name}", segment, spark.createDataFrame(sorted(values.items()), "key string, value string"))
 
 
-def build_index(files: DataFrame, path: str, project: str = "project") -> Corpus:
-    """Write files, chunks, inverted index, vectors, nodes and edges under `path` as segment 0; what was there is replaced."""
+def build_index(files: DataFrame, path: str, project: str = "project", cache: str | None = None, providers: tuple[embedding_cache.Provider, ...] = ()) -> Corpus:
+    """Write files, chunks, inverted index, vectors, nodes and edges under `path` as segment 0; what was there is replaced.
+
+    A build of the same files that stopped goes on with the stage that it stopped in. cache: a folder of vectors that outlives
+    the index, by default one within it; providers: models to try in order, before the static one.
+    """
     spark, now = files.sparkSession, Corpus(files.sparkSession, path, 0)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    files = files.select("path", "content")
+    stages = build_log.Stages(spark, path, 0, build_log.digest_of(files))
+    put = lambda name, rows: build_log.counted(rows, lambda df: segments.put(f"{path}/{name}", 0, df, rows.select(KEYS[name]).limit(0)))
+
+    def embed() -> str:
+        rows, model = _embedded(spark, now.chunks, cache or f"{path}/cache", [*providers, static_provider()])
+        put("vectors", rows)
+        dimensions = now.vectors.select(F.size("embedding")).first()
+        _note(spark, path, 0, {"model": model, "cache": cache or f"{path}/cache", "dimensions": str(dimensions[0] if dimensions else 0)}, "vectors/state")
+        return model
+
+    stages.run("files", lambda: put("files", files))
+    stages.run("chunks", lambda: put("chunks", chunked(now.files)))
+    stages.run("vectors", embed)
+    stages.run("terms", lambda: bm25.build(now.chunks.dropDuplicates(["chunk_id"]), "chunk_id", "content", now.terms, _buckets(now.chunks.count())))
+    stages.run("lists", lambda: vectors.build_lists(now.vectors, f"{path}/lists", id_col="chunk_id"))
+    stages.run("graph", lambda: graph_index.build(path, now.files, project, code.chunk_graph(now.chunks, project)) and None)
+    _log_edges(stages, now)
+    told = {r.key: r.value for r in spark.read.parquet(f"{path}/vectors/state/rows").collect()}  # three rows
+    _note(spark, path, 0, {"project": project, "chunk_tokens": str(chunking.MAX_TOKENS)} | told)
+    stages.finish()
+    return now
 
-    def put(name: str, rows: DataFrame) -> None:
-        segments.put(f"{path}/{name}", 0, rows, rows.select(KEYS[name]).limit(0))
 
-    put("files", files.select("path", "content"))
-    put("chunks", chunked(now.files))
-    put("vectors", _embedded(spark, now.chunks))
-    bm25.build(now.chunks.dropDuplicates(["chunk_id"]), "chunk_id", "content", now.terms, _buckets(now.chunks.count()))
-    vectors.build_lists(now.vectors, f"{path}/lists", id_col="chunk_id")
-    graph_index.build(path, now.files, project, code.chunk_graph(now.chunks, project))
-    _note(spark, path, 0, {"project": project, "model": "static", "dimensions": "256", "chunk_tokens": str(chunking.MAX_TOKENS)})
-    return now
+def _log_edges(stages: build_log.Stages, corpus: Corpus) -> None:
+    """Note the edges that each extractor gave in this segment."""
+    rows = corpus.spark.read.parquet(f"{corpus.path}/edges/rows/segment={corpus.segment}").groupBy("kind").agg(F.count("*").alias("n"))
+    for r in rows.collect():  # a few kinds
+        stages.run(f"edges of {r.kind}", lambda n=r.n: n)
 
 
-def update_index(corpus: Corpus, changed: DataFrame, removed: DataFrame) -> Corpus:
+def update_index(corpus: Corpus, changed: DataFrame, removed: DataFrame, providers: tuple[embedding_cache.Provider, ...] = ()) -> Corpus:
     """The index after a change of files (path, content) and removed paths (path), as a further segment.
 
     Chunks, postings, vectors, nodes and edges of changed and removed files go, those of changed files come; edges of other
@@ -163,16 +203,20 @@ def update_index(corpus: Corpus, changed: DataFrame, removed: DataFrame) -> Corp
     spark, path, n = corpus.spark, corpus.path, corpus.segment + 1
     now, project = Corpus(spark, path, n), corpus.state["project"]
     gone = changed.select("path").union(removed.select("path")).distinct()
-    segments.put(f"{path}/files", n, changed.select("path", "content"), gone)
+    stages = build_log.Stages(spark, path, n)
+    began = build_log.counted(changed.select("path", "content"), lambda df: segments.put(f"{path}/files", n, df, gone))
+    stages.run("files", lambda: began)
     new = spark.read.parquet(f"{path}/files/rows/segment={n}")
     lost = corpus.chunks.join(bounded(gone), "path", "left_semi").select("chunk_id").distinct()
     segments.put(f"{path}/chunks", n, chunked(new), gone)
     added = spark.read.parquet(f"{path}/chunks/rows/segment={n}")
     bm25.change(spark, now.terms, n, lost.select(F.col("chunk_id").alias("id")), added.dropDuplicates(["chunk_id"]), "chunk_id", "content")
-    segments.put(f"{path}/vectors", n, _embedded(spark, added), lost)
+    segments.put(f"{path}/vectors", n, _embedded(spark, added, corpus.state["cache"], _providers_of(corpus, providers))[0], lost)
     vectors.add_to_lists(spark, f"{path}/lists", n, spark.read.parquet(f"{path}/vectors/rows/segment={n}"), lost.select(F.col("chunk_id").alias("id")), id_col="chunk_id")
     graph_index.change(graph_index.GraphIndex(spark, path, corpus.segment, project), new, removed, code.chunk_graph(added, project))
+    _log_edges(stages, now)
     _note(spark, path, n, {"project": project, "changed_in": str(n)})
+    stages.finish()
     return now
 
 
@@ -197,7 +241,7 @@ def problems(corpus: Corpus) -> DataFrame:
     return named(c.join(v, "chunk_id", "left_anti"), "no_vector").unionByName(named(worded.join(p, "chunk_id", "left_anti"), "no_postings")).unionByName(named(v.join(c, "chunk_id", "left_anti"), "orphan_vector")).unionByName(named(p.join(c, "chunk_id", "left_anti"), "orphan_postings"))
 
 
-def repair(corpus: Corpus) -> Corpus:
+def repair(corpus: Corpus, providers: tuple[embedding_cache.Provider, ...] = ()) -> Corpus:
     """Orphans removed, what lacks made again: a further segment with just that."""
     spark, path, n = corpus.spark, corpus.path, corpus.segment + 1
     found = problems(corpus)
@@ -206,7 +250,7 @@ def repair(corpus: Corpus) -> Corpus:
     for name in ("files", "chunks"):
         segments.put(f"{path}/{name}", n, corpus.table(name).limit(0), corpus.table(name).select(KEYS[name]).limit(0))
     graph_index.unchanged(graph_index.GraphIndex(spark, path, corpus.segment, corpus.state["project"]))
-    segments.put(f"{path}/vectors", n, _embedded(spark, lacking("no_vector")), orphans("orphan_vector"))
+    segments.put(f"{path}/vectors", n, _embedded(spark, lacking("no_vector"), corpus.state["cache"], _providers_of(corpus, providers))[0], orphans("orphan_vector"))
     bm25.change(spark, corpus.terms, n, orphans("orphan_postings").select(F.col("chunk_id").alias("id")), lacking("no_postings").dropDuplicates(["chunk_id"]), "chunk_id", "content")
     vectors.add_to_lists(spark, f"{path}/lists", n, spark.read.parquet(f"{path}/vectors/rows/segment={n}"), orphans("orphan_vector").select(F.col("chunk_id").alias("id")), id_col="chunk_id")
     _note(spark, path, n, {"repaired_in": str(n), "project": corpus.state["project"]})
@@ -247,7 +291,8 @@ def search(corpus: Corpus, queries: DataFrame, options: Options = Options()) ->
     exact = ranking.exact_factor(F.col("path"), F.col("content"), symbol, asked["text"], asked["quoted"], kind, candidates.declared_kinds(F.col("q")))
     scored = shown.withColumn("score", F.round(F.col("rrf") * F.coalesce(exact, F.lit(1.0)) * ranking.path_factor(F.col("path")) * candidates.pdf_factor(F.col("q"), F.col("path")), 6))
     if o.reranker is not None:
-        scored = scored.withColumn("score", o.reranker(F.col("q"), F.col("content")))
+        worth = records.reranker_policy(query_class(F.col("q"))["kind"], o.rerank)["apply"]
+        scored = scored.withColumn("score", F.when(worth, o.reranker(F.col("q"), F.col("content"))).otherwise(F.col("score")))
     key = F.round(ranking.authority_key(F.col("score"), F.col("priority")), 6)
     best = top(scored.drop("rank").withColumn("key", key), o.limit, ["query"], F.col("key").desc(), F.col("id"))
     return best.select("query", F.col("id").alias("chunk_id"), "path", "title", "start_line", "end_line", "score", "in_both", "rank")
@@ -292,22 +337,26 @@ def _filtered(o: Options) -> bool:
 def _retrieved(corpus: Corpus, chunks: DataFrame, queries: DataFrame, o: Options) -> DataFrame:
     """Keyword and vector rankings of each query, fused."""
     spark = corpus.spark
-    depth = max(50, 10 * o.limit) if _filtered(o) else 2 * o.limit
-    scored = bm25.scores_built(spark, corpus.terms, queries, "query", "q", corpus.segment)
+    depth = max(50, 10 * o.limit)
+    depths = bounded(queries.select("query", ranking.candidate_depth(F.col("q"), o.limit, _filtered(o)).alias("depth")))
+    deep = lambda ranked: ranked.join(depths, "query").filter(F.col("rank") <= F.col("depth")).drop("depth")
+    asked = expansion.expanded(queries, "query", "q", o.synonyms) if o.expand and not o.keyword_only else queries
+    scored = bm25.scores_built(spark, corpus.terms, asked, "query", "q", corpus.segment)
     if _filtered(o):  # statistics are those of the whole index; what the filters leave is ranked
         scored = scored.join(chunks.select(F.col("chunk_id").alias("id")), "id", "left_semi")
     kw = bm25.best(scored, depth, o.mode)
-    if o.keyword_only:
+    provider = o.provider or static_provider()
+    if o.keyword_only or provider.model != corpus.state["model"]:
         vs = kw.limit(0)
     else:
         q = queries.select(F.xxhash64(F.col("query").cast("string")).alias("row"), "query", "q")
-        qv = vectors.static_embedding(q, "row", "q").join(q.select(F.col("row").alias("id"), "query"), "id").select(F.col("query").alias("chunk_id"), "embedding")
+        qv = provider.embed(q.select(F.col("row").alias("id"), F.col("q").alias("content"))).join(q.select(F.col("row").alias("id"), "query"), "id").select(F.col("query").alias("chunk_id"), "embedding")
         if o.approximate and not _filtered(o):
             vs = vectors.nearest_built(spark, f"{corpus.path}/lists", qv, depth, id_col="chunk_id", segment=corpus.segment).filter("score > 0.5")
         else:
             own = corpus.vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi") if _filtered(o) else corpus.vectors
             vs = vectors.nearest(own, qv, depth, "cosine", "chunk_id", "embedding").filter("score > 0.5")
-    return _fused(kw, vs, queries, o)
+    return _fused(deep(kw), deep(vs), queries, o)
 
 
 def _candidates(corpus: Corpus, chunks: DataFrame, queries: DataFrame, results: DataFrame) -> DataFrame:
@@ -390,6 +439,15 @@ def graph_notes(corpus: Corpus, subjects: DataFrame) -> DataFrame:
     return rows.select("subject", F.coalesce("state", F.lit("not_found")).alias("state"), hints.alias("hints"), graph.language_warning(F.col("subject")).alias("warning"))
 
 
+def warnings(corpus: Corpus) -> DataFrame:
+    """(warning, n): files without a chunk, files in a language that no extractor reads, stale edges; those that there are."""
+    bare = corpus.files.select("path").join(corpus.chunks.select("path").distinct(), "path", "left_anti").agg(F.count("*").alias("n"))
+    unread = corpus.files.filter(graph.language_warning(F.col("path")).isNotNull()).agg(F.count("*").alias("n"))
+    stale = corpus.edges.filter("stale").agg(F.count("*").alias("n"))
+    named = lambda df, what: df.select(F.lit(what).alias("warning"), "n")
+    return named(bare, "file_without_chunk").unionByName(named(unread, "language_not_read")).unionByName(named(stale, "stale_edge")).filter("n > 0")
+
+
 def index_status(corpus: Corpus) -> DataFrame:
     """One row: chunks, files, vectors, chunks that lack a vector, edges and stale edges."""
     c = corpus.chunks.agg(F.count("*").alias("chunks"), F.count_distinct("path").alias("files"))

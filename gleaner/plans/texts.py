@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
+from gleaner.operators import expansion
+from gleaner.operators.expansion import SYNONYMS
 from gleaner.registry import query
 from gleaner.session import table
 
 #: Code words for words of a query.
-SYNONYMS = {
-    "function": ("func", "method", "fn"), "method": ("func", "fn", "def"), "class": ("type", "struct", "interface"), "error": ("err", "exception", "fail"),
-    "request": ("req", "http"), "response": ("resp", "reply"), "config": ("cfg", "configuration", "settings"), "context": ("ctx",), "retry": ("attempt", "backoff"),
-    "the": ("a", "an"), "with": ("by", "using"), "of": ("from",),
-}
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 SQL_TOKENS = r"""list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace({0}, '([a-z])([A-Z])', '\1 \2', 'g'),
  '([A-Z0-9])([A-Z][a-z])', '\1 \2', 'g'), '[^A-Za-z0-9]+'), lambda t: length(t) >= 2), lambda t: lower(t))"""
@@ -99,13 +96,7 @@ a AS (SELECT item_id, syn, min(pos * 10 + n) AS o FROM f JOIN s USING (term) WHE
 SELECT item_id, string_agg(w, ' ' ORDER BY o) AS expanded FROM (SELECT item_id, term AS w, pos AS o FROM f UNION ALL SELECT item_id, syn, 1000 + o FROM b) GROUP BY item_id""")
 def expand_queries(spark, sf_dir):
     """Query terms once each, then up to three synonyms a term: a join with the synonym table, which is broadcast."""
-    q = queries_of(spark, sf_dir).select("item_id", F.posexplode(X.tokens(F.col("q"))).alias("pos", "term"))
-    first = q.groupBy("item_id", "term").agg((F.min("pos") + 1).alias("pos"))
-    syn = spark.createDataFrame([(t, i, s) for t, ss in SYNONYMS.items() for i, s in enumerate(ss)], "term string, n int, syn string")
-    more = first.join(F.broadcast(syn), "term").filter("n < 3").groupBy("item_id", F.col("syn").alias("term")).agg((F.min(F.col("pos") * 10 + F.col("n")) + 1000).alias("pos"))
-    more = more.join(first, ["item_id", "term"], "left_anti")
-    both = first.unionByName(more).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("t"))
-    return both.select("item_id", F.array_join(F.transform("t", lambda x: x["term"]), " ").alias("expanded"))
+    return expansion.expanded(queries_of(spark, sf_dir), "item_id", "q").select(F.col("query").alias("item_id"), F.col("q").alias("expanded"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, {SQL_PATH} AS path FROM documents)
