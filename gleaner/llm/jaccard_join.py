@@ -158,8 +158,8 @@ def _leaves(large: DataFrame, limit: int, runs: int, tables: list[DataFrame]) ->
     """Parts of nodes, split on until they are small, alike, or no function is left: set, n_docs, path, node, n. A job a level."""
     bit = lambda r: F.call_function("shiftleft", F.lit(1).cast("long"), r)
     own = ["set", "n_docs", "path", "node", "n"]
-    level = large.select(*own, bit(F.col("run")).alias("used"))
-    out = None
+    level = stored(large.select(*own, bit(F.col("run")).alias("used")), "paths-large")  # read twice a level
+    tables, out = [*tables, level], None
     while True:
         spread = stored(_spread(level, runs), "paths-spread")
         free = F.filter("order", lambda x: F.col("used").bitwiseAND(bit(x["r"])) == 0)
