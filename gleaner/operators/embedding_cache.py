@@ -64,13 +64,14 @@ class Cache:
             return self.rows(p.model).filter(F.col("run") <= run).join(keys.select("key"), "key", "left_semi").select("key", "embedding"), p.model
         raise RuntimeError("no provider of vectors is left: " + "; ".join(problems))
 
-    def sweep(self, model: str, since: int, run: int) -> int:
-        """Write the vectors that a run from `since` on used as one run, drop all others; how many were dropped."""
+    def sweep(self, model: str, since: int) -> int:
+        """Write the vectors that a run from `since` on used as one run (0), drop all others; how many were dropped. If it is cut short
+        between both, contents are embedded again when they are next asked for."""
         rows = self.rows(model)
         kept = rows.join(self.used(model).filter(F.col("run") >= since).select("key").distinct(), "key", "left_semi").select("key", "embedding")
         before = rows.count()
-        kept.write.mode("overwrite").parquet(self._place(model, f"swept/run={run}"))
-        after = self.spark.read.parquet(self._place(model, f"swept/run={run}")).count()
+        kept.write.mode("overwrite").parquet(self._place(model, "swept/run=0"))
+        after = self.spark.read.parquet(self._place(model, "swept/run=0")).count()
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         old, new = (jvm.org.apache.hadoop.fs.Path(self._place(model, x)) for x in ("rows", "swept"))
         files = old.getFileSystem(conf)

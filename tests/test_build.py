@@ -58,7 +58,7 @@ def test_only_new_contents_are_embedded(spark, tmp_path):
 
     third, model = cache.embedded(texts("a b"), [embedding_cache.Provider("away", fails), p])
     assert model == "small" and third.count() == 1 and asked == [2, 2, 0]
-    assert cache.sweep("small", since=2, run=4) == 0 and cache.sweep("small", since=3, run=5) == 3
+    assert cache.sweep("small", since=2) == 0 and cache.sweep("small", since=3) == 3
     assert cache.embedded(texts("a b", "c d"), [p])[0].count() == 2 and asked[-1] == 1
     with pytest.raises(RuntimeError, match="no model here"):
         cache.embedded(texts("x"), [embedding_cache.Provider("away", fails)])
@@ -73,7 +73,7 @@ def test_search_with_expansion_policy_and_providers(spark, files, tmp_path):
     assert said == {0: "which method does work func fn def", 1: "run_0", 2: ""}
     o = engine.Options(limit=5)
     plain = engine.search(made, q, o).collect()  # no vectors of this model for queries: keywords decide
-    both = engine.search(made, q, engine.Options(limit=5, provider=own)).collect()
+    both = engine.search(made, q, engine.Options(limit=50, provider=own)).collect()
     assert not any(r.in_both for r in plain) and any(r.in_both for r in both)
     kept = engine.search(made, q, engine.Options(limit=5, provider=own, rerank="auto", reranker=lambda q, c: F.lit(7.0))).collect()
     assert {r.score == 7.0 for r in kept if r.query == 0} == {True} and {r.score == 7.0 for r in kept if r.query == 1} == {False}
