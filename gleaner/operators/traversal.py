@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.joins import top
+from gleaner.functions.joins import bounded, top
 
 
 def _stored(df: DataFrame, place: str) -> DataFrame:
@@ -55,25 +55,40 @@ def paths(edges: DataFrame, ends: DataFrame, depth: int, limit: int, place: str,
     """(seed, target, path, kinds, weakest, truncated): loop-free paths along edges between pairs (seed, target), `limit` a pair.
 
     A path is told by its nodes and kinds of edges: parallel edges of a kind count once, at their greatest confidence. Shorter paths come
-    first, then surer ones. Unfinished paths of a seed are kept to `beam` a hop (ten times the limit), the surest first; a pair
-    of which more paths were found, or whose seed lost unfinished ones, is marked truncated.
+    first, then surer ones. The first half of the hops goes forward; each later one takes only edges from which the pair's target can
+    be reached in the hops that are left, joined on node and target, so that what leads elsewhere is never made. Unfinished paths of
+    a pair are kept to `beam` a hop (ten times the limit), the surest first; a pair of which more paths were found, or that
+    lost unfinished ones, is marked truncated.
     """
     beam = beam or 10 * limit
     plain = _stored(edges.groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence")), f"{place}/plain")
     pairs = _stored(ends.select("seed", "target").distinct(), f"{place}/pairs")
+    targets = _stored(pairs.select("target").distinct().select(F.col("target").alias("dst"), "target"), f"{place}/near/hops=0")
+    near = _near(plain, targets, (depth - 1) // 2, place)
     none = F.expr("cast(array() as array<string>)")
-    start = pairs.select("seed").distinct().select("seed", F.array("seed").alias("path"), none.alias("kinds"), F.lit(1.0).alias("weakest"), F.lit(False).alias("cut"))
-    now = _stored(start, f"{place}/hops/hop=0")
+    now = _stored(pairs.select("seed", "target", F.array("seed").alias("path"), none.alias("kinds"), F.lit(1.0).alias("weakest"), F.lit(False).alias("cut")), f"{place}/hops/hop=0")
     shape, spark = now.schema, now.sparkSession
     for d in range(1, depth + 1):
-        step = now.filter("NOT cut").withColumn("src", F.element_at("path", -1)).join(plain, "src").filter(~F.array_contains("path", F.col("dst")))
-        step = step.select("seed", F.concat("path", F.array("dst")).alias("path"), F.concat("kinds", F.array("kind")).alias("kinds"), F.least("weakest", "confidence").alias("weakest"))
-        ranked = top(step, beam + 1, ["seed"], F.col("weakest").desc(), F.col("path"), F.col("kinds"), rank="at").withColumn("cut", F.col("at") > beam)
+        tips = now.filter("NOT cut").withColumn("src", F.element_at("path", -1))
+        left = depth - d
+        step = tips.join(plain.join(bounded(near[left]), "dst"), ["src", "target"]) if left < len(near) else tips.join(plain, "src")
+        step = step.filter(~F.array_contains("path", F.col("dst")))
+        step = step.select("seed", "target", F.concat("path", F.array("dst")).alias("path"), F.concat("kinds", F.array("kind")).alias("kinds"), F.least("weakest", "confidence").alias("weakest"))
+        ranked = top(step, beam + 1, ["seed", "target"], F.col("weakest").desc(), F.col("path"), F.col("kinds"), rank="at").withColumn("cut", F.col("at") > beam)
         now = _stored(ranked.select(*shape.names), f"{place}/hops/hop={d}")
     every = spark.read.schema(shape).parquet(f"{place}/hops/hop=*")
-    lost = every.filter("cut").select("seed").distinct().withColumn("lost", F.lit(True))
-    done = every.filter("NOT cut AND size(kinds) > 0").withColumn("target", F.element_at("path", -1)).join(pairs, ["seed", "target"])
-    best = top(done, limit + 1, ["seed", "target"], F.size("kinds"), F.col("weakest").desc(), F.col("path"), F.col("kinds"), rank="at").join(lost, "seed", "left")
+    lost = every.filter("cut").select("seed", "target").distinct().withColumn("lost", F.lit(True))
+    done = every.filter("NOT cut AND size(kinds) > 0 AND element_at(path, -1) = target")
+    best = top(done, limit + 1, ["seed", "target"], F.size("kinds"), F.col("weakest").desc(), F.col("path"), F.col("kinds"), rank="at").join(lost, ["seed", "target"], "left")
     over = best.filter(F.col("at") > limit).select("seed", "target").withColumn("over", F.lit(True))
     told = best.filter(F.col("at") <= limit).join(over, ["seed", "target"], "left")
     return told.select("seed", "target", "path", "kinds", "weakest", (F.coalesce("lost", F.lit(False)) | F.coalesce("over", F.lit(False))).alias("truncated"))
+
+
+def _near(plain: DataFrame, targets: DataFrame, hops: int, place: str) -> list[DataFrame]:
+    """(dst, target) by the number of hops within which a node reaches a target, from none to `hops`; stored, as each is read often."""
+    near = [targets]
+    for h in range(1, hops + 1):
+        back = plain.join(bounded(near[-1]), "dst").select(F.col("src").alias("dst"), "target")
+        near.append(_stored(near[-1].union(back).distinct(), f"{place}/near/hops={h}"))
+    return near
