@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import graph, ranking, results
 from gleaner.plans.graphs import SQL_EDGES, edges
 from gleaner.plans.operations import SQL_RUNS, per_query
-from gleaner.plans.search import SQL_FUSED, fused, keyword
+from gleaner.plans.search import SQL_FUSED, few, fused, keyword
 from gleaner.plans.texts import _LEX, _QSET, SQL_PATH, fixed_queries, path_of
 from gleaner.registry import query
 from gleaner.session import table
@@ -25,7 +25,7 @@ SELECT query, 'sr1_' || substr(sha256(query || '|' || path || '|' || id), 1, 24)
  CASE WHEN in_both THEN 'keyword and semantic match' WHEN keyword_rank IS NOT NULL THEN 'keyword match' ELSE 'semantic match' END AS reason, rank FROM fused JOIN d ON doc_id = id WHERE rank <= 5""")
 def search_output(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), path_of().alias("path"), "text")
-    r = fused(spark, sf_dir).filter("rank <= 5").join(d, "id")
+    r = few(spark, sf_dir, fused(spark, sf_dir).filter("rank <= 5"), 5).join(d, "id")
     rid = results.result_id(F.col("query").cast("string"), F.col("path"), F.col("id").cast("string"))
     return r.select("query", rid.alias("result_id"), "path", results.snippet(F.col("text")).alias("snippet"), results.match_reason(F.col("in_both"), F.coalesce("keyword_rank", F.lit(0))).alias("reason"), "rank")
 
@@ -40,7 +40,7 @@ def explain_payload(spark, sf_dir):
 @query()
 def highlight_spans(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return keyword(spark, sf_dir, 5).join(d, "id").select("query", "id", results.highlight_spans(F.col("text"), F.array(F.lit("the"), F.lit("and"))).alias("spans"))
+    return few(spark, sf_dir, keyword(spark, sf_dir, 5), 5).join(d, "id").select("query", "id", results.highlight_spans(F.col("text"), F.array(F.lit("the"), F.lit("and"))).alias("spans"))
 
 
 @query(f"""WITH {SQL_EDGES}, o AS (SELECT src AS a, dst AS b, confidence AS c FROM edges WHERE kind = 'ordered_by'), h AS (SELECT src AS b, dst AS n, confidence AS d FROM edges WHERE kind = 'lives_in')
