@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.best import Best
 from gleaner.functions.joins import bounded, top
 from gleaner.functions.text import tokens, without_stop_words
 from gleaner.sources import segments
 
+#: Query vectors and best rows up to which tasks compare with all queries at once; distances of a step.
+QUERIES, KEPT, CELLS = 20_000, 1 << 20, 1 << 20
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -35,17 +42,80 @@ def score_of(d: Column, metric: str) -> Column:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query, id, distance, score, rank): a stated query set against all rows; each task keeps k rows a query before the shuffle."""
-    made = unit_vector if metric == "cosine" else (lambda v: v)  # each side is brought to unit length once, not once a pair
-    q = bounded(queries.select(F.col(id_col).alias("query"), made(F.col(vec_col)).alias("qv")))
-    own = vectors.select(F.col(id_col).alias("id"), made(F.col(vec_col)).alias("v"))
-    pairs = own.crossJoin(q).filter(F.size("v") == F.size("qv"))
-    d = _cosine(F.col("v"), F.col("qv")) if metric == "cosine" else F.round(distance(F.col("v"), F.col("qv"), metric), 6)
-    scored = pairs.select("query", "id", d.alias("distance"))
+    """(query, id, distance, score, rank): a stated query set against all rows, of which each task keeps k rows a query.
+
+    Queries beyond the bounds, and queries or rows with null or non-finite components, are compared pair by pair.
+    """
+    own = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    asked = queries.select(F.col(id_col).alias("query"), F.col(vec_col).cast("array<double>").alias("qv"))
+    rows = asked.limit(QUERIES + 1).collect()  # a bounded number
+    clean = [r for r in rows if r.qv is not None and all(x is not None and np.isfinite(x) for x in r.qv)]
+    if len(rows) > QUERIES or len(rows) * k > KEPT or len(clean) < len(rows):
+        scored = _pairs(own, asked, metric)
+    else:
+        odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        work = own.sparkSession.sparkContext.broadcast((_by_size(clean, metric), len(clean), k, metric))
+        names = own.sparkSession.createDataFrame([(i, r.query) for i, r in enumerate(clean)], f"q int, query {asked.schema['query'].dataType.simpleString()}")
+        of_task = own.filter(~odd).mapInArrow(_nearest(work), f"id {own.schema['id'].dataType.simpleString()}, q int, distance double")
+        scored = of_task.join(F.broadcast(names), "q").select("query", "id", "distance").unionByName(_pairs(own.filter(odd), asked, metric))
     ranked = top(scored, k, ["query"], F.col("distance"), F.col("id"))
     return ranked.select("query", "id", "distance", F.round(score_of(F.col("distance"), metric), 7 if metric == "cosine" else 6).alias("score"), "rank")
 
 
+def _pairs(own: DataFrame, asked: DataFrame, metric: str) -> DataFrame:
+    """(query, id, distance) of every pair of one length."""
+    made = unit_vector if metric == "cosine" else (lambda v: v)  # each side is brought to unit length once, not once a pair
+    pairs = own.select("id", made(F.col("v")).alias("v")).crossJoin(bounded(asked.select("query", made(F.col("qv")).alias("qv")))).filter(F.size("v") == F.size("qv"))
+    d = _cosine(F.col("v"), F.col("qv")) if metric == "cosine" else F.round(distance(F.col("v"), F.col("qv"), metric), 6)
+    return pairs.select("query", "id", d.alias("distance"))
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.where(norm > 0, norm, 1)
+
+
+def _by_size(rows: list, metric: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Numbers and vectors of the queries of each length."""
+    sizes = np.array([len(r.qv) for r in rows], np.int64)
+    out = {}
+    for m in set(sizes.tolist()):
+        at = np.flatnonzero(sizes == m)
+        x = np.array([rows[i].qv for i in at], np.float64).reshape(len(at), m)
+        out[m] = at, _units(x) if metric == "cosine" else x
+    return out
+
+
+def _distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "cosine":
+        return 1 - x @ y.T
+    return np.stack([np.sqrt(((x - q) ** 2).sum(1)) for q in y], 1)
+
+
+def _nearest(work):
+    """The best rows (id, q, distance) of vectors (id, v)."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, n, k, metric = work.value
+        kept = Best(n, k, 6)
+        for batch in batches:
+            ids, column = batch.column(0), batch.column(1)
+            sizes = np.diff(column.offsets.to_numpy())
+            told = column.is_valid().to_numpy(zero_copy_only=False)
+            for m, (at, y) in asked.items():
+                own = np.flatnonzero(told & (sizes == m))
+                step = max(1, CELLS // len(at))
+                for lo in range(0, len(own), step):
+                    part = own[lo : lo + step]
+                    x = column.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).reshape(len(part), m)
+                    d = _distances(_units(x) if metric == "cosine" else x, y, metric)
+                    kept.add(np.tile(at, len(part)), d.ravel(), ids, np.repeat(part, len(at)))
+        if len(kept.group):
+            yield pa.RecordBatch.from_arrays([kept.ids, pa.array(kept.group.astype(np.int32)), pa.array(kept.value)], ["id", "q", "distance"])
+
+    return found
+
+
 def centres_of(vectors: DataFrame, lists: int, sample: int, vec_col: str, id_col: str) -> np.ndarray:
     """Unit centres fitted on at most `sample` rows, chosen by a hash of the id; the sample bounds what reaches the driver."""
     some = vectors.orderBy(F.xxhash64(id_col)).limit(sample).select(vec_col).toPandas()[vec_col]
@@ -111,7 +181,7 @@ def nearest_built(spark, path: str, queries: DataFrame, k: int, probes: int | No
     probes = probes or probes_for(len(centres))
     q = in_lists(queries, centres, min(probes, len(centres)), id_col, vec_col).select(F.col("id").alias("query"), unit_vector(F.col("v")).alias("qv"), "list")
     rows = segments.live(spark, path, "id", segment).withColumn("v", unit_vector(F.col("v")))
-    return _ranked(rows.join(bounded(q, queries), "list").select("query", "id", _cosine(F.col("v"), F.col("qv")).alias("distance")), k)
+    return _ranked(_in_one_list(rows.select("id", "v", "list"), q, k), k)
 
 
 def _cosine(a: Column, b: Column) -> Column:
@@ -132,7 +202,51 @@ def nearest_by_lists(vectors: DataFrame, queries: DataFrame, k: int, lists: int
         return nearest(vectors, queries, k, "cosine", id_col, vec_col)
     v = in_lists(vectors, centres, 1, id_col, vec_col).withColumn("v", unit_vector(F.col("v")))
     q = in_lists(queries, centres, min(probes or probes_for(len(centres)), len(centres)), id_col, vec_col).select(F.col("id").alias("query"), unit_vector(F.col("v")).alias("qv"), "list")
-    return _ranked(v.join(bounded(q, queries), "list").select("query", "id", _cosine(F.col("v"), F.col("qv")).alias("distance")), k)
+    return _ranked(_in_one_list(v, q, k), k)
+
+
+def _in_one_list(v: DataFrame, q: DataFrame, k: int) -> DataFrame:
+    """(query, id, distance): of each list, the k best rows (id, v, list) for each query (query, qv, list) that reads it.
+
+    Lists are dealt out with their queries first; a task holds a list's queries and passes over its rows.
+    """
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    both = q.select("list", F.lit(0).alias("side"), "query", none(v, "id").alias("id"), F.col("qv").alias("v"))
+    both = both.unionByName(v.select("list", F.lit(1).alias("side"), none(q, "query").alias("query"), "id", "v"))
+    types = {c: both.schema[c].dataType.simpleString() for c in ("query", "id")}
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, held, kept = None, [], [], None
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if kept is not None and len(kept.group):
+                every = pa.concat_arrays(names)
+                yield pa.RecordBatch.from_arrays([every.take(pa.array(kept.group)), kept.ids, pa.array(kept.value)], ["query", "id", "distance"])
+
+        for batch in batches:
+            lists, sides = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((lists[1:] != lists[:-1]) | (sides[1:] != sides[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(lists)], strict=True):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                x = part.column(4).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
+                if lists[lo] != now:
+                    yield from ended()
+                    now, names, held, kept = lists[lo], [], [], None
+                if not sides[lo]:
+                    names, held = [*names, part.column(2)], [*held, x]
+                elif held:
+                    if kept is None:
+                        held = [np.concatenate(held)]
+                        kept = Best(len(held[0]), k, 6)
+                    y, step = held[0], max(1, CELLS // len(held[0]))
+                    for at in range(0, len(x), step):
+                        d = 1 - x[at : at + step] @ y.T
+                        kept.add(np.tile(np.arange(len(y)), len(d)), d.ravel(), part.column(3), np.repeat(np.arange(at, at + len(d)), len(y)))
+        yield from ended()
+
+    return both.repartition("list").sortWithinPartitions("list", "side").mapInArrow(found, f"query {types['query']}, id {types['id']}, distance double")
 
 
 def static_embedding(texts: DataFrame, id_col: str, text_col: str, dims: int = 256) -> DataFrame:
