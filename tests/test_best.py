@@ -66,3 +66,8 @@ def test_rounding_is_half_up_of_the_shortest_decimal(spark):
     x = np.concatenate([rng.integers(-(10**8), 10**8, 3000) / 1e7, rng.normal(size=500), [-2e-16, 0.0, 1.0000005, 2.0000015]])
     want = [r.y for r in spark.createDataFrame([(i, float(a)) for i, a in enumerate(x)], "i int, x double").select("i", F.round("x", 6).alias("y")).orderBy("i").collect()]
     assert list(map(str, rounded(x, 6).tolist())) == list(map(str, want))
+
+
+def test_a_text_is_tokenised_once(spark):
+    plan = bm25.postings(texts(spark), "id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^A-Za-z0-9]+") == 1
