@@ -1,7 +1,7 @@
 """Bounded walks over a graph: frontiers that are stored each hop, capped for each seed, with what was cut marked.
 
-Every hop reads the edges once and joins the stored frontier with them, so plans grow by the same few joins a hop whatever
-the depth. A seed's answer holds `limit` rows: of a hop's new nodes (or paths) the surest come first, and a seed of
+Every hop joins the stored frontier with the edges, so plans grow by the same few joins a hop whatever the depth; paths
+read what is near their targets first. A seed's answer holds `limit` rows: of a hop's new nodes (or paths) the surest come first, and a seed of
 which more were found is marked truncated. The cap is applied below the shuffle on the seed, so a hub with millions
 of neighbours sends `limit` rows of each task, and a capped frontier bounds the next hop.
 """
