@@ -1,9 +1,12 @@
 """Searches that keep the best rows of each task give the rows of scoring every pair, and write no row a pair."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from gleaner import catalog
 from gleaner.functions.best import rounded
 from gleaner.operators import bm25, vectors
 
@@ -71,3 +74,29 @@ def test_rounding_is_half_up_of_the_shortest_decimal(spark):
 def test_a_text_is_tokenised_once(spark):
     plan = bm25.postings(texts(spark), "id", "text")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[^A-Za-z0-9]+") == 1
+
+
+def test_an_index_counts_terms_within_tasks(spark, tmp_path, monkeypatch):
+    """Postings counted over bytes are those of the text functions, whatever the texts, and no text is shuffled to be counted."""
+    rng = np.random.default_rng(9)
+    odd = [None, "", "a", "zA", "b", "HTTPServer x9Yz", "var Var tmp", "XA", "bX é字Ab"] + ["".join(rng.choice(list("abCD19 _éß字."), i % 30)) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(odd)), "id long, text string").coalesce(2)
+    mine, plain = bm25.counted(docs, "id", "text"), bm25.postings(docs, "id", "text")
+    assert "Exchange" not in mine._jdf.queryExecution().executedPlan().toString()
+    assert mine.schema.fieldNames() == ["id", "term", "dl", "tf"]
+    want = sorted(map(str, plain.select(*mine.columns).collect()))
+    assert want == sorted(map(str, mine.collect()))
+    again = texts(spark)  # identifiers that stand twice, and none
+    assert sorted(map(str, bm25.counted(again, "id", "text").collect())) == sorted(map(str, bm25.postings(again, "id", "text").select(*mine.columns).collect()))
+    for size in (1, 40):
+        monkeypatch.setattr(bm25, "BYTES", size)
+        ids, column = pa.array(range(len(odd))), pa.array(odd)
+        rows = [r for b in bm25._counted(iter([pa.RecordBatch.from_arrays([ids, column], ["id", "text"])])) for r in b.to_pylist()]
+        assert want == sorted(str(Row(**r)) for r in rows)
+
+
+def test_keyword_results_are_scored_once(spark, small):
+    """A query that reads them twice reads what was written."""
+    for name in ("ndcg", "grouped_metrics", "append_candidates", "multi_query_rrf"):
+        plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert "_scored" not in plan and "scored(" not in plan
