@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from gleaner import engine
 from gleaner.functions.joins import top
 from gleaner.functions.text import tokens
-from gleaner.operators import code, quantiles
-from gleaner.plans.search import SQL_FUSED, fused, keyword
+from gleaner.operators import code, quantiles, ranking
+from gleaner.plans.search import SQL_FUSED, keyword, vector
 from gleaner.plans.texts import SQL_PATH, SQL_TOKENS, path_of
 from gleaner.registry import query
 from gleaner.session import table
@@ -92,7 +92,8 @@ perq AS (SELECT mode, query, class, min(CASE WHEN grade >= 2 THEN rank END) AS f
 
 def judged(spark, sf_dir):
     cut = lambda df, mode: df.filter("rank <= 10").select(F.lit(mode).alias("mode"), "query", "id", "rank")
-    runs = cut(fused(spark, sf_dir), "hybrid").unionByName(cut(keyword(spark, sf_dir), "keyword"))
+    kw = keyword(spark, sf_dir)
+    runs = cut(ranking.fuse(kw, vector(spark, sf_dir)), "hybrid").unionByName(cut(kw, "keyword"))
     grade = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 2).when(F.col("quality") == 1, 1).otherwise(0)
     return runs.join(table(spark, sf_dir, "labels"), F.col("id") == F.col("doc_id")).select("mode", "query", (F.col("query") % 4).alias("class"), "rank", grade.alias("grade"))
 
