@@ -46,6 +46,8 @@ WORDS, SIMILARITY, RUNS, LIMIT, SPLIT, LOSS = 5, 0.8, 16, 500, 2000, 2.5e-7
 CHILDREN, ALIKE = 2, 0.6
 #: Words that a worker remembers the hash of; shingles hashed at once; pairs of a group compared one by one.
 REMEMBERED, CHUNK, FEW = 200_000, 4096, 8
+#: Rows of classes in large nodes whose tokens a task counts at once (16 MB of tokens).
+HELD = 1 << 17
 #: Power of two of the bits (8 MB) of the filter that picks the documents whose sets are read again.
 MAX_BITS = 26
 _POWERS = np.random.default_rng(20_240_817).integers(0, 1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -181,11 +183,38 @@ def _leaves(large: DataFrame, limit: int, runs: int, tables: list[DataFrame]) ->
 
 def _spread(level: DataFrame, runs: int) -> DataFrame:
     """node, alike, order: the share of functions on which two classes of a node agree, and the functions by how seldom they do."""
-    tokens = level.select("node", "n", F.posexplode("path").alias("r", "t")).filter("t <> 0").groupBy("node", "n", "r", "t").agg(F.count("*").cast("double").alias("c"))
+    parts = level.select("node", "n", "path").mapInArrow(_chosen_in_nodes, "node long, n long, r int, t long, c long")
+    tokens = parts.groupBy("node", "n", "r", "t").agg(F.sum("c").cast("double").alias("c"))
     agreed = tokens.groupBy("node", "n", "r").agg((F.sum(F.col("c") * F.col("c")) / (F.col("n") * F.col("n"))).alias("s"))
     return agreed.groupBy("node").agg((F.sum("s") / runs).alias("alike"), F.array_sort(F.collect_list(F.struct("s", "r"))).alias("order"))
 
 
+def _chosen_in_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, n, r, t, c: how many of a task's classes choose each token; classes are counted HELD at a time, not written once for each function."""
+    held: list[pa.RecordBatch] = []
+
+    def counts() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        nodes, first, at = np.unique(t.column("node").to_numpy(), return_index=True, return_inverse=True)
+        sizes, paths = t.column("n").to_numpy()[first], _paths(t)
+        for r in range(paths.shape[1]):
+            own = paths[:, r] != 0
+            tokens, which = np.unique(paths[own, r], return_inverse=True)
+            key, c = np.unique(at[own] * len(tokens) + which, return_counts=True)
+            if len(key):
+                node, token = np.divmod(key, len(tokens))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[node]), pa.array(sizes[node]), pa.array(np.full(len(key), r, np.int32)), pa.array(tokens[token]), pa.array(c)], ["node", "n", "r", "t", "c"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= HELD:
+            yield from counts()
+            held.clear()
+    if held:
+        yield from counts()
+
+
 _FIELDS = "unit long, run int, leaf long, block int, within boolean, set binary, n_docs long, path array<long>, leaves array<long>"
 
 
