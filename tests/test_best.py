@@ -41,6 +41,19 @@ def test_many_queries_are_scored_pair_by_pair(spark, tmp_path, monkeypatch):
     assert mine == sorted(map(str, bm25.best_built(spark, path, asked, "query", "q", 3).collect()))
 
 
+def test_a_task_sorts_a_bounded_number_of_postings(spark, tmp_path, monkeypatch):
+    """A larger index is dealt out to more tasks than are configured, and gives the same rows."""
+    path = f"file://{tmp_path}/i"
+    bm25.build(texts(spark), "id", "text", path, 4)
+    asked = spark.createDataFrame([(1, " ".join(WORDS)), (2, "w03 w04")], "query long, q string")
+    plain = sorted(map(str, bm25.best_built(spark, path, asked, "query", "q", 7).collect()))
+    monkeypatch.setattr(bm25, "SORTED", 100)
+    mine = bm25.best_built(spark, path, asked, "query", "q", 7)
+    n = spark.read.parquet(f"{path}/postings/rows").count()
+    assert f", {-(-n // 100)}), REPARTITION_BY_NUM" in mine._jdf.queryExecution().executedPlan().toString()
+    assert plain == sorted(map(str, mine.collect()))
+
+
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
 def test_nearest_of_tasks_are_the_nearest_of_all_pairs(spark, metric, monkeypatch):
     rng = np.random.default_rng(6)
