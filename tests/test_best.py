@@ -113,3 +113,9 @@ def test_keyword_results_are_scored_once(spark, small):
     for name in ("ndcg", "grouped_metrics", "append_candidates", "multi_query_rrf"):
         plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
         assert "_scored" not in plan and "scored(" not in plan
+
+
+def test_a_first_word_is_read_without_splitting_the_text(spark, small):
+    plan = catalog.QUERIES["exact_symbol_candidates"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    of_documents = [line for line in plan.split("\n") if "doc_id" in line]
+    assert of_documents and not any(" split(text" in line or "(split(text" in line for line in of_documents)
