@@ -1,17 +1,24 @@
 """Bounded walks over a graph: frontiers that are stored each hop, capped for each seed, with what was cut marked.
 
-Every hop joins the stored frontier with the edges, so plans grow by the same few joins a hop whatever the depth; paths
-read what is near their targets first. A seed's answer holds `limit` rows: of a hop's new nodes (or paths) the surest come first, and a seed of
+Every hop joins the frontier with the edges, so plans grow by the same few joins a hop whatever the depth; paths
+are made from both ends. Nodes may be ids or numbers; `name` gives the id by which ties are ordered. A seed's answer holds `limit` rows: of a hop's new nodes (or paths) the surest come first, and a seed of
 which more were found is marked truncated. The cap is applied below the shuffle on the seed, so a hub with millions
 of neighbours sends `limit` rows of each task, and a capped frontier bounds the next hop.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.joins import bounded, top
+from gleaner.functions.joins import bounded, sifted, spread, top, within
+
+
+def _same(node: Column) -> Column:
+    return node
 
 
 def _stored(df: DataFrame, place: str) -> DataFrame:
@@ -51,44 +58,99 @@ def neighbours(edges: DataFrame, seeds: DataFrame, depth: int, limit: int, place
     return out.select("seed", "node", "depth", "confidence", F.coalesce("truncated", F.lit(False)).alias("truncated"))
 
 
-def paths(edges: DataFrame, ends: DataFrame, depth: int, limit: int, place: str, beam: int | None = None) -> DataFrame:
+def paths(edges: DataFrame, ends: DataFrame, depth: int, limit: int, place: str, beam: int | None = None, name: Callable[[Column], Column] = _same) -> DataFrame:
     """(seed, target, path, kinds, weakest, truncated): loop-free paths along edges between pairs (seed, target), `limit` a pair.
 
     A path is told by its nodes and kinds of edges: parallel edges of a kind count once, at their greatest confidence. Shorter paths come
-    first, then surer ones. The first half of the hops goes forward; each later one takes only edges from which the pair's target can
-    be reached in the hops that are left, joined on node and target, so that what leads elsewhere is never made. Unfinished paths of
-    a pair are kept to `beam` a hop (ten times the limit), the surest first; a pair of which more paths were found, or that
-    lost unfinished ones, is marked truncated.
+    first, then surer ones, then by `name` of their nodes and by kinds. The last hops (two, or one of a depth under 3) are made once for all
+    pairs, backwards from the targets; those before go forward from the seeds, and one join on node and target completes both, so that what
+    leads elsewhere is never made. Unfinished paths of a pair are kept to `beam` a forward hop (ten times the limit), the surest
+    first; a pair of which more paths were found, or that lost unfinished ones, is marked truncated.
     """
     beam = beam or 10 * limit
-    plain = _stored(edges.groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence")), f"{place}/plain")
+    back = min(2, (depth + 1) // 2)
+    ahead, rows = depth - back, edges.count()
+    edges = edges.select("src", "dst", "kind", "confidence").filter("src != dst")
     pairs = _stored(ends.select("seed", "target").distinct(), f"{place}/pairs")
-    targets = _stored(pairs.select("target").distinct().select(F.col("target").alias("dst"), "target"), f"{place}/near/hops=0")
-    near = _near(plain, targets, (depth - 1) // 2, place)
-    none = F.expr("cast(array() as array<string>)")
-    now = _stored(pairs.select("seed", "target", F.array("seed").alias("path"), none.alias("kinds"), F.lit(1.0).alias("weakest"), F.lit(False).alias("cut")), f"{place}/hops/hop=0")
-    shape, spark = now.schema, now.sparkSession
-    for d in range(1, depth + 1):
-        tips = now.filter("NOT cut").withColumn("src", F.element_at("path", -1))
-        left = depth - d
-        step = tips.join(plain.join(bounded(near[left]), "dst"), ["src", "target"]) if left < len(near) else tips.join(plain, "src")
-        step = step.filter(~F.array_contains("path", F.col("dst")))
-        step = step.select("seed", "target", F.concat("path", F.array("dst")).alias("path"), F.concat("kinds", F.array("kind")).alias("kinds"), F.least("weakest", "confidence").alias("weakest"))
-        ranked = top(step, beam + 1, ["seed", "target"], F.col("weakest").desc(), F.col("path"), F.col("kinds"), rank="at").withColumn("cut", F.col("at") > beam)
-        now = _stored(ranked.select(*shape.names), f"{place}/hops/hop={d}")
-    every = spark.read.schema(shape).parquet(f"{place}/hops/hop=*")
-    lost = every.filter("cut").select("seed", "target").distinct().withColumn("lost", F.lit(True))
-    done = every.filter("NOT cut AND size(kinds) > 0 AND element_at(path, -1) = target")
-    best = top(done, limit + 1, ["seed", "target"], F.size("kinds"), F.col("weakest").desc(), F.col("path"), F.col("kinds"), rank="at").join(lost, ["seed", "target"], "left")
-    over = best.filter(F.col("at") > limit).select("seed", "target").withColumn("over", F.lit(True))
-    told = best.filter(F.col("at") <= limit).join(over, ["seed", "target"], "left")
-    return told.select("seed", "target", "path", "kinds", "weakest", (F.coalesce("lost", F.lit(False)) | F.coalesce("over", F.lit(False))).alias("truncated"))
-
-
-def _near(plain: DataFrame, targets: DataFrame, hops: int, place: str) -> list[DataFrame]:
+    targets = _stored(pairs.select("target").distinct(), f"{place}/near/hops=0")
+    tails = _tails(edges, targets, back, limit + 1 + ahead, rows, place, name)
+    near = _near(edges, targets, (depth - 1) // 2, place) if ahead > 2 else []
+    now, ended, lost = pairs.select("seed", "target", F.col("seed").alias("node"), F.lit(1.0).alias("weakest")), [], []
+    for d in range(1, ahead + 1):
+        trail, left = [f"n{i}" for i in range(1, d)] + [f"k{i}" for i in range(1, d)], depth - d
+        if left < len(near):
+            out = edges.join(bounded(near[left]), "dst").withColumnRenamed("src", "node")
+            step = now.join(out, ["node", "target"])
+        else:
+            out = within(edges, "src", now.select("node")).withColumnRenamed("src", "node")
+            step = spread(now, rows, "node").join(spread(out, rows, "node"), "node")
+        step = step.filter(~F.col("dst").isin(*[F.col(c) for c in ("seed", *trail[: d - 1])]))
+        by = ["seed", "target", *trail, F.col("dst").alias(f"n{d}"), F.col("kind").alias(f"k{d}")]
+        now = step.groupBy(*by).agg(F.max(F.least("weakest", "confidence")).alias("weakest")).withColumn("node", F.col(f"n{d}"))
+        if d > 1 or _crowded(edges, pairs, beam):
+            nodes, kinds = [name(F.col(f"n{i}")) for i in range(1, d + 1)], [F.col(f"k{i}") for i in range(1, d + 1)]
+            now = top(now, beam + 1, ["seed", "target"], F.col("weakest").desc(), *nodes, *kinds, rank="at").withColumn("cut", F.col("at") > beam).drop("at")
+            now = _stored(now, f"{place}/hops/hop={d}")
+            lost.append(now.filter("cut").select("seed", "target"))
+            now = now.filter("NOT cut").drop("cut")
+        if d < ahead:
+            ended.append(now.filter("node = target").withColumn("hops", F.lit(d)))
+    found = spread(now, rows, "node", "target").join(tails, ["node", "target"])
+    for x in ["seed", *[f"n{i}" for i in range(1, ahead)]]:
+        found = found.filter(F.col("m").isNull() | (F.col("m") != F.col(x)))
+    for x in ["seed", *[f"n{i}" for i in range(1, ahead + 1)]]:
+        found = found.filter((F.col("target") != F.col(x)) | (F.lit(x == f"n{ahead}") & (F.col("hops") == 0)))
+    nodes = [*[f"n{i}" for i in range(1, ahead + 1)], "m"]
+    kinds = [*[f"k{i}" for i in range(1, ahead + 1)], "j1", "j2"]
+    found = found.withColumn("weakest", F.least("weakest", "sure")).withColumn("hops", F.col("hops") + ahead).select("seed", "target", *nodes, *kinds, "weakest", "hops")
+    for e in ended:
+        found = found.unionByName(e.drop("node"), allowMissingColumns=True)
+    found = found.withColumn("lost", F.lit(False))
+    if lost:
+        found = found.unionByName(reduce(DataFrame.union, lost).distinct().withColumn("lost", F.lit(True)), allowMissingColumns=True)
+    found = spread(found, rows, "seed", "target")
+    pair = Window.partitionBy("seed", "target")
+    # a mark of lost paths takes the row after the last that is told: it comes first, and one row more is kept
+    order = [F.col("lost").desc(), "hops", F.col("weakest").desc(), *[name(F.col(n)) for n in nodes], *kinds]
+    best = top(found, limit + 2, ["seed", "target"], *order, rank="at").withColumn("marks", F.max(F.col("lost").cast("int")).over(pair))
+    best = best.withColumn("truncated", (F.col("marks") > 0) | (F.max("at").over(pair) > limit)).filter(f"NOT lost AND at - marks <= {limit}")
+    best = _stored(best.select("seed", "target", *nodes, *kinds, "hops", "weakest", "truncated"), f"{place}/hops/hop={ahead + 1}")
+    last = F.when(F.col("hops") > ahead, F.col("target"))
+    path = F.filter(F.array("seed", *nodes, last), lambda n: n.isNotNull())
+    return best.select("seed", "target", path.alias("path"), F.slice(F.array(*kinds), 1, F.col("hops")).alias("kinds"), "weakest", "truncated")
+
+
+def _crowded(edges: DataFrame, pairs: DataFrame, beam: int) -> bool:
+    """Whether any node in the seeds' range has more edges than the beam: if none has, no pair loses anything at the first hop."""
+    most = within(edges, "src", pairs.select("seed")).groupBy("src").count().agg(F.max("count")).first()[0]
+    return (most or 0) > beam
+
+
+def _tails(edges: DataFrame, targets: DataFrame, hops: int, keep: int, rows: int, place: str, name: Callable[[Column], Column]) -> DataFrame:
+    """(node, target, m, j1, j2, sure, hops): the last hops to a target, none to `hops` (1 or 2), by the node m between and the kinds.
+
+    Of equally sure and long ones of a node and target those by the first `keep` nodes m are given: the others come after them in
+    whatever path, of whose nodes up to `keep` less limit + 1 may be a node m.
+    """
+    kind, id_ = edges.schema["kind"].dataType, edges.schema["dst"].dataType
+    none = [F.lit(None).cast(id_).alias("m"), F.lit(None).cast(kind).alias("j1"), F.lit(None).cast(kind).alias("j2")]
+    at = targets.select(F.col("target").alias("node"), "target", *none, F.lit(float("inf")).alias("sure"), F.lit(0).alias("hops"))
+    there = sifted(edges, "dst", targets).join(bounded(targets), F.col("dst") == F.col("target"))
+    one = _stored(there.groupBy(F.col("src").alias("node"), "target", F.col("kind").alias("j1")).agg(F.max("confidence").alias("sure")), f"{place}/near/hops=1")
+    every = at.unionByName(one.select("node", "target", none[0], "j1", none[2], "sure", F.lit(1).alias("hops")))
+    if hops > 1:
+        near = one.select(F.col("node").alias("dst"), "target", F.col("j1").alias("j2"), "sure")
+        two = sifted(edges, "dst", one.select("node")).join(bounded(near), "dst").filter("src != target")
+        every = every.unionByName(two.select(F.col("src").alias("node"), "target", F.col("dst").alias("m"), F.col("kind").alias("j1"), "j2", F.least("sure", "confidence").alias("sure"), F.lit(2).alias("hops")))
+    every = spread(every, rows, "node", "target").groupBy("node", "target", "m", "j1", "j2", "hops").agg(F.max("sure").alias("sure"))
+    alike = Window.partitionBy("node", "target", "sure", "hops").orderBy(name(F.col("m")))
+    return every.withColumn("at", F.dense_rank().over(alike)).filter(F.col("at") <= keep).drop("at")
+
+
+def _near(edges: DataFrame, targets: DataFrame, hops: int, place: str) -> list[DataFrame]:
     """(dst, target) by the number of hops within which a node reaches a target, from none to `hops`; stored, as each is read often."""
-    near = [targets]
+    near = [targets.select(F.col("target").alias("dst"), "target")]
     for h in range(1, hops + 1):
-        back = plain.join(bounded(near[-1]), "dst").select(F.col("src").alias("dst"), "target")
-        near.append(_stored(near[-1].union(back).distinct(), f"{place}/near/hops={h}"))
+        back = edges.join(bounded(near[-1]), "dst").select(F.col("src").alias("dst"), "target")
+        near.append(_stored(near[-1].union(back).distinct(), f"{place}/reach/hops={h}"))
     return near

@@ -47,6 +47,39 @@ def edges(spark, sf_dir):
     return out
 
 
+#: Keys below this, either sign, fit into a node's number.
+_HALF = 1 << 57
+_NODES, _NAMED = [k for k, _, _ in _KINDS], sorted({e[1] for e in _EDGES})
+
+
+def _fits(spark, sf_dir) -> bool:
+    """Whether all keys of edges are whole numbers that fit."""
+    keys = sorted({(t, c) for t, _, _, ac, _, bc, *_ in _EDGES for c in (ac, bc)} | {("customer", "c_custkey"), ("orders", "o_orderkey"), ("supplier", "s_suppkey")})
+    for t in sorted({t for t, _ in keys}):
+        rows = table(spark, sf_dir, t).select(*[c for x, c in keys if x == t])
+        if any(kind not in ("tinyint", "smallint", "int", "bigint") for _, kind in rows.dtypes):
+            return False
+        ends = rows.agg(*[f(c) for c in rows.columns for f in (F.min, F.max)]).first()
+        if any(abs(x) >= _HALF for x in ends if x is not None):
+            return False
+    return True
+
+
+def numbered(spark, sf_dir):
+    """(edges, node of a kind and key, its id): src, dst, kind and confidence of all edges with numbers for nodes and kinds, a quarter of
+    the ids' bytes. Numbers of kinds are in the kinds' order, those of nodes aren't in the ids'; if a key doesn't fit, nodes are ids."""
+    if _fits(spark, sf_dir):
+        of = lambda kind, key: F.lit((_NODES.index(kind) << 58) + _HALF) + key.cast("bigint")
+        name = lambda n: graph.node_id(F.element_at(F.array(*map(F.lit, _NODES)), F.shiftright(n, 58).cast("int") + 1), n.bitwiseAND(F.lit((1 << 58) - 1)) - F.lit(_HALF))
+    else:
+        of, name = graph.node_id, lambda n: n
+    out = None
+    for t, kind, a, ac, b, bc, conf, _, _ in _EDGES:
+        part = table(spark, sf_dir, t).select(of(a, F.col(ac)).alias("src"), of(b, F.col(bc)).alias("dst"), F.lit(_NAMED.index(kind)).cast("tinyint").alias("kind"), F.expr(conf).cast("double").alias("confidence"))
+        out = part if out is None else out.unionByName(part)
+    return out, of, name
+
+
 def regions(spark, sf_dir):
     return table(spark, sf_dir, "region").select(graph.node_id("region", F.col("r_regionkey")).alias("seed"))
 
@@ -224,6 +257,8 @@ SELECT seed, target, array_to_string(path, '>') AS path, array_to_string(kinds,
 def paths_bounded(spark, sf_dir):
     """The three best paths of up to three hops from every order to its customer's nation, over all edges: by the customer, or by a part's supplier there."""
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    ends = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(graph.node_id("orders", F.col("o_orderkey")).alias("seed"), graph.node_id("nation", F.col("c_nationkey")).alias("target"))
-    found = traversal.paths(edges(spark, sf_dir), ends, 3, 3, scratch(spark, "paths"), beam=10_000)
-    return found.select("seed", "target", F.array_join("path", ">").alias("path"), F.array_join("kinds", ",").alias("kinds"), "weakest", "truncated")
+    linked, node, name = numbered(spark, sf_dir)
+    ends = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(node("orders", F.col("o_orderkey")).alias("seed"), node("nation", F.col("c_nationkey")).alias("target"))
+    found = traversal.paths(linked, ends, 3, 3, scratch(spark, "paths"), beam=10_000, name=name)
+    kinds = F.transform("kinds", lambda k: F.element_at(F.array(*map(F.lit, _NAMED)), k.cast("int") + 1))
+    return found.select(name(F.col("seed")).alias("seed"), name(F.col("target")).alias("target"), F.array_join(F.transform("path", name), ">").alias("path"), F.array_join(kinds, ",").alias("kinds"), "weakest", "truncated")
