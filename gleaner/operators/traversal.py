@@ -26,31 +26,34 @@ def _stored(df: DataFrame, place: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
-def _taken(found: DataFrame, left: DataFrame, *order: Column) -> DataFrame:
+def _taken(found: DataFrame, left: DataFrame, most: int, *order: Column) -> DataFrame:
     """The first rows of each seed, as many as it has left; one more is kept aside as the sign that some were cut."""
-    most = left.agg(F.max("left")).first()[0] or 0
     ranked = top(found, most + 1, ["seed"], *order, rank="at").join(left, "seed")
     return ranked.withColumn("cut", F.col("at") > F.col("left"))
 
 
-def neighbours(edges: DataFrame, seeds: DataFrame, depth: int, limit: int, place: str) -> DataFrame:
+def neighbours(edges: DataFrame, seeds: DataFrame, depth: int, limit: int, place: str, name: Callable[[Column], Column] = _same) -> DataFrame:
     """(seed, node, depth, confidence, truncated): nodes within `depth` hops in either direction, `limit` a seed, the seed not among them.
 
-    A node is given at its least depth, with the greatest of the confidences by which its path's weakest edge comes to it. place: a
-    folder that all executors share.
+    A node is given at its least depth, with the greatest of the confidences by which its path's weakest edge comes to it. Seeds that
+    are truncated go no further. A hop reads the edges of its frontier's nodes only, and of a node's neighbours those that could be among
+    a seed's next rows, so a hub costs its edges once and not for each seed that comes to it. place: a folder that all executors share.
     """
     there = edges.select("src", "dst", "confidence")
     both = there.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "confidence"))
-    both = _stored(both.groupBy("src", "dst").agg(F.max("confidence").alias("confidence")), f"{place}/both")
     frontier = _stored(seeds.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.lit(1.0).alias("confidence"), F.lit(False).alias("cut")), f"{place}/hops/hop=0")
     spark, shape = frontier.sparkSession, frontier.schema
     for d in range(1, depth + 1):
         seen = spark.read.schema(shape).parquet(f"{place}/hops/hop=*")
         left = seen.groupBy("seed").agg((F.lit(limit) - F.count_if(~F.col("cut") & (F.col("depth") > 0))).alias("left"), F.max("cut").alias("full")).filter("NOT full").drop("full")
-        step = frontier.filter("NOT cut").select("seed", F.col("node").alias("src"), F.col("confidence").alias("so_far")).join(both, "src")
-        new = step.select("seed", F.col("dst").alias("node"), F.least("so_far", "confidence").alias("confidence")).groupBy("seed", "node").agg(F.max("confidence").alias("confidence"))
+        most = left.agg(F.max("left")).first()[0]
+        if most is None:  # every seed has been cut
+            break
+        tips = frontier.select("seed", F.col("node").alias("src"), F.col("confidence").alias("so_far")).join(left.select("seed"), "seed", "left_semi")
+        near = _nearest(both, tips.select("src", "so_far").distinct(), limit + 2, name)
+        new = tips.join(near, ["src", "so_far"]).select("seed", F.col("dst").alias("node"), "confidence").groupBy("seed", "node").agg(F.max("confidence").alias("confidence"))
         new = new.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
-        kept = _taken(new, left, F.col("confidence").desc(), F.col("node"))
+        kept = _taken(new, left, most, F.col("confidence").desc(), name(F.col("node")))
         frontier = _stored(kept.select("seed", "node", F.lit(d).alias("depth"), "confidence", "cut"), f"{place}/hops/hop={d}")
     rows = spark.read.schema(shape).parquet(f"{place}/hops/hop=*")
     cut = rows.filter("cut").select("seed").distinct().withColumn("truncated", F.lit(True))
@@ -58,6 +61,18 @@ def neighbours(edges: DataFrame, seeds: DataFrame, depth: int, limit: int, place
     return out.select("seed", "node", "depth", "confidence", F.coalesce("truncated", F.lit(False)).alias("truncated"))
 
 
+def _nearest(both: DataFrame, tips: DataFrame, keep: int, name: Callable[[Column], Column]) -> DataFrame:
+    """(src, so_far, dst, confidence): of each tip (src, so_far) the first `keep` neighbours by min(so_far, confidence), then by name.
+
+    A seed has seen limit + 1 - left nodes, itself among them, and takes left + 1 at most, so none of its rows comes after limit + 2 neighbours of a
+    tip. Of a node's equally sure neighbours no more are needed whatever so_far is, so these are cut before tips are joined.
+    """
+    edges = sifted(both, "src", tips.select("src")).groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
+    few = top(edges, keep, ["src", "confidence"], name(F.col("dst")), rank="at").drop("at")
+    step = few.join(bounded(tips), "src").withColumn("confidence", F.least("so_far", "confidence"))
+    return top(step, keep, ["src", "so_far"], F.col("confidence").desc(), name(F.col("dst")), rank="at").drop("at")
+
+
 def paths(edges: DataFrame, ends: DataFrame, depth: int, limit: int, place: str, beam: int | None = None, name: Callable[[Column], Column] = _same) -> DataFrame:
     """(seed, target, path, kinds, weakest, truncated): loop-free paths along edges between pairs (seed, target), `limit` a pair.
 

@@ -242,8 +242,10 @@ k0 AS (SELECT 'node:supplier:shop:' || s_suppkey AS seed, 'node:supplier:shop:'
 SELECT seed, node, depth, confidence, seed IN (SELECT seed FROM c3) AS truncated FROM ({" UNION ALL ".join(f"SELECT seed, node, {d} AS depth, confidence FROM k{d}" for d in (1, 2, 3))})""")
 def neighbours_bounded(spark, sf_dir):
     """Up to 40 nodes around each supplier within three hops over all edges, the surest of each hop first."""
-    seeds = table(spark, sf_dir, "supplier").select(graph.node_id("supplier", F.col("s_suppkey")).alias("seed"))
-    return traversal.neighbours(edges(spark, sf_dir), seeds, 3, 40, scratch(spark, "neighbours"))
+    linked, node, name = numbered(spark, sf_dir)
+    seeds = table(spark, sf_dir, "supplier").select(node("supplier", F.col("s_suppkey")).alias("seed"))
+    found = traversal.neighbours(linked, seeds, 3, 40, scratch(spark, "neighbours"), name)
+    return found.select(name(F.col("seed")).alias("seed"), name(F.col("node")).alias("node"), "depth", "confidence", "truncated")
 
 
 @query(f"""WITH {SQL_EDGES}, e AS (SELECT src, dst, kind, max(confidence) AS confidence FROM edges GROUP BY src, dst, kind),
